@@ -243,3 +243,8 @@ def to_markdown(page_blocks: Column, gfm: Column) -> Column:
         ),
         "",
     )
+
+
+def escaped_line(text: Column) -> Column:
+    """Plain text as one line of Markdown."""
+    return _settle(F.regexp_replace(text, ESCAPED, r"\\$1"))

@@ -61,13 +61,17 @@ def strip_markup(html: Column) -> Column:
     return decode_entities(F.regexp_replace(html, r"(?s)<[^>]*>", ""))
 
 
+def trim_blank(text: Column) -> Column:
+    return F.regexp_replace(text, r"^[ \t\r\n\f]+|[ \t\r\n\f]+$", "")
+
+
 def tidy(text: Column) -> Column:
     """One blank between words, at most one empty line, no blanks at line ends."""
     text = F.regexp_replace(text, r"\r\n?", "\n")
     text = F.regexp_replace(text, r"[ \t\f\x0B\x{a0}]+", " ")
     text = F.regexp_replace(text, r" ?\n ?", "\n")
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")
-    return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
+    return trim_blank(text)
 
 
 def layout(html: Column) -> Column:
@@ -88,9 +92,9 @@ def page_title(html: Column) -> Column:
 
 
 def all_titles(html: Column) -> Column:
-    """Text of every title element, joined."""
+    """Inner HTML of every title element, joined."""
     titles = F.regexp_extract_all(html, F.lit(r"(?is)<title[^>]*>(.*?)</title\s*>"), F.lit(1))
-    return tidy(decode_entities(F.array_join(titles, "")))
+    return trim_blank(F.array_join(titles, ""))
 
 
 def meta_content(html: Column, name: str) -> Column:
@@ -114,7 +118,7 @@ def simplified_document(title: Column, body: Column, html: Column) -> Column:
             F.lit('<html lang=""><head><title>'),
             title,
             F.lit("</title></head><body>"),
-            F.trim(body),
+            trim_blank(body),
             F.lit("</body></html>"),
         ),
         html,
