@@ -129,8 +129,9 @@ class _Events(HTMLParser):
         self.lasts[element.id] = len(self.rows)
         is_edge = element.block == element.id
         self._emit("close", element.tag, is_edge, element.attrs, element=element)
-        if cut_short and element.tag in FORMATTING:
-            self.cut.append((element.tag, element.attrs))
+        kept = (element.tag, element.attrs)
+        if cut_short and element.tag in FORMATTING and kept not in self.cut:
+            self.cut.append(kept)
 
     def _close(self, depth):
         """Close the element at a depth and, before it, those left open inside."""

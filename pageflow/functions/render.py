@@ -93,6 +93,8 @@ def _settle(text: Column) -> Column:
     """Move blanks out of marks, drop empty marks, trim, then write the marks."""
     pairs = (STRONG, EM, STRIKE)
     starts, ends = "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
+    for mark in starts + ends:  # a mark right inside the same mark adds nothing
+        text = F.regexp_replace(text, f"{mark}{{2,}}", mark)
     text = F.regexp_replace(text, f"([{starts}]+)([ {BREAK}]+)", "$2$1")
     text = F.regexp_replace(text, f"([ {BREAK}]+)([{ends}]+)", "$2$1")
     for start, end in pairs:

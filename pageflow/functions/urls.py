@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pageflow.functions.bind import bind
+
 # Characters a URI encoder leaves as they are, with the form
 # encoder's spelling.  ``&`` and ``#`` are missing on purpose: left bare they
 # would cut a phrase short.
@@ -73,20 +75,50 @@ def _escape_path(col: Column) -> Column:
 
 
 def _without_dot_segments(path: Column) -> Column:
-    segments = F.split(F.substring(path, 2, 1 << 30), "/")
     is_up = lambda s: F.lower(s).isin("..", ".%2e", "%2e.", "%2e%2e")
     is_here = lambda s: F.lower(s).isin(".", "%2e")
-    kept = F.aggregate(
-        segments,
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(is_up(s), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when(is_here(s), acc)
-        .otherwise(F.concat(acc, F.array(s))),
+
+    def walked(segments: Column) -> Column:
+        kept = F.aggregate(
+            segments,
+            F.array().cast("array<string>"),
+            lambda acc, s: F.when(is_up(s), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+            .when(is_here(s), acc)
+            .otherwise(F.concat(acc, F.array(s))),
+        )
+        last = F.element_at(segments, -1)
+        tail = F.when(is_up(last) | is_here(last), F.lit("/")).otherwise(F.lit(""))
+        joined = F.concat(F.lit("/"), F.array_join(kept, "/"))
+        return F.when(joined.endswith("/"), joined).otherwise(F.concat(joined, tail))
+
+    return F.when(
+        path.rlike(r"(?i)/(\.|%2e){1,2}(/|$)"), bind(F.split(F.substring(path, 2, 1 << 30), "/"), walked)
+    ).otherwise(path)
+
+
+def _assembled(parts: Column) -> Column:
+    """The URL from its seven parts, NULL if a part is not allowed."""
+    scheme, host = F.lower(parts[0]), F.lower(parts[2])
+    port = F.when(parts[3] != "", F.coalesce(F.nullif(F.ltrim(parts[3], F.lit("0")), F.lit("")), F.lit("0")))
+    shown_port = F.when(port == F.when(scheme == "http", "80").otherwise("443"), None).otherwise(port)
+    path = F.replace(parts[4], F.lit("\\"), F.lit("/"))
+    valid = ~host.rlike(_BAD_HOST) & (
+        port.isNull() | ((F.length(port) <= 5) & (port.try_cast("int") <= 65535))
+    )
+    return F.when(
+        valid,
+        F.concat(
+            scheme,
+            F.lit("://"),
+            F.when(parts[1] != "", F.concat(parts[1], F.lit("@"))).otherwise(""),
+            host,
+            F.coalesce(F.concat(F.lit(":"), shown_port), F.lit("")),
+            bind(path, lambda p: F.when(p == "", "/").otherwise(
+                bind(_without_dot_segments(p), lambda q: _escape_path(q)))),
+            _escape_path(parts[5]),
+            _escape_path(parts[6]),
+        ),
     )
-    last = F.element_at(segments, -1)
-    tail = F.when((is_up(last) | is_here(last)) & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
-    resolved = F.concat(F.lit("/"), F.array_join(kept, "/"), tail)
-    return F.when(path.rlike(r"(?i)/(\.|%2e){1,2}(/|$)"), resolved).otherwise(path)
 
 
 def http_url(col: Column) -> Column:
@@ -97,39 +129,25 @@ def http_url(col: Column) -> Column:
     """
     # blanks at the ends and line breaks anywhere do not count
     text = F.regexp_replace(F.regexp_replace(col, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\r\n]", "")
-    part = lambda i: F.regexp_extract(text, _PARTS, i)
-    scheme, host, port = F.lower(part(1)), F.lower(part(3)), F.ltrim(part(4), F.lit("0"))
-    default_port = F.when(scheme == "http", "80").otherwise("443")
-    keep_port = (part(4) != "") & (port != default_port)
-    user = F.when(part(2) != "", F.concat(part(2), F.lit("@"))).otherwise("")
-    path = F.replace(part(5), F.lit("\\"), F.lit("/"))
-    path = F.when(path == "", "/").otherwise(_without_dot_segments(path))
-    valid = (
-        (host != "")
-        & ~host.rlike(_BAD_HOST)
-        & ((port == "") | ((F.length(port) <= 5) & (port.try_cast("int") <= 65535)))
-    )
+    parts = F.split(F.regexp_replace(text, _PARTS, "\x01".join(f"${i}" for i in range(1, 8))), "\x01")
     return F.when(
-        valid,
-        F.concat(
-            scheme,
-            F.lit("://"),
-            user,
-            host,
-            F.when(keep_port, F.concat(F.lit(":"), F.when(port == "", "0").otherwise(port))).otherwise(""),
-            _escape_path(path),
-            _escape_path(part(6)),
-            _escape_path(part(7)),
-        ),
+        col.rlike(r"(?i)^[\x00-\x20]*https?:"),
+        bind(parts, lambda p: F.when(F.size(p) == 7, _assembled(p))),
     )
 
 
 def interpret_as_url(col: Column) -> Column:
     """The URL a request string stands for, raw or percent-encoded up to twice."""
-    once = decode_component(col)
-    twice = decode_component(once)
+
+    def tried(c: Column) -> Column:
+        return F.coalesce(
+            http_url(c),
+            bind(decode_component(c), lambda once: F.coalesce(
+                http_url(once), bind(decode_component(once), http_url))),
+        )
+
     # a string with neither a colon nor an escape is a phrase
-    return F.when(col.rlike("[:%]"), F.coalesce(http_url(col), http_url(once), http_url(twice)))
+    return F.when(col.rlike("[:%]"), bind(col, tried))
 
 
 def host_of(col: Column) -> Column:

@@ -507,14 +507,13 @@ def stream_response_deadline(spark: SparkSession, root: str) -> DataFrame:
 def stream_response_early(spark: SparkSession, root: str) -> DataFrame:
     expected = T.requests(spark, root).groupBy("response_id").agg(F.count("*").alias("expected"))
     answered = T.as_outcomes(_event_stream(spark, root)).filter("http_status_message <> 'again'")
-    waiting = answered.join(expected, "response_id").select(
+    waiting = answered.select(
         "response_id",
         "request_status",
         "loaded_at",
         (F.col("loaded_at") + F.expr(f"INTERVAL {S.MAX_TIMEOUT_SECS} SECONDS")).alias("deadline"),
-        "expected",
     )
-    return jobs.run_to_files(jobs.early_completion(waiting), "stream-early")
+    return jobs.run_to_files(jobs.early_completion(waiting, expected), "stream-early")
 
 
 def stream_last_outcome(spark: SparkSession, root: str) -> DataFrame:

@@ -23,8 +23,8 @@ def read_request_stream(spark: SparkSession, path: str, fmt: str = "json") -> Da
 
 
 def read_stream(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
-    """A table's files as a stream."""
-    return spark.readStream.schema(schema).parquet(f"{root}/{name}.parquet")
+    """A table's files as a stream; the pattern takes one file or a folder."""
+    return spark.readStream.schema(schema).parquet(f"{root}/{name}.parquet*")
 
 
 def normalised_timestamps(df: DataFrame) -> DataFrame:

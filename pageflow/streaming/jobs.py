@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pageflow import settings as S
+from pageflow.settings import FAILED, HANDLED, MAX_TIMEOUT_SECS, MSG_TIMED_OUT
 from pageflow.sources.shared import fresh_path
 
 
@@ -41,7 +41,7 @@ def with_deadline(requests: DataFrame, outcomes: DataFrame, delay: str = "10 min
     """
     r = requests.withWatermark("created_at", delay).alias("r")
     o = outcomes.withWatermark("loaded_at", delay).alias("o")
-    bound = F.expr(f"INTERVAL {S.MAX_TIMEOUT_SECS} SECONDS")
+    bound = F.expr(f"INTERVAL {MAX_TIMEOUT_SECS} SECONDS")
     joined = r.join(
         o,
         (F.col("r.response_id") == F.col("o.response_id"))
@@ -56,9 +56,9 @@ def with_deadline(requests: DataFrame, outcomes: DataFrame, delay: str = "10 min
         "r.response_id",
         "r.unique_key",
         "r.created_at",
-        F.coalesce("o.request_status", F.lit(S.FAILED)).alias("request_status"),
+        F.coalesce("o.request_status", F.lit(FAILED)).alias("request_status"),
         F.when(late, F.lit(500)).alias("http_status_code"),
-        F.when(late, F.lit(S.MSG_TIMED_OUT)).alias("http_status_message"),
+        F.when(late, F.lit(MSG_TIMED_OUT)).alias("http_status_message"),
     )
 
 
@@ -67,9 +67,9 @@ def responses_by_window(results: DataFrame, width: str = "1 hour") -> DataFrame:
     return (
         results.groupBy(F.window("created_at", width), "response_id")
         .agg(
-            F.count_if(F.col("request_status") == S.HANDLED).alias("n_handled"),
-            F.count_if(F.col("request_status") == S.FAILED).alias("n_failed"),
-            F.count_if(F.col("http_status_message") == S.MSG_TIMED_OUT).alias("n_timed_out"),
+            F.count_if(F.col("request_status") == HANDLED).alias("n_handled"),
+            F.count_if(F.col("request_status") == FAILED).alias("n_failed"),
+            F.count_if(F.col("http_status_message") == MSG_TIMED_OUT).alias("n_timed_out"),
         )
         .select("response_id", F.col("window.start").alias("window_start"), "n_handled", "n_failed", "n_timed_out")
     )
@@ -95,8 +95,8 @@ def _count_until_complete(
     expected, handled, failed = state.get if state.exists else (0, 0, 0)
     for batch in batches:
         expected = int(batch["expected"].iloc[0])
-        handled += int((batch["request_status"] == S.HANDLED).sum())
-        failed += int((batch["request_status"] == S.FAILED).sum())
+        handled += int((batch["request_status"] == HANDLED).sum())
+        failed += int((batch["request_status"] == FAILED).sum())
         deadline = int(batch["deadline"].max().timestamp() * 1000)
     if handled + failed >= expected:
         if state.exists:
@@ -107,15 +107,16 @@ def _count_until_complete(
     state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
 
 
-def early_completion(outcomes: DataFrame, delay: str = "10 minutes") -> DataFrame:
+def early_completion(outcomes: DataFrame, expected: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Responses as soon as their last result is in, or at their deadline.
 
-    ``outcomes`` has response_id, request_status, loaded_at, deadline and the
-    number of results the response waits for (``expected``).  The state is
+    ``outcomes`` has response_id, request_status, loaded_at and deadline,
+    ``expected`` the number of results each response waits for.  The state is
     three counters per response.
     """
     return (
         outcomes.withWatermark("loaded_at", delay)
+        .join(expected.select("response_id", "expected"), "response_id")
         .groupBy("response_id")
         .applyInPandasWithState(
             _count_until_complete, EARLY_OUTPUT, EARLY_STATE, "append", GroupStateTimeout.EventTimeTimeout
