@@ -17,7 +17,8 @@ of an ordered list, rows of a table and cells of a row.
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import re
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 # Classes of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEAD = frozenset("html head body title meta link base script style noscript template".split())
+SILENT_HEAD = HEAD - {"html", "head", "body"}
+RAW = frozenset(("script", "style", "title", "textarea"))
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 CELL = frozenset(("td", "th"))
 BLOCK = CELL | frozenset(
@@ -46,6 +49,17 @@ IMPLIED_END = {
     "tfoot": ({"tbody", "thead"}, {"table"}),
 }
 
+# Fixed patterns: comments and declarations, end tags, start tags (the second
+# form takes tags with an unbalanced quote), and attributes.
+_MARKUP = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
+    r"|</([a-zA-Z][^\s/>]*)[^>]*>"
+    r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|<([a-zA-Z][^\s/>]*)([^>]*)>",
+    re.S,
+)
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+
 EVENT = pa.struct(
     [
         ("kind", pa.string()),
@@ -87,9 +101,10 @@ class _Element:
         self.count = 0
 
 
-class _Events(HTMLParser):
+class _Events:
+    """Walks the markup of one page and keeps the stack of open elements."""
+
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.rows: list[tuple] = []
         self.lasts: dict[int, int] = {}
         self.stack: list[_Element] = []
@@ -97,6 +112,34 @@ class _Events(HTMLParser):
         self.in_body = False
         self._push("#root", {})
 
+    def walk(self, html):
+        at = 0
+        for found in _MARKUP.finditer(html):
+            if found.start() < at:
+                continue  # inside a script or the like
+            if found.start() > at:
+                self._text(unescape(html[at : found.start()]))
+            at = found.end()
+            end_tag, tag, attrs = found.group(1), found.group(2) or found.group(4), found.group(3) or found.group(5)
+            if end_tag:
+                self._end(end_tag.lower())
+            elif tag:
+                tag = tag.lower()
+                pairs = reversed(_ATTRIBUTE.findall(attrs)) if attrs and not attrs.isspace() else ()
+                self._start(tag, {n.lower(): unescape(a or b or c) for n, a, b, c in pairs}, attrs)
+                if tag in RAW:
+                    close = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+                    stop = close.start() if close else len(html)
+                    if stop > at:
+                        raw = html[at:stop]
+                        self._text(unescape(raw) if tag in ("title", "textarea") else raw)
+                    at = stop
+        if at < len(html):
+            self._text(unescape(html[at:]))
+        while len(self.stack) > 1:
+            self._pop(False)
+        self.lasts[0] = len(self.rows) - 1
+
     def _emit(self, kind, tag, edge, attrs=None, text=None, element=None, number=0):
         ident, top = len(self.rows), self.stack[-1]
         owner = element or top
@@ -162,8 +205,7 @@ class _Events(HTMLParser):
         self.in_body = True
         self._push("body", attrs)
 
-    def handle_starttag(self, tag, attrs):
-        attrs = {k: v or "" for k, v in reversed(attrs)}
+    def _start(self, tag, attrs, raw_attrs):
         if tag in ("html", "head", "body") and (self.in_body or any(e.tag == tag for e in self.stack)):
             return
         if tag == "body":
@@ -174,20 +216,17 @@ class _Events(HTMLParser):
             self._close_nearest({"p"}, BLOCK - {"p"})
         if tag in IMPLIED_END:
             self._close_nearest(*IMPLIED_END[tag])
-        if tag in FORMATTING or tag in ("br", "img"):
+        if self.cut and (tag in FORMATTING or tag in ("br", "img")):
             self._resume()
         if tag in VOID:
             self.lasts[len(self.rows)] = len(self.rows)
             self._emit("void", tag, tag == "hr" and not self.stack[-1].cell, attrs)
         else:
             self._push(tag, attrs)
+            if raw_attrs and raw_attrs.endswith("/") and tag not in HEAD | BLOCK | FORMATTING:
+                self._pop(False)  # foreign content such as svg paths
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in HEAD | BLOCK | FORMATTING and self.stack[-1].tag == tag:
-            self._pop(False)  # foreign content such as svg paths
-
-    def handle_endtag(self, tag):
+    def _end(self, tag):
         if tag in ("html", "body"):
             return
         before = len(self.stack)
@@ -197,30 +236,22 @@ class _Events(HTMLParser):
         if len(self.stack) == before and tag in FORMATTING:
             self.cut = [c for c in self.cut if c[0] != tag]
 
-    def handle_data(self, data):
-        if not data.isspace() and self.stack[-1].tag not in HEAD - {"html", "head", "body"}:
+    def _text(self, data):
+        if not data.isspace() and self.stack[-1].tag not in SILENT_HEAD:
             if self.stack[-1].tag != "body":
                 self._ensure_body()
             if self.cut:
                 self._resume()
         self._emit("text", "#text", False, text=data)
 
-    def finished(self):
-        self.close()
-        while len(self.stack) > 1:
-            self._pop(False)
-        self.lasts[0] = len(self.rows) - 1
-        return self.rows, self.lasts
-
 
 def _events(batch: pa.Array) -> pa.Array:
     offsets, rows, lasts = [0], [], []
     for html in batch.to_pylist():
-        parser = _Events()
-        parser.feed(html or "")
-        page, ends = parser.finished()
-        rows.extend(page)
-        lasts.extend(ends.get(r[2], r[1]) for r in page)
+        page = _Events()
+        page.walk(html or "")
+        rows.extend(page.rows)
+        lasts.extend([page.lasts.get(r[2], r[1]) for r in page.rows])
         offsets.append(len(rows))
     columns = list(zip(*rows)) if rows else [()] * 14
     columns.insert(3, lasts)

@@ -111,7 +111,13 @@ def without(events: Column, selector: str) -> Column:
     )
 
 
+def subtree(all_events: Column, element: Column) -> Column:
+    """An element's events, cut out of the page's whole array by place."""
+    return F.slice(all_events, element["id"] + 1, element["last"] - element["id"] + 1)
+
+
 def inside(events: Column, element: Column) -> Column:
+    """An element's events among those kept."""
     return F.filter(events, lambda e: covers(element, e))
 
 

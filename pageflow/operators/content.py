@@ -53,7 +53,7 @@ def text_or_raw(html: Column, max_chars: int = S.MAX_HTML_CHARS) -> Column:
 
 def _title_of(events: Column) -> Column:
     titles = css.matching(events, "title")
-    joined = F.array_join(F.transform(titles, lambda t: css.text_of(css.inside(events, t))), "")
+    joined = F.array_join(F.transform(titles, lambda t: css.text_of(css.subtree(events, t))), "")
     return F.trim(F.regexp_replace(joined, render.BLANKS, " "))
 
 
@@ -134,49 +134,61 @@ def readable_html(kept: Column, events: Column, title: Column, page_blocks: Colu
     )
 
 
+def _escaped(title: Column) -> Column:
+    return F.replace(F.replace(title, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+
+def _joined_markdown(lead: Column, kept: Column, events: Column, gfm: Column) -> Column:
+    body = bind(render.blocks(kept, events, gfm), lambda b: render.to_markdown(b, gfm))
+    parts = F.array(F.nullif(lead, F.lit("")), F.nullif(body, F.lit("")))
+    return F.array_join(parts, "\n\n")
+
+
 def with_content(df: DataFrame, settings: S.ContentSettings = S.ContentSettings()) -> DataFrame:
-    """Add ``processed_html`` and the requested of ``text``, ``markdown``, ``html``.
+    """Add ``processed_html`` and the requested of ``text``, ``markdown``, ``html_out``.
 
     One tree walk per page; formats nobody asked for are not computed.  An
     unsupported selector raises here, before the job starts.
     """
     events = F.col("_events")
-    kept = css.without(render.body_events(events), settings.remove_selector)
-
-    def cleaned(k: Column) -> Column:
-        document = native.simplified_document(_escaped(_title_of(events)), render.to_html(k), F.col("html"))
-        if settings.html_transformer != "readableText":
+    formats = settings.output_formats
+    readable = settings.html_transformer == "readableText"
+
+    def made(title: Column, kept: Column) -> Column:
+        document = native.simplified_document(_escaped(title), render.to_html(kept), F.col("html"))
+        if readable:
+            main = bind(
+                render.blocks(kept, events, F.lit(True)),
+                lambda b: readable_html(kept, events, _escaped(title), b, settings.readable_char_threshold),
+            )
+            return F.struct(F.coalesce(main, document).alias("processed_html"))
+        if "markdown" not in formats:
             return F.struct(document.alias("processed_html"))
-        main = bind(
-            render.blocks(k, events, F.lit(True)),
-            lambda b: readable_html(k, events, _escaped(_title_of(events)), b, settings.readable_char_threshold),
-        )
-        return F.struct(F.coalesce(main, document).alias("processed_html"))
 
-    def _escaped(title: Column) -> Column:
-        return F.replace(F.replace(title, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+        def with_markdown(done: Column) -> Column:
+            gfm = F.length(done) <= settings.max_gfm_chars
+            markdown = _joined_markdown(render.escaped_line(title), kept, events, gfm)
+            return F.struct(done.alias("processed_html"), markdown.alias("markdown"))
 
-    df = df.withColumn("_events", html_events(F.col("html")))
-    df = df.withColumn("processed_html", bind(kept, cleaned)["processed_html"])
-    size = F.length("processed_html")
-    formats = settings.output_formats
-    if "markdown" in formats:
-        gfm = size <= settings.max_gfm_chars
-        if settings.html_transformer == "readableText":
-            # the main content is new HTML, walked once more
-            df = df.withColumn("_main", html_events(F.col("processed_html")))
-            all_events, source = F.col("_main"), render.body_events(F.col("_main"))
-            lead = F.lit("")
-        else:
-            all_events, source = events, kept
-            lead = render.escaped_line(_title_of(events))
-        body = bind(render.blocks(source, all_events, gfm), lambda b: render.to_markdown(b, gfm))
-        df = df.withColumn("markdown", F.array_join(F.array(F.nullif(lead, F.lit("")), F.nullif(body, F.lit(""))), "\n\n"))
+        return bind(document, with_markdown)
+
+    kept = css.without(render.body_events(events), settings.remove_selector)
+    done = bind(_title_of(events), lambda title: bind(kept, lambda k: made(title, k)))
+    df = df.withColumn("_events", html_events(F.col("html"))).withColumn("_made", done)
+    df = df.withColumn("processed_html", F.col("_made.processed_html"))
+    if "markdown" in formats and not readable:
+        df = df.withColumn("markdown", F.nullif(F.col("_made.markdown"), F.lit("")))
+    elif "markdown" in formats:
+        # the main content is new HTML, walked once more
+        main = F.col("_main")
+        gfm = F.length("processed_html") <= settings.max_gfm_chars
+        markdown = bind(render.body_events(main), lambda k: _joined_markdown(F.lit(""), k, main, gfm))
+        df = df.withColumn("_main", html_events(F.col("processed_html"))).withColumn("markdown", markdown)
     if "text" in formats:
         df = df.withColumn("text", text_or_raw(F.col("processed_html"), settings.max_html_chars))
     if "html" in formats:
         df = df.withColumn("html_out", F.col("processed_html"))
-    return df.drop("_events", "_main")
+    return df.drop("_events", "_made", "_main")
 
 
 def blocks_table(df: DataFrame, key: str, settings: S.ContentSettings = S.ContentSettings()) -> DataFrame:

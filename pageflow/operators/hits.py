@@ -68,17 +68,10 @@ def paginate(hits: DataFrame, searches: DataFrame) -> tuple[DataFrame, DataFrame
         (F.col("page") < F.col("first_empty")) & (F.col("page") < F.col("total_pages"))
     )
     unique = deduplicate(readable, "query_id")
-    final = ranked(unique, F.col("max_results")).drop("total_pages", "first_empty", "max_results")
-
-    # at most eleven rows per query: new hits by page, summed up
-    upto = Window.partitionBy("query_id").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
-    new_by_page = unique.groupBy("query_id", "page", "max_results").agg(F.count("*").alias("n"))
-    enough = (
-        new_by_page.withColumn("seen", F.sum("n").over(upto))
-        .filter(F.col("seen") >= F.col("max_results"))
-        .groupBy("query_id")
-        .agg(F.min("page").alias("enough_at"))
-    )
+    final = ranked(unique, F.col("max_results"))
+
+    # the page of the last wanted hit is the page where reading stopped
+    enough = final.filter("rank = max_results").select("query_id", F.col("page").alias("enough_at"))
     pages_read = stops.join(enough, "query_id", "left").select(
         "query_id",
         F.least(
@@ -87,7 +80,7 @@ def paginate(hits: DataFrame, searches: DataFrame) -> tuple[DataFrame, DataFrame
             F.col("total_pages"),
         ).cast("bigint").alias("pages_read"),
     )
-    return final, pages_read
+    return final.drop("total_pages", "first_empty", "max_results"), pages_read
 
 
 def page_requests(final: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 The index is one row per document with its term counts inside the row, so
 building it shuffles nothing.  A search needs the document frequencies of the
-phrases' terms (one narrow aggregation), weights each (phrase, term) pair and
-scores documents where they lie: with the weights broadcast only the summed
-scores of matching pairs move.
+phrases' terms (one narrow aggregation) and weighs each (phrase, term) pair.
+It then places the index by document once; with the weights broadcast, every
+score is summed where its document lies, and each task keeps its ``top_k`` per
+phrase before anything else moves.  What moves is the index and ``top_k`` rows
+per phrase and task, not the pairs that share a term.
 """
 
 from __future__ import annotations
@@ -43,18 +45,16 @@ def _counts(terms: Column) -> Column:
             ),
         )
 
-    return bind(F.array_sort(terms), runs)
+    return bind(F.sort_array(terms), runs)
 
 
 def build_index(corpus: DataFrame) -> DataFrame:
     """Index rows (doc_id, host, doc_length, postings) of (doc_id, host, text)."""
-    terms = terms_of(F.col("text"))
-    return corpus.select(
-        "doc_id",
-        "host",
-        F.size(terms).alias("doc_length"),
-        _counts(terms).alias("postings"),
+    described = bind(
+        terms_of(F.col("text")),
+        lambda terms: F.struct(F.size(terms).alias("doc_length"), _counts(terms).alias("postings")),
     )
+    return corpus.select("doc_id", "host", described.alias("d")).select("doc_id", "host", "d.*")
 
 
 def phrase_terms(phrases: DataFrame) -> DataFrame:
@@ -96,7 +96,8 @@ def search(phrases: DataFrame, index: DataFrame, settings: SearchSettings = Sear
         staged(_weights(phrase_terms(phrases), index, settings), "weights"), settings.broadcast_rows
     )
     mean_length = index.agg(F.avg("doc_length")).scalar()
-    postings = index.select(
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    postings = index.repartition(tasks, "doc_id").select(
         "doc_id",
         "host",
         (settings.k1 * (1 - settings.b + settings.b * F.col("doc_length") / mean_length)).alias("norm"),

@@ -13,7 +13,7 @@ from pageflow.operators.hits import deduplicate, valid_results
 
 
 def _result(events: Column, element: Column) -> Column:
-    """Title, description and link of one result element."""
+    """Title, description and link of one result element, menus left out."""
 
     def read(inner: Column) -> Column:
         heading = F.get(F.filter(inner, lambda e: (e["tag"] == "h3") & (e["kind"] == "open")), F.lit(0))
@@ -27,7 +27,7 @@ def _result(events: Column, element: Column) -> Column:
             link["attrs"]["href"].alias("url"),
         )
 
-    return bind(css.inside(events, element), read)
+    return bind(css.subtree(events, element), lambda whole: bind(css.without(whole, S.SERP_DROP_SELECTOR), read))
 
 
 def extract_results(serp_pages: DataFrame) -> DataFrame:
@@ -36,12 +36,8 @@ def extract_results(serp_pages: DataFrame) -> DataFrame:
     The suggestion mark belongs to the page and goes to each of its results.
     """
     events = F.col("events")
-    kept = css.without(events, S.SERP_DROP_SELECTOR)
-    results = bind(
-        kept,
-        lambda k: F.transform(
-            css.matching(k, ", ".join(S.SERP_RESULT_SELECTORS)), lambda element: _result(k, element)
-        ),
+    results = F.transform(
+        css.matching(events, ", ".join(S.SERP_RESULT_SELECTORS)), lambda element: _result(events, element)
     )
     suggested = F.size(css.matching(events, S.SERP_SUGGESTION_SELECTOR)) > 0
     return (
@@ -50,8 +46,10 @@ def extract_results(serp_pages: DataFrame) -> DataFrame:
             "query_id",
             "page",
             F.when(suggested, "SUGGESTED").otherwise("ORGANIC").alias("result_type"),
-            F.posexplode(results).alias("pos", "result"),
+            results.alias("results"),
         )
+        # the events stay behind: only results are multiplied into rows
+        .select("query_id", "page", "result_type", F.posexplode("results").alias("pos", "result"))
         .select("query_id", "page", "pos", "result.*", "result_type")
     )
 

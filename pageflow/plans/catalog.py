@@ -9,7 +9,7 @@ from pageflow import schemas, settings as S
 from pageflow.functions import text as native, urls
 from pageflow.operators import content, context, hits, latency, requests, responses, search, serp
 from pageflow.plans import standins as T
-from pageflow.sources.shared import staged
+from pageflow.sources.shared import fresh_path, only_wanted, staged
 from pageflow.sources.tables import append_results, read_results, read_stream, read_table
 from pageflow.streaming import jobs
 
@@ -250,8 +250,6 @@ def _flat_records(records: DataFrame) -> DataFrame:
 
 def result_records(spark: SparkSession, root: str) -> DataFrame:
     """Append the handled records to a result table and read them back."""
-    from pageflow.sources.shared import fresh_path
-
     fetched = T.fetched(spark, root).filter("error IS NULL")
     handled = fetched.filter(content.has_readable_type(F.col("content_type")))
     path = fresh_path(spark, "results")
@@ -298,8 +296,8 @@ def output_formats(spark: SparkSession, root: str) -> DataFrame:
 def _with_pages(found: DataFrame, spark: SparkSession, root: str, settings: S.ContentSettings) -> DataFrame:
     """Hits with the content of their page, each page processed once."""
     pages = T.pages(spark, root).withColumn("url", urls.http_url(F.col("url")))
-    wanted = found.select(urls.http_url(F.col("url")).alias("url")).distinct()
-    done = content.with_content(content.with_metadata(pages.join(wanted, "url", "left_semi")), settings)
+    wanted = found.select(urls.http_url(F.col("url")).alias("url"))
+    done = content.with_content(content.with_metadata(only_wanted(pages, wanted, "url")), settings)
     keep = [c for c in ("text", "markdown") if c in done.columns]
     done = done.select("url", "page_id", F.col("title").alias("page_title"), *keep)
     return found.withColumn("url", urls.http_url(F.col("url"))).join(done, "url")
@@ -446,7 +444,7 @@ def context_request(spark: SparkSession, root: str) -> DataFrame:
 def answer_phrases(spark: SparkSession, root: str) -> DataFrame:
     """Phrases to packed contexts: search, rank, read the pages, trim, join."""
     found = _ranked_pages(spark, root, S.CONTEXT_RESULTS)
-    pages = T.pages(spark, root).join(found.select(F.col("doc_id").alias("page_id")).distinct(), "page_id", "left_semi")
+    pages = only_wanted(T.pages(spark, root), found.select(F.col("doc_id").alias("page_id")), "page_id")
     done = content.with_content(pages, MARKDOWN_ONLY)
     # cut before the join, so that only what the context keeps moves on
     parts = done.select(F.col("page_id").alias("doc_id"), context.shortened(F.col("markdown"), S.CONTEXT_CHARS).alias("part"))

@@ -14,13 +14,13 @@ from pageflow import settings as S
 from pageflow.functions import text as native, urls
 from pageflow.operators.search import build_index
 from pageflow.sources.shared import fresh_path, staged
-from pageflow.sources.tables import normalised_timestamps, read_table
+from pageflow.sources.tables import normalised_timestamps, read_table, spread
 
 BASE_SECONDS = 1_704_067_200
 
 
 def pages(spark: SparkSession, root: str) -> DataFrame:
-    return read_table(spark, root, "pages")
+    return spread(read_table(spark, root, "pages"))
 
 
 def phrases(spark: SparkSession, root: str) -> DataFrame:
@@ -226,7 +226,7 @@ def page_index(spark: SparkSession, root: str) -> DataFrame:
 
 
 def document_index(spark: SparkSession, root: str) -> DataFrame:
-    corpus = read_table(spark, root, "documents").select("doc_id", F.lit("").alias("host"), "text")
+    corpus = spread(read_table(spark, root, "documents")).select("doc_id", F.lit("").alias("host"), "text")
     return staged(build_index(corpus), "document-index")
 
 

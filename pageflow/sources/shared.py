@@ -48,3 +48,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     if df.count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def only_wanted(wide: DataFrame, wanted: DataFrame, on: str, max_rows: int = 1_000_000) -> DataFrame:
+    """Rows of a wide table whose key is wanted, without moving the table.
+
+    The wanted keys are written down and counted; up to ``max_rows`` they go
+    to every task.  Beyond that both sides are joined by shuffle, which a wide
+    table bucketed by the key avoids.
+    """
+    keys = staged(wanted.select(on).distinct(), f"wanted-{on}")
+    return wide.join(broadcast_if_small(keys, max_rows), on, "left_semi")

@@ -13,6 +13,20 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Give a stored table at least one task per core before heavy row work.
+
+    A scan makes as many tasks as the files allow; a few large row groups of
+    pages would leave most cores idle.  A table with enough splits, as any
+    large one has, is returned as it is and nothing moves.  Only for tables
+    read from files: of anything else the number of tasks is not known yet.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if table.isStreaming or table.rdd.getNumPartitions() >= cores:
+        return table
+    return table.repartition(cores)
+
+
 def read_requests(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Request records; JSON lines by default, any Spark format otherwise."""
     return spark.read.format(fmt).schema(schemas.REQUESTS).load(path)

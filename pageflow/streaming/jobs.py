@@ -79,6 +79,18 @@ EARLY_OUTPUT = "response_id BIGINT, n_handled BIGINT, n_failed BIGINT, complete
 EARLY_STATE = "expected BIGINT, n_handled BIGINT, n_failed BIGINT"
 
 
+PARTIAL = "response_id BIGINT, n_handled BIGINT, n_failed BIGINT, loaded_at TIMESTAMP, deadline TIMESTAMP"
+
+
+def _partial_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        batch["n_handled"] = batch["request_status"] == HANDLED
+        batch["n_failed"] = batch["request_status"] == FAILED
+        yield batch.groupby("response_id", as_index=False).agg(
+            {"n_handled": "sum", "n_failed": "sum", "loaded_at": "max", "deadline": "max"}
+        )
+
+
 def _count_until_complete(
     key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
 ) -> Iterator[pd.DataFrame]:
@@ -93,11 +105,12 @@ def _count_until_complete(
         yield row(handled, failed, False)
         return
     expected, handled, failed = state.get if state.exists else (0, 0, 0)
+    deadline = 0
     for batch in batches:
         expected = int(batch["expected"].iloc[0])
-        handled += int((batch["request_status"] == HANDLED).sum())
-        failed += int((batch["request_status"] == FAILED).sum())
-        deadline = int(batch["deadline"].max().timestamp() * 1000)
+        handled += int(batch["n_handled"].sum())
+        failed += int(batch["n_failed"].sum())
+        deadline = max(deadline, int(batch["deadline"].max().timestamp() * 1000))
     if handled + failed >= expected:
         if state.exists:
             state.remove()
@@ -111,11 +124,14 @@ def early_completion(outcomes: DataFrame, expected: DataFrame, delay: str = "10
     """Responses as soon as their last result is in, or at their deadline.
 
     ``outcomes`` has response_id, request_status, loaded_at and deadline,
-    ``expected`` the number of results each response waits for.  The state is
-    three counters per response.
+    ``expected`` the number of results each response waits for.  Outcomes are
+    counted per response before they move, so one response with very many of
+    them sends a row per batch; the state is three counters per response.
     """
     return (
-        outcomes.withWatermark("loaded_at", delay)
+        outcomes.select("response_id", "request_status", "loaded_at", "deadline")
+        .mapInPandas(_partial_counts, PARTIAL)
+        .withWatermark("loaded_at", delay)
         .join(expected.select("response_id", "expected"), "response_id")
         .groupBy("response_id")
         .applyInPandasWithState(
