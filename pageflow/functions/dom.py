@@ -125,8 +125,10 @@ class _Events:
                 self._end(end_tag.lower())
             elif tag:
                 tag = tag.lower()
-                pairs = reversed(_ATTRIBUTE.findall(attrs)) if attrs and not attrs.isspace() else ()
-                self._start(tag, {n.lower(): unescape(a or b or c) for n, a, b, c in pairs}, attrs)
+                values = {}
+                for name, a, b, c in _ATTRIBUTE.findall(attrs) if attrs else ():
+                    values.setdefault(name.lower(), unescape(a or b or c))
+                self._start(tag, values, attrs)
                 if tag in RAW:
                     close = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
                     stop = close.start() if close else len(html)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pageflow.functions.bind import bind
-from pageflow.functions.selectors import text_of
+from pageflow.functions.dom import BLOCK
 
 # Markers that stand for inline marks until blanks around them are settled.
 # HTML text cannot hold these control characters.
@@ -20,6 +20,7 @@ ESCAPED = r"([\\*`\[\]_])"
 ESCAPED_START = r"^(#{1,6} |>|-|\+ |=+|~~~)"
 ESCAPED_NUMBER = r"^(\d+)\. "
 FENCE = "```"
+BLANKS = r"[ \t\r\n\f]+"
 
 
 def body_events(events: Column) -> Column:
@@ -61,15 +62,16 @@ def to_html(events: Column) -> Column:
     )
 
 
-def _inline(event: Column, gfm: Column) -> Column:
+def _inline(event: Column, all_events: Column, gfm: Column) -> Column:
     """What one event contributes to the Markdown of its block."""
     attrs, tag, kind = event["attrs"], event["tag"], event["kind"]
+    in_code = F.get(all_events, event["parent"])["tag"] == "code"
     clean = F.translate(event["text"], MARKERS, "")
     piece = F.when(
         kind == "text",
-        F.when(event["pre"], clean).otherwise(
-            F.regexp_replace(F.regexp_replace(clean, r"[ \t\r\n\f]+", " "), ESCAPED, r"\\$1")
-        ),
+        F.when(event["pre"], clean)
+        .when(in_code, F.regexp_replace(clean, BLANKS, " "))
+        .otherwise(F.regexp_replace(F.regexp_replace(clean, BLANKS, " "), ESCAPED, r"\\$1")),
     )
     for tags, (start, end) in MARK_TAGS:
         shown = tag.isin(*tags) & ~event["pre"]
@@ -85,10 +87,26 @@ def _inline(event: Column, gfm: Column) -> Column:
               F.concat(F.lit("!["), F.coalesce(attrs["alt"], F.lit("")), F.lit("]("), attrs["src"], F.lit(")")))
         .when((tag == "input") & (attrs["type"] == "checkbox") & gfm,
               F.when(attrs["checked"].isNotNull(), F.lit("[x] ")).otherwise(F.lit("[ ] ")))
+        .when(_inner_block(event), F.lit(" "))
         .otherwise(F.lit(""))
     )
 
 
+def _inner_block(event: Column) -> Column:
+    """Blocks inside a table cell part its words but do not end its line."""
+    return event["tag"].isin(*sorted(BLOCK)) & ~event["edge"]
+
+
+def _plain(run: Column) -> Column:
+    pieces = F.transform(
+        run,
+        lambda e: F.when(e["kind"] == "text", e["text"])
+        .when((e["tag"] == "br") | _inner_block(e), F.lit(" "))
+        .otherwise(F.lit("")),
+    )
+    return F.trim(F.regexp_replace(F.array_join(pieces, ""), BLANKS, " "))
+
+
 def _settle(text: Column) -> Column:
     """Move blanks out of marks, drop empty marks, trim, then write the marks."""
     pairs = (STRONG, EM, STRIKE)
@@ -109,9 +127,6 @@ def _settle(text: Column) -> Column:
     return F.replace(text, F.lit(BREAK), F.lit("  \n"))
 
 
-BLANKS = r"[ \t\r\n\f]+"
-
-
 def _block(events: Column, all_events: Column, start: Column, end: Column, gfm: Column) -> Column:
     """One block: the run of kept events from ``start`` up to ``end``."""
     at = lambda ident: F.get(all_events, ident)
@@ -141,9 +156,9 @@ def _block(events: Column, all_events: Column, start: Column, end: Column, gfm:
             first["quotes"].alias("quotes"),
             holder["number"].alias("cell_no"),
             at(holder["parent"])["number"].alias("row_no"),
-            F.array_join(F.transform(run, lambda e: _inline(e, gfm)), "").alias("inline"),
-            F.trim(F.regexp_replace(text_of(run), BLANKS, " ")).alias("text"),
-            F.length(F.trim(F.regexp_replace(text_of(linked), BLANKS, " "))).alias("link_chars"),
+            F.array_join(F.transform(run, lambda e: _inline(e, all_events, gfm)), "").alias("inline"),
+            _plain(run).alias("text"),
+            F.length(_plain(linked)).alias("link_chars"),
             F.coalesce(F.get(F.filter(classes, lambda c: c != ""), F.lit(0)), F.lit("")).alias("language"),
         )
 

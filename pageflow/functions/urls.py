@@ -26,7 +26,7 @@ URI_KEPT = {
     "%7E": "~",
 }
 # Further characters that stay as they are in a path or query of a URL.
-PATH_KEPT = {"%26": "&", "%5B": "[", "%5D": "]", "%7C": "|", "%5E": "^", "%2B": "+"}
+PATH_KEPT = {"%23": "#", "%26": "&", "%5B": "[", "%5D": "]", "%7C": "|", "%5E": "^", "%2B": "+"}
 
 _PARTS = (
     r"^(?i)(https?):[/\\]*"  # 1 scheme
@@ -139,15 +139,13 @@ def http_url(col: Column) -> Column:
 def interpret_as_url(col: Column) -> Column:
     """The URL a request string stands for, raw or percent-encoded up to twice."""
 
-    def tried(c: Column) -> Column:
-        return F.coalesce(
-            http_url(c),
-            bind(decode_component(c), lambda once: F.coalesce(
-                http_url(once), bind(decode_component(once), http_url))),
-        )
-
+    once = decode_component(col)
+    tries = F.array(col, once, bind(once, decode_component))
+    first = F.aggregate(
+        tries, F.lit(None).cast("string"), lambda found, text: F.coalesce(found, http_url(text))
+    )
     # a string with neither a colon nor an escape is a phrase
-    return F.when(col.rlike("[:%]"), bind(col, tried))
+    return F.when(col.rlike("[:%]"), first)
 
 
 def host_of(col: Column) -> Column:

@@ -112,25 +112,34 @@ def main_element(page_blocks: Column, events: Column) -> Column:
     return bind(scored, best)
 
 
-def readable_html(kept: Column, events: Column, title: Column, page_blocks: Column, threshold: int) -> Column:
-    """Main content under its title, NULL when it is shorter than the threshold."""
+def _main_content(kept: Column, events: Column, title: Column, settings: S.ContentSettings) -> Column:
+    """Main content under its title as HTML and Markdown; NULL when too short.
 
-    def taken(element: Column) -> Column:
-        inner = F.filter(
-            kept, lambda e: (e["id"] >= element) & (e["id"] <= F.get(events, element)["last"])
-        )
+    Too short means shorter than the threshold; such pages are used whole.
+    """
+    threshold, wants_markdown = settings.readable_char_threshold, "markdown" in settings.output_formats
 
-        def judged(main: Column) -> Column:
-            heading = F.when(title != "", F.concat(F.lit("<h1>"), title, F.lit("</h1>"))).otherwise("")
-            long_enough = F.length(native.tidy(css.text_of(main))) >= threshold
-            return F.when(
-                long_enough, F.concat(F.lit("<div>"), heading, render.to_html(main), F.lit("</div>"))
-            )
+    def written(main: Column) -> Column:
+        heading = F.when(title != "", F.concat(F.lit("<h1>"), _escaped(title), F.lit("</h1>"))).otherwise("")
+        html = F.concat(F.lit("<div>"), heading, render.to_html(main), F.lit("</div>"))
+
+        def with_markdown(done: Column) -> Column:
+            top = F.nullif(F.concat(F.lit("# "), render.escaped_line(title)), F.lit("# "))
+            gfm = F.length(done) <= settings.max_gfm_chars
+            markdown = _joined_markdown(top, main, events, gfm) if wants_markdown else F.lit(None).cast("string")
+            return F.struct(done.alias("processed_html"), markdown.alias("markdown"))
 
-        return bind(inner, judged)
+        long_enough = F.length(native.tidy(css.text_of(main))) >= threshold
+        return F.when(long_enough, bind(html, with_markdown))
 
-    return F.when(
-        F.size(page_blocks) > 0, bind(main_element(page_blocks, events), lambda m: F.when(m.isNotNull(), taken(m)))
+    def taken(element: Column) -> Column:
+        last = F.get(events, element)["last"]
+        inner = F.filter(kept, lambda e: (e["id"] >= element) & (e["id"] <= last))
+        return F.when(element.isNotNull(), bind(inner, written))
+
+    return bind(
+        render.blocks(kept, events, F.lit(True)),
+        lambda b: F.when(F.size(b) > 0, bind(main_element(b, events), taken)),
     )
 
 
@@ -152,43 +161,35 @@ def with_content(df: DataFrame, settings: S.ContentSettings = S.ContentSettings(
     """
     events = F.col("_events")
     formats = settings.output_formats
-    readable = settings.html_transformer == "readableText"
 
-    def made(title: Column, kept: Column) -> Column:
+    def whole(title: Column, kept: Column) -> Column:
         document = native.simplified_document(_escaped(title), render.to_html(kept), F.col("html"))
-        if readable:
-            main = bind(
-                render.blocks(kept, events, F.lit(True)),
-                lambda b: readable_html(kept, events, _escaped(title), b, settings.readable_char_threshold),
-            )
-            return F.struct(F.coalesce(main, document).alias("processed_html"))
-        if "markdown" not in formats:
-            return F.struct(document.alias("processed_html"))
 
         def with_markdown(done: Column) -> Column:
-            gfm = F.length(done) <= settings.max_gfm_chars
-            markdown = _joined_markdown(render.escaped_line(title), kept, events, gfm)
+            markdown = F.lit(None).cast("string")
+            if "markdown" in formats:
+                gfm = F.length(done) <= settings.max_gfm_chars
+                markdown = _joined_markdown(render.escaped_line(title), kept, events, gfm)
             return F.struct(done.alias("processed_html"), markdown.alias("markdown"))
 
         return bind(document, with_markdown)
 
+    def made(title: Column, kept: Column) -> Column:
+        if settings.html_transformer == "readableText":
+            return F.coalesce(_main_content(kept, events, title, settings), whole(title, kept))
+        return whole(title, kept)
+
     kept = css.without(render.body_events(events), settings.remove_selector)
     done = bind(_title_of(events), lambda title: bind(kept, lambda k: made(title, k)))
     df = df.withColumn("_events", html_events(F.col("html"))).withColumn("_made", done)
     df = df.withColumn("processed_html", F.col("_made.processed_html"))
-    if "markdown" in formats and not readable:
+    if "markdown" in formats:
         df = df.withColumn("markdown", F.nullif(F.col("_made.markdown"), F.lit("")))
-    elif "markdown" in formats:
-        # the main content is new HTML, walked once more
-        main = F.col("_main")
-        gfm = F.length("processed_html") <= settings.max_gfm_chars
-        markdown = bind(render.body_events(main), lambda k: _joined_markdown(F.lit(""), k, main, gfm))
-        df = df.withColumn("_main", html_events(F.col("processed_html"))).withColumn("markdown", markdown)
     if "text" in formats:
         df = df.withColumn("text", text_or_raw(F.col("processed_html"), settings.max_html_chars))
     if "html" in formats:
         df = df.withColumn("html_out", F.col("processed_html"))
-    return df.drop("_events", "_made", "_main")
+    return df.drop("_events", "_made")
 
 
 def blocks_table(df: DataFrame, key: str, settings: S.ContentSettings = S.ContentSettings()) -> DataFrame:
