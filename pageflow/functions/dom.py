@@ -18,6 +18,7 @@ of an ordered list, rows of a table and cells of a row.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -60,6 +61,10 @@ _MARKUP = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
+# Pages whose events are built at a time: events take several times the page's
+# size, and a page may have more than a million characters.
+PART = 32
+
 EVENT = pa.struct(
     [
         ("kind", pa.string()),
@@ -264,6 +269,12 @@ def _events(batch: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), flat)
 
 
+def _events_in_parts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        for start in range(0, len(batch), PART):
+            yield _events(batch.slice(start, PART))
+
+
 def html_events(html: Column) -> Column:
     """Events of a page's tree, in document order."""
-    return F.arrow_udf(_events, EVENTS_TYPE)(html)
+    return F.arrow_udf(_events_in_parts, EVENTS_TYPE)(html)

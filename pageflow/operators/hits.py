@@ -83,7 +83,7 @@ def paginate(hits: DataFrame, searches: DataFrame) -> tuple[DataFrame, DataFrame
     return final.drop("total_pages", "first_empty", "max_results"), pages_read
 
 
-def page_requests(final: DataFrame) -> DataFrame:
+def page_requests(final: DataFrame, *carried: str) -> DataFrame:
     """One page request per ranked hit; keeps the hit only if it is complete."""
     hit = F.struct("title", "description", "url", F.col("rank").cast("bigint").alias("rank"), "result_type")
     response_id = stable_id(F.lit("response"), F.col("query_id"))
@@ -93,6 +93,7 @@ def page_requests(final: DataFrame) -> DataFrame:
         stable_id(F.lit("page"), F.col("query_id"), F.col("title"), F.col("url")).alias("unique_key"),
         "url",
         F.when(F.col("url").isNotNull() & F.col("title").isNotNull(), hit).alias("search_result"),
+        *carried,
     )
 
 

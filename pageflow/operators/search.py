@@ -49,12 +49,16 @@ def _counts(terms: Column) -> Column:
 
 
 def build_index(corpus: DataFrame) -> DataFrame:
-    """Index rows (doc_id, host, doc_length, postings) of (doc_id, host, text)."""
+    """Index rows (doc_id, host, doc_length, postings) of (doc_id, host, text).
+
+    Further columns of the corpus, such as url and title, stay in the index.
+    """
     described = bind(
         terms_of(F.col("text")),
         lambda terms: F.struct(F.size(terms).alias("doc_length"), _counts(terms).alias("postings")),
     )
-    return corpus.select("doc_id", "host", described.alias("d")).select("doc_id", "host", "d.*")
+    kept = [c for c in corpus.columns if c != "text"]
+    return corpus.select(*kept, described.alias("d")).select(*kept, "d.*")
 
 
 def phrase_terms(phrases: DataFrame) -> DataFrame:

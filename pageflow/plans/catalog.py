@@ -9,6 +9,7 @@ from pageflow import schemas, settings as S
 from pageflow.functions import text as native, urls
 from pageflow.operators import content, context, hits, latency, requests, responses, search, serp
 from pageflow.plans import standins as T
+from pageflow.plans.retrieval import retrieve
 from pageflow.sources.shared import fresh_path, only_wanted, staged
 from pageflow.sources.tables import append_results, read_results, read_stream, read_table
 from pageflow.streaming import jobs
@@ -458,6 +459,22 @@ def answer_phrases(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def retrieve_results(spark: SparkSession, root: str) -> DataFrame:
+    """Requests of both kinds to their ranked results."""
+    found = retrieve(T.typed_requests(spark, root), T.fetched(spark, root), T.page_index(spark, root), TEXT_ONLY)
+    return found.select(
+        "request_id",
+        "rank",
+        _long("position").alias("position"),
+        "url",
+        "request_status",
+        _long("http_status_code").alias("http_status_code"),
+        "http_status_message",
+        "title",
+        F.md5("text").alias("text_md5"),
+    )
+
+
 # -- streams ----------------------------------------------------------------
 
 
@@ -535,7 +552,7 @@ QUERIES = {
         results_with_content, result_preview, response_merge, response_deadline, response_complete, response_status,
         cancel_expired, response_sorted, response_json, result_messages, run_stats,
         stage_deltas, stage_relative, stage_latency_avg, request_time_taken,
-        context_pack, context_request, answer_phrases,
+        context_pack, context_request, answer_phrases, retrieve_results,
         stream_extract, stream_response_deadline, stream_response_early, stream_last_outcome,
     )
 }

@@ -513,3 +513,14 @@ ORACLES["answer_phrases"] = f"""WITH {PHRASES}, {PAGE_CORPUS}, {BM25}, {_MARKDOW
     FROM best JOIN markdown ON page_id = doc_id WHERE rank <= 3)
     SELECT query_id, count(*) AS n_results, string_agg(part, chr(10) ORDER BY rank) AS context
     FROM parts GROUP BY query_id"""
+ORACLES["retrieve_results"] = f"""WITH {PHRASES}, {PAGE_CORPUS}, {BM25}, {FETCHED}, wanted_pages AS (
+    SELECT page_id AS request_id, page_id, NULL::BIGINT AS rank, 1 AS place FROM pages
+    UNION ALL SELECT -query_id - 1, doc_id, rank, rank FROM best WHERE rank <= greatest(1, query_id % 5))
+    SELECT request_id, rank, place AS position, f.url,
+      CASE WHEN error IS NULL AND readable THEN 'handled' ELSE 'failed' END AS request_status,
+      CASE WHEN error IS NOT NULL THEN 500 ELSE status END AS http_status_code,
+      CASE WHEN error IS NOT NULL THEN error WHEN NOT readable THEN 'Couldn''t parse the content' ELSE 'OK' END
+        AS http_status_message,
+      CASE WHEN error IS NOT NULL THEN '' WHEN readable THEN title END AS title,
+      md5(CASE WHEN error IS NULL AND readable THEN {_layout("body")} ELSE '' END) AS text_md5
+    FROM wanted_pages JOIN fetched f USING (page_id) JOIN clean c ON c.page_id = f.page_id"""

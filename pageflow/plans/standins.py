@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pageflow import settings as S
 from pageflow.functions import text as native, urls
+from pageflow.operators.requests import parse_parameters, validate
 from pageflow.operators.search import build_index
 from pageflow.sources.shared import fresh_path, staged
 from pageflow.sources.tables import normalised_timestamps, read_table, spread
@@ -53,6 +54,19 @@ def request_strings(spark: SparkSession, root: str) -> DataFrame:
     return addresses.unionByName(spoken)
 
 
+def typed_requests(spark: SparkSession, root: str) -> DataFrame:
+    """Checked requests: every page by its encoded address, and every phrase."""
+    direct = pages(spark, root).select(
+        F.col("page_id").alias("request_id"), F.concat(F.lit("?outputFormats=text&query="), F.url_encode(F.url_encode("url"))).alias("raw")
+    )
+    n = F.col("query_id")
+    asked = phrases(spark, root).select(
+        (-n - 1).alias("request_id"),
+        F.concat(F.lit("?outputFormats=text&maxResults="), n % 5, F.lit("&query="), F.url_encode("phrase")).alias("raw"),
+    )
+    return validate(parse_parameters(direct.unionByName(asked)))
+
+
 def query_strings(spark: SparkSession, root: str) -> DataFrame:
     """(request_id, raw): URL query strings with good and bad parameters."""
     asked = phrases(spark, root)
@@ -212,11 +226,13 @@ def serp_pages(spark: SparkSession, root: str) -> DataFrame:
 
 
 def page_corpus(spark: SparkSession, root: str) -> DataFrame:
-    """(doc_id, host, text) of the pages, by built-in functions only."""
+    """(doc_id, host, url, title, text) of the pages, by built-in functions only."""
     body = native.remove_tags(native.body_of(F.col("html")), native.REMOVED_TAGS)
     return pages(spark, root).select(
         F.col("page_id").alias("doc_id"),
         urls.host_of(F.col("url")).alias("host"),
+        urls.http_url(F.col("url")).alias("url"),
+        native.page_title(F.col("html")).alias("title"),
         F.concat_ws(" ", native.page_title(F.col("html")), native.layout(body)).alias("text"),
     )
 
