@@ -99,15 +99,99 @@ def matching(events: Column, selector: str) -> Column:
     return F.filter(events, matched)
 
 
+# -- selectors that come as data ---------------------------------------------
+
+# Fixed patterns: what a selector in a column may consist of.  Combinators are
+# left to selectors known when the plan is made.
+_COMPOUND = r"^(?:[a-zA-Z][\w-]*|\*)?(?:\.[\w-]+|#[\w-]+|\[[^\]]*\])*$"
+_ATTRIBUTE = r"""^\s*([\w-]+)\s*(?:([\^*$~]?=)\s*["']?(.*?)["']?\s*(\s[iI])?\s*)?$"""
+
+
+def _alternatives(selector: Column) -> Column:
+    parts = F.split(selector, "," + _OUTSIDE_BRACKETS)
+    return F.transform(parts, lambda p: F.trim(p))
+
+
+def is_supported(selector: Column) -> Column:
+    """Whether a selector in a column is a list of compounds."""
+    return F.forall(_alternatives(selector), lambda a: (a != "") & a.rlike(_COMPOUND))
+
+
+def _compiled(selector: Column) -> Column:
+    def attribute(text: Column) -> Column:
+        part = lambda i: F.regexp_extract(text, _ATTRIBUTE, i)
+        flagged = part(4) != ""
+        return F.struct(
+            F.lower(part(1)).alias("name"),
+            part(2).alias("op"),
+            F.when(flagged, F.lower(part(3))).otherwise(part(3)).alias("want"),
+            flagged.alias("flagged"),
+        )
+
+    def compound(text: Column) -> Column:
+        outside = F.regexp_replace(text, r"\[[^\]]*\]", "")
+        return F.struct(
+            F.lower(F.regexp_extract(text, r"^([a-zA-Z][\w-]*)", 1)).alias("tag"),
+            F.regexp_extract_all(outside, F.lit(r"\.([\w-]+)"), F.lit(1)).alias("classes"),
+            F.regexp_extract(outside, r"#([\w-]+)", 1).alias("ident"),
+            F.transform(F.regexp_extract_all(text, F.lit(r"\[([^\]]*)\]"), F.lit(1)), attribute).alias("attrs"),
+        )
+
+    return F.transform(_alternatives(selector), compound)
+
+
+def matching_column(events: Column, selector: Column) -> Column:
+    """``matching`` for a selector that differs from row to row."""
+
+    def attribute_fits(event: Column, test: Column) -> Column:
+        raw = event["attrs"][test["name"]]
+        have = F.when(test["flagged"], F.lower(raw)).otherwise(raw)
+        op, want = test["op"], test["want"]
+        some = want != ""
+        return F.coalesce(
+            F.when(op == "", have.isNotNull())
+            .when(op == "=", have == want)
+            .when(op == "~=", some & F.contains(F.concat(F.lit(" "), have, F.lit(" ")), F.concat(F.lit(" "), want, F.lit(" "))))
+            .when(op == "^=", some & F.startswith(have, want))
+            .when(op == "$=", some & F.endswith(have, want))
+            .otherwise(some & F.contains(have, want)),
+            F.lit(False),
+        )
+
+    def fits(event: Column, c: Column) -> Column:
+        classes = F.concat(F.lit(" "), F.coalesce(event["attrs"]["class"], F.lit("")), F.lit(" "))
+        return (
+            ((c["tag"] == "") | (c["tag"] == event["tag"]))
+            & ((c["ident"] == "") | F.coalesce(event["attrs"]["id"] == c["ident"], F.lit(False)))
+            & F.forall(c["classes"], lambda k: F.contains(classes, F.concat(F.lit(" "), k, F.lit(" "))))
+            & F.forall(c["attrs"], lambda a: attribute_fits(event, a))
+        )
+
+    return bind(
+        _compiled(selector),
+        lambda cs: F.filter(
+            events, lambda e: e["kind"].isin("open", "void") & F.exists(cs, lambda c: fits(e, c))
+        ),
+    )
+
+
 def covers(element: Column, event: Column) -> Column:
     return (element["id"] <= event["id"]) & (event["id"] <= element["last"])
 
 
+def _outside(events: Column, found: Column) -> Column:
+    return bind(found, lambda ms: F.filter(events, lambda e: ~F.exists(ms, lambda m: covers(m, e))))
+
+
 def without(events: Column, selector: str) -> Column:
     """Events outside the elements a selector matches."""
-    return bind(
-        matching(events, selector),
-        lambda found: F.filter(events, lambda e: ~F.exists(found, lambda m: covers(m, e))),
+    return _outside(events, matching(events, selector))
+
+
+def without_column(events: Column, selector: Column, usual: str) -> Column:
+    """``without`` by a selector column; ``usual`` is the one most rows have."""
+    return F.when(selector == usual, without(events, usual)).otherwise(
+        _outside(events, matching_column(events, selector))
     )
 
 

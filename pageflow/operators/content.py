@@ -112,12 +112,14 @@ def main_element(page_blocks: Column, events: Column) -> Column:
     return bind(scored, best)
 
 
-def _main_content(kept: Column, events: Column, title: Column, settings: S.ContentSettings) -> Column:
+def _main_content(
+    kept: Column, events: Column, title: Column, threshold: Column, settings: S.ContentSettings
+) -> Column:
     """Main content under its title as HTML and Markdown; NULL when too short.
 
     Too short means shorter than the threshold; such pages are used whole.
     """
-    threshold, wants_markdown = settings.readable_char_threshold, "markdown" in settings.output_formats
+    wants_markdown = "markdown" in settings.output_formats
 
     def written(main: Column) -> Column:
         heading = F.when(title != "", F.concat(F.lit("<h1>"), _escaped(title), F.lit("</h1>"))).otherwise("")
@@ -153,14 +155,27 @@ def _joined_markdown(lead: Column, kept: Column, events: Column, gfm: Column) ->
     return F.array_join(parts, "\n\n")
 
 
+ROW_SETTINGS = ("remove_elements_css_selector", "html_transformer", "readable_char_threshold")
+
+
 def with_content(df: DataFrame, settings: S.ContentSettings = S.ContentSettings()) -> DataFrame:
     """Add ``processed_html`` and the requested of ``text``, ``markdown``, ``html_out``.
 
     One tree walk per page; formats nobody asked for are not computed.  An
-    unsupported selector raises here, before the job starts.
+    unsupported selector raises here, before the job starts.  Rows may bring
+    settings of their own in the columns of ``ROW_SETTINGS``; a selector there
+    is a list of compounds, and rows whose selector is none come out NULL.
     """
     events = F.col("_events")
     formats = settings.output_formats
+    selector, transformer, threshold = (
+        F.coalesce(F.col(c), F.lit(usual)) if c in df.columns else None
+        for c, usual in zip(
+            ROW_SETTINGS, (settings.remove_selector, settings.html_transformer, settings.readable_char_threshold)
+        )
+    )
+    if threshold is None:
+        threshold = F.lit(settings.readable_char_threshold)
 
     def whole(title: Column, kept: Column) -> Column:
         document = native.simplified_document(_escaped(title), render.to_html(kept), F.col("html"))
@@ -175,12 +190,23 @@ def with_content(df: DataFrame, settings: S.ContentSettings = S.ContentSettings(
         return bind(document, with_markdown)
 
     def made(title: Column, kept: Column) -> Column:
-        if settings.html_transformer == "readableText":
-            return F.coalesce(_main_content(kept, events, title, settings), whole(title, kept))
-        return whole(title, kept)
-
-    kept = css.without(render.body_events(events), settings.remove_selector)
-    done = bind(_title_of(events), lambda title: bind(kept, lambda k: made(title, k)))
+        if transformer is None and settings.html_transformer != "readableText":
+            return whole(title, kept)
+        main = _main_content(kept, events, title, threshold, settings)
+        if transformer is not None:
+            main = F.when(transformer == "readableText", main)
+        return F.coalesce(main, whole(title, kept))
+
+    def removed(body: Column) -> Column:
+        if selector is None:
+            return css.without(body, settings.remove_selector)
+        known = (selector == settings.remove_selector) | css.is_supported(selector)
+        return F.when(known, css.without_column(body, selector, settings.remove_selector))
+
+    kept = bind(render.body_events(events), removed)
+    done = bind(
+        _title_of(events), lambda title: bind(kept, lambda k: F.when(k.isNotNull(), made(title, k)))
+    )
     df = df.withColumn("_events", html_events(F.col("html"))).withColumn("_made", done)
     df = df.withColumn("processed_html", F.col("_made.processed_html"))
     if "markdown" in formats:
@@ -195,7 +221,7 @@ def with_content(df: DataFrame, settings: S.ContentSettings = S.ContentSettings(
 def blocks_table(df: DataFrame, key: str, settings: S.ContentSettings = S.ContentSettings()) -> DataFrame:
     """One row per block of each page, with its weight as prose."""
     events = F.col("_events")
-    kept = css.without(render.body_events(events), settings.remove_selector)
+    kept = bind(render.body_events(events), lambda body: css.without(body, settings.remove_selector))
     found = bind(kept, lambda k: render.blocks(k, events, F.lit(True)))
     return (
         df.withColumn("_events", html_events(F.col("html")))

@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from pageflow import schemas, settings as S
 from pageflow.functions import urls
+from pageflow.functions.selectors import is_supported
 from pageflow.operators import content, hits, responses
 from pageflow.operators.requests import route, stable_id
 from pageflow.operators.search import search
-from pageflow.sources.shared import only_wanted, staged
+from pageflow.sources.shared import broadcast_if_small, staged
+
+CARRIED = ("query", "output_formats", *content.ROW_SETTINGS)
+MAX_BROADCAST_PAGES = 1_000_000
 
 
 def plan_pages(requests: DataFrame, index: DataFrame, search_settings: S.SearchSettings) -> DataFrame:
@@ -26,8 +30,8 @@ def plan_pages(requests: DataFrame, index: DataFrame, search_settings: S.SearchS
         response_id.alias("response_id"),
         stable_id(F.lit("page"), F.col("request_id"), F.col("target")).alias("unique_key"),
         F.col("target").alias("query"),
+        *CARRIED[1:],
         F.col("target").alias("url"),
-        "output_formats",
         F.lit(None).cast("bigint").alias("rank"),
         F.lit(None).cast(schemas.SEARCH_RESULT).alias("search_result"),
     )
@@ -48,15 +52,16 @@ def plan_pages(requests: DataFrame, index: DataFrame, search_settings: S.SearchS
         F.lit("ORGANIC").alias("result_type"),
     )
     unique = hits.deduplicate(hits.valid_results(listed), "query_id")
-    limits = asked.select(F.col("request_id").alias("query_id"), "max_results", F.col("target").alias("query"), "output_formats")
+    limits = asked.select(
+        F.col("request_id").alias("query_id"), "max_results", F.col("target").alias("query"), *CARRIED[1:]
+    )
     best = hits.ranked(unique.join(limits, "query_id"), F.col("max_results"))
-    by_search = hits.page_requests(best, "query", "output_formats").select(
+    by_search = hits.page_requests(best, *CARRIED).select(
         F.col("query_id").alias("request_id"),
         "response_id",
         "unique_key",
-        "query",
+        *CARRIED,
         "url",
-        "output_formats",
         F.col("search_result.rank").alias("rank"),
         "search_result",
     )
@@ -75,30 +80,42 @@ def retrieve(
     ``requests`` went through ``validate``; ``fetched`` holds one row per URL
     (url, loaded_url, status, content_type, error, html, loaded_at); ``index``
     is a stored ``build_index`` table with url and title.  A page is processed
-    once, however many requests ask for it, and formats are cut per request.
+    once per selector and transformer, however many requests ask for it;
+    ``content_settings`` names the formats made, of which each request gets its own.
     A page nobody fetched leaves its request pending, which fails at the end.
     """
-    planned = staged(plan_pages(requests, index, search_settings), "page-requests")
+    job_key = stable_id(F.col("url"), *[F.col(c).cast("string") for c in content.ROW_SETTINGS])
+    planned = staged(
+        plan_pages(requests, index, search_settings).withColumn("job_key", job_key), "page-requests"
+    )
+    # one job per page and set of settings, however many requests share it
+    jobs = staged(planned.select("job_key", "url", *content.ROW_SETTINGS).distinct(), "page-jobs")
     pages = fetched.withColumn("url", urls.http_url(F.col("url")))
-    wanted = only_wanted(pages, planned, "url")
+    wanted = pages.join(broadcast_if_small(jobs, MAX_BROADCAST_PAGES), "url")
+    selector = F.col("remove_elements_css_selector")
+    unusable = F.when(
+        ~is_supported(selector) & (selector != content_settings.remove_selector),
+        F.concat(F.lit("unsupported selector: "), selector),
+    )
     none = lambda kind: F.lit(None).cast(kind)
     # records of pages, before it is known who asked
     bare = wanted.select(
         F.lit("any").alias("response_id"),
-        F.lit("").alias("unique_key"),
+        F.col("job_key").alias("unique_key"),
         none("string").alias("query"),
         none("timestamp").alias("created_at"),
         none(schemas.SEARCH_RESULT).alias("search_result"),
-        "url", "loaded_url", "status", "content_type", "error", "loaded_at", "html",
+        F.coalesce("error", unusable).alias("error"),
+        "url", "loaded_url", "status", "content_type", "loaded_at", "html", *content.ROW_SETTINGS,
     )
     records = content.all_records(
         bare, lambda df: content.with_content(content.with_metadata(df), content_settings)
     ).select(
-        F.col("metadata.url").alias("url"),
+        F.col("unique_key").alias("job_key"),
         "text", "html", "markdown", "metadata",
         "crawl.http_status_code", "crawl.http_status_message", "crawl.request_status", "crawl.loaded_at",
     )
-    merged = planned.join(records, "url", "left")
+    merged = planned.join(records, "job_key", "left")
     asked = lambda name: F.when(F.array_contains("output_formats", name), F.col(name))
     handled = F.col("request_status") == S.HANDLED
     closed = responses.close(
@@ -112,4 +129,4 @@ def retrieve(
             }
         )
     )
-    return responses.sort_by_rank(closed).drop("metadata", "output_formats")
+    return responses.sort_by_rank(closed).drop("metadata", "job_key", *CARRIED[1:])

@@ -105,6 +105,31 @@ def test_selectors(spark):
     assert {s: n for (s, _), n in zip(SELECTED, counts.first())} == dict(SELECTED) | {"*": counts.first()[1]}
 
 
+def test_selectors_in_a_column_agree_with_constant_ones(spark):
+    usable = [s for s, _ in SELECTED if " p" not in s and ">" not in s and "section" not in s] + [S.DEFAULT_REMOVE_SELECTOR]
+    table = spark.createDataFrame([(s, SAMPLE) for s in usable], "s string, h string")
+    events = table.withColumn("e", html_events(F.col("h")))
+    got = events.select("s", F.size(css.matching_column(F.col("e"), F.col("s"))).alias("n"), css.is_supported(F.col("s")).alias("ok"))
+    rows = {r.s: r for r in got.collect()}
+    assert all(r.ok for r in rows.values())
+    constant = events.limit(1).select(*[F.size(css.matching(F.col("e"), s)).alias(str(i)) for i, s in enumerate(usable)]).first()
+    assert {s: rows[s].n for s in usable} == dict(zip(usable, constant))
+
+
+def test_settings_per_row(spark):
+    page = "<body><h1>T</h1><p class='x y'>a</p><p id=i>b</p><nav>n</nav></body>"
+    columns = "n int, html string, remove_elements_css_selector string, html_transformer string, readable_char_threshold bigint"
+    rows = [
+        (0, page, S.DEFAULT_REMOVE_SELECTOR, "none", 100), (1, page, ".x, nav", "none", 100), (2, page, "[id='i'], p.x.y", None, None),
+        (3, page, "p:hover", "none", 100), (4, ARTICLE, "ul", "readableText", 100), (5, ARTICLE, "ul", "readableText", 5000),
+        (6, page, None, "none", 100),
+    ]
+    got = content.with_content(spark.createDataFrame(rows, columns), ALL).orderBy("n").collect()
+    assert [r.text for r in got[:4]] == ["T\n\na\n\nb", "T\n\nb", "T\n\nn", None]
+    assert got[4].text.startswith("The first") and "note" not in got[4].text and "note" in got[5].text
+    assert got[6].text == got[0].text
+
+
 TREES = [
     ("<p>a<p>b", "<p>a</p><p>b</p>"),
     ("<ul><li>a<li>b</ul>", "<ul><li>a</li><li>b</li></ul>"),
