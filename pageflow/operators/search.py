@@ -62,14 +62,21 @@ def build_index(corpus: DataFrame) -> DataFrame:
 
 
 def phrase_terms(phrases: DataFrame) -> DataFrame:
-    """(query_id, site, term) of (query_id, phrase); ``site:`` is no term."""
-    site = F.lower(F.nullif(F.regexp_extract("phrase", SITE, 1), F.lit("")))
+    """(query_id, site, term) of (query_id, phrase); ``site:`` is no term, no site is ``''``."""
+    site = F.lower(F.regexp_extract("phrase", SITE, 1))
     words = F.regexp_replace("phrase", SITE, " ")
     return phrases.select(
         "query_id", site.alias("site"), F.explode(F.array_distinct(terms_of(words))).alias("term")
     )
 
 
+def _sites_of(host: Column) -> Column:
+    """What a ``site:`` may name to include a host: nothing, it, and its parents."""
+    labels = F.split(host, r"\.")
+    domains = F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels) - i), "."))
+    return F.array_distinct(F.concat(F.array(F.lit("")), F.coalesce(domains, F.array().cast("array<string>"))))
+
+
 def _weights(wanted: DataFrame, index: DataFrame, settings: SearchSettings) -> DataFrame:
     """Phrase terms with their inverse document frequency.
 
@@ -96,26 +103,23 @@ def search(phrases: DataFrame, index: DataFrame, settings: SearchSettings = Sear
     ``index`` should be a stored table: it is read for its size, for the
     document frequencies and for the scores.
     """
-    weights = broadcast_if_small(
-        staged(_weights(phrase_terms(phrases), index, settings), "weights"), settings.broadcast_rows
-    )
+    weights = staged(_weights(phrase_terms(phrases), index, settings), "weights")
     mean_length = index.agg(F.avg("doc_length")).scalar()
     tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    postings = index.repartition(tasks, "doc_id").select(
+    placed = index.repartition(tasks, "doc_id").withColumn("site", F.explode(_sites_of(F.col("host"))))
+    # a document stands under '' and each of its domains; drop those not asked for
+    sites = weights.select("site").distinct()
+    if sites.count() <= settings.broadcast_rows:
+        placed = placed.join(F.broadcast(sites), "site", "left_semi")
+    postings = placed.select(
         "doc_id",
-        "host",
+        "site",
         (settings.k1 * (1 - settings.b + settings.b * F.col("doc_length") / mean_length)).alias("norm"),
         F.explode("postings").alias("posting"),
-    ).select("doc_id", "host", "norm", "posting.*")
-    on_site = (
-        F.col("site").isNull()
-        | (F.col("host") == F.col("site"))
-        | F.endswith(F.col("host"), F.concat(F.lit("."), F.col("site")))
-    )
+    ).select("doc_id", "site", "norm", "posting.*")
     gain = F.col("idf") * F.col("tf") * (settings.k1 + 1) / (F.col("tf") + F.col("norm"))
     scored = (
-        postings.join(weights, "term")
-        .filter(on_site)
+        postings.join(broadcast_if_small(weights, settings.broadcast_rows), ["site", "term"])
         .groupBy("query_id", "doc_id")
         .agg(F.round(F.sum(gain), 6).alias("score"))
     )

@@ -22,7 +22,11 @@ def plan_pages(requests: DataFrame, index: DataFrame, search_settings: S.SearchS
 
     Works on narrow columns only; no page is read here.
     """
-    routed = route(requests.filter("error IS NULL"))
+    # read by both branches and joined again below
+    routed = staged(
+        route(requests.filter("error IS NULL")).select("request_id", "route", "target", "max_results", *CARRIED[1:]),
+        "routed",
+    )
     response_id = stable_id(F.lit("response"), F.col("request_id"))
 
     direct = routed.filter("route = 'url'").select(
