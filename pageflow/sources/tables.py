@@ -42,10 +42,14 @@ def read_stream(spark: SparkSession, root: str, name: str, schema: str) -> DataF
 
 
 def normalised_timestamps(df: DataFrame) -> DataFrame:
-    """Cast zone-less timestamps to instants, which watermarks need."""
+    """Zone-less timestamps as instants, read as UTC whatever the session's zone.
+
+    Watermarks take instants only.
+    """
     for field in df.schema.fields:
         if isinstance(field.dataType, T.TimestampNTZType):
-            df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
+            local = F.col(field.name).cast("timestamp")
+            df = df.withColumn(field.name, F.from_utc_timestamp(local, F.current_timezone()))
     return df
 
 

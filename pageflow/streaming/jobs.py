@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -13,17 +14,39 @@ from pageflow.settings import FAILED, HANDLED, MAX_TIMEOUT_SECS, MSG_TIMED_OUT
 from pageflow.sources.shared import fresh_path
 
 
+PARTITIONS = "spark.sql.shuffle.partitions"
+PARTITIONS_DEFAULT = "200"
+
+
+@contextmanager
+def _state_partitions(spark: SparkSession) -> Iterator[None]:
+    """State stores per core where the session does not name their number.
+
+    A stream keeps the number it starts with; the session gets its own back.
+    """
+    before = spark.conf.get(PARTITIONS)
+    cores = spark.sparkContext.defaultParallelism
+    named = spark.sparkContext.getConf().contains(PARTITIONS) or before != PARTITIONS_DEFAULT
+    if not named and cores < int(before):
+        spark.conf.set(PARTITIONS, cores)
+    try:
+        yield
+    finally:
+        spark.conf.set(PARTITIONS, before)
+
+
 def run_to_files(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over what is there now into files, and read them back."""
     spark = stream.sparkSession
     path = fresh_path(spark, name)
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", f"{path}/data")
-        .option("checkpointLocation", f"{path}/state")
-        .trigger(availableNow=True)
-        .start()
-    )
+    with _state_partitions(spark):
+        query = (
+            stream.writeStream.format("parquet")
+            .option("path", f"{path}/data")
+            .option("checkpointLocation", f"{path}/state")
+            .trigger(availableNow=True)
+            .start()
+        )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
 
