@@ -149,7 +149,7 @@ def search_page_plan(df: DataFrame, query: str = "query") -> DataFrame:
     df = df.withColumns(
         {
             "total_pages": total_pages(F.col("max_results")),
-            "_base": F.concat(scheme, F.lit("://www.google.com/search?q="), urls.encode_uri(F.col(query))),
+            "_base": F.concat(scheme, F.lit(S.SEARCH_ADDRESS), urls.encode_uri(F.col(query))),
         }
     )
     df = df.withColumn("page", F.explode(F.sequence(F.lit(0), F.col("total_pages") - 1)))

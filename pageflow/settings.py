@@ -64,7 +64,10 @@ MSG_TIMED_OUT = "Timed out."
 
 PENDING, HANDLED, FAILED = "pending", "handled", "failed"
 
-# Elements of a result page that hold one search result each.
+# ---------------------------------------------------------------------------
+# The search address and the selectors of a result page
+# ---------------------------------------------------------------------------
+SEARCH_ADDRESS = "://www.google.com/search?q="
 SERP_RESULT_SELECTORS = (
     ".hlcw0c",
     ".g.Ww4FFb",
