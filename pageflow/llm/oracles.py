@@ -79,3 +79,17 @@ SELECT s.doc_id, coalesce(len(s.lines), 0)::BIGINT AS n_lines, coalesce(length(s
   CASE WHEN s.text IS NOT NULL THEN md5(coalesce(k.text, '')) END AS kept_md5
 FROM split s LEFT JOIN kept k ON s.no = k.no
 """
+
+ORACLES["op7_warc_index"] = r"""
+WITH digests AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages
+), largest AS (
+  SELECT html, max(page_id) AS last FROM digests GROUP BY html
+)
+SELECT page_id, strlen(d.html)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + (('0x' || substr(sha, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT)::INT % 32, 1)), '') AS payload_digest,
+  CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < last THEN last END AS refers_to
+FROM digests d JOIN largest l ON d.html = l.html
+"""

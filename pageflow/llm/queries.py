@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageflow.llm import chat, lines, mixing
-from pageflow.sources.shared import staged
+from pageflow.llm import chat, lines, mixing, packing, quality, token_files, warc
+from pageflow.sources.shared import fresh_path, staged
 from pageflow.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,38 @@ def op9_site_lines(spark: SparkSession, root: str) -> DataFrame:
         F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("kept_chars"),
         F.md5("text").alias("kept_md5"),
     )
+
+
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@_query
+def op6_token_files(spark: SparkSession, root: str) -> DataFrame:
+    path = fresh_path(spark, "tokens")
+    token_files.write_token_files(
+        read_table(spark, root, "documents"), path, token_files.TokenFileSettings(_tokenizer())
+    )
+    return token_files.token_index(spark, path)
+
+
+@_query
+def op7_warc_index(spark: SparkSession, root: str) -> DataFrame:
+    index = warc.write_archives(read_table(spark, root, "pages"), fresh_path(spark, "warc"))
+    return warc.read_records(index).drop("url")
+
+
+@_query
+def op8_packing(spark: SparkSession, root: str) -> DataFrame:
+    return packing.pack(read_table(spark, root, "documents"), packing.PackSettings(_tokenizer()))
+
+
+@_query
+def op1_perplexity(spark: SparkSession, root: str) -> DataFrame:
+    docs = read_table(spark, root, "documents").select("doc_id", "text", "lang")
+    return quality.quality(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "lang", "log_perplexity",
+    )
