@@ -93,3 +93,23 @@ SELECT page_id, strlen(d.html)::BIGINT AS payload_bytes,
   CASE WHEN page_id < last THEN last END AS refers_to
 FROM digests d JOIN largest l ON d.html = l.html
 """
+
+ORACLES["op2_vector_graph"] = r"""
+WITH RECURSIVE units AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM units a JOIN units b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.9
+), counts AS (
+  SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+), reached AS (
+  SELECT vec_id, vec_id AS root FROM embeddings
+  UNION
+  SELECT l.b AS vec_id, r.root FROM reached r JOIN links l ON r.vec_id = l.a
+)
+SELECT e.vec_id, coalesce(any_value(c.n), 0)::BIGINT AS n_links, min(r.root)::BIGINT AS component_id,
+  e.vec_id = min(r.root) AS kept
+FROM embeddings e JOIN reached r USING (vec_id) LEFT JOIN counts c USING (vec_id) GROUP BY e.vec_id
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageflow.llm import chat, jaccard, lines, mixing, packing, quality, token_files, warc
+from pageflow.llm import chat, embeddings, jaccard, lines, mixing, packing, quality, token_files, warc
 from pageflow.sources.shared import fresh_path, staged
 from pageflow.sources.tables import read_table
 
@@ -106,3 +106,8 @@ def op1_perplexity(spark: SparkSession, root: str) -> DataFrame:
 def op10_jaccard(spark: SparkSession, root: str) -> DataFrame:
     found = jaccard.jaccard_components(read_table(spark, root, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@_query
+def op2_vector_graph(spark: SparkSession, root: str) -> DataFrame:
+    return embeddings.vector_links(read_table(spark, root, "embeddings"))
