@@ -1,9 +1,10 @@
-"""Texts in blocks, and which of a block's keys other documents have too.
+"""Texts in blocks, and which of a block's hashes other documents have too.
 
 Searches for repeated content first ask which of billions of hashes occur in
-more than one document.  A block sends each hash once, as part of a sorted byte
-string, to the task that owns its range; back comes one bit for each.  Only
-content behind the set bits moves on.
+more than one document.  A block sends each hash once, as 32 bits within a
+range, to the task that owns the range; back comes one bit for each.  Only
+content behind the set bits moves on.  Two hashes of a range rarely agree in
+their 32 bits by chance; that adds content to look at and loses none.
 """
 
 from __future__ import annotations
@@ -25,6 +26,14 @@ RANGE_KEYS = 1 << 18
 #: (bytes, offsets) of a block -> its ascending distinct hashes, and which of them two of its documents have.
 KeyFinder = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
+def pack(data: np.ndarray) -> bytes:
+    return pa.Codec("zstd", 3).compress(data, asbytes=True)
+
+
+def unpack(data: pa.Buffer, size: int) -> np.ndarray:
+    return np.frombuffer(pa.Codec("zstd", 3).decompress(data, size), np.uint8)
+
+
 BLOCK = "block long, n_bytes long, doc_ids array<long>, ends array<long>, data binary"
 
 
@@ -32,19 +41,19 @@ def text_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """Store the texts as blocks of some megabytes; a null text is empty, a null key stays null."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 33
+        number = TaskContext.get().partitionId() << 20
         for batch in batches:
             for first, last, data, offsets in slices(batch, "text"):
                 ids = pa.array([batch.column(0).slice(first, last - first).to_pylist()], pa.list_(pa.int64()))
                 ends = pa.array([offsets[1:]], pa.list_(pa.int64()))
-                columns = [pa.array([number]), pa.array([len(data)]), ids, ends, pa.array([data.tobytes()], pa.binary())]
+                columns = [pa.array([number]), pa.array([len(data)]), ids, ends, pa.array([pack(data)], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["block", "n_bytes", "doc_ids", "ends", "data"])
                 number += 1
 
     spark = docs.sparkSession
     path = fresh_path(spark, "blocks")
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    narrow.mapInArrow(blocks, BLOCK).write.option("compression", "zstd").parquet(path)
+    narrow.mapInArrow(blocks, BLOCK).write.parquet(path)
     return spark.read.schema(BLOCK).parquet(path)
 
 
@@ -53,7 +62,7 @@ def opened(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray,
     for i in range(len(batch)):
         ids = batch.column("doc_ids")[i].values
         ends = batch.column("ends")[i].values.to_numpy()
-        data = np.frombuffer(batch.column("data")[i].as_buffer(), np.uint8)
+        data = unpack(batch.column("data")[i].as_buffer(), int(ends[-1]))
         yield i, ids, data, np.concatenate([[0], ends])
 
 
@@ -77,7 +86,7 @@ def shared_masks(blocks: DataFrame, find: KeyFinder, keys_per_byte: float) -> Da
                     [
                         pa.array(used.astype(np.int64)),
                         pa.array(np.full(len(used), batch.column("block")[i].as_py())),
-                        pa.array([keys[a:b].tobytes() for a, b in parts], pa.binary()),
+                        pa.array([keys[a:b].astype(np.uint32).tobytes() for a, b in parts], pa.binary()),
                         pa.array([np.packbits(many[a:b]).tobytes() for a, b in parts], pa.binary()),
                     ],
                     names=["range", "block", "keys", "many"],
@@ -85,8 +94,8 @@ def shared_masks(blocks: DataFrame, find: KeyFinder, keys_per_byte: float) -> Da
 
     def compare(table: pa.Table) -> pa.Table:
         blobs = table.column("keys").to_pylist()
-        sizes = np.array([len(b) // 8 for b in blobs], np.int64)
-        keys = np.frombuffer(b"".join(blobs), np.uint64)
+        sizes = np.array([len(b) // 4 for b in blobs], np.int64)
+        keys = np.frombuffer(b"".join(blobs), np.uint32)
         many = np.concatenate(
             [np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(table.column("many").to_pylist(), sizes, strict=True)]
         ).astype(bool)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageflow.llm import chat, embeddings, jaccard, lines, mixing, packing, quality, token_files, warc
+from pageflow.llm import chat, embeddings, jaccard, lines, mixing, packing, quality, substrings, token_files, warc
 from pageflow.sources.shared import fresh_path, staged
 from pageflow.sources.tables import read_table
 
@@ -111,3 +111,8 @@ def op10_jaccard(spark: SparkSession, root: str) -> DataFrame:
 @_query
 def op2_vector_graph(spark: SparkSession, root: str) -> DataFrame:
     return embeddings.vector_links(read_table(spark, root, "embeddings"))
+
+
+@_query
+def op3_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return substrings.repeated_substrings(read_table(spark, root, "documents"))
