@@ -233,8 +233,10 @@ def jaccard_components(
                     names=["kind", "value", "node", "n", "bits", "hashes"],
                 )
 
+    # Tiles of a set of n: its allowed difference and more, in one band or two; words have about six bytes.
+    keys_per_byte = 1.6 * allowed_difference(np.int64(2_000), settings.percent) / 1_000 / 6
     blocks = text_blocks(docs, key, text)
-    masked = with_masks(blocks, shared_masks(blocks, tile_keys, 0.03))
+    masked = with_masks(blocks, shared_masks(blocks, tile_keys, keys_per_byte))
     found = staged(
         masked.mapInArrow(rows, "kind int, value long, node long, n long, bits binary, hashes binary"), "sets"
     )
@@ -266,3 +268,24 @@ def jaccard_components(
         "node",
         F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+
+
+def one_of_each(
+    docs: DataFrame, settings: JaccardSettings = JaccardSettings(), key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """The documents without those that another of their component stands for, all columns.
+
+    The row with the smallest key of each component stays; of rows equal in key
+    and text one stays.  Documents without words all stay, and so do rows
+    with a null key unless their component has a row with a key.
+    """
+    found = jaccard_components(docs, settings, key, text)
+    gone = found.where("n_shingles > 0 AND (doc_id <> component_id OR doc_id IS NULL AND component_id IS NOT NULL)")
+    gone = staged(gone.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    left = docs.join(gone, F.col(key).cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    twice = found.where("n_shingles > 0").groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    twice = staged(twice.select(F.col("doc_id").alias("__twice")).distinct(), "twice")
+    if twice.isEmpty():
+        return left
+    same = F.col(key).cast("long").eqNullSafe(F.col("__twice"))
+    return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates([key, text]))
