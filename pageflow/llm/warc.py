@@ -235,5 +235,8 @@ def read_records(index: DataFrame, settings: WarcSettings = WarcSettings(), payl
             source.close()
 
     span = F.floor(F.col("offset") / settings.span_bytes)
-    placed = index.select("file", "offset", "length").repartition(F.col("file"), span).sortWithinPartitions("file", "offset")
+    # tasks by the bytes to read, which the few bytes of index rows do not show
+    tasks = max(1, (index.agg(F.sum("length")).first()[0] or 0) // settings.span_bytes)
+    placed = index.select("file", "offset", "length").repartition(tasks, F.col("file"), span)
+    placed = placed.sortWithinPartitions("file", "offset")
     return placed.mapInArrow(read, fields + (", payload binary" if payloads else ""))
