@@ -12,9 +12,6 @@ from pageflow import settings as S
 from pageflow.functions import urls
 from pageflow.operators.requests import stable_id, total_pages
 
-MAX_RESULTS = S.NUMBER_BOUNDS["maxResults"][1]
-MAX_PAGES = MAX_RESULTS // S.RESULTS_PER_PAGE + 1
-
 
 def valid_results(hits: DataFrame) -> DataFrame:
     """Hits that have a title and a link worth fetching."""
@@ -33,28 +30,31 @@ def deduplicate(hits: DataFrame, *within: str) -> DataFrame:
     return hits.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
-def ranked(hits: DataFrame, max_results: Column) -> DataFrame:
+def ranked(hits: DataFrame, max_results: Column, most: int | None = None) -> DataFrame:
     """The first ``max_results`` hits of each query, ranked 1..n.
 
-    The constant bound lets each task cut to 100 rows per query before the
-    shuffle.
+    ``most``: a bound of ``max_results`` that the caller has checked; with it
+    each task cuts to that many rows per query before the shuffle.
     """
     by_query = Window.partitionBy("query_id").orderBy("page", "pos", "title", "url")
     out = hits.withColumn("rank", F.row_number().over(by_query))
-    return out.filter((F.col("rank") <= MAX_RESULTS) & (F.col("rank") <= max_results))
+    if most is not None:
+        out = out.filter(F.col("rank") <= most)
+    return out.filter(F.col("rank") <= max_results)
 
 
-def paginate(hits: DataFrame, searches: DataFrame) -> tuple[DataFrame, DataFrame]:
+def paginate(hits: DataFrame, searches: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Final hits per query and the number of result pages read.
 
-    ``searches`` is (query_id, max_results).  Reading stops at the first page
+    ``searches`` is (query_id, max_results); ``most`` as in ``ranked``.  Reading stops at the first page
     without valid hits, at the planned number of pages, or once enough
     distinct hits are there; the last rule cannot change which hits come
     first, so the hits need only the other two.
     """
-    found = valid_results(hits).filter(F.col("page") < MAX_PAGES)
+    planned = searches.select("query_id", total_pages(F.col("max_results")).alias("planned_pages"))
+    found = valid_results(hits).join(planned, "query_id").filter("page < planned_pages").drop("planned_pages")
     # pages 0, 1, 2 ... without a gap: the first missing page is the first
-    # whose place in the sorted list of pages (eleven at most) is not its number
+    # whose place in the sorted list of planned pages is not its number
     pages_seen = found.groupBy("query_id").agg(F.sort_array(F.collect_set("page")).alias("pages"))
     gap = F.filter(F.transform("pages", lambda p, i: F.when(p != i, i)), lambda i: i.isNotNull())
     stops = searches.join(pages_seen, "query_id", "left").select(
@@ -68,7 +68,7 @@ def paginate(hits: DataFrame, searches: DataFrame) -> tuple[DataFrame, DataFrame
         (F.col("page") < F.col("first_empty")) & (F.col("page") < F.col("total_pages"))
     )
     unique = deduplicate(readable, "query_id")
-    final = ranked(unique, F.col("max_results"))
+    final = ranked(unique, F.col("max_results"), most)
 
     # the page of the last wanted hit is the page where reading stopped
     enough = final.filter("rank = max_results").select("query_id", F.col("page").alias("enough_at"))

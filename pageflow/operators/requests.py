@@ -10,8 +10,14 @@ from pageflow.functions import urls
 
 
 def stable_id(*parts: Column) -> Column:
-    """A short id that is the same whenever the same request is planned again."""
-    return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 10)
+    """An id of 128 bits that is the same whenever the same request is planned again.
+
+    Parts carry their length and a NULL its own mark, so no two lists of parts
+    are written alike.
+    """
+    texts = [p.cast("string") for p in parts]
+    marked = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    return F.substring(F.sha2(F.concat_ws("|", *marked), 256), 1, 32)
 
 
 # -- query strings ----------------------------------------------------------

@@ -18,7 +18,7 @@ def last_outcomes(outcomes: DataFrame) -> DataFrame:
     """One outcome per request: a later delivery replaces an earlier one."""
     rest = [c for c in outcomes.columns if c not in KEYS]
     last = F.max_by(F.struct(*rest), F.struct("loaded_at", "request_status"))
-    return outcomes.groupBy(*KEYS).agg(last.alias("o")).select(*KEYS, "o.*")
+    return outcomes.groupBy(*KEYS).agg(last.alias("__last")).select(*KEYS, "__last.*")
 
 
 def in_time(created_at: Column, loaded_at: Column, timeout_secs: Column) -> Column:
@@ -28,18 +28,38 @@ def in_time(created_at: Column, loaded_at: Column, timeout_secs: Column) -> Colu
 def merge(requests: DataFrame, outcomes: DataFrame, timeout_secs: Column | None = None) -> DataFrame:
     """Requests with their outcome; pending where there is none (in time).
 
-    Joins on response and request key, so that a response with very many
-    requests spreads over tasks.  Outcomes nobody asked for drop out.
+    With a timeout only deliveries up to the request's deadline count, and none
+    after the response was complete, i.e. after its last request had its first
+    delivery; of those left the last counts.  Joins on response and request key, so
+    that a response with very many requests spreads over tasks.  Outcomes
+    nobody asked for drop out.
     """
+    if timeout_secs is not None:
+        outcomes = _counting(requests, outcomes, timeout_secs)
     r, o = requests.alias("r"), last_outcomes(outcomes).alias("o")
     condition = [F.col(f"r.{k}") == F.col(f"o.{k}") for k in KEYS]
-    if timeout_secs is not None:
-        condition.append(in_time(F.col("r.created_at"), F.col("o.loaded_at"), timeout_secs))
     added = [F.col(f"o.{c}") for c in outcomes.columns if c not in KEYS + ["request_status"]]
     status = F.coalesce("o.request_status", F.lit(S.PENDING)).alias("request_status")
     return r.join(o, condition, "left").select("r.*", status, *added)
 
 
+def _counting(requests: DataFrame, outcomes: DataFrame, timeout_secs: Column) -> DataFrame:
+    """Deliveries before the answer: in time, and not after completion."""
+    r, o = requests.alias("r"), outcomes.alias("o")
+    condition = [F.col(f"r.{k}") == F.col(f"o.{k}") for k in KEYS]
+    condition.append(in_time(F.col("r.created_at"), F.col("o.loaded_at"), timeout_secs))
+    timely = r.join(o, condition).select("o.*")
+    first = timely.groupBy(*KEYS).agg(F.min("loaded_at").alias("first_at"))
+    done = (
+        requests.select(*KEYS)
+        .join(first, KEYS, "left")
+        .groupBy("response_id")
+        .agg(F.when(F.count("*") == F.count("first_at"), F.max("first_at")).alias("done_at"))
+    )
+    counting = timely.join(done, "response_id").filter("done_at IS NULL OR loaded_at <= done_at")
+    return counting.select(*outcomes.columns)
+
+
 def close(merged: DataFrame, message: str = S.MSG_TIMED_OUT) -> DataFrame:
     """At the deadline, whatever is pending has failed."""
     pending = F.col("request_status") == S.PENDING
@@ -83,11 +103,19 @@ def sort_by_rank(merged: DataFrame) -> DataFrame:
     return merged.withColumn("position", F.row_number().over(order))
 
 
-def cancelled(requests: DataFrame, live_responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+def gone(requests: DataFrame, outcomes: DataFrame, timeout_secs: Column, now: Column) -> DataFrame:
+    """(response_id) of responses that were answered by ``now``: complete, or past all their deadlines."""
+    merged = merge(requests, outcomes.filter(F.col("loaded_at") <= now), timeout_secs).alias("r")
+    deadline = F.col("created_at") + F.make_dt_interval(secs=timeout_secs)
+    finished = F.every(F.col("request_status") != S.PENDING)
+    return merged.groupBy("response_id").agg((finished | (F.max(deadline) <= now)).alias("over")).filter("over").select("response_id")
+
+
+def cancelled(requests: DataFrame, gone_responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Requests still wanted, and those whose response is already gone."""
     return (
-        requests.join(live_responses, "response_id", "left_semi"),
-        requests.join(live_responses, "response_id", "left_anti"),
+        requests.join(gone_responses, "response_id", "left_anti"),
+        requests.join(gone_responses, "response_id", "left_semi"),
     )
 
 
@@ -100,12 +128,15 @@ def error_message(message: Column) -> Column:
     return F.to_json(F.array(F.struct(message.alias("text"))))
 
 
-def response_json(records: DataFrame, record: Column, errors: DataFrame | None = None) -> DataFrame:
+def response_json(
+    records: DataFrame, record: Column, others: DataFrame | None = None, status: Column | None = None
+) -> DataFrame:
     """(response_id, http_status, body): the ranked array, or the error object.
 
     ``records`` has response_id, rank and unique_key; a response has at most
-    100 records, so its array stays small.  ``errors`` is (response_id,
-    http_status, error).
+    100 records, so its array stays small.  ``status`` is the HTTP status of a
+    record's response, 200 by default.  ``others`` is (response_id, http_status, error)
+    of responses without records: without an error they are an empty array.
     """
     ordered = F.array_sort(
         F.collect_list(
@@ -118,15 +149,15 @@ def response_json(records: DataFrame, record: Column, errors: DataFrame | None =
         )
     )
     body = F.to_json(F.transform(ordered, lambda r: r["record"]))
-    ok = records.groupBy("response_id").agg(body.alias("body")).select(
-        "response_id", F.lit(200).cast("bigint").alias("http_status"), "body"
-    )
-    if errors is None:
+    code = F.max(F.lit(200) if status is None else status).cast("bigint")
+    ok = records.groupBy("response_id").agg(code.alias("http_status"), body.alias("body"))
+    if others is None:
         return ok
+    error = F.to_json(F.struct(F.col("error").alias("errorMessage")))
     return ok.unionByName(
-        errors.select(
+        others.select(
             "response_id",
             F.col("http_status").cast("bigint").alias("http_status"),
-            F.to_json(F.struct(F.col("error").alias("errorMessage"))).alias("body"),
+            F.when(F.col("error").isNull(), F.lit("[]")).otherwise(error).alias("body"),
         )
     )

@@ -108,12 +108,13 @@ def topk_rank(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _final_hits(spark: SparkSession, root: str) -> DataFrame:
-    return hits.paginate(T.hits(spark, root), T.searches(spark, root).select("query_id", "max_results"))[0]
+    searches = T.searches(spark, root).select("query_id", "max_results")
+    return hits.paginate(T.hits(spark, root), searches, S.NUMBER_BOUNDS["maxResults"][1])[0]
 
 
 def paginate_results(spark: SparkSession, root: str) -> DataFrame:
     searches = T.searches(spark, root).select("query_id", "max_results")
-    final, pages_read = hits.paginate(T.hits(spark, root), searches)
+    final, pages_read = hits.paginate(T.hits(spark, root), searches, S.NUMBER_BOUNDS["maxResults"][1])
     return pages_read.join(final, "query_id", "left").select(
         "query_id", "pages_read", _long("rank").alias("rank"), "title", "url"
     )
@@ -356,13 +357,16 @@ def response_status(spark: SparkSession, root: str) -> DataFrame:
 
 
 def cancel_expired(spark: SparkSession, root: str) -> DataFrame:
-    """Requests of complete responses need no more work; the rest is live."""
-    asked = T.requests(spark, root)
-    state = responses.completeness(_by_deadline(spark, root))
-    live, gone = responses.cancelled(asked, state.filter("n_pending * 2 < n_requests").select("response_id"))
+    """Requests of answered responses need no more work; the rest runs on.
+
+    The time is that of the last request.
+    """
+    asked, answered = T.requests(spark, root), T.outcomes(spark, root)
+    now = asked.agg(F.max("created_at")).scalar()
+    live, over = responses.cancelled(asked, responses.gone(asked, answered, F.col("r.timeout_secs"), now))
     return (
         live.withColumn("action", F.lit("run"))
-        .unionByName(gone.withColumn("action", F.lit("cancel")))
+        .unionByName(over.withColumn("action", F.lit("cancel")))
         .select("response_id", "unique_key", "action")
     )
 
@@ -377,10 +381,14 @@ def response_json(spark: SparkSession, root: str) -> DataFrame:
     asked = hits.page_requests(_final_hits(spark, root)).select("*", "search_result.rank", "search_result.title")
     none = hits.empty_searches(T.searches(spark, root), _final_hits(spark, root)).select(
         requests.stable_id(F.lit("response"), F.col("query_id")).alias("response_id"),
-        F.lit(400).alias("http_status"),
-        F.concat(F.lit("No results for "), F.col("query")).alias("error"),
+        F.lit(200).alias("http_status"),
+        F.lit(None).cast("string").alias("error"),
+    )
+    bad = requests.validate(requests.parse_parameters(T.query_strings(spark, root))).filter("error IS NOT NULL")
+    bad = bad.select(
+        requests.stable_id(F.lit("request"), F.col("request_id")).alias("response_id"), F.lit(400).alias("http_status"), "error"
     )
-    return responses.response_json(asked, F.struct("title", "url", "rank"), none)
+    return responses.response_json(asked, F.struct("title", "url", "rank"), none.unionByName(bad))
 
 
 def result_messages(spark: SparkSession, root: str) -> DataFrame:
@@ -391,7 +399,7 @@ def result_messages(spark: SparkSession, root: str) -> DataFrame:
 
 
 def run_stats(spark: SparkSession, root: str) -> DataFrame:
-    return latency.run_stats(_by_deadline(spark, root))
+    return latency.run_stats(responses.close(_by_deadline(spark, root)))
 
 
 # -- timings ----------------------------------------------------------------
@@ -507,28 +515,20 @@ def _event_stream(spark: SparkSession, root: str) -> DataFrame:
     return T.normalised_timestamps(events.unionByName(marker))
 
 
-def stream_response_deadline(spark: SparkSession, root: str) -> DataFrame:
-    events = _event_stream(spark, root)
+def _answered(spark: SparkSession, root: str, name: str) -> DataFrame:
     deadline = F.col("created_at") + F.make_dt_interval(secs=F.col("timeout_secs"))
-    asked = T.as_requests(events).withColumn("deadline", deadline).drop("rank", "timeout_secs")
-    answered = T.as_outcomes(_event_stream(spark, root)).filter("http_status_message <> 'again'")
-    results = jobs.with_deadline(asked, answered.select("response_id", "unique_key", "request_status", "loaded_at"))
-    done = jobs.run_to_files(jobs.responses_by_window(results), "stream-deadline")
-    return done.filter("response_id >= 0").select(
-        "response_id", F.unix_micros("window_start").alias("window_us"), "n_handled", "n_failed", "n_timed_out"
-    )
+    asked = T.as_requests(_event_stream(spark, root)).withColumn("deadline", deadline)
+    rows = jobs.run_to_files(jobs.answers(asked, T.as_outcomes(_event_stream(spark, root))), name)
+    return rows.filter("response_id >= 0")
+
+
+def stream_response_deadline(spark: SparkSession, root: str) -> DataFrame:
+    rows = _answered(spark, root, "stream-deadline")
+    return rows.select("response_id", "unique_key", "request_status", "http_status_message")
 
 
 def stream_response_early(spark: SparkSession, root: str) -> DataFrame:
-    expected = T.requests(spark, root).groupBy("response_id").agg(F.count("*").alias("expected"))
-    answered = T.as_outcomes(_event_stream(spark, root)).filter("http_status_message <> 'again'")
-    waiting = answered.select(
-        "response_id",
-        "request_status",
-        "loaded_at",
-        (F.col("loaded_at") + F.expr(f"INTERVAL {S.MAX_TIMEOUT_SECS} SECONDS")).alias("deadline"),
-    )
-    return jobs.run_to_files(jobs.early_completion(waiting, expected), "stream-early")
+    return jobs.answered_responses(_answered(spark, root, "stream-early"))
 
 
 def stream_last_outcome(spark: SparkSession, root: str) -> DataFrame:

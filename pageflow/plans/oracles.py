@@ -191,8 +191,15 @@ PAGED = f"""{HITS}, plan AS (
   ) WHERE rank <= max_results
 )"""
 
-RESPONSE_ID = "substr(sha256('response|' || query_id), 1, 10)"
-UNIQUE_KEY = "substr(sha256('page|' || query_id || '|' || title || '|' || url), 1, 10)"
+
+
+def _id(*parts: str) -> str:
+    marked = [f"coalesce(length(({p})::VARCHAR) || ':' || ({p})::VARCHAR, '-')" for p in parts]
+    return f"substr(sha256({" || '|' || ".join(marked)}), 1, 32)"
+
+
+RESPONSE_ID = _id("'response'", "query_id")
+UNIQUE_KEY = _id("'page'", "query_id", "title", "url")
 
 BM25 = r"""terms AS (
   SELECT doc_id, host, list_filter(string_split_regex(lower(text), '[^a-z0-9\x{c0}-\x{ff}]+'), lambda t: t <> '') AS ts
@@ -308,9 +315,10 @@ MAIN = f"""{BLOCKS}, votes AS (
 # -- responses --------------------------------------------------------------
 
 EVENTS = """requests AS (
-  SELECT user_id AS response_id, event_id AS unique_key, ts AS created_at, user_id % 60 + 1 AS timeout_secs FROM events
+  SELECT event_id // 4 AS response_id, event_id AS unique_key, ts AS created_at, event_id // 4 % 60 + 1 AS timeout_secs
+  FROM events
 ), delivered AS (
-  SELECT user_id AS response_id,
+  SELECT event_id // 4 AS response_id,
     CASE WHEN event_type = 'purchase' AND event_id % 2 = 1 THEN -event_id ELSE event_id END AS unique_key,
     CASE WHEN event_type = 'error' OR again = 1 THEN 'failed' ELSE 'handled' END AS request_status,
     epoch_us(ts) + CAST(round(value * 1000000) AS BIGINT) + again * 1000000 AS loaded_us,
@@ -326,11 +334,21 @@ EVENTS = """requests AS (
   SELECT r.*, coalesce(o.request_status, 'pending') AS request_status, o.loaded_us, o.http_status_code,
     o.http_status_message, o.title, o.text
   FROM requests r LEFT JOIN latest o USING (response_id, unique_key)
+), in_time AS (
+  SELECT d.* FROM requests r JOIN delivered d USING (response_id, unique_key)
+  WHERE d.loaded_us BETWEEN epoch_us(r.created_at) AND epoch_us(r.created_at) + r.timeout_secs * 1000000
+), answered AS (
+  SELECT response_id, CASE WHEN bool_and(first_us IS NOT NULL) THEN max(first_us) END AS done_us
+  FROM requests LEFT JOIN (SELECT response_id, unique_key, min(loaded_us) AS first_us FROM in_time GROUP BY ALL)
+    USING (response_id, unique_key)
+  GROUP BY response_id
+), counting AS (
+  SELECT i.*, row_number() OVER (PARTITION BY response_id, unique_key ORDER BY loaded_us DESC, request_status DESC) AS rn
+  FROM in_time i JOIN answered a USING (response_id) WHERE done_us IS NULL OR loaded_us <= done_us
 ), timely AS (
   SELECT r.*, coalesce(o.request_status, 'pending') AS request_status, o.loaded_us, o.http_status_code,
     o.http_status_message, o.title, o.text
-  FROM requests r LEFT JOIN latest o ON r.response_id = o.response_id AND r.unique_key = o.unique_key
-    AND o.loaded_us BETWEEN epoch_us(r.created_at) AND epoch_us(r.created_at) + r.timeout_secs * 1000000
+  FROM requests r LEFT JOIN (SELECT * FROM counting WHERE rn = 1) o USING (response_id, unique_key)
 )"""
 MEASURES = """measures AS (
   SELECT user_id AS request_id, event_id AS seq, event_type AS event, epoch_us(ts) AS time_us FROM events
@@ -445,11 +463,13 @@ ORACLES = {
         SELECT response_id, CASE WHEN complete OR n_handled > 0 THEN 200 ELSE 500 END::BIGINT AS http_status,
           CASE WHEN complete THEN 'complete' WHEN n_handled > 0 THEN 'partial' ELSE 'rejected' END AS outcome,
           n_handled FROM totals""",
-    "cancel_expired": f"""WITH {EVENTS}, live AS (
-        SELECT response_id FROM timely GROUP BY response_id
-        HAVING count(*) FILTER (WHERE request_status = 'pending') * 2 < count(*))
+    "cancel_expired": f"""WITH {EVENTS}, clock AS (
+        SELECT epoch_us(max(created_at)) AS now_us FROM requests), over AS (
+        SELECT r.response_id FROM requests r JOIN answered USING (response_id), clock GROUP BY r.response_id
+        HAVING max(done_us) <= max(now_us)
+          OR max(epoch_us(created_at) + timeout_secs * 1000000) <= max(now_us))
         SELECT response_id, unique_key,
-          CASE WHEN response_id IN (SELECT response_id FROM live) THEN 'run' ELSE 'cancel' END AS action
+          CASE WHEN response_id IN (SELECT response_id FROM over) THEN 'cancel' ELSE 'run' END AS action
         FROM requests""",
     "response_sorted": f"""WITH {PAGED}, keyed AS (
         SELECT {RESPONSE_ID} AS response_id, {UNIQUE_KEY} AS unique_key,
@@ -459,13 +479,14 @@ ORACLES = {
     "response_json": f"""WITH {PAGED} SELECT {RESPONSE_ID} AS response_id, 200::BIGINT AS http_status,
         to_json(list({{'title': title, 'url': url, 'rank': rank}} ORDER BY rank))::VARCHAR AS body
         FROM final GROUP BY query_id UNION ALL
-        SELECT {RESPONSE_ID}, 400, to_json({{'errorMessage': 'No results for ' || query}})::VARCHAR FROM searches
-        WHERE query_id NOT IN (SELECT query_id FROM final)""",
+        SELECT {RESPONSE_ID}, 200, '[]' FROM searches WHERE query_id NOT IN (SELECT query_id FROM final) UNION ALL
+        SELECT {_id("'request'", "request_id")}, 400, to_json({{'errorMessage': error}})::VARCHAR
+        FROM (WITH {QUERY_STRINGS} SELECT request_id, error FROM checked) WHERE error IS NOT NULL""",
     "result_messages": f"""WITH {PAGED} SELECT {RESPONSE_ID} AS response_id, rank,
         to_json({{'type': 'text', 'text': to_json({{'title': title, 'url': url, 'rank': rank}})::VARCHAR}})::VARCHAR
           AS message FROM final""",
     "run_stats": f"""WITH {EVENTS} SELECT count(*) FILTER (WHERE request_status = 'handled') AS requests_finished,
-        count(*) FILTER (WHERE request_status = 'failed') AS requests_failed FROM timely""",
+        count(*) FILTER (WHERE request_status <> 'handled') AS requests_failed FROM timely""",
     "stage_deltas": f"WITH {MEASURES} SELECT request_id, seq, event, delta_us FROM deltas",
     "stage_relative": f"WITH {MEASURES} SELECT request_id, seq, event, relative_us, delta_us FROM deltas",
     "stage_latency_avg": f"""WITH {MEASURES} SELECT event, count(*) AS n, sum(delta_us)::BIGINT AS total_us,
@@ -478,23 +499,14 @@ ORACLES = {
         CASE f WHEN 'markdown' THEN 'markdown' WHEN 'text|markdown' THEN 'text,markdown'
           WHEN 'html' THEN 'html,markdown' ELSE 'pdf,markdown' END AS output_formats FROM checked""",
     "stream_extract": f"SELECT page_id, {_layout(BODY)} AS text FROM pages",
-    "stream_response_deadline": f"""WITH {EVENTS}, closed AS (
-        SELECT r.response_id, r.unique_key, r.created_at, o.request_status
-        FROM requests r LEFT JOIN delivered o ON o.again = 0
-          AND r.response_id = o.response_id AND r.unique_key = o.unique_key
-          AND o.loaded_us BETWEEN epoch_us(r.created_at) AND epoch_us(r.created_at) + r.timeout_secs * 1000000)
-        SELECT response_id, epoch_us(created_at) // 3600000000 * 3600000000 AS window_us,
-          count(*) FILTER (WHERE request_status = 'handled') AS n_handled,
-          count(*) FILTER (WHERE request_status = 'failed' OR request_status IS NULL) AS n_failed,
-          count(*) FILTER (WHERE request_status IS NULL) AS n_timed_out
-        FROM closed GROUP BY ALL""",
-    "stream_response_early": f"""WITH {EVENTS}, expected AS (
-        SELECT response_id, count(*) AS expected FROM requests GROUP BY response_id), counted AS (
-        SELECT response_id, count(*) FILTER (WHERE request_status = 'handled') AS n_handled,
-          count(*) FILTER (WHERE request_status = 'failed') AS n_failed FROM delivered WHERE again = 0
-        GROUP BY response_id)
-        SELECT response_id, n_handled, n_failed, n_handled + n_failed >= expected AS complete
-        FROM counted JOIN expected USING (response_id)""",
+    "stream_response_deadline": f"""WITH {EVENTS} SELECT response_id, unique_key,
+        CASE request_status WHEN 'pending' THEN 'failed' ELSE request_status END AS request_status,
+        CASE request_status WHEN 'pending' THEN 'Timed out.' END AS http_status_message FROM timely""",
+    "stream_response_early": f"""WITH {EVENTS} SELECT response_id,
+        count(*) FILTER (WHERE request_status = 'handled') AS n_handled,
+        count(*) FILTER (WHERE request_status <> 'handled') AS n_failed,
+        count(*) FILTER (WHERE request_status = 'pending') AS n_timed_out,
+        bool_and(request_status <> 'pending') AS complete FROM timely GROUP BY response_id""",
     "stream_last_outcome": f"""WITH {EVENTS} SELECT response_id, unique_key,
         arg_max(request_status, loaded_us) AS request_status, count(*) AS n_deliveries
         FROM delivered GROUP BY response_id, unique_key""",

@@ -269,14 +269,18 @@ def as_measures(events: DataFrame) -> DataFrame:
     )
 
 
+def response_of(event_id: Column) -> Column:
+    return F.floor(event_id / 4)
+
+
 def as_requests(events: DataFrame) -> DataFrame:
-    """Events as page requests: a user is a response, an event a page."""
+    """Events as page requests: four events in a row are a response, an event a page."""
     return events.select(
-        F.col("user_id").alias("response_id"),
+        response_of(F.col("event_id")).alias("response_id"),
         F.col("event_id").alias("unique_key"),
         F.col("ts").alias("created_at"),
         F.when(F.col("event_type") != "view", F.col("event_id") % 100 + 1).alias("rank"),
-        (F.col("user_id") % 60 + 1).alias("timeout_secs"),
+        (response_of(F.col("event_id")) % 60 + 1).alias("timeout_secs"),
     )
 
 
@@ -291,7 +295,7 @@ def as_outcomes(events: DataFrame, keep_created: bool = False) -> DataFrame:
     delay_us = F.round(F.col("value") * 1_000_000).cast("bigint")
     done = events.filter(F.col("event_type") != "signup").withColumn("again", F.explode(again))
     return done.select(
-        F.col("user_id").alias("response_id"),
+        response_of(F.col("event_id")).alias("response_id"),
         # purchases on odd ids answer a request nobody made
         F.when((F.col("event_type") == "purchase") & (F.col("event_id") % 2 == 1), -F.col("event_id"))
         .otherwise(F.col("event_id"))

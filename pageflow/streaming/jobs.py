@@ -2,51 +2,29 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pageflow.settings import FAILED, HANDLED, MAX_TIMEOUT_SECS, MSG_TIMED_OUT
+from pageflow.settings import FAILED, HANDLED, MSG_TIMED_OUT
 from pageflow.sources.shared import fresh_path
 
 
-PARTITIONS = "spark.sql.shuffle.partitions"
-PARTITIONS_DEFAULT = "200"
-
-
-@contextmanager
-def _state_partitions(spark: SparkSession) -> Iterator[None]:
-    """State stores per core where the session does not name their number.
-
-    A stream keeps the number it starts with; the session gets its own back.
-    """
-    before = spark.conf.get(PARTITIONS)
-    cores = spark.sparkContext.defaultParallelism
-    named = spark.sparkContext.getConf().contains(PARTITIONS) or before != PARTITIONS_DEFAULT
-    if not named and cores < int(before):
-        spark.conf.set(PARTITIONS, cores)
-    try:
-        yield
-    finally:
-        spark.conf.set(PARTITIONS, before)
-
-
 def run_to_files(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over what is there now into files, and read them back."""
     spark = stream.sparkSession
     path = fresh_path(spark, name)
-    with _state_partitions(spark):
-        query = (
-            stream.writeStream.format("parquet")
-            .option("path", f"{path}/data")
-            .option("checkpointLocation", f"{path}/state")
-            .trigger(availableNow=True)
-            .start()
-        )
+    query = (
+        stream.writeStream.format("parquet")
+        .option("path", f"{path}/data")
+        .option("checkpointLocation", f"{path}/state")
+        .trigger(availableNow=True)
+        .start()
+    )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
 
@@ -56,110 +34,100 @@ def extract(pages: DataFrame, content: Callable[[DataFrame], DataFrame]) -> Data
     return content(pages)
 
 
-def with_deadline(requests: DataFrame, outcomes: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Each request with its outcome in time, or as failed once time is up.
+_STATE = "requests STRING, answered BOOLEAN"
 
-    Both sides carry a watermark.  The constant bound lets Spark forget old
-    rows; the request's own deadline is checked on top.
+
+def answers(requests: DataFrame, deliveries: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """One row for each request, as soon as its response is complete or out of time.
+
+    ``requests``: response_id, unique_key, created_at, deadline; ``deliveries``:
+    response_id, unique_key, request_status, loaded_at.  Requests drive the state: a
+    response waits for its distinct keys and holds, per key, its times and its
+    last outcome.  Deliveries for unknown keys, outside a request's own time, or
+    after the answer are ignored; a later delivery before the answer replaces an
+    earlier one.  An answered response stays marked until the watermark has
+    passed its last deadline.  All requests of a response come before or with
+    its first outcome.
     """
-    r = requests.withWatermark("created_at", delay).alias("r")
-    o = outcomes.withWatermark("loaded_at", delay).alias("o")
-    bound = F.expr(f"INTERVAL {MAX_TIMEOUT_SECS} SECONDS")
-    joined = r.join(
-        o,
-        (F.col("r.response_id") == F.col("o.response_id"))
-        & (F.col("r.unique_key") == F.col("o.unique_key"))
-        & (F.col("o.loaded_at") >= F.col("r.created_at"))
-        & (F.col("o.loaded_at") <= F.col("r.created_at") + bound)
-        & (F.col("o.loaded_at") <= F.col("r.deadline")),
-        "leftOuter",
+    asked = requests.select(
+        "response_id",
+        "unique_key",
+        F.col("created_at").alias("at"),
+        F.col("created_at").cast("double").alias("since"),
+        F.col("deadline").cast("double").alias("until"),
+        F.lit(None).cast("string").alias("request_status"),
     )
-    late = F.col("o.request_status").isNull()
-    return joined.select(
-        "r.response_id",
-        "r.unique_key",
-        "r.created_at",
-        F.coalesce("o.request_status", F.lit(FAILED)).alias("request_status"),
-        F.when(late, F.lit(500)).alias("http_status_code"),
-        F.when(late, F.lit(MSG_TIMED_OUT)).alias("http_status_message"),
+    sent = deliveries.select(
+        "response_id",
+        "unique_key",
+        F.col("loaded_at").alias("at"),
+        F.col("loaded_at").cast("double").alias("since"),
+        F.lit(None).cast("double").alias("until"),
+        "request_status",
+    )
+    kinds = dict(requests.dtypes)
+    output = (
+        f"response_id {kinds['response_id']}, unique_key {kinds['unique_key']}, request_status string,"
+        " http_status_message string, complete boolean"
     )
-
-
-def responses_by_window(results: DataFrame, width: str = "1 hour") -> DataFrame:
-    """Handled and failed results per response and window of request time."""
     return (
-        results.groupBy(F.window("created_at", width), "response_id")
-        .agg(
-            F.count_if(F.col("request_status") == HANDLED).alias("n_handled"),
-            F.count_if(F.col("request_status") == FAILED).alias("n_failed"),
-            F.count_if(F.col("http_status_message") == MSG_TIMED_OUT).alias("n_timed_out"),
-        )
-        .select("response_id", F.col("window.start").alias("window_start"), "n_handled", "n_failed", "n_timed_out")
+        asked.withWatermark("at", delay)
+        .unionByName(sent.withWatermark("at", delay))
+        .groupBy("response_id")
+        .applyInPandasWithState(_answer, output, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
-EARLY_OUTPUT = "response_id BIGINT, n_handled BIGINT, n_failed BIGINT, complete BOOLEAN"
-EARLY_STATE = "expected BIGINT, n_handled BIGINT, n_failed BIGINT"
-
-
-PARTIAL = "response_id BIGINT, n_handled BIGINT, n_failed BIGINT, loaded_at TIMESTAMP, deadline TIMESTAMP"
-
+def _answer(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    text, answered = state.get if state.exists else ("[]", False)
+    # unique_key -> [since, until, status]
+    waiting = {k: rest for k, *rest in json.loads(text)}
 
-def _partial_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        batch["n_handled"] = batch["request_status"] == HANDLED
-        batch["n_failed"] = batch["request_status"] == FAILED
-        yield batch.groupby("response_id", as_index=False).agg(
-            {"n_handled": "sum", "n_failed": "sum", "loaded_at": "max", "deadline": "max"}
-        )
-
-
-def _count_until_complete(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    def row(handled, failed, complete):
+    def rows(complete: bool) -> pd.DataFrame:
+        status = [s for *_, s in waiting.values()]
         return pd.DataFrame(
-            {"response_id": [key[0]], "n_handled": [handled], "n_failed": [failed], "complete": [complete]}
+            {
+                "response_id": [key[0]] * len(waiting),
+                "unique_key": list(waiting),
+                "request_status": [s or FAILED for s in status],
+                "http_status_message": [None if s else MSG_TIMED_OUT for s in status],
+                "complete": [complete] * len(waiting),
+            }
         )
 
     if state.hasTimedOut:
-        _, handled, failed = state.get
         state.remove()
-        yield row(handled, failed, False)
-        return
-    expected, handled, failed = state.get if state.exists else (0, 0, 0)
-    deadline = 0
-    for batch in batches:
-        expected = int(batch["expected"].iloc[0])
-        handled += int(batch["n_handled"].sum())
-        failed += int(batch["n_failed"].sum())
-        deadline = max(deadline, int(batch["deadline"].max().timestamp() * 1000))
-    if handled + failed >= expected:
-        if state.exists:
-            state.remove()
-        yield row(handled, failed, True)
+        if not answered and waiting:
+            yield rows(False)
         return
-    state.update((expected, handled, failed))
-    state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
-
-
-def early_completion(outcomes: DataFrame, expected: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Responses as soon as their last result is in, or at their deadline.
-
-    ``outcomes`` has response_id, request_status, loaded_at and deadline,
-    ``expected`` the number of results each response waits for.  Outcomes are
-    counted per response before they move, so one response with very many of
-    them sends a row per batch; the state is three counters per response.
-    """
-    return (
-        outcomes.select("response_id", "request_status", "loaded_at", "deadline")
-        .mapInPandas(_partial_counts, PARTIAL)
-        .withWatermark("loaded_at", delay)
-        .join(expected.select("response_id", "expected"), "response_id")
-        .groupBy("response_id")
-        .applyInPandasWithState(
-            _count_until_complete, EARLY_OUTPUT, EARLY_STATE, "append", GroupStateTimeout.EventTimeTimeout
-        )
+    arrived = pd.concat(list(batches), ignore_index=True)
+    asked = arrived["request_status"].isna()
+    for k, since, until in arrived.loc[asked, ["unique_key", "since", "until"]].itertuples(index=False):
+        waiting.setdefault(k, [since, until, None])
+    outcomes = arrived[~asked].sort_values(["since", "request_status"])
+    for at, group in outcomes.groupby("since", sort=True):
+        if answered:
+            break
+        for k, status in group[["unique_key", "request_status"]].itertuples(index=False):
+            request = waiting.get(k)
+            if request and request[0] <= at <= request[1]:
+                request[2] = status
+        if waiting and all(status is not None for *_, status in waiting.values()):
+            answered = True
+            yield rows(True)
+    last = max((until for _, until, _ in waiting.values()), default=0.0)
+    kept = [[k if isinstance(k, str) else int(k), *rest] for k, rest in waiting.items()]
+    state.update((json.dumps(kept), answered))
+    state.setTimeoutTimestamp(max(int(last * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+
+
+def answered_responses(rows: DataFrame) -> DataFrame:
+    """Rows of ``answers`` per response, each of which is answered once."""
+    return rows.groupBy("response_id").agg(
+        F.count_if(F.col("request_status") == HANDLED).alias("n_handled"),
+        F.count_if(F.col("request_status") == FAILED).alias("n_failed"),
+        F.count_if(F.col("http_status_message") == MSG_TIMED_OUT).alias("n_timed_out"),
+        F.every("complete").alias("complete"),
     )
 
 
@@ -169,7 +137,7 @@ def last_outcome(deliveries: DataFrame, delay: str = "10 minutes", width: str =
         deliveries.withWatermark("created_at", delay)
         .groupBy(F.window("created_at", width), "response_id", "unique_key")
         .agg(
-            F.max_by("request_status", "loaded_at").alias("request_status"),
+            F.max_by("request_status", F.struct("loaded_at", "request_status")).alias("request_status"),
             F.count("*").alias("n_deliveries"),
         )
         .drop("window")

@@ -37,9 +37,13 @@ def tables_of(spark):
     done = spark.createDataFrame(
         [
             ("all", "a", "handled", at(1), 200, "OK", "A", "a"), ("all", "b", "failed", at(2), 500, "x", "", ""),
-            # delivered twice: the later one counts
-            ("all", "c", "failed", at(3), 500, "x", "", ""), ("all", "c", "handled", at(5), 200, "OK", "C", "c"),
+            # delivered twice before the response is complete: the later one counts
+            ("all", "c", "failed", at(0.5), 500, "x", "", ""), ("all", "c", "handled", at(1.5), 200, "OK", "C", "c"),
+            # delivered again after it is complete: too late
+            ("all", "a", "failed", at(3), 500, "again", "", ""),
             ("some", "a", "handled", at(40), 200, "OK", "A", "a"),
+            # in time, then again past the deadline
+            ("some", "a", "failed", at(45), 500, "again", "", ""),
             ("some", "b", "handled", at(41), 200, "OK", "B", "late"),
             ("nobody", "a", "handled", at(1), 200, "OK", "", ""),
             ("bad", "a", "failed", at(1), 500, "x", "", ""),
@@ -58,7 +62,7 @@ def test_outcomes_meet_their_requests(spark):
     rows = {(r.response_id, r.unique_key): r for r in merged(spark).collect()}
     assert len(rows) == 7 and ("nobody", "a") not in rows
     status = {k: r.request_status for k, r in rows.items()}
-    assert status["all", "c"] == "handled" and status["some", "a"] == "handled"
+    assert status["all", "c"] == "handled" and status["all", "a"] == "handled" and status["some", "a"] == "handled"
     assert status["some", "b"] == status["none", "a"] == "pending"
     assert rows["all", "a"].created_at is not None
 
@@ -95,9 +99,14 @@ def test_order_and_json(spark):
 
 
 def test_cancelled_requests(spark):
-    asked, _ = tables_of(spark)
-    live, gone = responses.cancelled(asked, spark.createDataFrame([("all",)], "response_id string"))
-    assert live.count() == 3 and gone.count() == 4
+    asked, done = tables_of(spark)
+    now = {}
+    for seconds in (1, 2, 40):
+        over = responses.gone(asked, done, F.col("r.timeout_secs"), F.lit(at(seconds)))
+        live, gone = responses.cancelled(asked, over)
+        now[seconds] = {r.response_id for r in gone.collect()}
+        assert live.count() + gone.count() == 7
+    assert now == {1: {"bad"}, 2: {"bad", "all"}, 40: {"bad", "all", "some", "none"}}
 
 
 def test_deltas_equal_a_plain_walk_for_any_run_length(spark):
@@ -121,8 +130,7 @@ def test_time_taken_and_run_stats(spark):
     )
     taken = latency.time_taken(latency.with_relative(table), "end").orderBy("request_id").collect()
     assert [(r.time_ms, r.mean_ms) for r in taken] == [(3.0, 4.0), (5.0, 4.0)]
-    asked, done = tables_of(spark)
-    assert tuple(latency.run_stats(responses.merge(asked, done)).first()) == (4, 2)
+    assert tuple(latency.run_stats(responses.close(merged(spark))).first()) == (3, 4)
 
 
 def test_contexts(spark):
@@ -181,18 +189,37 @@ def test_only_wanted_with_and_without_broadcast(spark):
         assert sorted(r.k for r in shared.only_wanted(wide, wanted, "k", limit).collect()) == [1, 5]
 
 
-def test_late_and_missing_outcomes_in_a_stream(spark, tmp_path):
+def test_a_stream_answers_as_the_batch_does(spark, tmp_path):
     asked, done = tables_of(spark)
     far = spark.createDataFrame([("end", "e", 1, at(10**8), 1)], REQUESTS)
     asked.unionByName(far).withColumn("deadline", F.col("created_at") + F.make_dt_interval(secs="timeout_secs")).drop(
         "rank", "timeout_secs"
     ).write.parquet(str(tmp_path / "asked"))
-    once = responses.last_outcomes(done).select("response_id", "unique_key", "request_status", "loaded_at")
-    end = spark.createDataFrame([("end", "f", "handled", at(10**8))], once.schema)
-    once.unionByName(end).write.parquet(str(tmp_path / "done"))
+    # both sides have a last row that moves the watermark past all deadlines
+    last = spark.createDataFrame([("end", "f", "handled", at(10**8))], "response_id string, unique_key string, request_status string, loaded_at timestamp")
+    done.select(*last.columns).unionByName(last).write.parquet(str(tmp_path / "done"))
     read = lambda name: spark.readStream.schema(spark.read.parquet(str(tmp_path / name)).schema).parquet(str(tmp_path / name))
-    results = jobs.with_deadline(read("asked"), read("done"))
-    rows = {(r.response_id, r.unique_key): r for r in jobs.run_to_files(results, "deadline-test").collect()}
+    rows = jobs.run_to_files(jobs.answers(read("asked"), read("done")), "answer-test")
+    found = {(r.response_id, r.unique_key): r for r in rows.collect() if r.response_id != "end"}
     batch = {(r.response_id, r.unique_key): r for r in responses.close(merged(spark)).collect()}
-    assert {k: v.request_status for k, v in rows.items() if k[0] != "end"} == {k: v.request_status for k, v in batch.items()}
-    assert rows["some", "b"].http_status_message == S.MSG_TIMED_OUT
+    assert {k: v.request_status for k, v in found.items()} == {k: v.request_status for k, v in batch.items()}
+    assert found["some", "b"].http_status_message == S.MSG_TIMED_OUT and found["some", "a"].http_status_message is None
+    counts = {r.response_id: (r.n_handled, r.n_failed, r.n_timed_out, r.complete) for r in jobs.answered_responses(rows).collect()}
+    assert {k: v for k, v in counts.items() if k != "end"} == {
+        "all": (2, 1, 0, True), "some": (1, 1, 1, False), "none": (0, 1, 1, False), "bad": (0, 1, 0, True)
+    }
+
+
+def test_ids_are_wide_and_tell_nulls_apart(spark):
+    from pageflow.operators.requests import stable_id
+
+    pairs = [(None, "x"), ("x", None), ("x", ""), ("", "x"), ("1:x", "y"), ("x", "y"), ("x|1:y", None)]
+    ids = spark.createDataFrame(pairs, "a string, b string").select(stable_id(F.col("a"), F.col("b")).alias("i")).collect()
+    assert len({r.i for r in ids}) == len(pairs) and all(len(r.i) == 32 for r in ids)
+
+
+def test_empty_and_bad_requests_have_a_body(spark):
+    others = spark.createDataFrame([("none", 200, None), ("bad", 400, "no")], "response_id string, http_status int, error string")
+    none = merged(spark).filter("false")
+    rows = {r.response_id: (r.http_status, r.body) for r in responses.response_json(none, F.struct("title"), others).collect()}
+    assert rows == {"none": (200, "[]"), "bad": (400, '{"errorMessage":"no"}')}
