@@ -11,7 +11,8 @@ belongs to, ``last`` the id of that element's last event, so an element covers
 the events with ``open <= id <= last``; ``parent`` is the enclosing element.
 ``edge`` marks a block's boundary; ``block``, ``item``, ``lists``, ``quotes``
 and ``pre`` say in which block, list item, list depth, quotation depth and
-preformatted element the text after the event stands.  ``number`` counts items
+preformatted element the text after the event stands.  ``quiet``: the event is
+in an element whose text nobody reads; ``linked``: it is inside a link.  ``number`` counts items
 of an ordered list, rows of a table and cells of a row.
 """
 
@@ -32,6 +33,7 @@ SILENT_HEAD = HEAD - {"html", "head", "body"}
 RAW = frozenset(("script", "style", "title", "textarea"))
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 CELL = frozenset(("td", "th"))
+QUIET = frozenset("script style noscript svg canvas template".split())
 BLOCK = CELL | frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section select summary "
@@ -78,6 +80,8 @@ EVENT = pa.struct(
         ("lists", pa.int32()),
         ("quotes", pa.int32()),
         ("pre", pa.bool_()),
+        ("quiet", pa.bool_()),
+        ("linked", pa.bool_()),
         ("number", pa.int32()),
         ("tag", pa.string()),
         ("attrs", pa.map_(pa.string(), pa.string())),
@@ -86,14 +90,14 @@ EVENT = pa.struct(
 )
 EVENTS_TYPE = (
     "array<struct<kind:string,id:int,open:int,last:int,parent:int,edge:boolean,block:int,item:int,"
-    "lists:int,quotes:int,pre:boolean,number:int,tag:string,attrs:map<string,string>,text:string>>"
+    "lists:int,quotes:int,pre:boolean,quiet:boolean,linked:boolean,number:int,tag:string,attrs:map<string,string>,text:string>>"
 )
 
 
 class _Element:
     """An open element, and the context of the text inside it."""
 
-    __slots__ = ("tag", "attrs", "id", "block", "item", "lists", "quotes", "pre", "cell", "count")
+    __slots__ = ("tag", "attrs", "id", "block", "item", "lists", "quotes", "pre", "quiet", "linked", "cell", "count")
 
     def __init__(self, tag, attrs, ident, around, is_edge):
         self.tag, self.attrs, self.id = tag, attrs, ident
@@ -102,6 +106,9 @@ class _Element:
         self.lists = (around.lists if around else 0) + (tag in ("ul", "ol"))
         self.quotes = (around.quotes if around else 0) + (tag == "blockquote")
         self.pre = bool(around and around.pre) or tag == "pre"
+        self.quiet = bool(around and around.quiet) or tag in QUIET
+        # an element's own events are not inside it
+        self.linked = bool(around and (around.linked or around.tag == "a"))
         self.cell = bool(around and around.cell) or tag in CELL
         self.count = 0
 
@@ -151,9 +158,12 @@ class _Events:
         ident, top = len(self.rows), self.stack[-1]
         owner = element or top
         parent = top.id if element is not top else (self.stack[-2].id if len(self.stack) > 1 else -1)
+        own = element or top
+        quiet = own.quiet or tag in QUIET
+        linked = own.linked or (element is None and top.tag == "a")
         self.rows.append(
             (kind, ident, ident if kind == "text" or not element else owner.id, parent, edge, top.block,
-             top.item, top.lists, top.quotes, top.pre, number, tag, attrs, text)
+             top.item, top.lists, top.quotes, top.pre, quiet, linked, number, tag, attrs, text)
         )
 
     def _number(self, tag, attrs):
@@ -260,9 +270,9 @@ def _events(batch: pa.Array) -> pa.Array:
         rows.extend(page.rows)
         lasts.extend([page.lasts.get(r[2], r[1]) for r in page.rows])
         offsets.append(len(rows))
-    columns = list(zip(*rows)) if rows else [()] * 14
+    columns = list(zip(*rows)) if rows else [()] * 16
     columns.insert(3, lasts)
-    columns[13] = [list(a.items()) if a else [] for a in columns[13]]
+    columns[15] = [list(a.items()) if a else [] for a in columns[15]]
     flat = pa.StructArray.from_arrays(
         [pa.array(c, type=f.type) for c, f in zip(columns, EVENT)], fields=list(EVENT)
     )

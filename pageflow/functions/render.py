@@ -134,10 +134,7 @@ def _block(events: Column, all_events: Column, start: Column, end: Column, gfm:
     def described(run: Column) -> Column:
         first = F.get(run, F.lit(0))
         holder = at(first["block"])
-        links = F.filter(run, lambda e: (e["tag"] == "a") & (e["kind"] == "open"))
-        linked = F.filter(
-            run, lambda e: F.exists(links, lambda a: (a["id"] < e["id"]) & (e["id"] < a["last"]))
-        )
+        linked = F.filter(run, lambda e: e["linked"])
         classes = F.transform(
             run, lambda e: F.regexp_extract(F.coalesce(e["attrs"]["class"], F.lit("")), r"language-(\S+)", 1)
         )
@@ -180,14 +177,6 @@ def blocks(events: Column, all_events: Column, gfm: Column) -> Column:
             F.concat(F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), F.array(F.size(kept))).alias("end"),
         ))
 
-    silent = ("script", "style", "noscript", "svg", "canvas", "template")
-
-    def spoken(kept: Column) -> Column:
-        found = F.filter(kept, lambda e: e["tag"].isin(*silent) & (e["kind"] == "open"))
-        return bind(found, lambda quiet: F.filter(
-            kept, lambda e: ~F.exists(quiet, lambda q: (q["id"] <= e["id"]) & (e["id"] <= q["last"]))
-        ))
-
     def described(kept: Column) -> Column:
         spans = F.when(F.size(kept) > 0, cut(kept))
         every = F.transform(spans, lambda s: _block(kept, all_events, s["start"], s["end"], gfm))
@@ -197,7 +186,7 @@ def blocks(events: Column, all_events: Column, gfm: Column) -> Column:
             | (b["tag"].isin("td", "th") & b["opens"]),
         )
 
-    return bind(spoken(events), described)
+    return bind(F.filter(events, lambda e: ~e["quiet"]), described)
 
 
 def _block_markdown(block: Column, before: Column, after: Column, gfm: Column) -> Column:

@@ -85,9 +85,10 @@ def matching(events: Column, selector: str) -> Column:
         if not before:
             return fits(event)
         if child:
-            above = lambda a: a["id"] == event["parent"]
-        else:
-            above = lambda a: (a["id"] < event["id"]) & (event["id"] <= a["last"])
+            place = event["parent"] - F.get(events, F.lit(0))["id"]
+            parent = F.when(place >= 0, F.get(events, place))
+            return fits(event) & bind(parent, lambda a: a.isNotNull() & F.coalesce(reaches(before, a), F.lit(False)))
+        above = lambda a: (a["id"] < event["id"]) & (event["id"] <= a["last"])
         return fits(event) & F.exists(events, lambda a: above(a) & reaches(before, a))
 
     def matched(event: Column) -> Column:
@@ -180,7 +181,32 @@ def covers(element: Column, event: Column) -> Column:
 
 
 def _outside(events: Column, found: Column) -> Column:
-    return bind(found, lambda ms: F.filter(events, lambda e: ~F.exists(ms, lambda m: covers(m, e))))
+    """Events outside all elements found, for events without a gap, as a page or an element has.
+
+    Elements lie side by side or within each other, so what is kept are the
+    stretches between the outermost ones.  Each is cut out once.
+    """
+    step = F.struct(F.lit(-1).alias("until"), F.array().cast("array<struct<id:int,last:int>>").alias("outer"))
+
+    def outermost(acc: Column, m: Column) -> Column:
+        fresh = m["id"] > acc["until"]
+        span = F.array(F.struct(m["id"].alias("id"), m["last"].alias("last")))
+        return F.struct(
+            F.when(fresh, m["last"]).otherwise(acc["until"]).alias("until"),
+            F.when(fresh, F.concat(acc["outer"], span)).otherwise(acc["outer"]).alias("outer"),
+        )
+
+    outer = F.aggregate(found, step, outermost, lambda acc: acc["outer"])
+
+    def stretches(spans: Column) -> Column:
+        base = F.get(events, F.lit(0))["id"]
+        starts = F.concat(F.array(base), F.transform(spans, lambda m: m["last"] + 1))
+        ends = F.concat(F.transform(spans, lambda m: m["id"]), F.array(base + F.size(events)))
+        gaps = F.arrays_zip(starts.alias("a"), ends.alias("b"))
+        cut = F.transform(gaps, lambda g: F.slice(events, g["a"] - base + 1, F.greatest(g["b"] - g["a"], F.lit(0))))
+        return F.when(F.size(spans) == 0, events).otherwise(F.flatten(cut))
+
+    return bind(outer, stretches)
 
 
 def without(events: Column, selector: str) -> Column:

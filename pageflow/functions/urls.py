@@ -153,6 +153,7 @@ def host_of(col: Column) -> Column:
 
 
 def is_result_url(col: Column) -> Column:
-    """True for links worth fetching: http(s) or relative, but no search link."""
+    """True for links worth fetching: http(s) that resolves, or relative, but no search link."""
     scheme = F.lower(F.regexp_extract(F.trim(col), r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
-    return F.coalesce((col != "") & ~col.startswith("/search") & scheme.isin("", "http", "https"), F.lit(False))
+    resolves = (scheme == "") | (scheme.isin("http", "https") & http_url(col).isNotNull())
+    return F.coalesce((col != "") & ~col.startswith("/search") & resolves, F.lit(False))

@@ -19,15 +19,33 @@ def has_readable_type(content_type: Column) -> Column:
     return F.coalesce(content_type.rlike("text|html|xml"), F.lit(False))
 
 
+def _with_events(df: DataFrame) -> DataFrame:
+    """The page's tree events as ``_events``, made once for all that needs them."""
+    return df if "_events" in df.columns else df.withColumn("_events", html_events(F.col("html")))
+
+
+def _first(events: Column, fits) -> Column:
+    return F.get(F.filter(events, lambda e: e["kind"].isin("open", "void") & fits(e)), F.lit(0))
+
+
 def with_metadata(df: DataFrame) -> DataFrame:
-    """Title, description, author and language of the page as fetched."""
-    html = F.col("html")
-    return df.withColumns(
+    """Title, description, author and language of the page as fetched, from its tree.
+
+    The first title's text as it stands; the content of the first ``meta`` of
+    that name; empty values are missing.  The events stay for ``with_content``.
+    """
+    events = F.col("_events")
+
+    def meta(name: str) -> Column:
+        return F.nullif(_first(events, lambda e: (e["tag"] == "meta") & (e["attrs"]["name"] == name))["attrs"]["content"], F.lit(""))
+
+    title = _first(events, lambda e: e["tag"] == "title")
+    return _with_events(df).withColumns(
         {
-            "title": native.page_title(html),
-            "description": native.meta_content(html, "description"),
-            "author": native.meta_content(html, "author"),
-            "language_code": native.language_of(html),
+            "title": F.coalesce(bind(title, lambda t: F.when(t.isNotNull(), css.text_of(css.subtree(events, t)))), F.lit("")),
+            "description": meta("description"),
+            "author": meta("author"),
+            "language_code": F.nullif(_first(events, lambda e: e["tag"] == "html")["attrs"]["lang"], F.lit("")),
         }
     )
 
@@ -207,7 +225,7 @@ def with_content(df: DataFrame, settings: S.ContentSettings = S.ContentSettings(
     done = bind(
         _title_of(events), lambda title: bind(kept, lambda k: F.when(k.isNotNull(), made(title, k)))
     )
-    df = df.withColumn("_events", html_events(F.col("html"))).withColumn("_made", done)
+    df = _with_events(df).withColumn("_made", done)
     df = df.withColumn("processed_html", F.col("_made.processed_html"))
     if "markdown" in formats:
         df = df.withColumn("markdown", F.nullif(F.col("_made.markdown"), F.lit("")))
@@ -224,7 +242,7 @@ def blocks_table(df: DataFrame, key: str, settings: S.ContentSettings = S.Conten
     kept = bind(render.body_events(events), lambda body: css.without(body, settings.remove_selector))
     found = bind(kept, lambda k: render.blocks(k, events, F.lit(True)))
     return (
-        df.withColumn("_events", html_events(F.col("html")))
+        _with_events(df)
         .select(key, F.posexplode(found).alias("block_no", "block"))
         .select(
             key,

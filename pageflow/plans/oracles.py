@@ -60,7 +60,7 @@ BODY = _drop(
     r"regexp_extract(html, '(?is)<body[^>]*>(.*?)(?:</body\s*>|\z)', 1)", "script style noscript svg nav footer"
 )
 RAW_TITLE = r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title\s*>', 1)"
-TITLE = _tidy(_entities(RAW_TITLE))
+TITLE = _entities(RAW_TITLE)
 DOCUMENT = (
     f"""'<html lang=""><head><title>' || {_sub(RAW_TITLE, r"^\s+|\s+$")} || '</title></head><body>' || """
     f"""{_sub(BODY, r"^\s+|\s+$")} || '</body></html>'"""

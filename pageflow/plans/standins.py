@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pageflow import settings as S
 from pageflow.functions import text as native, urls
+from pageflow.operators.content import with_content, with_metadata
 from pageflow.operators.requests import parse_parameters, validate
 from pageflow.operators.search import build_index
 from pageflow.sources.shared import fresh_path, staged
@@ -226,14 +227,14 @@ def serp_pages(spark: SparkSession, root: str) -> DataFrame:
 
 
 def page_corpus(spark: SparkSession, root: str) -> DataFrame:
-    """(doc_id, host, url, title, text) of the pages, by built-in functions only."""
-    body = native.remove_tags(native.body_of(F.col("html")), native.REMOVED_TAGS)
-    return pages(spark, root).select(
+    """(doc_id, host, url, title, text) of the pages, out of their trees."""
+    read = with_content(with_metadata(pages(spark, root)), S.ContentSettings(output_formats=("text",)))
+    return read.select(
         F.col("page_id").alias("doc_id"),
         urls.host_of(F.col("url")).alias("host"),
         urls.http_url(F.col("url")).alias("url"),
-        native.page_title(F.col("html")).alias("title"),
-        F.concat_ws(" ", native.page_title(F.col("html")), native.layout(body)).alias("text"),
+        "title",
+        F.concat_ws(" ", "title", "text").alias("text"),
     )
 
 

@@ -63,6 +63,10 @@ LINKS = [
     ("page.html", True),
     ("//other.example/x", True),
     ("/search?q=1", False),
+    ("http://", False),
+    ("https://exa mple.com/", False),
+    ("http://[bad/", False),
+    ("https://a.example/a b", True),
     ("mailto:a@example.com", False),
     ("javascript:void(0)", False),
     ("", False),
