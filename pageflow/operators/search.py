@@ -11,6 +11,8 @@ per phrase and task, not the pairs that share a term.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,9 +99,16 @@ def _weights(wanted: DataFrame, index: DataFrame, settings: SearchSettings) -> D
     return wanted.join(found, "term").withColumn("idf", weight).filter("idf > 0").drop("df")
 
 
-def search(phrases: DataFrame, index: DataFrame, settings: SearchSettings = SearchSettings()) -> DataFrame:
+def search(
+    phrases: DataFrame,
+    index: DataFrame,
+    settings: SearchSettings = SearchSettings(),
+    choose: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """The ``top_k`` best documents of each phrase: (query_id, doc_id, score, rank).
 
+    ``choose`` may drop scored documents (query_id, doc_id, score) before the cut.
+
     ``index`` should be a stored table: it is read for its size, for the
     document frequencies and for the scores.
     """
@@ -123,5 +132,7 @@ def search(phrases: DataFrame, index: DataFrame, settings: SearchSettings = Sear
         .groupBy("query_id", "doc_id")
         .agg(F.round(F.sum(gain), 6).alias("score"))
     )
+    if choose is not None:
+        scored = choose(scored)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= settings.top_k)

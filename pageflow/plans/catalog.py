@@ -9,7 +9,7 @@ from pageflow import schemas, settings as S
 from pageflow.functions import text as native, urls
 from pageflow.operators import content, context, hits, latency, requests, responses, search, serp
 from pageflow.plans import standins as T
-from pageflow.plans.retrieval import retrieve
+from pageflow.plans.retrieval import respond, retrieve
 from pageflow.sources.shared import fresh_path, only_wanted, staged
 from pageflow.sources.tables import append_results, read_results, read_stream, read_table
 from pageflow.streaming import jobs
@@ -469,7 +469,7 @@ def answer_phrases(spark: SparkSession, root: str) -> DataFrame:
 
 def retrieve_results(spark: SparkSession, root: str) -> DataFrame:
     """Requests of both kinds to their ranked results."""
-    found = retrieve(T.typed_requests(spark, root), T.fetched(spark, root), T.page_index(spark, root), TEXT_ONLY)
+    found = retrieve(T.typed_requests(spark, root), T.fetched(spark, root), T.copied_index(spark, root), TEXT_ONLY)
     return found.select(
         "request_id",
         "rank",
@@ -483,6 +483,19 @@ def retrieve_results(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def respond_requests(spark: SparkSession, root: str) -> DataFrame:
+    """One response for every request, bad ones and phrases without a hit included."""
+    asked = T.typed_requests(spark, root)
+    found = staged(retrieve(asked, T.fetched(spark, root), T.copied_index(spark, root), TEXT_ONLY), "retrieved")
+    body = F.from_json("body", "array<struct<metadata:struct<url:string>,crawl:struct<request_status:string>>>")
+    return respond(asked, found).select(
+        "request_id",
+        "http_status",
+        F.when(F.col("http_status") == 200, F.array_join(F.transform(body, lambda r: r["metadata"]["url"]), " ")).alias("urls"),
+        F.when(F.col("http_status") != 200, F.get_json_object("body", "$.errorMessage")).alias("error"),
+    )
+
+
 # -- streams ----------------------------------------------------------------
 
 
@@ -552,7 +565,7 @@ QUERIES = {
         results_with_content, result_preview, response_merge, response_deadline, response_complete, response_status,
         cancel_expired, response_sorted, response_json, result_messages, run_stats,
         stage_deltas, stage_relative, stage_latency_avg, request_time_taken,
-        context_pack, context_request, answer_phrases, retrieve_results,
+        context_pack, context_request, answer_phrases, retrieve_results, respond_requests,
         stream_extract, stream_response_deadline, stream_response_early, stream_last_outcome,
     )
 }

@@ -525,9 +525,27 @@ ORACLES["answer_phrases"] = f"""WITH {PHRASES}, {PAGE_CORPUS}, {BM25}, {_MARKDOW
     FROM best JOIN markdown ON page_id = doc_id WHERE rank <= 3)
     SELECT query_id, count(*) AS n_results, string_agg(part, chr(10) ORDER BY rank) AS context
     FROM parts GROUP BY query_id"""
-ORACLES["retrieve_results"] = f"""WITH {PHRASES}, {PAGE_CORPUS}, {BM25}, {FETCHED}, wanted_pages AS (
-    SELECT page_id AS request_id, page_id, NULL::BIGINT AS rank, 1 AS place FROM pages
-    UNION ALL SELECT -query_id - 1, doc_id, rank, rank FROM best WHERE rank <= greatest(1, query_id % 5))
+COPIED = PAGE_CORPUS.rstrip(")\n") + f"""
+  UNION ALL SELECT page_id + copy * 1000000000, {HOST}, title || ' ' || {_layout('body')}
+  FROM clean, range(1, 121) c(copy) WHERE page_id = 7
+), {BM25}, singles AS (
+  SELECT s.query_id, p.page_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p.page_id) AS rank
+  FROM (SELECT query_id, doc_id % 1000000000 AS page_id, max(score) AS score FROM scores GROUP BY ALL) s
+  JOIN clean p USING (page_id) WHERE p.title <> ''
+), wanted_pages AS (
+  SELECT page_id AS request_id, page_id, NULL::BIGINT AS rank, 1 AS place FROM pages
+  UNION ALL SELECT -query_id - 1, page_id, rank, rank FROM singles
+  WHERE rank <= greatest(1, query_id % 5) AND query_id % 7 <> 3
+)"""
+ORACLES["respond_requests"] = f"""WITH {PHRASES}, {COPIED}, {FETCHED}, asked AS (
+    SELECT page_id AS request_id, NULL AS error FROM pages UNION ALL
+    SELECT -query_id - 1, CASE WHEN coalesce(phrase, '') = '' THEN 'The `query` parameter must be provided and non-empty.'
+      WHEN query_id % 7 = 3 THEN 'The `outputFormats` array may only contain `text`, `markdown`, or `html`.' END FROM phrases)
+    SELECT request_id, CASE WHEN any_value(a.error) IS NULL THEN 200 ELSE 400 END::BIGINT AS http_status,
+      CASE WHEN any_value(a.error) IS NULL THEN coalesce(string_agg(f.url, ' ' ORDER BY place), '') END AS urls,
+      any_value(a.error) AS error
+    FROM asked a LEFT JOIN wanted_pages w USING (request_id) LEFT JOIN fetched f USING (page_id) GROUP BY request_id"""
+ORACLES["retrieve_results"] = f"""WITH {PHRASES}, {COPIED}, {FETCHED}
     SELECT request_id, rank, place AS position, f.url,
       CASE WHEN error IS NULL AND readable THEN 'handled' ELSE 'failed' END AS request_status,
       CASE WHEN error IS NOT NULL THEN 500 ELSE status END AS http_status_code,

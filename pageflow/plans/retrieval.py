@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,11 +44,15 @@ def plan_pages(requests: DataFrame, index: DataFrame, search_settings: S.SearchS
 
     asked = routed.filter("route = 'search'")
     phrases = asked.select(F.col("request_id").alias("query_id"), F.col("target").alias("phrase"))
-    # the search reads one page of results more than it needs, as repeats drop out
-    deep = S.NUMBER_BOUNDS["maxResults"][1] + S.RESULTS_PER_PAGE
-    found = search(phrases, index, S.SearchSettings(
-        search_settings.k1, search_settings.b, deep, search_settings.broadcast_rows)).alias("f")
-    listed = found.join(index.select("doc_id", "url", "title"), "doc_id").select(
+    most = S.NUMBER_BOUNDS["maxResults"][1]
+    described = index.select("doc_id", "url", "title")
+    found = search(
+        phrases,
+        index,
+        replace(search_settings, top_k=most),
+        lambda scored: first_of_each_result(scored, described),
+    )
+    unique = found.join(described, "doc_id").select(
         "query_id",
         F.floor((F.col("rank") - 1) / S.RESULTS_PER_PAGE).alias("page"),
         F.col("rank").alias("pos"),
@@ -55,11 +61,10 @@ def plan_pages(requests: DataFrame, index: DataFrame, search_settings: S.SearchS
         "url",
         F.lit("ORGANIC").alias("result_type"),
     )
-    unique = hits.deduplicate(hits.valid_results(listed), "query_id")
     limits = asked.select(
         F.col("request_id").alias("query_id"), "max_results", F.col("target").alias("query"), *CARRIED[1:]
     )
-    best = hits.ranked(unique.join(limits, "query_id"), F.col("max_results"))
+    best = hits.ranked(unique.join(limits, "query_id"), F.col("max_results"), most)
     by_search = hits.page_requests(best, *CARRIED).select(
         F.col("query_id").alias("request_id"),
         "response_id",
@@ -72,6 +77,17 @@ def plan_pages(requests: DataFrame, index: DataFrame, search_settings: S.SearchS
     return direct.unionByName(by_search)
 
 
+def first_of_each_result(scored: DataFrame, described: DataFrame) -> DataFrame:
+    """Of the documents (query_id, doc_id, score) the best for each valid title and URL.
+
+    ``described`` is (doc_id, url, title).  Copies of a page count once, before
+    any cut, so that they cannot crowd out other results.
+    """
+    listed = hits.valid_results(scored.join(described, "doc_id"))
+    best = F.min_by(F.struct("doc_id", "score"), F.struct(-F.col("score"), "doc_id"))
+    return listed.groupBy("query_id", "title", "url").agg(best.alias("b")).select("query_id", "b.doc_id", "b.score")
+
+
 def retrieve(
     requests: DataFrame,
     fetched: DataFrame,
@@ -86,12 +102,16 @@ def retrieve(
     is a stored ``build_index`` table with url and title.  A page is processed
     once per selector and transformer, however many requests ask for it;
     ``content_settings`` names the formats made, of which each request gets its own.
-    A page nobody fetched leaves its request pending, which fails at the end.
+    A page nobody fetched leaves its request pending, which fails at the end;
+    so does, where requests have ``created_at``, one fetched after its timeout.
+    Bad requests and phrases without a hit have no result; ``respond`` answers them.
     """
     job_key = stable_id(F.col("url"), *[F.col(c).cast("string") for c in content.ROW_SETTINGS])
-    planned = staged(
-        plan_pages(requests, index, search_settings).withColumn("job_key", job_key), "page-requests"
-    )
+    planned = responses.sort_by_rank(plan_pages(requests, index, search_settings)).withColumn("job_key", job_key)
+    timed = "created_at" in requests.columns
+    if timed:
+        planned = planned.join(requests.select("request_id", "created_at", "request_timeout_secs"), "request_id")
+    planned = staged(planned, "page-requests")
     # one job per page and set of settings, however many requests share it
     jobs = staged(planned.select("job_key", "url", *content.ROW_SETTINGS).distinct(), "page-jobs")
     pages = fetched.withColumn("url", urls.http_url(F.col("url")))
@@ -120,6 +140,9 @@ def retrieve(
         "crawl.http_status_code", "crawl.http_status_message", "crawl.request_status", "crawl.loaded_at",
     )
     merged = planned.join(records, "job_key", "left")
+    if timed:
+        late = ~responses.in_time(F.col("created_at"), F.col("loaded_at"), F.col("request_timeout_secs"))
+        merged = merged.withColumn("request_status", F.when(late, F.lit(None)).otherwise(F.col("request_status")))
     asked = lambda name: F.when(F.array_contains("output_formats", name), F.col(name))
     handled = F.col("request_status") == S.HANDLED
     closed = responses.close(
@@ -128,9 +151,46 @@ def retrieve(
                 "request_status": F.coalesce("request_status", F.lit(S.PENDING)),
                 "title": F.col("metadata.title"),
                 "text": F.when(handled, asked("text")).otherwise(F.lit("")),
-                "html": asked("html"),
-                "markdown": asked("markdown"),
+                "html": F.when(handled, asked("html")),
+                "markdown": F.when(handled, asked("markdown")),
             }
         )
     )
-    return responses.sort_by_rank(closed).drop("metadata", "job_key", *CARRIED[1:])
+    return closed.drop("job_key", *CARRIED[1:])
+
+
+RECORD = ("text", "html", "markdown", "query", "crawl", "search_result", "metadata")
+
+
+def respond(requests: DataFrame, results: DataFrame) -> DataFrame:
+    """(request_id, http_status, body) for every request, whatever became of it.
+
+    ``requests`` as for ``retrieve``, ``results`` from it.  Results in order as a
+    JSON array with status 200; a bad request 400 and its message; a search
+    without hits 200 and an empty array; a response of which nothing came in time
+    500 and a message.
+    """
+    waiting = (F.col("request_status") == S.FAILED) & F.col("http_status_message").eqNullSafe(S.MSG_TIMED_OUT)
+    crawl = F.struct("http_status_code", "http_status_message", "loaded_at", "request_status", "unique_key")
+    rows = results.select(
+        F.col("request_id").alias("response_id"),
+        "unique_key",
+        F.col("position").alias("rank"),
+        *[crawl.alias(c) if c == "crawl" else F.col(c) for c in RECORD],
+        waiting.alias("waiting"),
+        (F.col("request_status") == S.HANDLED).alias("handled"),
+    )
+    state = rows.groupBy("response_id").agg((F.some("handled") | ~F.some("waiting")).alias("answered"))
+    rows = rows.join(state, "response_id")
+    nothing = state.filter("NOT answered").select(
+        "response_id", F.lit(500).alias("http_status"), F.lit(S.MSG_TIMED_OUT).alias("error")
+    )
+    without = requests.join(state, requests["request_id"] == state["response_id"], "left_anti").select(
+        F.col("request_id").alias("response_id"),
+        F.when(F.col("error").isNotNull(), 400).otherwise(200).alias("http_status"),
+        "error",
+    )
+    answered = rows.filter("answered")
+    return responses.response_json(answered, F.struct(*RECORD), nothing.unionByName(without)).withColumnRenamed(
+        "response_id", "request_id"
+    )

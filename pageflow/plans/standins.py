@@ -63,7 +63,11 @@ def typed_requests(spark: SparkSession, root: str) -> DataFrame:
     n = F.col("query_id")
     asked = phrases(spark, root).select(
         (-n - 1).alias("request_id"),
-        F.concat(F.lit("?outputFormats=text&maxResults="), n % 5, F.lit("&query="), F.url_encode("phrase")).alias("raw"),
+        # one in seven asks for a format that does not exist
+        F.concat(
+            F.when(n % 7 == 3, "?outputFormats=pdf&maxResults=").otherwise("?outputFormats=text&maxResults="),
+            n % 5, F.lit("&query="), F.url_encode("phrase"),
+        ).alias("raw"),
     )
     return validate(parse_parameters(direct.unionByName(asked)))
 
@@ -242,6 +246,15 @@ def page_index(spark: SparkSession, root: str) -> DataFrame:
     return staged(build_index(page_corpus(spark, root)), "page-index")
 
 
+def copied_index(spark: SparkSession, root: str) -> DataFrame:
+    """The page index with 120 more copies of one page, as a crawl has them."""
+    corpus = page_corpus(spark, root)
+    numbers = F.sequence(F.lit(1), F.lit(120)).cast("array<bigint>")
+    copies = corpus.filter("doc_id = 7").withColumn("copy", F.explode(numbers))
+    copies = copies.withColumn("doc_id", F.col("doc_id") + F.col("copy") * 1_000_000_000).drop("copy")
+    return staged(build_index(corpus.unionByName(copies)), "copied-index")
+
+
 def document_index(spark: SparkSession, root: str) -> DataFrame:
     corpus = spread(read_table(spark, root, "documents")).select("doc_id", F.lit("").alias("host"), "text")
     return staged(build_index(corpus), "document-index")
