@@ -20,6 +20,34 @@ def stable_id(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *marked), 256), 1, 32)
 
 
+# -- typed records ---------------------------------------------------------
+
+# columns of a typed request -> the parameter that ``validate`` reads
+TYPED = {
+    "query": "query",
+    "max_results": "maxResults",
+    "output_formats": "outputFormats",
+    "request_timeout_secs": "requestTimeoutSecs",
+    "remove_elements_css_selector": "removeElementsCssSelector",
+    "html_transformer": "htmlTransformer",
+}
+
+
+def from_typed(df: DataFrame) -> DataFrame:
+    """Typed request records as parsed parameters, ready for ``validate``.
+
+    Parameters that the record does not have are missing and get their defaults.
+    """
+    given = {parameter: column for column, parameter in TYPED.items() if column in df.columns}
+    empty = {n: F.lit(None).cast("array<string>" if n == "outputFormats" else "string") for n in S.PARAMETER_NAMES}
+    parameters = [
+        (F.col(given[n]) if n == "outputFormats" else F.col(given[n]).cast("string")).alias(n) if n in given else empty[n].alias(n)
+        for n in S.PARAMETER_NAMES
+    ]
+    kept = [c for c in df.columns if c not in TYPED and c not in S.PARAMETER_NAMES]
+    return df.select(*kept, *parameters)
+
+
 # -- query strings ----------------------------------------------------------
 
 

@@ -114,8 +114,7 @@ def search(
     """
     weights = staged(_weights(phrase_terms(phrases), index, settings), "weights")
     mean_length = index.agg(F.avg("doc_length")).scalar()
-    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = index.repartition(tasks, "doc_id").withColumn("site", F.explode(_sites_of(F.col("host"))))
+    placed = index.repartition("doc_id").withColumn("site", F.explode(_sites_of(F.col("host"))))
     # a document stands under '' and each of its domains; drop those not asked for
     sites = weights.select("site").distinct()
     if sites.count() <= settings.broadcast_rows:

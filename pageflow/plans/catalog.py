@@ -11,7 +11,7 @@ from pageflow.operators import content, context, hits, latency, requests, respon
 from pageflow.plans import standins as T
 from pageflow.plans.retrieval import respond, retrieve
 from pageflow.sources.shared import fresh_path, only_wanted, staged
-from pageflow.sources.tables import append_results, read_results, read_stream, read_table
+from pageflow.sources.tables import append_results, read_requests, read_results, read_stream, read_table
 from pageflow.streaming import jobs
 
 TEXT_ONLY = S.ContentSettings(output_formats=("text",))
@@ -69,6 +69,24 @@ def validate_params(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def typed_input(spark: SparkSession, root: str) -> DataFrame:
+    """Request records, written as JSON lines and read back, through the same checks."""
+    n = F.col("query_id")
+    asked = T.phrases(spark, root).select(
+        n.alias("request_id"),
+        F.when(n % 11 != 0, F.col("phrase")).alias("query"),
+        F.when(n % 3 != 0, n % 130 - 10).alias("max_results"),
+        F.when(n % 4 == 1, F.array(F.lit("text"), F.lit("html"))).when(n % 4 == 2, F.array(F.lit("pdf"))).alias("output_formats"),
+        (n % 900).alias("request_timeout_secs"),
+    )
+    path = fresh_path(spark, "typed-requests")
+    asked.write.json(path)
+    checked = requests.validate(requests.from_typed(read_requests(spark, path)))
+    return checked.select(
+        "request_id", "max_results", F.array_join("output_formats", "|").alias("output_formats"), "request_timeout_secs", "error"
+    )
+
+
 def search_page_plan(spark: SparkSession, root: str) -> DataFrame:
     checked = requests.validate(requests.parse_parameters(T.query_strings(spark, root)))
     plan = requests.search_page_plan(checked.filter("error IS NULL"))
@@ -434,7 +452,9 @@ def _ranked_pages(spark: SparkSession, root: str, top_k: int) -> DataFrame:
 
 
 def context_pack(spark: SparkSession, root: str) -> DataFrame:
-    joined = _with_pages(_final_hits(spark, root), spark, root, MARKDOWN_ONLY)
+    # only what a context holds reads its page
+    wanted = _final_hits(spark, root).filter(F.col("rank") <= S.CONTEXT_RESULTS)
+    joined = _with_pages(wanted, spark, root, MARKDOWN_ONLY)
     return context.pack(joined.withColumn("rank", _long("rank"))).select(
         "query_id", "n_results", F.md5("context").alias("context_md5"), _long(F.length("context")).alias("n_chars")
     )
@@ -557,7 +577,7 @@ def stream_last_outcome(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        interpret_as_url, route_requests, parse_params, validate_params, search_page_plan, page_by_url,
+        interpret_as_url, route_requests, parse_params, validate_params, typed_input, search_page_plan, page_by_url,
         serp_extract, valid_results, dedup_results, topk_rank, paginate_results, page_requests, empty_searches,
         search_bm25, search_documents, search_site,
         content_type_split, page_metadata, remove_elements, remove_selector, clean_html, page_text, oversize_text,

@@ -379,6 +379,16 @@ ORACLES = {
         g AS serp_proxy_group, 1::BIGINT AS serp_max_retries, s AS scraping_tool,
         flag <> 'cookie=false' AS remove_cookie_warnings, flag = 'debug=true' AS debug_mode,
         CASE WHEN n_max IS NULL THEN 'maxResults' ELSE '' END AS replaced, error FROM checked""",
+    "typed_input": f"""WITH {PHRASES}, records AS (
+        SELECT query_id AS request_id, CASE WHEN query_id % 11 <> 0 THEN phrase END AS query,
+          CASE WHEN query_id % 3 <> 0 THEN query_id % 130 - 10 END AS wanted, query_id % 4 AS kind,
+          query_id % 900 AS timeout FROM phrases)
+        SELECT request_id, greatest(1, least(100, coalesce(wanted, 3)))::BIGINT AS max_results,
+          CASE kind WHEN 1 THEN 'text|html' WHEN 2 THEN 'pdf' ELSE 'markdown' END AS output_formats,
+          greatest(1, least(600, timeout))::BIGINT AS request_timeout_secs,
+          CASE WHEN coalesce(query, '') = '' THEN 'The `query` parameter must be provided and non-empty.'
+            WHEN kind = 2 THEN 'The `outputFormats` array may only contain `text`, `markdown`, or `html`.' END AS error
+        FROM records""",
     "search_page_plan": f"""WITH {QUERY_STRINGS}, plan AS (
         SELECT *, CAST(ceil(m / 10.0) AS BIGINT) + 1 AS total_pages FROM checked WHERE error IS NULL)
         SELECT request_id, page, total_pages,

@@ -4,10 +4,9 @@ REQUESTS = (
     "request_id BIGINT, raw STRING, query STRING, max_results BIGINT, output_formats ARRAY<STRING>, "
     "request_timeout_secs BIGINT, remove_elements_css_selector STRING, html_transformer STRING"
 )
-SERP_PAGES = "query_id BIGINT, page INT, html STRING"
 PAGES = "page_id BIGINT, url STRING, html STRING"
 FETCHED_PAGES = (
-    "url STRING, loaded_url STRING, status INT, content_type STRING, html STRING, loaded_at TIMESTAMP"
+    "url STRING, loaded_url STRING, status INT, content_type STRING, error STRING, html STRING, loaded_at TIMESTAMP"
 )
 EVENTS = (
     "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"

@@ -32,6 +32,11 @@ def read_requests(spark: SparkSession, path: str, fmt: str = "json") -> DataFram
     return spark.read.format(fmt).schema(schemas.REQUESTS).load(path)
 
 
+def read_fetched(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Fetched pages as ``plans.retrieval.retrieve`` takes them."""
+    return spark.read.format(fmt).schema(schemas.FETCHED_PAGES).load(path)
+
+
 def read_request_stream(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     return spark.readStream.format(fmt).schema(schemas.REQUESTS).load(path)
 
