@@ -3,10 +3,11 @@
 Sets of one size band are cut into one tile more than two sets of the band can
 differ in elements if they are similar enough; so similar sets agree on a whole
 tile, and nothing is lost.  Sets that share a tile are compared with one leader
-first.  The number of bits in which two hashed bitmaps differ is a lower bound
-of the difference and dismisses most pairs; the sorted hashes decide the rest.
-Pairs that still are in different components are compared afterwards, so no
-pair within a component is ever listed and no link is lost.
+first, the one that shares most.  Members of a tile that still are in different
+components are then compared part by part, so no pair within a component is
+looked at and no link is lost.  The number of bits in which two hashed bitmaps
+differ is a lower bound of the sets' difference, hence an upper bound of their
+overlap, and dismisses most pairs; intersecting the sorted hashes decides the rest.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ class JaccardSettings:
     #: Largest size of a band over its smallest.
     band_ratio: float = 1.4
     bitmap_bits: int = 1024
+    #: Members of a tile compared at once.
+    tile_part: int = 512
     #: Lower-case A-Z before anything else.
     fold_ascii: bool = True
 
@@ -245,29 +248,79 @@ def jaccard_components(
     sets = staged(sets, "node-sets")
     tiles = staged(found.where("kind = 2").select(F.col("value").alias("tile"), "node").distinct(), "tiles")
 
-    leaders = tiles.groupBy("tile").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
-    tiles = staged(tiles.join(leaders.select("tile", "a"), "tile"), "led-tiles")
-    first = tiles.where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    sizes = tiles.groupBy("tile").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    tiles = staged(tiles.join(sizes, "tile"), "shared-tiles")
+    weights = tiles.groupBy("node").agg(F.sum("rows").alias("weight"))
+    leaders = tiles.join(weights, "node").groupBy("tile").agg(F.max(F.struct("weight", "node"))["node"].alias("a"))
+    first = tiles.join(leaders, "tile").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    first = staged(first, "first-pairs")
     links = staged(_linked_pairs(first, sets, settings), "links")
-    roots = components(links)
-
-    rooted = tiles.join(roots, "node", "left").select("tile", "node", F.coalesce("root", "node").alias("root"))
-    mixed_tiles = rooted.groupBy("tile").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y")
-    rooted = staged(rooted.join(mixed_tiles.select("tile"), "tile", "left_semi"), "mixed-tiles")
-    other = rooted.select("tile", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    rest = rooted.withColumnRenamed("node", "a").join(other, "tile").where("a < b AND root <> root_b").select("a", "b").distinct()
-    more = _linked_pairs(rest.join(first, ["a", "b"], "left_anti"), sets, settings)
-    links = staged(links.unionByName(more), "links")
-    roots = components(links)
-
-    joined = texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = joined.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("smallest"))
-    return joined.join(smallest, "root", "left").select(
+
+    more = _linked_pairs(_open_pairs(tiles, components(links), first, sets, settings), sets, settings)
+    roots = components(staged(links.unionByName(more), "links"))
+
+    nodes = texts.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
+    nodes = staged(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    smallest = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = nodes.join(smallest, "root").select("node", "component_id")
+    return texts.join(named, "node", "left").select(
         "doc_id",
         "n_shingles",
         "node",
-        F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+    )
+
+
+def _open_pairs(tiles: DataFrame, roots: DataFrame, tested: DataFrame, sets: DataFrame, settings: JaccardSettings) -> DataFrame:
+    """Pairs (a, b) of one tile but different components that sizes and bitmaps do not rule out.
+
+    Members of a tile are compared in parts of bounded size, within the task;
+    pairs that were ruled out or tested before never leave it.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[np.ndarray] = []
+            for i in range(len(batch)):
+                x, y = (_Members(batch.column(c)[i].values) for c in ("x", "y"))
+                total = x.n[:, None] + y.n[None]
+                low, high = np.minimum(x.n[:, None], y.n[None]), np.maximum(x.n[:, None], y.n[None])
+                open_ = (x.root[:, None] != y.root[None]) & (100 * low >= settings.percent * high)
+                p, q = np.nonzero(open_)
+                apart = np.bitwise_count(x.bits[p] ^ y.bits[q]).sum(axis=1, dtype=np.int64)
+                near = apart <= allowed_difference(total[p, q], settings.percent)
+                out.append(np.stack([x.node[p[near]], y.node[q[near]]]))
+            a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+            a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    rooted = tiles.join(roots, "node", "left").select("tile", "rows", "node", F.coalesce("root", "node").alias("root"))
+    rooted = staged(rooted, "rooted-tiles")
+    ends = rooted.groupBy("tile").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("tile")
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / settings.tile_part))
+    member = F.struct("node", "root", "n", "bits")
+    parts = (
+        rooted.join(ends, "tile", "left_semi")
+        .join(sets.select("node", "n", "bits"), "node")
+        .groupBy("tile", "rows", part.alias("part"))
+        .agg(F.collect_list(member).alias("x"))
     )
+    parts = staged(parts, "tile-parts")
+    small = parts.where(F.col("rows") <= settings.tile_part).select("x", F.col("x").alias("y"))
+    large = parts.where(F.col("rows") > settings.tile_part)
+    other = large.select("tile", F.col("part").alias("with"), F.col("x").alias("y"))
+    blocks = small.unionByName(large.join(other, "tile").where("part <= with").select("x", "y"))
+    pairs = blocks.mapInArrow(compare, "a long, b long").distinct()
+    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return staged(pairs.join(known, ["a", "b"], "left_anti"), "open-pairs")
+
+
+class _Members:
+    """Columns of a part of a tile."""
+
+    def __init__(self, rows: pa.StructArray) -> None:
+        self.node, self.root, self.n = (rows.field(c).to_numpy() for c in ("node", "root", "n"))
+        self.bits = np.frombuffer(b"".join(rows.field("bits").to_pylist()), np.uint8).reshape(len(rows), -1)
 
 
 def one_of_each(
