@@ -520,9 +520,10 @@ def respond_requests(spark: SparkSession, root: str) -> DataFrame:
 
 
 def stream_extract(spark: SparkSession, root: str) -> DataFrame:
-    stream = read_stream(spark, root, "pages", schemas.PAGES)
-    done = jobs.extract(stream, lambda df: content.with_content(df, TEXT_ONLY))
-    return jobs.run_to_files(done.select("page_id", "text"), "stream-extract")
+    """Handled, skipped and failed records of pages as they come."""
+    stream = T.as_fetched(read_stream(spark, root, "pages", schemas.PAGES))
+    done = jobs.extract(stream, lambda df: content.all_records(df, _extract(TEXT_ONLY)))
+    return _flat_records(jobs.run_to_files(done, "stream-extract"))
 
 
 END_OF_TIME = 4_102_444_800  # seconds; later than any event

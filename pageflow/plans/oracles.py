@@ -508,7 +508,6 @@ ORACLES = {
     "context_request": f"""WITH {QUERY_STRINGS} SELECT request_id, least(m, 3) AS max_results,
         CASE f WHEN 'markdown' THEN 'markdown' WHEN 'text|markdown' THEN 'text,markdown'
           WHEN 'html' THEN 'html,markdown' ELSE 'pdf,markdown' END AS output_formats FROM checked""",
-    "stream_extract": f"SELECT page_id, {_layout(BODY)} AS text FROM pages",
     "stream_response_deadline": f"""WITH {EVENTS} SELECT response_id, unique_key,
         CASE request_status WHEN 'pending' THEN 'failed' ELSE request_status END AS request_status,
         CASE request_status WHEN 'pending' THEN 'Timed out.' END AS http_status_message FROM timely""",
@@ -522,6 +521,9 @@ ORACLES = {
         FROM delivered GROUP BY response_id, unique_key""",
 }
 
+# the stream makes the records of the batch
+ORACLES["stream_extract"] = ORACLES["all_outcomes"]
+
 # contexts need both the hits and the Markdown of their pages
 _MARKDOWN_STEPS = MARKDOWN.split(CLEAN + ", ", 1)[1]
 ORACLES["context_pack"] = f"""WITH {BY_URL}, {_MARKDOWN_STEPS}, parts AS (

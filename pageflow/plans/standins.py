@@ -99,8 +99,12 @@ def query_strings(spark: SparkSession, root: str) -> DataFrame:
 
 def fetched(spark: SparkSession, root: str) -> DataFrame:
     """Pages as a crawler hands them over, each with its request."""
+    return as_fetched(pages(spark, root))
+
+
+def as_fetched(table: DataFrame) -> DataFrame:
     page = F.col("page_id")
-    return pages(spark, root).select(
+    return table.select(
         "page_id",
         F.concat(F.lit("r"), F.floor(page / 50)).alias("response_id"),
         F.concat(F.lit("k"), page).alias("unique_key"),
