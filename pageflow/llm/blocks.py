@@ -31,7 +31,7 @@ def pack(data: np.ndarray) -> bytes:
 
 
 def unpack(data: pa.Buffer, size: int) -> np.ndarray:
-    return np.frombuffer(pa.Codec("zstd", 3).decompress(data, size), np.uint8)
+    return np.frombuffer(pa.Codec("zstd").decompress(data, size), np.uint8)
 
 
 BLOCK = "block long, n_bytes long, doc_ids array<long>, ends array<long>, data binary"
@@ -52,7 +52,8 @@ def text_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     spark = docs.sparkSession
     path = fresh_path(spark, "blocks")
-    narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    kind = "binary" if dict(docs.dtypes)[text] == "binary" else "string"
+    narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast(kind).alias("text"))
     narrow.mapInArrow(blocks, BLOCK).write.parquet(path)
     return spark.read.schema(BLOCK).parquet(path)
 
@@ -67,9 +68,10 @@ def opened(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray,
 
 
 def shared_masks(blocks: DataFrame, find: KeyFinder, keys_per_byte: float) -> DataFrame:
-    """Rows (block, masks): for each of the block's hashes, one bit if another document has it.
+    """Rows (block, masks, shared): for each of the block's hashes, one bit if another document has it.
 
-    ``masks`` is an array of (range, bits, n) in order of the hashes.
+    ``masks`` is an array of (range, bits, n) in order of the hashes, ``shared``
+    the number of bits set.
     """
     n_bytes = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     ranges = max(1, int(n_bytes * keys_per_byte) // RANGE_KEYS)
@@ -106,13 +108,22 @@ def shared_masks(blocks: DataFrame, find: KeyFinder, keys_per_byte: float) -> Da
         shared[order] = often[run]
         ends = np.cumsum(sizes)
         masks = [np.packbits(shared[e - n : e]).tobytes() for e, n in zip(ends, sizes, strict=True)]
+        found = [int(shared[e - n : e].sum()) for e, n in zip(ends, sizes, strict=True)]
         return pa.table(
-            {"block": table.column("block"), "range": table.column("range"), "bits": pa.array(masks, pa.binary()), "n": pa.array(sizes)}
+            {
+                "block": table.column("block"),
+                "range": table.column("range"),
+                "bits": pa.array(masks, pa.binary()),
+                "n": pa.array(sizes),
+                "shared": pa.array(found, pa.int64()),
+            }
         )
 
     sent = blocks.select("block", "doc_ids", "ends", "data").mapInArrow(split, "range long, block long, keys binary, many binary")
-    answers = sent.groupBy("range").applyInArrow(compare, "block long, range long, bits binary, n long")
-    return answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("range", "bits", "n"))).alias("masks"))
+    answers = sent.groupBy("range").applyInArrow(compare, "block long, range long, bits binary, n long, shared long")
+    return answers.groupBy("block").agg(
+        F.array_sort(F.collect_list(F.struct("range", "bits", "n"))).alias("masks"), F.sum("shared").alias("shared")
+    )
 
 
 def with_masks(blocks: DataFrame, masks: DataFrame) -> DataFrame:

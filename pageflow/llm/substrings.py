@@ -137,6 +137,20 @@ def _context_order(group: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.
     return order, np.concatenate([[-1], common])
 
 
+def _kinds(gram: np.ndarray, low: np.ndarray, high: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """A hash of each fragment, equal for equal fragments."""
+    padded = np.zeros((len(gram), -(-context.shape[1] // 8) * 8), np.uint8)
+    padded[:, : context.shape[1]] = context
+    kind = mixed(gram ^ mixed((low * 64 + high).astype(np.uint64)))
+    for word in padded.view(np.uint64).T:
+        kind = mixed(kind * np.uint64(_BASE) + word)
+    return kind
+
+
+def _all_windows(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return (np.int64(2) << high) - (np.int64(1) << low)
+
+
 def window_owners(gram: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndarray, context: np.ndarray) -> np.ndarray:
     """For each fragment a bit mask: bit k set if its window k bytes left of the anchor has an earlier document.
 
@@ -144,12 +158,7 @@ def window_owners(gram: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.n
     its anchor.
     """
     spread = context.shape[1] // 2
-    packed = np.zeros((len(gram), -(-context.shape[1] // 8) * 8), np.uint8)
-    packed[:, : context.shape[1]] = context
-    kind = mixed(gram ^ mixed((low * 64 + high).astype(np.uint64)))
-    for word in packed.view(np.uint64).T:
-        kind = mixed(kind * np.uint64(_BASE) + word)
-    _, row, of = np.unique(kind, return_index=True, return_inverse=True)
+    _, row, of = np.unique(_kinds(gram, low, high, context), return_index=True, return_inverse=True)
     first = np.full(len(row), NO_ID, np.int64)
     np.minimum.at(first, of, doc)
     names, group = np.unique(gram[row], return_inverse=True)
@@ -157,7 +166,7 @@ def window_owners(gram: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.n
     mask = np.zeros(len(gram), np.int64)
 
     alone = size[group] == 1
-    every = (np.int64(2) << high) - (np.int64(1) << low)
+    every = _all_windows(low, high)
     mask[alone[of]] = np.where(doc > first[of], every, 0)[alone[of]]
 
     several = np.flatnonzero(~alone)
@@ -199,16 +208,44 @@ def _removed(n: int, position: np.ndarray, mask: np.ndarray, size: int) -> np.nd
     return np.cumsum(cover[:-1]) > 0
 
 
-_ROWS = "kind int, text_no long, doc_id long, gram long, position long, low int, high int, mask long, data binary"
+_FIELDS = (("gram", np.uint64), ("text_no", np.int64), ("doc_id", np.int64), ("position", np.int32), ("low", np.uint8), ("high", np.uint8))
+_ROWS = "kind int, name long, doc_id long, n long, data binary"
+
+
+def _packed(fields: dict[str, np.ndarray], context: np.ndarray) -> bytes:
+    """Fragments as one compressed string: the fields column by column, then the contexts."""
+    columns = [fields[name].astype(kind).tobytes() for name, kind in _FIELDS]
+    return pack(np.frombuffer(b"".join([*columns, context.tobytes()]), np.uint8))
+
 
+def _unpacked(data: pa.Buffer, n: int, width: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    each = sum(np.dtype(kind).itemsize for _, kind in _FIELDS) + width
+    raw = unpack(data, n * each)
+    out, at = {}, 0
+    for name, kind in _FIELDS:
+        size = n * np.dtype(kind).itemsize
+        out[name] = np.frombuffer(raw[at : at + size].tobytes(), kind)
+        at += size
+    return out, raw[at:].reshape(n, width)
 
-def _fragments(masked: DataFrame, settings: SubstringSettings) -> DataFrame:
-    """Rows of three kinds: 0 texts with shared anchors, 1 fragments to compare, 2 windows already known as repeated.
+
+def _windows(position: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Position of an anchor and mask of its windows as one number."""
+    return (position.astype(np.int64) << 28) | mask
+
+
+def _fragments(masked: DataFrame, buckets: int, settings: SubstringSettings) -> DataFrame:
+    """Rows (kind, name, doc_id, n, data) of three kinds.
+
+    0: texts with shared anchors, under their number, with their size; 1:
+    fragments to compare, under their bucket, with their count; 2: windows
+    already known as repeated, under their text's number.
 
     Of equal fragments in a block only those of its smallest document are
-    compared; the others lose all their windows whatever comes out.
+    compared; the others lose all their windows whatever comes out.  So a
+    fragment that very many documents have is sent once a block.
     """
-    spread, size = settings.spread, settings.size
+    spread = settings.spread
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,50 +254,63 @@ def _fragments(masked: DataFrame, settings: SubstringSettings) -> DataFrame:
                 if not shared.any():
                     continue
                 text, position, first, last, gram = anchors(data, offsets, settings)
-                known = np.searchsorted(np.unique(gram), gram)
-                keep = shared[known]
+                keep = shared[np.searchsorted(np.unique(gram), gram)]
                 text, position, first, last, gram = (x[keep] for x in (text, position, first, last, gram))
                 doc = ids.to_numpy()[text]
                 low, high = position - last, position - first
                 context = contexts(data, offsets, text, position, spread)
-                begin, end = offsets[text], offsets[text + 1]
                 for k in range(spread):
                     context[k >= high, k] = 0
                     context[k >= spread - low, spread + k] = 0
-                kind = mixed(gram ^ mixed((low * 64 + high).astype(np.uint64)))
-                padded = np.zeros((len(gram), -(-2 * spread // 8) * 8), np.uint8)
-                padded[:, : 2 * spread] = context
-                for word in padded.view(np.uint64).T:
-                    kind = mixed(kind * np.uint64(_BASE) + word)
-                _, of = np.unique(kind, return_inverse=True)
+                _, of = np.unique(_kinds(gram, low, high, context), return_inverse=True)
                 least = np.full(of.max() + 1, NO_ID, np.int64)
                 np.minimum.at(least, of, doc)
                 later = doc > least[of]
-                every = (np.int64(2) << high) - (np.int64(1) << low)
                 number = (batch.column("block")[i].as_py() << 22) + text
+                fields = {
+                    "gram": gram, "text_no": number, "doc_id": doc, "position": position - offsets[text], "low": low, "high": high,
+                }
                 texts = np.unique(text)
-                t, n = len(texts), len(gram)
                 blobs = [pack(data[offsets[x] : offsets[x + 1]]) for x in texts]
                 sizes = np.diff(offsets)[texts]
-                pieces = [None if x else c.tobytes() for x, c in zip(later, context, strict=True)]
+
+                bucket = ((gram >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
+                sent = np.flatnonzero(~later)
+                sent = sent[np.lexsort((position[sent], bucket[sent]))]
+                names, begins = np.unique(bucket[sent], return_index=True)
+                parts = np.split(sent, begins[1:]) if len(sent) else []
+                known = _windows(fields["position"][later], _all_windows(low[later], high[later]))
+                known_texts, known_begins = np.unique(number[later], return_index=True)
+                lists = np.split(known, known_begins[1:]) if len(known) else []
+                columns = [
+                    np.repeat([0, 1, 2], [len(texts), len(parts), len(lists)]).astype(np.int32),
+                    np.concatenate([number[np.unique(text, return_index=True)[1]], names, known_texts]),
+                    np.concatenate([ids.to_numpy()[texts], np.zeros(len(parts) + len(lists), np.int64)]),
+                    np.concatenate([sizes, [len(x) for x in parts], [len(x) for x in lists]]).astype(np.int64),
+                ]
+                blobs += [_packed({k: v[x] for k, v in fields.items()}, context[x]) for x in parts]
+                blobs += [x.tobytes() for x in lists]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([np.zeros(t), np.where(later, 2, 1)]).astype(np.int32)),
-                        pa.array(np.concatenate([(batch.column("block")[i].as_py() << 22) + texts, number])),
-                        pa.array(np.concatenate([ids.to_numpy()[texts], doc])),
-                        pa.array(np.concatenate([np.zeros(t, np.int64), gram.view(np.int64)])),
-                        pa.array(np.concatenate([sizes, position - begin])),
-                        pa.array(np.concatenate([np.zeros(t), low]).astype(np.int32)),
-                        pa.array(np.concatenate([np.zeros(t), high]).astype(np.int32)),
-                        pa.array(np.concatenate([np.zeros(t, np.int64), every])),
-                        pa.array(blobs + pieces, pa.binary()),
-                    ],
-                    names=[f.split()[0] for f in _ROWS.split(", ")],
+                    [*map(pa.array, columns), pa.array(blobs, pa.binary())], names=["kind", "name", "doc_id", "n", "data"]
                 )
+                pa.default_memory_pool().release_unused()
 
     return masked.mapInArrow(rows, _ROWS)
 
 
+def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [pack(np.frombuffer(t.as_buffer(), np.uint8)) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.binary())], names=batch.schema.names)
+
+
+def _unpacked_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = batch.column("n").to_pylist()
+        texts = [unpack(t.as_buffer(), n).tobytes() for t, n in zip(batch.column("text"), sizes, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+
+
 def repeated_substrings(
     docs: DataFrame, settings: SubstringSettings = SubstringSettings(), key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -291,33 +341,44 @@ def repeated_substrings(
         ends = np.append(starts[1:], len(gram)) - 1
         return gram[starts], of[starts] != of[ends] if len(starts) else np.zeros(0, bool)
 
-    blocks = text_blocks(named.join(copies, ["doc_id", "digest"], "left_anti"), "doc_id", "text")
-    masks = shared_masks(blocks, grams, 0.07)
-    found = staged(_fragments(with_masks(blocks, masks), settings), "fragments")
-    fragments = found.where("kind = 1").select("text_no", "doc_id", "gram", "position", "low", "high", "data")
-    buckets = max(1, fragments.count() // BUCKET_ROWS)
+    # texts move as packed bytes, by a plain shuffle at every size
+    packed = named.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n"), "text").mapInArrow(
+        _packed_texts, "doc_id long, digest string, n long, text binary"
+    )
+    single = packed.join(copies.hint("merge"), ["doc_id", "digest"], "left_anti")
+    single = single.select("doc_id", "n", "text").mapInArrow(_unpacked_texts, "doc_id long, text binary")
+    blocks = text_blocks(single, "doc_id", "text")
+    masks = staged(shared_masks(blocks, grams, 0.07), "masks")
+    buckets = max(1, (masks.agg(F.sum("shared")).first()[0] or 0) // BUCKET_ROWS)
+    found = staged(_fragments(with_masks(blocks, masks), buckets, settings), "fragments")
 
     def compare(table: pa.Table) -> pa.Table:
-        gram = table.column("gram").to_numpy().view(np.uint64)
-        doc, low, high = (table.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "low", "high"))
-        joined = b"".join(table.column("data").to_pylist())
-        context = np.frombuffer(joined, np.uint8).reshape(len(gram), 2 * settings.spread)
-        mask = window_owners(gram, doc, low, high, context)
-        out = pa.table({"text_no": table.column("text_no"), "position": table.column("position"), "mask": pa.array(mask)})
-        return out.filter(pa.array(mask != 0))
-
-    bucket = F.pmod(F.shiftrightunsigned("gram", 20), F.lit(buckets))
-    judged = fragments.groupBy(bucket.alias("bucket")).applyInArrow(compare, "text_no long, position long, mask long")
-    known = found.where("kind = 2").select("text_no", "position", "mask")
-    repeats = judged.unionByName(known).groupBy("text_no").agg(F.collect_list(F.struct("position", "mask")).alias("repeats"))
+        parts = [
+            _unpacked(data.as_buffer(), n.as_py(), 2 * settings.spread)
+            for n, data in zip(table.column("n"), table.column("data"), strict=True)
+        ]
+        fields = {name: np.concatenate([f[name] for f, _ in parts]) for name, _ in _FIELDS}
+        low, high = fields["low"].astype(np.int64), fields["high"].astype(np.int64)
+        mask = window_owners(fields["gram"], fields["doc_id"], low, high, np.concatenate([c for _, c in parts]))
+        hit = np.flatnonzero(mask)
+        windows = _windows(fields["position"][hit], mask[hit])
+        pa.default_memory_pool().release_unused()
+        return pa.table({"text_no": pa.array(fields["text_no"][hit]), "window": pa.array(windows)})
+
+    fragments = found.where("kind = 1").select(F.col("name").alias("bucket"), "n", "data")
+    judged = fragments.groupBy("bucket").applyInArrow(compare, "text_no long, window long")
+    judged = judged.groupBy("text_no").agg(F.collect_list("window").alias("windows"))
+    known = found.where("kind = 2").select(F.col("name").alias("text_no"), F.col("data").alias("known"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, n, data, found_here in zip(*(batch.column(c) for c in range(4)), strict=True):
+            for doc_id, n, data, windows, known_here in zip(*batch.columns, strict=True):
                 body = unpack(data.as_buffer(), n.as_py())
-                items = found_here.values
-                gone = _removed(len(body), items.field(0).to_numpy(), items.field(1).to_numpy(), size)
+                numbers = np.frombuffer(known_here.as_py() or b"", np.int64)
+                if windows.is_valid:
+                    numbers = np.concatenate([numbers, windows.values.to_numpy()])
+                gone = _removed(len(body), numbers >> 28, numbers & ((1 << 28) - 1), size)
                 spans = int(np.count_nonzero(np.diff(np.concatenate([[False], gone]).astype(np.int8)) == 1))
                 digest = hashlib.sha256(body.tobytes()).hexdigest()
                 kept = hashlib.sha256(body[~gone].tobytes()).hexdigest()
@@ -329,10 +390,12 @@ def repeated_substrings(
                 names=["doc_id", "digest", "removed", "spans", "kept"],
             )
 
-    texts = found.where("kind = 0").select("text_no", "doc_id", F.col("position").alias("n"), "data")
+    texts = found.where("kind = 0").select(F.col("name").alias("text_no"), "doc_id", "n", "data")
     changed = (
-        texts.join(repeats, "text_no")
-        .select("doc_id", "n", "data", "repeats")
+        texts.join(judged, "text_no", "left")
+        .join(known, "text_no", "left")
+        .where("windows IS NOT NULL OR known IS NOT NULL")
+        .select("doc_id", "n", "data", "windows", "known")
         .mapInArrow(cut, "doc_id long, digest string, removed long, spans long, kept string")
         .dropDuplicates(["doc_id", "digest"])
     )

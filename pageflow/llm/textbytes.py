@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Batches are worked on in slices of about so many bytes; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
