@@ -66,7 +66,7 @@ def write_token_files(
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", settings.index_rows)
         .option("orc.stripe.size", settings.stripe_bytes)
-        .option("compression", "zlib")
+        .option("compression", "snappy")
         .orc(path)
     )
 

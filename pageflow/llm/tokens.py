@@ -2,21 +2,27 @@
 
 The tokenizer splits at blanks and drops them before it merges anything, so the
 ids of a text are the ids of its blank-separated parts in order.  Parts repeat
-a lot: each worker encodes a part once and looks it up from then on.
+a lot: each worker encodes a part once and looks it up from then on.  Two
+changes make more parts equal and no id different: ASCII capitals become small
+unless a non-ASCII byte follows, which might combine with them, and a full stop or
+comma between an ASCII letter and a blank becomes a part of its own.
 """
 
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+from pageflow.llm.textbytes import slices
 
 #: Parts a worker remembers; beyond that it starts afresh, which only costs time.
-MEMO_PARTS = 1_500_000
-#: Rows are encoded in slices of about so many characters.
-SLICE_CHARS = 2_000_000
+MEMO_PARTS = 1_250_000
 
 _MEMOS: dict[str, _Memo] = {}
 
@@ -30,6 +36,7 @@ class _Memo(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.reset()
 
     def reset(self) -> None:
@@ -47,14 +54,26 @@ class _Memo(dict):
         """Encode the new parts and append their ids."""
         if not self.new:
             return
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(self.new, add_special_tokens=False)]
+        encoded: list[list[int]] = [[]] * len(self.new)
+        others = []
+        for k, part in enumerate(self.new):
+            # the empty part between two blanks has no ids
+            if not part:
+                continue
+            if part.isalpha() and part == part.lower() and unicodedata.is_normalized("NFC", part):
+                encoded[k] = [t.id for t in self.model.tokenize(_byte_symbols(part))]
+            else:
+                others.append(k)
+        rest = self.tokenizer.encode_batch_fast([self.new[k] for k in others], add_special_tokens=False)
+        for k, e in zip(others, rest, strict=True):
+            encoded[k] = e.ids
         first = len(self) - len(self.new)
         lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
         start = self.ends[first]
         ends = start + np.cumsum(lengths)
         self.ids = _room(self.ids, int(ends[-1]))
         self.ends = _room(self.ends, len(self) + 1)
-        self.ids[start : ends[-1]] = np.fromiter((i for ids in encoded for i in ids), np.int32, int(ends[-1] - start))
+        self.ids[start : ends[-1]] = np.fromiter(chain.from_iterable(encoded), np.int32, int(ends[-1] - start))
         self.ends[first + 1 : len(self) + 1] = ends
         self.new = []
 
@@ -67,52 +86,65 @@ def _room(array: np.ndarray, size: int) -> np.ndarray:
     return larger
 
 
-def encode(texts: list[str | None], path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+#: Characters that stand for single bytes: printable Latin-1 itself, the others from 256 on in order.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARACTERS = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+
+
+def _byte_symbols(word: str) -> str:
+    """A normalised word of letters as the byte-level model reads it."""
+    return word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+
+
+def _separated(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the texts with more parts alike; a text that may hold a special token stays as it is."""
+    following = np.append(data[1:], 32)
+    following[offsets[1:][offsets[1:] > 0] - 1] = 32
+    plain = np.ones(len(data), bool)
+    marks = np.flatnonzero((data == 60) & (following == 124))
+    for text in np.unique(np.searchsorted(offsets, marks, "right") - 1):
+        plain[offsets[text] : offsets[text + 1]] = False
+    data = data + 32 * ((data >= 65) & (data <= 90) & (following < 128) & plain).astype(np.uint8)
+    letter = (data >= 97) & (data <= 122)
+    before = np.append(False, letter[:-1])
+    before[offsets[:-1][offsets[:-1] < len(data)]] = False
+    at = np.flatnonzero(((data == 46) | (data == 44)) & before & ((following == 32) | (following == 10)) & plain)
+    return np.insert(data, at, 32), offsets + np.searchsorted(at, offsets)
+
+
+def encode_bytes(data: np.ndarray, offsets: np.ndarray, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts, each text's followed by ``end_id``, and where each text ends.
 
-    A null or empty text is the end id alone.
+    An empty text is the end id alone.
     """
     memo = _MEMOS.get(path)
     if memo is None:
         memo = _MEMOS[path] = _Memo(path)
     if len(memo) > MEMO_PARTS:
         memo.reset()
-    parts: list[str] = []
-    counts = np.empty(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        before = len(parts)
-        if text:
-            parts += text.replace("\n", " ").split(" ")
-        counts[i] = len(parts) - before
-    numbers = np.fromiter(map(memo.__getitem__, parts), np.int64, len(parts))
+    n = len(offsets) - 1
+    if len(data):
+        data, offsets = _separated(data, offsets)
+    spaced = np.where(data == 10, 32, data).astype(np.uint8)
+    texts = pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(spaced))
+    split = pc.split_pattern(texts, " ")
+    counts = pc.list_value_length(split).to_numpy()
+    parts = split.flatten().dictionary_encode()
+    known = parts.dictionary.to_pylist()
+    numbers = np.fromiter(map(memo.__getitem__, known), np.int64, len(known))[parts.indices.to_numpy()]
     memo.learn()
     starts = memo.ends[numbers]
     lengths = memo.ends[numbers + 1] - starts
     part_ends = np.concatenate([[0], np.cumsum(lengths)])
-    total = int(part_ends[-1])
-    ids = memo.ids[np.arange(total) - np.repeat(part_ends[:-1] - starts, lengths)]
+    ids = memo.ids[np.arange(int(part_ends[-1])) - np.repeat(part_ends[:-1] - starts, lengths)]
     text_ends = part_ends[np.cumsum(counts)]
-    out = np.insert(ids, text_ends, end_id) if len(texts) else ids
-    return out, text_ends + np.arange(1, len(texts) + 1)
+    return np.insert(ids, text_ends, end_id), text_ends + np.arange(1, n + 1)
 
 
 def encoded_slices(
     batches: Iterator[pa.RecordBatch], text: str, path: str, end_id: int
 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches, about SLICE_CHARS each, with ids and ends as ``encode`` gives them."""
+    """Slices of the batches with ids and ends as ``encode_bytes`` gives them; null texts are empty."""
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index(text))
-        sizes = np.frombuffer(_lengths(column), np.int64)
-        begin = 0
-        while begin < len(batch):
-            end = begin + max(1, int(np.searchsorted(np.cumsum(sizes[begin:]), SLICE_CHARS, "right")))
-            part = batch.slice(begin, end - begin)
-            ids, ends = encode(column.slice(begin, end - begin).to_pylist(), path, end_id)
-            yield part, ids, ends
-            begin = end
-
-
-def _lengths(column: pa.Array) -> bytes:
-    import pyarrow.compute as pc
-
-    return pc.fill_null(pc.binary_length(column), 0).cast(pa.int64()).to_numpy(zero_copy_only=False).tobytes()
+        for first, last, data, offsets in slices(batch, text):
+            yield batch.slice(first, last - first), *encode_bytes(data, offsets, path, end_id)

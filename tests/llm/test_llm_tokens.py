@@ -1,7 +1,9 @@
+import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from llm_cases import documents
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pageflow.llm import packing, token_files
-from pageflow.llm.tokens import encode
+from pageflow.llm.tokens import encoded_slices
 from pageflow.sources.shared import fresh_path
 from pageflow.sources.tables import read_table
 
@@ -28,12 +30,17 @@ def _crc(ids):
 
 def test_parts_give_the_ids_of_the_whole_text(spark, root, whole):
     texts = [r.text for r in read_table(spark, root, "documents").select("text").collect()]
-    texts += [None, "", " ", "\n\n", "a b  c\x85d\x1ce", "é ́x", "<|endoftext|>x <|startoftext|> y", "I'll 've !!. .. 12a"]
-    texts += ["ΣΑΣ Σ", "İI", "x" * 3000, "tab\tand\x0bmore\x0c", "한국어 東京 🎉"]
-    ids, ends = encode(texts, PATH, 2)
-    parts = np.split(ids, ends[:-1])
-    assert [p.tolist() for p in parts] == [whole(t) for t in texts]
-    assert encode([], PATH, 2)[0].tolist() == []
+    texts += [None, "", " ", "\n\n", "a b  c\x85d\x1ce", "é ́x", "<|endoftext|>x <|startoftext|> y", "I'll 've !!. .. 12a"]
+    texts += ["<|ENDOFTEXT|> Word. Word", "Ḧ H̱ ẖ W̊ K, k. É. É, x.", "A.B, c.\nD,\tE. F.", "T.", ",", ".", "ﬁ Ⅷ ª º ʰ Ǆ ǅ ß ẞ ŉ"]
+    texts += ["ΣΑΣ Σ ς", "İI ı", "x" * 3000, "tab\tand\x0bmore\x0c", "한국어 東京 🎉", "naïve café Åse å", "a.b,c ...", "Z", "z."]
+    random.seed(8)
+    alphabet = [*"abzAZ.,!? \n\t'0É̱ßσΣé", "́", "̈", "<|", "東"]
+    texts += ["".join(random.choices(alphabet, k=random.randint(0, 25))) for _ in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    found = []
+    for _, ids, ends in encoded_slices(iter([batch, batch.slice(5, 0), batch.slice(3, 40)]), "text", PATH, 2):
+        found += [part.tolist() for part in np.split(ids, ends[:-1])]
+    assert found == [whole(t) for t in texts + texts[3:43]]
 
 
 @pytest.mark.parametrize("odd", [False, True])
