@@ -1,8 +1,8 @@
 """Documents whose n-gram sets overlap: size-banded tiles, bitmap bounds, exact intersection.
 
-Sets of one size band are cut into one tile more than two sets of the band can
-differ in elements if they are similar enough; so similar sets agree on a whole
-tile, and nothing is lost.  Sets that share a tile are compared with one leader
+Sets of one size band are cut into more tiles than two sets of the band can
+differ in elements if they are similar enough; so similar sets agree on whole
+tiles, and nothing is lost.  Sets that share a tile are compared with one leader
 first, the one that shares most.  Members of a tile that still are in different
 components are then compared part by part, so no pair within a component is
 looked at and no link is lost.  The number of bits in which two hashed bitmaps
@@ -35,7 +35,7 @@ class JaccardSettings:
     percent: int = 90
     #: Largest size of a band over its smallest.
     band_ratio: float = 1.4
-    bitmap_bits: int = 1024
+    bitmap_bits: int = 4096
     #: Members of a tile compared at once.
     tile_part: int = 512
     #: Lower-case A-Z before anything else.
@@ -122,9 +122,11 @@ def set_tiles(hashes: np.ndarray, sizes: np.ndarray, settings: JaccardSettings)
         top = np.zeros(len(sizes), np.int64)
         edge = np.append(starts, max(starts[-1] + 1, int(starts[-1] * settings.band_ratio) + 1))
         top[inside] = edge[band[inside] + 1] - 1
-        parts = allowed_difference(2 * top, settings.percent) + 1
+        differ = allowed_difference(2 * top, settings.percent)
+        slack = differ // 10 + 1
+        parts = differ + 1 + slack
         reaches = 100 * sizes >= settings.percent * edge[np.minimum(band, len(edge) - 1)] if step else inside
-        chosen = np.flatnonzero(inside & reaches & (parts > 1))
+        chosen = np.flatnonzero(inside & reaches & (differ > 0))
         if not len(chosen):
             continue
         cells = parts[chosen]
@@ -138,9 +140,12 @@ def set_tiles(hashes: np.ndarray, sizes: np.ndarray, settings: JaccardSettings)
         before = np.cumsum(filled) - filled
         first = before - before[cell_begin][owner] + begin[chosen][owner]
         content = sums[first + filled] - sums[first]
+        # sets agree on more tiles than ``slack``, so empty ones matter only to sets with more of them
+        empty = np.bincount(owner[filled == 0], minlength=len(chosen))
+        sent = (filled > 0) | (empty > slack[chosen])[owner]
         place = (band[chosen][owner] << 32) + np.arange(len(owner)) - cell_begin[owner]
-        keys.append(mixed(content ^ mixed(place.astype(np.uint64) + np.uint64(1))))
-        sets.append(chosen[owner])
+        keys.append(mixed(content ^ mixed(place.astype(np.uint64) + np.uint64(1)))[sent])
+        sets.append(chosen[owner][sent])
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(keys), np.concatenate(sets)
@@ -163,8 +168,11 @@ def _distinct_sets(data: np.ndarray, offsets: np.ndarray, settings: JaccardSetti
     return hashes[np.repeat(keep, sizes)], sizes[keep], nodes[keep], nodes, sizes
 
 
-def _linked_pairs(pairs: DataFrame, sets: DataFrame, settings: JaccardSettings) -> DataFrame:
-    """The pairs (a, b) of nodes that link: bitmaps first, then the sorted hashes."""
+def _linked_pairs(pairs: DataFrame, sets: DataFrame, hashes: DataFrame, settings: JaccardSettings) -> DataFrame:
+    """The pairs (a, b) of nodes that link: bitmaps first, then the sorted hashes.
+
+    ``sets``: node, n, bits, a row for each node; ``hashes``: node, hashes, a row or more.
+    """
     percent = settings.percent
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +197,12 @@ def _linked_pairs(pairs: DataFrame, sets: DataFrame, settings: JaccardSettings)
     near = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
     near = near.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     near = staged(near.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(bounded, "a long, b long"), "near")
-    full = near.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b")
+    # the hashes of a set may stand in several blocks; one copy of those that are asked for moves on
+    asked = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    held = staged(hashes.join(asked, "node", "left_semi").dropDuplicates(["node"]), "hashes")
+    full = near.join(held.select(F.col("node").alias("a"), F.col("hashes").alias("hashes_a")), "a").join(
+        held.select(F.col("node").alias("b"), F.col("hashes").alias("hashes_b")), "b"
+    )
     return full.select("a", "b", "hashes_a", "hashes_b").mapInArrow(decided, "a long, b long")
 
 
@@ -244,8 +257,8 @@ def jaccard_components(
         masked.mapInArrow(rows, "kind int, value long, node long, n long, bits binary, hashes binary"), "sets"
     )
     texts = found.where("kind = 0").select(F.col("value").alias("doc_id"), F.col("n").alias("n_shingles"), "node")
-    sets = found.where("kind = 1").select("node", "n", "bits", "hashes").dropDuplicates(["node"])
-    sets = staged(sets, "node-sets")
+    sets = staged(found.where("kind = 1").select("node", "n", "bits").dropDuplicates(["node"]), "node-sets")
+    hashes = found.where("kind = 1").select("node", "hashes")
     tiles = staged(found.where("kind = 2").select(F.col("value").alias("tile"), "node").distinct(), "tiles")
 
     sizes = tiles.groupBy("tile").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
@@ -254,9 +267,9 @@ def jaccard_components(
     leaders = tiles.join(weights, "node").groupBy("tile").agg(F.max(F.struct("weight", "node"))["node"].alias("a"))
     first = tiles.join(leaders, "tile").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     first = staged(first, "first-pairs")
-    links = staged(_linked_pairs(first, sets, settings), "links")
+    links = staged(_linked_pairs(first, sets, hashes, settings), "links")
 
-    more = _linked_pairs(_open_pairs(tiles, components(links), first, sets, settings), sets, settings)
+    more = _linked_pairs(_open_pairs(tiles, components(links), first, sets, settings), sets, hashes, settings)
     roots = components(staged(links.unionByName(more), "links"))
 
     nodes = texts.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
