@@ -4,7 +4,9 @@ Equal vectors are one class.  Classes within half the linking angle of a leader
 form a cell, whose members are then all linked, so a dense group costs one
 graph node.  Leaders are put into overlapping cluster shards; each shard builds
 a robust-pruned graph, the adjacency lists of all shards are united, and a
-greedy search from the shard's medoid expands over everything in range.  Recall
+greedy search from the shard's medoid expands over everything in range.  A shard
+too large for one task is split, and all its splits are compared with each
+other; such a pair counts in one shard only and never leaves the task.  Recall
 is audited against brute force; links are verified in double precision.
 """
 
@@ -104,15 +106,24 @@ def _sharded(vectors: DataFrame, clusters: Clusters, n: int) -> DataFrame:
 
     placed = staged(vectors.mapInArrow(assign, f"{fields}, shard long"), "sharded")
     sizes = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"))
-    split = F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / clusters.max_rows))
-    return placed.join(sizes, "shard").withColumn("split", split).drop("rows")
+    splits = F.ceil(F.col("rows") / clusters.max_rows)
+    placed = placed.join(sizes, "shard").withColumn("splits", splits).drop("rows")
+    return placed.withColumn("split", F.pmod(F.xxhash64("node"), F.col("splits")))
 
 
 def _clusters(vectors: DataFrame, settings: VectorSettings) -> Clusters:
-    """Sample centroids: at most ``max_centroids`` vectors, in proportion to their density."""
+    """Sample centroids: at most ``max_centroids`` vectors, of linked ones the first.
+
+    So a group whose vectors all link has one centroid and shares that shard.
+    """
     n = min(settings.max_centroids, max(1, math.ceil(vectors.count() / settings.shard_rows)))
     sample = vectors.select("node", "vector").orderBy(F.xxhash64("node"), "node").limit(n).toArrow()
-    return Clusters(_units(sample.column("vector")), settings.max_shard_rows)
+    units = _units(sample.column("vector"))
+    apart: list[np.ndarray] = []
+    for size in sorted({len(u) for u in units}):
+        of = np.array([u for u in units if len(u) == size])
+        apart += list(of[leader_cells(of, settings.cosine) == np.arange(len(of))])
+    return Clusters(apart, settings.max_shard_rows)
 
 
 def leader_cells(units: np.ndarray, cosine: float) -> np.ndarray:
@@ -226,8 +237,96 @@ def _reach(settings: VectorSettings, own: np.ndarray, widest: float) -> np.ndarr
     return np.cos(np.minimum(np.pi, math.acos(settings.cosine) + own + widest + _SLACK))
 
 
-def leader_pairs(leaders: DataFrame, widest: float, settings: VectorSettings) -> DataFrame:
-    """Rows (a, b), a < b, of leaders (node, vector, angle) that may have linked members."""
+def _common(x: list[list[int]], y: list[list[int]], below: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Two matrices whose product is positive where entries of x and y share a number (below ``below``)."""
+    numbers = {v for of in x for v in of} & {v for of in y for v in of}
+    place = {v: i for i, v in enumerate(sorted(v for v in numbers if below is None or v < below))}
+    out = []
+    for side in (x, y):
+        held = np.zeros((len(side), len(place)), np.float32)
+        for i, of in enumerate(side):
+            held[i, [place[v] for v in of if v in place]] = 1
+        out.append(held)
+    return out[0], out[1].T
+
+
+def _groups(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and each column the row that names its component; columns without a link have -1."""
+    of_row, of_column = (np.full(n, -1) for n in linked.shape)
+    for first in range(len(linked)):
+        rows = np.array([first]) if of_row[first] < 0 else np.zeros(0, np.int64)
+        while len(rows):
+            of_row[rows] = first
+            columns = np.flatnonzero(linked[rows].any(axis=0) & (of_column < 0))
+            of_column[columns] = first
+            left = np.flatnonzero(of_row < 0)
+            rows = left[linked[np.ix_(left, columns)].any(axis=1)] if len(columns) else columns
+    return of_row, of_column
+
+
+def _split_pairs(sharded: DataFrame, settings: VectorSettings) -> DataFrame:
+    """Rows (kind, a, b, links) of the pairs of leaders that share a shard of several splits.
+
+    Kind 0: a pair that may have linked members; kind 1: cells that link, enough
+    to connect all of the task; kind 2: how many members of other cells every
+    member of cell a links with.  A pair counts in the first such shard it shares.
+    """
+    angle = math.acos(settings.cosine)
+
+    def compare(table: pa.Table) -> pa.Table:
+        this, p, q = (table.column(c)[0].as_py() for c in ("shard", "p", "q"))
+        split = table.column("split").to_numpy()
+        x, y = (table.filter(pa.array(split == k)) for k in (p, q))
+        if not len(x) or not len(y):
+            return pa.table([pa.array([], pa.int64())] * 4, names=["kind", "a", "b", "links"])
+        (nodes_x, angles_x, sizes_x), (nodes_y, angles_y, sizes_y) = (
+            [t.column(c).to_numpy() for c in ("node", "angle", "size")] for t in (x, y)
+        )
+        units_x, units_y = (np.array(_units(t.column("vector"))) for t in (x, y))
+        held_x, held_y = _common(*(t.column("large").to_pylist() for t in (x, y)), below=this)
+        sure = np.zeros((len(x), len(y)), bool)
+        unsure: list[tuple[np.ndarray, np.ndarray]] = []
+        for begin in range(0, len(x), 512):
+            rows = slice(begin, begin + 512)
+            apart = np.arccos(np.clip(units_x[rows] @ units_y.T, -1, 1))
+            wide = angles_x[rows, None] + angles_y[None]
+            mine = nodes_x[rows, None] < nodes_y[None] if p == q else nodes_x[rows, None] != nodes_y[None]
+            if held_x.shape[1]:
+                mine &= held_x[rows] @ held_y == 0
+            sure[rows] = mine & (apart + wide < angle - _SLACK)
+            i, j = np.nonzero(mine & ~sure[rows] & (apart - wide <= angle + _SLACK))
+            unsure.append((nodes_x[rows][i], nodes_y[j]))
+        of_row, of_column = _groups(sure)
+        tied = [(nodes_x[of_row], nodes_x), (nodes_x[of_column[of_column >= 0]], nodes_y[of_column >= 0])]
+        a, b = (np.concatenate(c) for c in zip(*tied, strict=True))
+        a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+        links_x, links_y = sure @ sizes_y, sizes_x @ sure
+        near_x, near_y = (np.concatenate(c) for c in zip(*unsure, strict=True))
+        near_x, near_y = np.minimum(near_x, near_y), np.maximum(near_x, near_y)
+        counts = [(nodes_x[links_x > 0], links_x[links_x > 0]), (nodes_y[links_y > 0], links_y[links_y > 0])]
+        cells, links = (np.concatenate(c) for c in zip(*counts, strict=True))
+        kind = np.repeat([0, 1, 2], [len(near_x), len(a), len(cells)])
+        none = np.zeros(len(near_x) + len(a), np.int64)
+        return pa.table(
+            {
+                "kind": kind,
+                "a": np.concatenate([near_x, a, cells]),
+                "b": np.concatenate([near_y, b, np.zeros(len(cells), np.int64)]),
+                "links": np.concatenate([none, links]),
+            }
+        )
+
+    large = sharded.where("splits > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1)))
+    blocks = large.select("*", F.least("split", "other").alias("p"), F.greatest("split", "other").alias("q"))
+    return blocks.groupBy("shard", "p", "q").applyInArrow(compare, "kind long, a long, b long, links long")
+
+
+def leader_pairs(leaders: DataFrame, widest: float, settings: VectorSettings) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Leaders (node, vector, angle, size) that may have linked members.
+
+    Rows (a, b), a < b, still to be verified; rows (kind, a, b, links) of ``_split_pairs``,
+    none of them among the former; and rows (node, large): the node's shards of several splits.
+    """
 
     def build(table: pa.Table) -> pa.Table:
         nodes = table.column("node").to_numpy()
@@ -244,49 +343,56 @@ def leader_pairs(leaders: DataFrame, widest: float, settings: VectorSettings) ->
             graph[i, : len(near)] = near
         medoid = int((units @ units.sum(axis=0)).argmax())
         angles = table.column("angle").to_numpy()
+        large = table.column("large").to_pylist()
+        held, across = _common(large, large)
         pairs: list[tuple[np.ndarray, np.ndarray]] = []
         for begin in range(0, len(nodes), 256):
             queries = np.arange(begin, min(begin + 256, len(nodes)))
             least = _reach(settings, angles[queries], widest)
             for q, found in zip(queries, range_search(units, graph, medoid, queries, least, settings.beam), strict=True):
-                found = found[found != q]
+                found = found[(found != q) & (held[q] @ across[:, found] == 0)]
                 pairs.append((np.minimum(nodes[q], nodes[found]), np.maximum(nodes[q], nodes[found])))
         a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
         return pa.table({"a": a, "b": b})
 
     sharded = staged(_sharded(leaders, _clusters(leaders, settings), settings.overlap), "shards")
-    built = sharded.groupBy("shard", "split").applyInArrow(build, "node long, near array<long>")
+    large = sharded.groupBy("node").agg(F.sort_array(F.collect_list(F.when(F.col("splits") > 1, F.col("shard")))).alias("large"))
+    large = staged(large, "large-shards")
+    sharded = staged(sharded.join(large, "node"), "shards")
+    small = sharded.where("splits = 1")
+    built = small.groupBy("shard").applyInArrow(build, "node long, near array<long>")
     united = built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    ready = sharded.join(staged(united, "graph"), "node")
-    found = ready.groupBy("shard", "split").applyInArrow(search, "a long, b long")
-    return staged(found.distinct(), "leader-pairs")
+    ready = small.join(staged(united, "graph"), "node")
+    found = ready.groupBy("shard").applyInArrow(search, "a long, b long")
+    direct = staged(_split_pairs(sharded, settings), "split-pairs")
+    pairs = found.unionByName(direct.where("kind = 0").select("a", "b")).distinct()
+    return staged(pairs, "leader-pairs"), direct.where("kind > 0"), large
 
 
-def audited_recall(leaders: DataFrame, pairs: DataFrame, widest: float, settings: VectorSettings) -> float:
-    """Share of the true pairs of ``audited`` leaders that the search has found."""
-    sample = leaders.orderBy(F.xxhash64("node", F.lit(1)), "node").limit(settings.audited).toArrow()
-    nodes, angles = sample.column("node").to_numpy(), sample.column("angle").to_numpy()
-    units = _units(sample.column("vector"))
+def audited_recall(members: DataFrame, counted: DataFrame, settings: VectorSettings) -> float:
+    """Share of the links of ``audited`` leaders' vectors that were found: rows (node, vector, copies, cell); (node, n_links)."""
+    sample = members.where("node = cell").orderBy(F.xxhash64("node", F.lit(1)), "node").limit(settings.audited)
+    sample = staged(sample.select("node", "vector"), "audited")
+    drawn = sample.toArrow()
+    nodes, units = drawn.column("node").to_numpy(), _units(drawn.column("vector"))
 
     def compare(batches):
         for batch in batches:
-            others, all_nodes = _units(batch.column("vector")), batch.column("node").to_numpy()
+            others, copies = _units(batch.column("vector")), batch.column("copies").to_numpy()
+            true = np.zeros(len(units), np.int64)
             for size in {len(u) for u in units}:
                 mine = [i for i, u in enumerate(units) if len(u) == size]
                 rows = [i for i, u in enumerate(others) if len(u) == size]
-                if not rows:
-                    continue
-                sims = np.array([units[i] for i in mine]) @ np.array([others[i] for i in rows]).T
-                q, r = np.nonzero(sims >= _reach(settings, angles[mine], widest)[:, None])
-                x, y = nodes[np.array(mine)[q]], all_nodes[np.array(rows)[r]]
-                keep = x != y
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(x, y)[keep]), pa.array(np.maximum(x, y)[keep])], names=["a", "b"]
-                )
+                if rows:
+                    near = np.array([units[i] for i in mine]) @ np.array([others[i] for i in rows]).T >= settings.cosine
+                    true[mine] = near @ copies[rows]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(true)], names=["node", "wanted"])
 
-    true = staged(leaders.select("node", "vector").mapInArrow(compare, "a long, b long").distinct(), "audit")
-    wanted = true.count()
-    return true.join(pairs, ["a", "b"], "left_semi").count() / wanted if wanted else 1.0
+    true = members.select("vector", "copies").mapInArrow(compare, "node long, wanted long")
+    true = true.groupBy("node").agg((F.sum("wanted") - 1).alias("wanted"))
+    found = counted.join(sample.select("node"), "node", "left_semi").join(true, "node").select("wanted", "n_links").toArrow()
+    wanted, links = (found.column(c).to_numpy() for c in ("wanted", "n_links"))
+    return float(links.sum() / wanted.sum()) if wanted.sum() else 1.0
 
 
 def vector_links(rows: DataFrame, settings: VectorSettings = VectorSettings(), key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -310,24 +416,30 @@ def vector_links(rows: DataFrame, settings: VectorSettings = VectorSettings(), k
     leaders = members.where("node = cell").select("node", "vector").join(sizes.withColumnRenamed("cell", "node"), "node")
     leaders = staged(leaders, "leaders")
     widest = leaders.agg(F.max("angle")).first()[0] or 0.0
+    whole = sizes.select("cell", (F.col("size") - 1).alias("own"))
     trial = settings
-    pairs = leader_pairs(leaders.drop("size"), widest, trial)
-    while audited_recall(leaders, pairs, widest, settings) < settings.recall:
+    pairs, direct, _ = leader_pairs(leaders, widest, trial)
+    while True:
+        cell_links, member_links = _verified(pairs, direct, leaders, members, settings)
+        links = member_links.groupBy("node").agg(F.sum("links").alias("links"))
+        counted = members.select("node", "cell").join(whole, "cell").join(links, "node", "left")
+        counted = staged(
+            counted.select("node", "cell", (F.col("own") + F.coalesce("links", F.lit(0))).alias("n_links")), "counted"
+        )
+        if audited_recall(members, counted, settings) >= settings.recall:
+            break
         if trial.overlap > 64:
             raise RuntimeError("the audit finds too few neighbours; raise degree, beam or overlap")
         trial = replace(trial, overlap=2 * trial.overlap, beam=2 * trial.beam)
-        pairs = leader_pairs(leaders.drop("size"), widest, trial).unionByName(pairs).distinct()
+        more, direct, large = leader_pairs(leaders, widest, trial)
+        # shards only grow with the overlap; what shares one of several splits by now is among the direct ones
+        earlier = pairs.join(large.toDF("a", "large_a"), "a").join(large.toDF("b", "large_b"), "b")
+        earlier = earlier.where(~F.arrays_overlap("large_a", "large_b")).select("a", "b")
+        pairs = staged(more.unionByName(earlier).distinct(), "leader-pairs")
 
-    cell_links, member_links = _verified(pairs, leaders, members, settings)
     roots = components(cell_links)
-    whole = sizes.select("cell", (F.col("size") - 1).alias("own"))
-    counted = member_links.groupBy("node").agg(F.sum("links").alias("links"))
-    linked = (
-        members.select("node", "cell")
-        .join(whole, "cell")
-        .join(counted, "node", "left")
-        .join(roots.withColumnRenamed("node", "cell"), "cell", "left")
-        .select("node", (F.col("own") + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "cell").alias("root"))
+    linked = counted.join(roots.withColumnRenamed("node", "cell"), "cell", "left").select(
+        "node", "n_links", F.coalesce("root", "cell").alias("root")
     )
     known = staged(classes.select("node", "vector", "first_id").join(linked, "node"), "linked")
     smallest = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -342,11 +454,14 @@ def vector_links(rows: DataFrame, settings: VectorSettings = VectorSettings(), k
     )
 
 
-def _verified(pairs: DataFrame, leaders: DataFrame, members: DataFrame, settings: VectorSettings) -> tuple[DataFrame, DataFrame]:
+def _verified(
+    pairs: DataFrame, direct: DataFrame, leaders: DataFrame, members: DataFrame, settings: VectorSettings
+) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between cells, and rows (node, links): how many vectors of other cells each links with.
 
     Where the angles leave no doubt a cell counts as a whole; else its members
-    are compared in blocks, and only counts leave the task.
+    are compared in blocks, and only counts leave the task.  ``direct`` holds
+    the links and counts of ``_split_pairs``.
     """
     angle = math.acos(settings.cosine)
 
@@ -371,6 +486,7 @@ def _verified(pairs: DataFrame, leaders: DataFrame, members: DataFrame, settings
     by_cell = sure.select(F.col("a").alias("cell"), F.col("size_b").alias("links")).unionByName(
         sure.select(F.col("b").alias("cell"), F.col("size_a").alias("links"))
     )
+    by_cell = by_cell.unionByName(direct.where("kind = 2").select(F.col("a").alias("cell"), "links"))
     whole = members.select("node", "cell").join(by_cell.groupBy("cell").agg(F.sum("links").alias("links")), "cell")
 
     unsure = judged.where("kind = 2").select("a", "b")
@@ -402,5 +518,6 @@ def _verified(pairs: DataFrame, leaders: DataFrame, members: DataFrame, settings
         parts.select(F.col("cell").alias("b"), F.col("members").alias("y")), "b"
     )
     found = staged(blocks.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, node long, links long"), "compared")
-    cell_links = sure.select("a", "b").unionByName(found.select("a", "b")).distinct()
+    cell_links = sure.select("a", "b").unionByName(found.select("a", "b"))
+    cell_links = cell_links.unionByName(direct.where("kind = 1").select("a", "b")).distinct()
     return cell_links, whole.select("node", "links").unionByName(found.select("node", "links"))

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import groups
 
@@ -83,3 +84,34 @@ def test_search_follows_the_graph():
     true = units @ units.T >= 0.8
     assert sum(map(len, found)) >= 0.95 * true.sum()
     assert all(true[i, f].all() for i, f in enumerate(found))
+
+
+def _loose_group(count, others=300, size=64, seed=5):
+    """Vectors of which nearly all link pairwise, at cosines from 0.9 to 0.95, and some that link with nothing."""
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(size=size)
+    noise = rng.normal(size=(count, size))
+    noise -= np.outer(noise @ centre, centre) / (centre @ centre)
+    noise *= np.linalg.norm(centre) * np.sqrt(1 / 0.93 - 1) / np.linalg.norm(noise, axis=1)[:, None]
+    vectors = np.concatenate([centre + noise, rng.normal(size=(others, size))]).astype(np.float32)
+    return vectors[rng.permutation(len(vectors))]
+
+
+def test_large_loose_group_is_found_whole(spark):
+    vectors = _loose_group(20_000)
+    table = pa.table({"vec_id": np.arange(len(vectors)), "embedding": pa.array(list(vectors), pa.list_(pa.float32()))})
+    found = embeddings.vector_links(spark.createDataFrame(table)).toPandas().sort_values("vec_id")
+    units = vectors.astype(float)
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    degree = np.concatenate([(units[k : k + 1000] @ units.T >= 0.9).sum(axis=1) for k in range(0, len(units), 1000)]) - 1
+    assert (found.n_links.to_numpy() <= degree).all()
+    assert found.n_links.sum() >= 0.95 * degree.sum()
+    linked = degree > 0
+    assert (found.component_id[linked] == np.flatnonzero(linked)[0]).all()
+    assert (found.component_id.to_numpy()[~linked] == np.flatnonzero(~linked)).all()
+
+
+def test_splits_count_each_pair_once(spark):
+    rows = _cloud()
+    settings = embeddings.VectorSettings(shard_rows=40, block=16, max_shard_rows=30, overlap=8)
+    assert _found(spark, rows, settings) == _expected(rows)
