@@ -38,7 +38,7 @@ class VectorSettings:
     beam: int = 32
     #: Rows of a shard beyond which it is split by hash.
     max_shard_rows: int = 4_000
-    #: Leaders whose true neighbours are found by brute force, and the share that must have been found.
+    #: Vectors whose true links are found by brute force, and the share that must have been found.
     audited: int = 256
     recall: float = 0.95
     #: Members of a cell compared at once.
@@ -369,10 +369,23 @@ def leader_pairs(leaders: DataFrame, widest: float, settings: VectorSettings) ->
     return staged(pairs, "leader-pairs"), direct.where("kind > 0"), large
 
 
+def _audited(members: DataFrame, settings: VectorSettings) -> DataFrame:
+    """Rows (node, vector): half drawn evenly from the leaders, half from all vectors by their copies."""
+    half = settings.audited // 2
+    leaders = members.where("node = cell").orderBy(F.xxhash64("node", F.lit(1)), "node").limit(settings.audited - half)
+    chance = (F.pmod(F.xxhash64("node", F.lit(2)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    by_copies = members.orderBy(F.log(chance) / F.col("copies") * -1, "node").limit(half)
+    return leaders.select("node", "vector").unionByName(by_copies.select("node", "vector")).dropDuplicates(["node"])
+
+
 def audited_recall(members: DataFrame, counted: DataFrame, settings: VectorSettings) -> float:
-    """Share of the links of ``audited`` leaders' vectors that were found: rows (node, vector, copies, cell); (node, n_links)."""
-    sample = members.where("node = cell").orderBy(F.xxhash64("node", F.lit(1)), "node").limit(settings.audited)
-    sample = staged(sample.select("node", "vector"), "audited")
+    """Share of the links of drawn vectors that were found, of all their links or for each vector, whichever is less.
+
+    ``members``: node, vector, copies, cell; ``counted``: node, n_links.  Dense groups
+    are drawn as often as they have vectors, and hold most of all links; the mean
+    over the vectors keeps them from hiding what others miss.
+    """
+    sample = staged(_audited(members, settings), "audited")
     drawn = sample.toArrow()
     nodes, units = drawn.column("node").to_numpy(), _units(drawn.column("vector"))
 
@@ -392,7 +405,8 @@ def audited_recall(members: DataFrame, counted: DataFrame, settings: VectorSetti
     true = true.groupBy("node").agg((F.sum("wanted") - 1).alias("wanted"))
     found = counted.join(sample.select("node"), "node", "left_semi").join(true, "node").select("wanted", "n_links").toArrow()
     wanted, links = (found.column(c).to_numpy() for c in ("wanted", "n_links"))
-    return float(links.sum() / wanted.sum()) if wanted.sum() else 1.0
+    linked = wanted > 0
+    return float(min(links.sum() / wanted.sum(), (links[linked] / wanted[linked]).mean())) if linked.any() else 1.0
 
 
 def vector_links(rows: DataFrame, settings: VectorSettings = VectorSettings(), key: str = "vec_id", vector: str = "embedding") -> DataFrame:

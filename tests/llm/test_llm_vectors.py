@@ -115,3 +115,23 @@ def test_splits_count_each_pair_once(spark):
     rows = _cloud()
     settings = embeddings.VectorSettings(shard_rows=40, block=16, max_shard_rows=30, overlap=8)
     assert _found(spark, rows, settings) == _expected(rows)
+
+
+def test_audit_draws_by_vectors_and_counts_links(spark):
+    # 2,000 vectors of one cell and 20,000 single leaders: evenly drawn leaders would hardly ever meet the cell
+    lone = [(k, [1.0, float(k)], 1, k) for k in range(20_000)]
+    hot = [(100_000 + k, [-1.0 - k / 1e6, 0.0], 10, 100_000) for k in range(2_000)]
+    members = spark.createDataFrame(lone + hot, "node long, vector array<double>, copies long, cell long")
+    drawn = embeddings._audited(members, embeddings.VectorSettings())
+    assert 40 <= drawn.where("node >= 100000").count() <= 90 and drawn.count() <= 256
+
+    rows = [(k, [1.0, 0.0], 5, 0) for k in range(20)] + [(50, [-1.0, 0.0], 1, 50), (51, [-1.0, 0.01], 1, 51)]
+    members = spark.createDataFrame(rows, members.schema)
+    whole = [(k, 99) for k in range(20)] + [(50, 1), (51, 1)]
+    for counted, least, most in (
+        (whole, 1.0, 1.0),
+        ([(k, 4 if k < 20 else 1) for k, _ in whole], 0.0, 0.3),
+        ([(k, n if k < 20 else 0) for k, n in whole], 0.0, 0.92),
+    ):
+        table = spark.createDataFrame(counted, "node long, n_links long")
+        assert least <= embeddings.audited_recall(members, table, embeddings.VectorSettings()) <= most
