@@ -12,6 +12,7 @@ overlap, and dismisses most pairs; intersecting the sorted hashes decides the re
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -168,6 +169,10 @@ def _distinct_sets(data: np.ndarray, offsets: np.ndarray, settings: JaccardSetti
     return hashes[np.repeat(keep, sizes)], sizes[keep], nodes[keep], nodes, sizes
 
 
+def _digests(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    return [hashlib.md5(data[a:b]).digest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
 def _linked_pairs(pairs: DataFrame, sets: DataFrame, hashes: DataFrame, settings: JaccardSettings) -> DataFrame:
     """The pairs (a, b) of nodes that link: bitmaps first, then the sorted hashes.
 
@@ -209,8 +214,9 @@ def _linked_pairs(pairs: DataFrame, sets: DataFrame, hashes: DataFrame, settings
 def jaccard_components(
     docs: DataFrame, settings: JaccardSettings = JaccardSettings(), key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """Rows (doc_id, n_shingles, node, component_id), one for each row of ``docs``.
+    """Rows (doc_id, n_shingles, node, component_id, digest), one for each row of ``docs``.
 
+    ``digest`` is the MD5 of the text's bytes; a null text is empty.
     ``component_id`` is the smallest doc_id reachable by links, itself
     included.  Documents with equal sets are one ``node`` and always linked; empty
     sets (no word, null) link with nothing.  A null key is ignored for the
@@ -245,8 +251,9 @@ def jaccard_components(
                         pa.array(np.concatenate([text_sizes, sizes[wanted], np.zeros(t, np.int64)])),
                         pa.array([None] * n + [m.tobytes() for m in marks] + [None] * t, pa.binary()),
                         pa.array([None] * n + blobs + [None] * t, pa.binary()),
+                        pa.array(_digests(data, offsets) + [None] * (w + t), pa.binary()),
                     ],
-                    names=["kind", "value", "node", "n", "bits", "hashes"],
+                    names=["kind", "value", "node", "n", "bits", "hashes", "digest"],
                 )
 
     # Tiles of a set of n: its allowed difference and more, in one band or two; words have about six bytes.
@@ -254,9 +261,9 @@ def jaccard_components(
     blocks = text_blocks(docs, key, text)
     masked = with_masks(blocks, shared_masks(blocks, tile_keys, keys_per_byte))
     found = staged(
-        masked.mapInArrow(rows, "kind int, value long, node long, n long, bits binary, hashes binary"), "sets"
+        masked.mapInArrow(rows, "kind int, value long, node long, n long, bits binary, hashes binary, digest binary"), "sets"
     )
-    texts = found.where("kind = 0").select(F.col("value").alias("doc_id"), F.col("n").alias("n_shingles"), "node")
+    texts = found.where("kind = 0").select(F.col("value").alias("doc_id"), F.col("n").alias("n_shingles"), "node", "digest")
     sets = staged(found.where("kind = 1").select("node", "n", "bits").dropDuplicates(["node"]), "node-sets")
     hashes = found.where("kind = 1").select("node", "hashes")
     tiles = staged(found.where("kind = 2").select(F.col("value").alias("tile"), "node").distinct(), "tiles")
@@ -281,6 +288,7 @@ def jaccard_components(
         "n_shingles",
         "node",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "digest",
     )
 
 
@@ -346,12 +354,16 @@ def one_of_each(
     with a null key unless their component has a row with a key.
     """
     found = jaccard_components(docs, settings, key, text)
+    row = [F.col("doc_id").alias("__id"), F.col("digest").alias("__md5")]
     gone = found.where("n_shingles > 0 AND (doc_id <> component_id OR doc_id IS NULL AND component_id IS NOT NULL)")
-    gone = staged(gone.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    left = docs.join(gone, F.col(key).cast("long").eqNullSafe(F.col("__gone")), "left_anti")
-    twice = found.where("n_shingles > 0").groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    twice = staged(twice.select(F.col("doc_id").alias("__twice")).distinct(), "twice")
+    gone = staged(gone.select(*row).distinct(), "gone")
+    content = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
+    left = docs.withColumn("__digest", F.unhex(F.md5(content)))
+    same = F.col(key).cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__md5"))
+    left = left.join(gone, same, "left_anti")
+    twice = found.where("n_shingles > 0").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    twice = staged(twice.select(*row), "twice")
     if twice.isEmpty():
-        return left
-    same = F.col(key).cast("long").eqNullSafe(F.col("__twice"))
-    return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates([key, text]))
+        return left.drop("__digest")
+    once = left.join(twice, same, "left_semi").dropDuplicates([key, "__digest"])
+    return left.join(twice, same, "left_anti").unionByName(once).drop("__digest")

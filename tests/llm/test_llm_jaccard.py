@@ -90,3 +90,14 @@ def test_components_of_random_links(spark):
     found = components(spark.createDataFrame(links, "a long, b long"))
     assert {r.node: r.root for r in found.collect()} == groups(links, nodes)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_go_by_key_and_text(spark):
+    base = " ".join(f"w{k}" for k in range(40))
+    texts = [(1, base), (None, base.upper()), (None, "a clean text of its own"), (None, "another clean text here")]
+    texts += [(2, base), (2, "the second text of key two"), (None, None), (None, " "), (None, " "), (None, "twice alike here")]
+    texts += [(None, "twice alike here")]
+    rows = [(i, t, "en", "s", 1, "x", "y", 1, "z") for i, t in texts]
+    kept = [(r.doc_id, r.text) for r in one_of_each(documents(spark, rows)).collect()]
+    expected = [texts[k] for k in (0, 2, 3, 5, 6, 7, 8, 9)]
+    assert sorted(kept, key=str) == sorted(expected, key=str)
