@@ -1,3 +1,4 @@
+import corpus_pipeline
 from llm_cases import documents, plain
 
 from pageflow.llm.lines import LineSettings, drop_boilerplate
@@ -19,3 +20,11 @@ def test_odd_documents(spark):
     low = drop_boilerplate(docs, LineSettings(max_ratio=0.0, min_pages=1), host="source").collect()
     assert all((r.text is None) == (r.doc_id == 2 or r.n_chars is None) for r in low)
     assert drop_boilerplate(docs.limit(0), host="source").count() == 0
+
+
+def test_pipeline_drops_lines_of_few_pages(spark, root):
+    shares = {"two": 12, "five": 30, "nine": 54}
+    texts = [f"own line {k}" + "".join(f"\nline on {x}" for x, n in shares.items() if k < n) for k in range(600)]
+    texts = [x + ("\nline on four pages" if k < 4 else "") for k, x in enumerate(texts)]
+    rows = corpus_pipeline.line_dedup(spark, plain(spark, texts), root).orderBy("doc_id").collect()
+    assert [r.text for r in rows] == [f"own line {k}" + ("\nline on four pages" if k < 4 else "") for k in range(600)]
