@@ -113,3 +113,93 @@ SELECT e.vec_id, coalesce(any_value(c.n), 0)::BIGINT AS n_links, min(r.root)::BI
   e.vec_id = min(r.root) AS kept
 FROM embeddings e JOIN reached r USING (vec_id) LEFT JOIN counts c USING (vec_id) GROUP BY e.vec_id
 """
+
+ORACLES["op11_prefix_trie"] = r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS no
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+        lambda x, i: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384::BIGINT ELSE 0 END))), 4294967295::BIGINT) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)
+), rebuilt AS (
+  SELECT c.conv_id, t.no, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.no <= c.h
+  UNION ALL SELECT c.conv_id, t.no + 1000000, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.no > c.h
+), steps AS (
+  SELECT conv_id, row_number() OVER w AS depth, strlen(text) AS bytes,
+    md5(string_agg(md5(length(role) || ':' || role || text), '') OVER w) AS path
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), members AS (
+  SELECT conv_id, depth, bytes, path FROM steps UNION ALL SELECT conv_id, 0, 0, '' FROM convs
+), ends AS (
+  SELECT path, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256
+  FROM (SELECT conv_id, arg_max(path, depth) AS path FROM members GROUP BY conv_id) GROUP BY path
+), nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS saved
+  FROM members GROUP BY path, depth
+), ways AS (
+  SELECT n.path, n.saved, m.path AS above, m.depth AS above_depth, n.depth
+  FROM nodes n JOIN members m ON m.conv_id = n.conv_id AND m.depth <= n.depth
+), children AS (
+  SELECT above AS path, count(*) AS n FROM ways WHERE above_depth = depth - 1 GROUP BY above
+), sums AS (
+  SELECT w.above AS path, sum(w.saved) AS saved, count(*) FILTER (c.n IS NULL) AS leaves
+  FROM ways w LEFT JOIN children c ON c.path = w.path GROUP BY w.above
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs,
+  coalesce(c.n, 0)::BIGINT AS n_children, s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens,
+  coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+FROM nodes n JOIN sums s ON s.path = n.path LEFT JOIN children c ON c.path = n.path LEFT JOIN ends e ON e.path = n.path
+LEFT JOIN ways w ON w.path = n.path AND w.above_depth = n.depth - 1 LEFT JOIN nodes p ON p.path = w.above
+"""
+
+ORACLES["op12_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+  FROM documents
+), starts AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces
+), grams AS (
+  SELECT lang, list_slice(w, i, i + size - 1) AS words FROM starts, (SELECT unnest(range(1, 5)) AS size) WHERE i + size - 1 <= len(w)
+), counts AS (
+  SELECT lang, words, count(*) AS f FROM grams GROUP BY lang, words
+), totals AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE len(words) = 1 GROUP BY lang
+), frequent AS (
+  SELECT * FROM counts WHERE f >= 30
+), cuts AS (
+  SELECT c.lang, c.words, c.f, k, l.f AS l, r.f AS r, (c.f::HUGEINT * 2000000) // (l.f + r.f) AS score
+  FROM (SELECT *, unnest(range(1, len(words))) AS k FROM frequent WHERE len(words) > 1) c
+  JOIN frequent l ON l.lang = c.lang AND l.words = list_slice(c.words, 1, k) JOIN frequent r ON r.lang = c.lang AND r.words = list_slice(c.words, k + 1, len(c.words))
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1
+), inner_parts AS (
+  SELECT lang, list_slice(words, a, b) AS words, f FROM (
+    SELECT lang, words, f, a, unnest(range(a + 1, len(words) + 1)) AS b
+    FROM (SELECT *, unnest(range(1, len(words))) AS a FROM frequent)) WHERE b - a + 1 < len(words)
+), held AS (
+  SELECT lang, words, max(f) AS f FROM inner_parts GROUP BY lang, words
+), ranked AS (
+  SELECT s.lang, array_to_string(s.words, ' ') AS phrase, s.f AS a, s.l, s.r, s.score,
+    row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.f DESC, array_to_string(s.words, ' ')) AS rank
+  FROM lowest s LEFT JOIN held h ON h.lang = s.lang AND h.words = s.words WHERE h.f IS NULL OR 100 * h.f < 80 * s.f
+)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score::BIGINT AS score
+FROM ranked r JOIN totals t ON t.lang = r.lang WHERE r.rank <= 2000
+"""
+
+ORACLES["op13_top_products"] = r"""
+WITH scaled AS (
+  SELECT row_number() OVER () AS no, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT q.no, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM scaled q JOIN scaled c ON q.no <> c.no AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY no ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank, vec_id, score
+FROM scores QUALIFY row_number() OVER (PARTITION BY no ORDER BY score DESC, vec_id NULLS LAST) <= 20
+"""

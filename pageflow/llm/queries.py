@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageflow.llm import chat, embeddings, jaccard, lines, mixing, packing, quality, substrings, token_files, warc
+from pageflow.llm import (
+    chat, collocations, embeddings, jaccard, lines, mixing, packing, products, quality, substrings, token_files, tries, warc,
+)
 from pageflow.sources.shared import fresh_path, staged
 from pageflow.sources.tables import read_table
 
@@ -116,3 +118,18 @@ def op2_vector_graph(spark: SparkSession, root: str) -> DataFrame:
 @_query
 def op3_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
     return substrings.repeated_substrings(read_table(spark, root, "documents"))
+
+
+@_query
+def op11_prefix_trie(spark: SparkSession, root: str) -> DataFrame:
+    return tries.prefix_trie(tries.rebuilt(tries.encoded(read_table(spark, root, "conversations"))))
+
+
+@_query
+def op12_collocations(spark: SparkSession, root: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, root, "documents"))
+
+
+@_query
+def op13_top_products(spark: SparkSession, root: str) -> DataFrame:
+    return products.top_products(read_table(spark, root, "embeddings"), F.col("id") % 20 == 0)

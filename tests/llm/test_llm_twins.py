@@ -8,7 +8,7 @@ from pageflow.llm.queries import QUERIES
 
 
 def test_names_and_twins():
-    assert sorted(q.split("_")[0] for q in QUERIES) == sorted(f"op{n}" for n in range(1, 11))
+    assert sorted(q.split("_")[0] for q in QUERIES) == sorted(f"op{n}" for n in range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
 
 
