@@ -29,7 +29,7 @@ def _plain(rows, settings):
                 held[part] = max(held[part], a)
     by_lang = {}
     for (lang, words), a in candidates.items():
-        if 100 * held[lang, words] >= 80 * a:
+        if 100 * held[lang, words] >= settings.held_percent * a:
             continue
         cuts = []
         for k in range(1, len(words)):
