@@ -83,11 +83,57 @@ def block_score(block: Column) -> Column:
     return F.when(length >= 25, score).otherwise(F.lit(0.0))
 
 
+def _running(values: Column) -> Column:
+    """Running sums of an array, by adding what stands 1, 2, 4, ... places before; n log n steps."""
+    rounds = F.ceil(F.log2(F.greatest(F.size(values), F.lit(2)))).cast("int")
+    add = lambda acc, k: F.transform(
+        acc, lambda x, i: x + F.coalesce(F.get(acc, i - F.call_function("shiftleft", F.lit(1), k)), F.lit(0).cast("long"))
+    )
+    return F.aggregate(F.sequence(F.lit(0), rounds - 1), values, add)
+
+
+def _by_id(page_blocks: Column, value) -> Column:
+    """Running sums of a block's value, at each id up to the last block's; ids of a page are places."""
+
+    def gap(b: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(page_blocks, i - 1)["id"], F.lit(-1))
+        return F.concat(F.array_repeat(F.lit(0).cast("long"), b["id"] - before - 1), F.array(value(b).cast("long")))
+
+    return _running(F.flatten(F.transform(page_blocks, gap)))
+
+
+def _votes(page_blocks: Column) -> Column:
+    """(element, votes) for each parent and grandparent of a block that counts; equal elements stand together when sorted."""
+    voting = F.filter(page_blocks, lambda b: b["score"] > 0)
+    cast = lambda name, share: F.transform(
+        voting, lambda b: F.struct(b[name].alias("element"), (b["score"] * share).alias("votes"))
+    )
+    every = F.concat(cast("parent", 1.0), cast("grand", 0.5))
+    ordered = F.array_sort(F.filter(every, lambda v: v["element"] >= 0))
+
+    def summed(votes: Column) -> Column:
+        places = F.transform(votes, lambda v, i: F.when((i == 0) | (v["element"] != F.get(votes, i - 1)["element"]), i))
+
+        def each(starts: Column) -> Column:
+            def run(at: Column, k: Column) -> Column:
+                end = F.coalesce(F.get(starts, k + 1), F.size(votes))
+                total = F.aggregate(F.slice(votes, at + 1, end - at), F.lit(0.0), lambda acc, v: acc + v["votes"])
+                return F.struct(F.get(votes, at)["element"].alias("element"), total.alias("votes"))
+
+            return F.transform(starts, run)
+
+        return bind(F.filter(places, lambda i: i.isNotNull()), each)
+
+    return bind(ordered, summed)
+
+
 def main_element(page_blocks: Column, events: Column) -> Column:
     """Id of the element whose blocks score best, NULL on a page without prose.
 
     A block's score goes to its parent in full and to its grandparent by half;
-    the sum shrinks with the share of link text below the element.
+    the sum shrinks with the share of link text below the element.  Ids are in
+    document order, so what lies below an element is a stretch of running sums,
+    two look-ups however large it is.
     """
     scored = F.transform(
         page_blocks,
@@ -102,30 +148,24 @@ def main_element(page_blocks: Column, events: Column) -> Column:
     )
 
     def best(rows: Column) -> Column:
-        voting = F.filter(rows, lambda b: b["score"] > 0)
-        elements = F.array_distinct(
-            F.concat(F.transform(voting, lambda b: b["parent"]), F.transform(voting, lambda b: b["grand"]))
+        def weighed(sums: Column) -> Column:
+            def below(values: Column, element: Column) -> Column:
+                last = F.least(F.get(events, element)["last"], F.size(values) - 1)
+                return (F.get(values, last) - F.coalesce(F.get(values, element - 1), F.lit(0))).cast("double")
+
+            def weight(v: Column) -> Column:
+                chars, links = below(sums["chars"], v["element"]), below(sums["links"], v["element"])
+                density = F.when(chars > 0, links / chars).otherwise(F.lit(0.0))
+                return F.struct((v["votes"] * (1 - density)).alias("score"), (-v["element"]).alias("order"))
+
+            return F.transform(sums["votes"], weight)
+
+        sums = F.struct(
+            _by_id(rows, lambda b: b["chars"]).alias("chars"),
+            _by_id(rows, lambda b: b["link_chars"]).alias("links"),
+            _votes(rows).alias("votes"),
         )
-
-        def total(values: Column) -> Column:
-            return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
-
-        def weighed(element: Column) -> Column:
-            votes = F.transform(
-                rows,
-                lambda b: F.when(b["parent"] == element, b["score"])
-                .when(b["grand"] == element, b["score"] / 2)
-                .otherwise(F.lit(0.0)),
-            )
-            last = F.get(events, element)["last"]
-            below = F.filter(rows, lambda b: (b["id"] >= element) & (b["id"] <= last))
-            chars = total(F.transform(below, lambda b: b["chars"].cast("double")))
-            links = total(F.transform(below, lambda b: b["link_chars"].cast("double")))
-            density = F.when(chars > 0, links / chars).otherwise(F.lit(0.0))
-            return F.struct((total(votes) * (1 - density)).alias("score"), (-element).alias("order"))
-
-        known = F.filter(elements, lambda e: e >= 0)
-        return -F.array_max(F.transform(known, weighed))["order"]
+        return -F.array_max(bind(sums, weighed))["order"]
 
     return bind(scored, best)
 

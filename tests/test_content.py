@@ -1,6 +1,7 @@
 """Tree events, selectors, clean HTML, text, Markdown, main content, records."""
 
 import datetime
+import random
 import re
 import time
 
@@ -328,3 +329,60 @@ def test_render_of_nothing(spark):
         F.size(render.blocks(F.col("e"), F.col("e"), F.lit(True))).alias("n"),
     ).first()
     assert row.h in (None, "") and row.n <= 0
+
+
+def _random_page(seed):
+    rng = random.Random(seed)
+    words = "one, two three four, five six seven eight nine ten eleven twelve".split()
+
+    def part(depth):
+        if depth == 0 or rng.random() < 0.3:
+            text = " ".join(rng.choice(words) for _ in range(rng.randrange(1, 40)))
+            return f"<p>{text} <a href='/x'>{' '.join(rng.choice(words) for _ in range(rng.randrange(0, 9)))}</a></p>"
+        tag = rng.choice(["div", "section", "article"])
+        return f"<{tag}>{''.join(part(depth - 1) for _ in range(rng.randrange(1, 5)))}</{tag}>"
+
+    return f"<html><body>{''.join(part(4) for _ in range(rng.randrange(1, 4)))}</body></html>"
+
+
+def test_main_element_equals_brute_force(spark):
+    pages = spark.createDataFrame([(k, _random_page(k)) for k in range(40)], "page_id bigint, html string")
+    events = F.col("events")
+    found = pages.select("page_id", html_events(F.col("html")).alias("events")).select(
+        "page_id", "events", render.blocks(render.body_events(events), events, F.lit(True)).alias("blocks")
+    )
+    rows = found.select("*", content.main_element(F.col("blocks"), events).alias("main")).collect()
+    some = 0
+    for row in rows:
+        votes = {}
+        for b in row.blocks:
+            if len(b.text) >= 25:
+                score = 1.0 + b.text.count(",") + min(len(b.text) // 100, 3)
+                for element, share in ((b.parent, 1.0), (b.grand, 0.5)):
+                    votes[element] = votes.get(element, 0.0) + score * share
+        weights = []
+        for element, total in votes.items():
+            if element is None or element < 0:
+                continue
+            below = [b for b in row.blocks if element <= b.id <= row.events[element].last]
+            chars, links = sum(len(b.text) for b in below), sum(b.link_chars for b in below)
+            weights.append((total * (1 - (links / chars if chars else 0.0)), -element))
+        assert row.main == (-max(weights)[1] if weights else None)
+        some += bool(weights)
+    assert some > 30
+
+
+def test_main_content_keeps_up_with_the_page(spark):
+    settings = S.ContentSettings(output_formats=("text",), html_transformer="readableText")
+
+    def seconds(n):
+        html = "<html><body><div>" + "".join(f"<p>Short prose number {i}, one two three.</p>" for i in range(n)) + "</div></body></html>"
+        frame = spark.createDataFrame([(1, html)], "page_id bigint, html string")
+        start = time.perf_counter()
+        text = content.with_content(frame, settings).first().text
+        assert text.count("Short prose") == n
+        return time.perf_counter() - start
+
+    seconds(100)
+    small, large = seconds(1600), seconds(16_000)
+    assert large < 12 * small and large < 30
