@@ -1,19 +1,29 @@
-"""Phrase search: BM25 over a corpus of pages or documents.
-
-The index is one row per document with its term counts inside the row, so
-building it shuffles nothing.  A search needs the document frequencies of the
-phrases' terms (one narrow aggregation) and weighs each (phrase, term) pair.
-It then places the index by document once; with the weights broadcast, every
-score is summed where its document lies, and each task keeps its ``top_k`` per
-phrase before anything else moves.  What moves is the index and ``top_k`` rows
-per phrase and task, not the pairs that share a term.
+"""Phrase search: BM25 over a corpus of pages or documents, ranked as if every posting were read.
+
+``build_index`` makes one row per document with its term counts, in place.
+``write_postings`` stores what a search reads.  Documents are numbered in order
+of their host's labels from the top level down, so that a ``site:`` is one
+interval of numbers; a stretch of numbers is a shard.  In each shard the
+postings of a term are blocks in falling order of impact, each with its highest
+impact and its first and last document.
+
+A search weighs its terms, scores the first blocks of each phrase's weightiest
+terms, and takes the k-th best of these sums as a threshold: no result scores
+less.  A block whose best posting, with the best of all the phrase's other
+terms, stays below it cannot hold any part of a result and is not read.  The
+rest is summed where its shard lies, each task keeps ``top_k`` rows per phrase,
+and only these move.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pageflow.functions.bind import bind
@@ -63,6 +73,102 @@ def build_index(corpus: DataFrame) -> DataFrame:
     return corpus.select(*kept, described.alias("d")).select(*kept, "d.*")
 
 
+@dataclass(frozen=True)
+class Postings:
+    """A stored search index.
+
+    ``documents``: doc_id, doc_no, host_key, doc_length and the corpus's further
+    columns; ``blocks``: shard, term, leads, top, first_doc, last_doc, postings
+    (doc_id, doc_no, impact); ``terms``: term, df, top.
+    """
+
+    documents: DataFrame
+    blocks: DataFrame
+    terms: DataFrame
+
+
+def host_key(host: Column) -> Column:
+    """A host's labels from the top level down, each ended by a dot: what lies below a domain begins with its key."""
+    labels = F.reverse(F.split(host, r"\."))
+    return F.when(F.coalesce(host, F.lit("")) == "", F.lit("")).otherwise(F.concat(F.array_join(labels, "."), F.lit(".")))
+
+
+_BLOCK = (
+    "shard int, term string, leads boolean, top double, first_doc long, last_doc long,"
+    " postings array<struct<doc_id:long,doc_no:long,impact:double>>"
+)
+
+
+def _blocks(postings: DataFrame, rows: int) -> DataFrame:
+    """Consecutive postings (shard, term, doc_id, doc_no, impact) of one term as rows of at most ``rows``."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            shard, term = batch.column("shard").to_numpy(), batch.column("term").dictionary_encode()
+            code = term.indices.to_numpy()
+            fresh = np.concatenate([[True], (shard[1:] != shard[:-1]) | (code[1:] != code[:-1])])
+            runs = np.flatnonzero(fresh)
+            sizes = np.diff(np.append(runs, len(batch)))
+            place = np.arange(len(batch)) - np.repeat(runs, sizes)
+            starts = np.flatnonzero(place % rows == 0)
+            leads = fresh[starts]
+            leads[0] = last != (shard[0], batch.column("term")[0].as_py())
+            last = shard[-1], batch.column("term")[len(batch) - 1].as_py()
+            number = batch.column("doc_no").to_numpy()
+            impact = batch.column("impact").to_numpy()
+            fields = [batch.column(c) for c in ("doc_id", "doc_no", "impact")]
+            held = pa.StructArray.from_arrays(fields, names=["doc_id", "doc_no", "impact"])
+            at = pa.array(starts)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("shard").take(at), batch.column("term").take(at), pa.array(leads), pa.array(impact[starts]),
+                    pa.array(np.minimum.reduceat(number, starts)), pa.array(np.maximum.reduceat(number, starts)),
+                    pa.ListArray.from_arrays(pa.array(np.append(starts, len(batch)).astype(np.int32)), held),
+                ],
+                names=[f.split()[0] for f in _BLOCK.split(", ")],
+            )
+
+    return postings.mapInArrow(pack, _BLOCK)
+
+
+def write_postings(index: DataFrame, path: str, settings: SearchSettings = SearchSettings()) -> Postings:
+    """Store the posting blocks of a ``build_index`` table below ``path``.
+
+    The index moves twice: by host key for its numbers, and posting by posting,
+    without texts, into the order of blocks.  Both orders are ranges, so that a
+    host or a term with a third of all rows spreads over tasks.
+    """
+    spark = index.sparkSession
+    n_shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = ["host_key", "doc_id"]
+    ordered = index.withColumn("host_key", host_key(F.col("host"))).repartitionByRange(n_shards, *order)
+    numbered = ordered.sortWithinPartitions(*order).withColumns(
+        {"doc_no": F.monotonically_increasing_id(), "shard": F.spark_partition_id()}
+    )
+    numbered.write.parquet(f"{path}/numbered")
+    numbered = spark.read.parquet(f"{path}/numbered")
+    numbered.drop("postings", "host").write.parquet(f"{path}/documents")
+    mean_length = numbered.agg(F.avg("doc_length")).scalar()
+    norm = settings.k1 * (1 - settings.b + settings.b * F.col("doc_length") / mean_length)
+    tf = F.col("posting.tf")
+    postings = numbered.select("shard", "doc_id", "doc_no", norm.alias("norm"), F.explode("postings").alias("posting")).select(
+        "shard", "posting.term", "doc_id", "doc_no", (tf * (settings.k1 + 1) / (tf + F.col("norm"))).alias("impact")
+    )
+    falling = ["shard", "term", F.desc("impact"), "doc_id"]
+    blocks = _blocks(postings.repartitionByRange(*falling).sortWithinPartitions(*falling), settings.block_postings)
+    blocks.write.parquet(f"{path}/blocks")
+    stored = spark.read.parquet(f"{path}/blocks")
+    stored.groupBy("term").agg(F.sum(F.size("postings")).alias("df"), F.max("top").alias("top")).write.parquet(f"{path}/terms")
+    return read_postings(spark, path)
+
+
+def read_postings(spark: SparkSession, path: str) -> Postings:
+    return Postings(*[spark.read.parquet(f"{path}/{name}") for name in ("documents", "blocks", "terms")])
+
+
 def phrase_terms(phrases: DataFrame) -> DataFrame:
     """(query_id, site, term) of (query_id, phrase); ``site:`` is no term, no site is ``''``."""
     site = F.lower(F.regexp_extract("phrase", SITE, 1))
@@ -72,66 +178,101 @@ def phrase_terms(phrases: DataFrame) -> DataFrame:
     )
 
 
-def _sites_of(host: Column) -> Column:
-    """What a ``site:`` may name to include a host: nothing, it, and its parents."""
-    labels = F.split(host, r"\.")
-    domains = F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels) - i), "."))
-    return F.array_distinct(F.concat(F.array(F.lit("")), F.coalesce(domains, F.array().cast("array<string>"))))
+_ALL = (0, (1 << 63) - 1)
+
+
+def site_intervals(sites: DataFrame, documents: DataFrame) -> DataFrame:
+    """(site, low, high) of (site): the documents below a site are those with low <= doc_no < high.
+
+    A merge of two sorted tables: a site's key and the key right behind all it
+    holds are sorted in among the documents' host keys, and each takes the next
+    document's number.  Numbers are found within ranges; where a range has no
+    further document, the first of a later range counts, one row a range.
+    """
+    key = host_key(F.col("site"))
+    # "/" comes right after "."
+    after = F.concat(F.expr("substring(k, 1, length(k) - 1)"), F.lit("/"))
+    keys = sites.select("site", key.alias("k"))
+    bounds = keys.select("site", F.lit("low").alias("bound"), F.col("k").alias("key")).unionByName(
+        keys.select("site", F.lit("high").alias("bound"), after.alias("key"))
+    )
+    hosts = documents.groupBy(F.col("host_key").alias("key")).agg(F.min("doc_no").alias("doc_no"))
+    both = bounds.unionByName(hosts, allowMissingColumns=True).repartitionByRange("key")
+    parted = staged(both.withColumn("part", F.spark_partition_id()), "site-bounds")
+    following = Window.partitionBy("part").orderBy("key").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    firsts = parted.groupBy("part").agg(F.min("doc_no").alias("part_first"))
+    later = Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)  # one row a range
+    firsts = firsts.select("part", F.min("part_first").over(later).alias("part_next"))
+    placed = parted.withColumn("next", F.min("doc_no").over(following)).where("site IS NOT NULL").join(F.broadcast(firsts), "part")
+    place = F.coalesce("next", "part_next", F.lit(_ALL[1]))
+    bound = lambda name: F.max(F.when(F.col("bound") == name, place)).alias(name)
+    return placed.groupBy("site").agg(bound("low"), bound("high"))
+
+
+def _weights(wanted: DataFrame, index: Postings) -> DataFrame:
+    """Phrase terms with idf, the most the term can give (``most``), the most all others can (``rest``), and intervals.
+
+    The inverse document frequency is above 0 for every term, so that a phrase
+    of words that stand in nearly all documents has results, too.
+    """
+    n_docs = index.documents.count()
+    weight = F.ln(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    found = wanted.join(index.terms, "term").withColumn("idf", weight).withColumn("most", F.col("idf") * F.col("top"))
+    query = Window.partitionBy("query_id")
+    found = found.select(
+        "query_id", "site", "term", "idf", "most",
+        (F.sum("most").over(query) - F.col("most")).alias("rest"),
+        F.row_number().over(query.orderBy(F.desc("most"), "term")).alias("weight_rank"),
+    )
+    sites = staged(wanted.where("site <> ''").select("site").distinct(), "sites")
+    if sites.isEmpty():
+        return found.withColumns({"low": F.lit(_ALL[0]), "high": F.lit(_ALL[1])}).drop("site")
+    bounded = found.join(site_intervals(sites, index.documents), "site", "left")
+    free = lambda name, value: F.when(F.col("site") == "", F.lit(value)).otherwise(F.col(name))
+    return bounded.withColumns({"low": free("low", _ALL[0]), "high": free("high", _ALL[1])}).drop("site")
 
 
-def _weights(wanted: DataFrame, index: DataFrame, settings: SearchSettings) -> DataFrame:
-    """Phrase terms with their inverse document frequency.
+def _summed(blocks: DataFrame, weights: DataFrame, settings: SearchSettings) -> DataFrame:
+    """(shard, query_id, doc_id, score) over the blocks that meet a weighed term and may hold a part of a result.
 
-    A term in half of the documents or more says nothing about any of them
-    and weighs nothing, so it drops out before any posting is read.
+    Blocks of asked terms move once, packed, to their shard; sums are made there.
     """
-    vocabulary = broadcast_if_small(
-        staged(wanted.select("term").distinct(), "vocabulary"), settings.broadcast_rows
+    terms = broadcast_if_small(staged(weights.select("term").distinct(), "vocabulary"), settings.broadcast_bytes)
+    asked = blocks.join(terms, "term", "left_semi")
+    met = broadcast_if_small(weights, settings.broadcast_bytes)
+    reaches = F.col("idf") * F.col("block_top") + F.col("rest") >= F.col("threshold") - 2e-6  # scores are rounded
+    within = (F.col("first_doc") < F.col("high")) & (F.col("last_doc") >= F.col("low"))
+    placed = asked.withColumnRenamed("top", "block_top").repartition("shard")
+    pairs = placed.join(met, "term").where(reaches & within)
+    gains = pairs.select("shard", "query_id", "idf", "low", "high", F.explode("postings").alias("p")).where(
+        (F.col("p.doc_no") >= F.col("low")) & (F.col("p.doc_no") < F.col("high"))
     )
-    found = (
-        index.select(F.explode("postings.term").alias("term"))
-        .join(vocabulary, "term", "left_semi")
-        .groupBy("term")
-        .agg(F.count("*").alias("df"))
+    return gains.groupBy("shard", "query_id", F.col("p.doc_id").alias("doc_id")).agg(
+        F.round(F.sum(F.col("idf") * F.col("p.impact")), 6).alias("score")
     )
-    n_docs = index.agg(F.count("*")).scalar()
-    weight = F.ln((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return wanted.join(found, "term").withColumn("idf", weight).filter("idf > 0").drop("df")
 
 
 def search(
     phrases: DataFrame,
-    index: DataFrame,
+    index: Postings,
     settings: SearchSettings = SearchSettings(),
     choose: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """The ``top_k`` best documents of each phrase: (query_id, doc_id, score, rank).
 
-    ``choose`` may drop scored documents (query_id, doc_id, score) before the cut.
-
-    ``index`` should be a stored table: it is read for its size, for the
-    document frequencies and for the scores.
+    ``choose`` may drop scored documents (query_id, doc_id, score) before the
+    cut: by themselves, or because another of their kind scores higher.
     """
-    weights = staged(_weights(phrase_terms(phrases), index, settings), "weights")
-    mean_length = index.agg(F.avg("doc_length")).scalar()
-    placed = index.repartition("doc_id").withColumn("site", F.explode(_sites_of(F.col("host"))))
-    # a document stands under '' and each of its domains; drop those not asked for
-    sites = weights.select("site").distinct()
-    if sites.count() <= settings.broadcast_rows:
-        placed = placed.join(F.broadcast(sites), "site", "left_semi")
-    postings = placed.select(
-        "doc_id",
-        "site",
-        (settings.k1 * (1 - settings.b + settings.b * F.col("doc_length") / mean_length)).alias("norm"),
-        F.explode("postings").alias("posting"),
-    ).select("doc_id", "site", "norm", "posting.*")
-    gain = F.col("idf") * F.col("tf") * (settings.k1 + 1) / (F.col("tf") + F.col("norm"))
-    scored = (
-        postings.join(broadcast_if_small(weights, settings.broadcast_rows), ["site", "term"])
-        .groupBy("query_id", "doc_id")
-        .agg(F.round(F.sum(gain), 6).alias("score"))
-    )
-    if choose is not None:
-        scored = choose(scored)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= settings.top_k)
+
+    def ranked(scored: DataFrame) -> DataFrame:
+        chosen = scored.drop("shard") if choose is None else choose(scored.drop("shard"))
+        return chosen.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= settings.top_k)
+
+    weights = staged(_weights(phrase_terms(phrases), index), "weights")
+    first = weights.where(F.col("weight_rank") <= settings.lead_terms).withColumn("threshold", F.lit(0.0))
+    seen = ranked(_summed(index.blocks.where("leads"), staged(first, "lead-terms"), settings))
+    known = F.when(F.count(F.lit(1)) >= settings.top_k, F.min("score"))
+    thresholds = staged(seen.groupBy("query_id").agg(known.alias("threshold")), "thresholds")
+    bounded = weights.join(thresholds, "query_id", "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.0)))
+    return ranked(_summed(index.blocks, staged(bounded, "bounded-weights"), settings))

@@ -153,6 +153,12 @@ def _scores(found: DataFrame) -> DataFrame:
     return found.select("query_id", "doc_id", "score", _long("rank").alias("rank"))
 
 
+def posting_index(spark: SparkSession, root: str) -> DataFrame:
+    """Build and store the page index; each term with its documents and its highest impact."""
+    stored = search.write_postings(search.build_index(T.page_corpus(spark, root)), fresh_path(spark, "built-index"))
+    return stored.terms.select("term", _long("df").alias("df"), F.round("top", 6).alias("top"))
+
+
 def search_bm25(spark: SparkSession, root: str) -> DataFrame:
     return _scores(search.search(T.phrases(spark, root), T.page_index(spark, root)))
 
@@ -580,7 +586,7 @@ QUERIES = {
     for f in (
         interpret_as_url, route_requests, parse_params, validate_params, typed_input, search_page_plan, page_by_url,
         serp_extract, valid_results, dedup_results, topk_rank, paginate_results, page_requests, empty_searches,
-        search_bm25, search_documents, search_site,
+        posting_index, search_bm25, search_documents, search_site,
         content_type_split, page_metadata, remove_elements, remove_selector, clean_html, page_text, oversize_text,
         page_markdown, readable_blocks, readable_main, result_records, failed_results, all_outcomes, output_formats,
         results_with_content, result_preview, response_merge, response_deadline, response_complete, response_status,

@@ -217,12 +217,12 @@ BM25 = r"""terms AS (
 ), frequency AS (
   SELECT term, count(*) AS df FROM postings GROUP BY term
 ), weights AS (
-  SELECT w.*, ln((n_docs - df + 0.5) / (df + 0.5)) AS idf FROM wanted w JOIN frequency USING (term), stats
+  SELECT w.*, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) AS idf FROM wanted w JOIN frequency USING (term), stats
 ), scores AS (
   SELECT query_id, doc_id,
     round(sum(idf * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / mean_length))), 6) AS score
   FROM weights JOIN postings USING (term), stats
-  WHERE idf > 0 AND (site IS NULL OR host = site OR ends_with(host, '.' || site)) GROUP BY ALL
+  WHERE (site IS NULL OR host = site OR ends_with(host, '.' || site)) GROUP BY ALL
 ), best AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores
 )"""
@@ -415,6 +415,9 @@ ORACLES = {
         rank, description FROM final""",
     "empty_searches": f"""WITH {PAGED} SELECT query_id, query FROM searches
         WHERE query_id NOT IN (SELECT query_id FROM final)""",
+    "posting_index": f"""WITH {PHRASES}, {PAGE_CORPUS}, {BM25}
+SELECT term, count(*) AS df, round(max(tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / mean_length))), 6) AS top
+FROM postings, stats GROUP BY term""",
     "search_bm25": f"WITH {PHRASES}, {PAGE_CORPUS}, {BM25} {TOP_10}",
     "search_documents": f"""WITH {PHRASES}, corpus AS (SELECT doc_id, '' AS host, text FROM documents), {BM25}
         {TOP_10}""",

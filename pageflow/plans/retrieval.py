@@ -12,14 +12,13 @@ from pageflow.functions import urls
 from pageflow.functions.selectors import is_supported
 from pageflow.operators import content, hits, responses
 from pageflow.operators.requests import route, stable_id
-from pageflow.operators.search import search
+from pageflow.operators.search import Postings, search
 from pageflow.sources.shared import broadcast_if_small, staged
 
 CARRIED = ("query", "output_formats", *content.ROW_SETTINGS)
-MAX_BROADCAST_PAGES = 1_000_000
 
 
-def plan_pages(requests: DataFrame, index: DataFrame, search_settings: S.SearchSettings) -> DataFrame:
+def plan_pages(requests: DataFrame, index: Postings, search_settings: S.SearchSettings) -> DataFrame:
     """The page requests of each request: its URL, or its best search results.
 
     Works on narrow columns only; no page is read here.
@@ -45,7 +44,7 @@ def plan_pages(requests: DataFrame, index: DataFrame, search_settings: S.SearchS
     asked = routed.filter("route = 'search'")
     phrases = asked.select(F.col("request_id").alias("query_id"), F.col("target").alias("phrase"))
     most = S.NUMBER_BOUNDS["maxResults"][1]
-    described = index.select("doc_id", "url", "title")
+    described = index.documents.select("doc_id", "url", "title")
     found = search(
         phrases,
         index,
@@ -91,7 +90,7 @@ def first_of_each_result(scored: DataFrame, described: DataFrame) -> DataFrame:
 def retrieve(
     requests: DataFrame,
     fetched: DataFrame,
-    index: DataFrame,
+    index: Postings,
     content_settings: S.ContentSettings = S.ContentSettings(),
     search_settings: S.SearchSettings = S.SearchSettings(),
 ) -> DataFrame:
@@ -99,7 +98,7 @@ def retrieve(
 
     ``requests`` went through ``validate``; ``fetched`` holds one row per URL
     (url, loaded_url, status, content_type, error, html, loaded_at); ``index``
-    is a stored ``build_index`` table with url and title.  A page is processed
+    is a stored posting index of a corpus with url and title.  A page is processed
     once per selector and transformer, however many requests ask for it;
     ``content_settings`` names the formats made, of which each request gets its own.
     A page nobody fetched leaves its request pending, which fails at the end;
@@ -115,7 +114,7 @@ def retrieve(
     # one job per page and set of settings, however many requests share it
     jobs = staged(planned.select("job_key", "url", *content.ROW_SETTINGS).distinct(), "page-jobs")
     pages = fetched.withColumn("url", urls.http_url(F.col("url")))
-    wanted = pages.join(broadcast_if_small(jobs, MAX_BROADCAST_PAGES), "url")
+    wanted = pages.join(broadcast_if_small(jobs), "url")
     selector = F.col("remove_elements_css_selector")
     unusable = F.when(
         ~is_supported(selector) & (selector != content_settings.remove_selector),

@@ -14,7 +14,7 @@ from pageflow import settings as S
 from pageflow.functions import text as native, urls
 from pageflow.operators.content import with_content, with_metadata
 from pageflow.operators.requests import parse_parameters, validate
-from pageflow.operators.search import build_index
+from pageflow.operators.search import Postings, build_index, read_postings, write_postings
 from pageflow.sources.shared import fresh_path, staged
 from pageflow.sources.tables import normalised_timestamps, read_table, spread
 
@@ -246,22 +246,43 @@ def page_corpus(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def page_index(spark: SparkSession, root: str) -> DataFrame:
-    return staged(build_index(page_corpus(spark, root)), "page-index")
+#: Indexes this application has stored, by their name and the tables' folder.
+_INDEXES: dict[tuple[str, str, str], str] = {}
 
 
-def copied_index(spark: SparkSession, root: str) -> DataFrame:
+def _stored_index(spark: SparkSession, root: str, name: str, corpus) -> Postings:
+    """The index as a job before the search would leave it: built once and then read."""
+    key = spark.sparkContext.applicationId, root, name
+    if key not in _INDEXES:
+        path = fresh_path(spark, name)
+        write_postings(build_index(corpus()), path)
+        _INDEXES[key] = path
+    return read_postings(spark, _INDEXES[key])
+
+
+def page_index(spark: SparkSession, root: str) -> Postings:
+    return _stored_index(spark, root, "page-index", lambda: page_corpus(spark, root))
+
+
+def copied_index(spark: SparkSession, root: str) -> Postings:
     """The page index with 120 more copies of one page, as a crawl has them."""
-    corpus = page_corpus(spark, root)
-    numbers = F.sequence(F.lit(1), F.lit(120)).cast("array<bigint>")
-    copies = corpus.filter("doc_id = 7").withColumn("copy", F.explode(numbers))
-    copies = copies.withColumn("doc_id", F.col("doc_id") + F.col("copy") * 1_000_000_000).drop("copy")
-    return staged(build_index(corpus.unionByName(copies)), "copied-index")
+
+    def corpus() -> DataFrame:
+        pages_once = page_corpus(spark, root)
+        numbers = F.sequence(F.lit(1), F.lit(120)).cast("array<bigint>")
+        copies = pages_once.filter("doc_id = 7").withColumn("copy", F.explode(numbers))
+        copies = copies.withColumn("doc_id", F.col("doc_id") + F.col("copy") * 1_000_000_000).drop("copy")
+        return pages_once.unionByName(copies)
+
+    return _stored_index(spark, root, "copied-index", corpus)
+
+
+def document_corpus(spark: SparkSession, root: str) -> DataFrame:
+    return spread(read_table(spark, root, "documents")).select("doc_id", F.lit("").alias("host"), "text")
 
 
-def document_index(spark: SparkSession, root: str) -> DataFrame:
-    corpus = spread(read_table(spark, root, "documents")).select("doc_id", F.lit("").alias("host"), "text")
-    return staged(build_index(corpus), "document-index")
+def document_index(spark: SparkSession, root: str) -> Postings:
+    return _stored_index(spark, root, "document-index", lambda: document_corpus(spark, root))
 
 
 # -- requests and outcomes out of the event log ------------------------------

@@ -101,6 +101,9 @@ class SearchSettings:
     k1: float = 1.2
     b: float = 0.75
     top_k: int = 10
-    # Largest number of (phrase, term) rows that is sent to every executor;
-    # beyond it the postings are shuffled on the term instead.
-    broadcast_rows: int = 500_000
+    # Postings of one block, and the weightiest terms of a phrase whose first blocks give its threshold.
+    block_postings: int = 256
+    lead_terms: int = 8
+    # Largest table of terms or weights, in bytes, that is sent to every executor;
+    # beyond it the posting blocks meet their terms by shuffle.
+    broadcast_bytes: int = 64 << 20

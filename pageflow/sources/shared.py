@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -43,19 +43,40 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Mark a staged table for broadcast only when its counted size allows."""
-    if df.count() <= max_rows:
+#: Keys of at most so many bytes are sent to every task.
+BROADCAST_BYTES = 64 << 20
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of a stored table's values: texts as they are, 8 for anything else, arrays by their elements."""
+
+    def size(name: str, kind: str) -> Column:
+        value = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            return F.octet_length(value) + 8
+        if kind.startswith("array<"):
+            return F.octet_length(F.to_json(F.struct(value)))
+        return F.lit(8)
+
+    total = F.lit(0)
+    for name, kind in df.dtypes:
+        total = total + F.coalesce(size(name, kind), F.lit(8))
+    return df.agg(F.coalesce(F.sum(total), F.lit(0))).first()[0]
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a staged table for broadcast only when the size of its values allows."""
+    if stored_bytes(df) <= max_bytes:
         return F.broadcast(df)
     return df
 
 
-def only_wanted(wide: DataFrame, wanted: DataFrame, on: str, max_rows: int = 1_000_000) -> DataFrame:
+def only_wanted(wide: DataFrame, wanted: DataFrame, on: str, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Rows of a wide table whose key is wanted, without moving the table.
 
-    The wanted keys are written down and counted; up to ``max_rows`` they go
-    to every task.  Beyond that both sides are joined by shuffle, which a wide
-    table bucketed by the key avoids.
+    The wanted keys are written down and measured; up to ``max_bytes`` they go
+    to every task.  Beyond that both sides are joined by shuffle, which a page
+    store (``sources.pagestore``) avoids.
     """
     keys = staged(wanted.select(on).distinct(), f"wanted-{on}")
-    return wide.join(broadcast_if_small(keys, max_rows), on, "left_semi")
+    return wide.join(broadcast_if_small(keys, max_bytes), on, "left_semi")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from pageflow import schemas, settings as S
 from pageflow.operators.requests import parse_parameters, validate
-from pageflow.operators.search import build_index
+from pageflow.operators.search import build_index, write_postings
 from pageflow.plans.retrieval import respond, retrieve
-from pageflow.sources.shared import staged
+from pageflow.sources.shared import fresh_path, staged
 
 T0 = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
 PAGE = "<html><head><title>{0}</title></head><body><p>{1}</p></body></html>"
@@ -20,8 +20,8 @@ def test_every_request_is_answered_and_copies_count_once(spark):
     corpus += [(200 + k, "b.example", f"http://b.example/{k}", f"page {k}", f"zebra note {k}") for k in range(5)]
     corpus += [(300, "c.example", "/search?q=zebra", "no link", "zebra zebra"), (301, "c.example", "http://c.example/", "", "zebra")]
     corpus += [(400 + k, "d.example", f"http://d.example/{k}", f"other {k}", "nothing of the kind") for k in range(400)]
-    index = staged(
-        build_index(spark.createDataFrame(corpus, "doc_id bigint, host string, url string, title string, text string")), "index"
+    index = write_postings(
+        build_index(spark.createDataFrame(corpus, "doc_id bigint, host string, url string, title string, text string")), fresh_path(spark, "index")
     )
     raw = [
         (1, "?outputFormats=text&maxResults=5&query=zebra"),

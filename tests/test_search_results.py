@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pageflow.operators import hits, search, serp
 from pageflow.settings import SearchSettings
-from pageflow.sources.shared import staged
+from pageflow.sources.shared import fresh_path
 
 WRAPPED = {
     "hlcw0c": '<div class="hlcw0c">{}</div>',
@@ -160,8 +160,8 @@ def brute_force(phrases, docs, k1=1.2, b=0.75, top=3):
             total, hit = 0.0, False
             for w in words:
                 df = sum(w in c for c in bags.values())
-                idf = math.log((n - df + 0.5) / (df + 0.5)) if df else 0
-                if idf > 0 and bag[w]:
+                idf = math.log(1 + (n - df + 0.5) / (df + 0.5))
+                if bag[w]:
                     hit = True
                     total += idf * bag[w] * (k1 + 1) / (bag[w] + k1 * (1 - b + b * sum(bag.values()) / mean))
             if hit:
@@ -171,8 +171,8 @@ def brute_force(phrases, docs, k1=1.2, b=0.75, top=3):
     return sorted(out)
 
 
-@pytest.mark.parametrize("broadcast_rows", [500_000, 0])
-def test_search_equals_brute_force(spark, broadcast_rows):
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": -1}, {"block_postings": 3, "lead_terms": 1}])
+def test_search_equals_brute_force(spark, options):
     draw = random.Random(3)
     vocabulary = [f"w{i}" for i in range(40)] + ["ñandú", "œuvre", "straße"]
     weights = [1 / (i + 1) for i in range(len(vocabulary))]
@@ -182,12 +182,81 @@ def test_search_equals_brute_force(spark, broadcast_rows):
     phrases[99] = "nowhere to be found"
     corpus = spark.createDataFrame([(d, h, t) for d, (h, t) in docs.items()], "doc_id bigint, host string, text string")
     asked = spark.createDataFrame(list(phrases.items()), "query_id bigint, phrase string")
-    settings = SearchSettings(top_k=3, broadcast_rows=broadcast_rows)
-    found = search.search(asked, staged(search.build_index(corpus), "test-index"), settings)
+    settings = SearchSettings(top_k=3, **options)
+    index = search.write_postings(search.build_index(corpus), fresh_path(spark, "test-index"), settings)
+    found = search.search(asked, index, settings)
     mine = sorted((r.query_id, r.doc_id, r.score, r["rank"]) for r in found.collect())
     assert mine == brute_force(phrases, docs)
 
 
+def _indexed(spark, docs, settings=SearchSettings()):
+    corpus = spark.createDataFrame([(d, h, t) for d, (h, t) in docs.items()], "doc_id bigint, host string, text string")
+    return search.write_postings(search.build_index(corpus), fresh_path(spark, "test-index"), settings)
+
+
+def test_words_of_every_document_have_results(spark):
+    docs = {d: ("a.example", "the sea " * (d + 1) + "x " * 20) for d in range(12)}
+    asked = spark.createDataFrame([(1, "the"), (2, "the sea")], "query_id bigint, phrase string")
+    settings = SearchSettings(top_k=5)
+    found = search.search(asked, _indexed(spark, docs, settings), settings)
+    mine = sorted((r.query_id, r.doc_id, r.score, r["rank"]) for r in found.collect())
+    assert mine == brute_force({1: "the", 2: "the sea"}, docs, top=5) and len(mine) == 10
+
+
+def test_weak_blocks_are_not_read(spark):
+    """Of a hot term only the blocks that can reach the threshold meet the phrase."""
+    docs = {d: ("a.example", "hot " * (1 + 40 * (d < 8)) + "fill " * (10 + d % 7)) for d in range(400)}
+    settings = SearchSettings(top_k=4, block_postings=8)
+    index = _indexed(spark, docs, settings)
+    read = []
+    usual = search._summed
+
+    def counting(blocks, weights, of):
+        summed = usual(blocks, weights, of)
+        read.append(summed.count())
+        return summed
+
+    search._summed = counting
+    try:
+        found = search.search(spark.createDataFrame([(1, "hot")], "query_id bigint, phrase string"), index, settings)
+        mine = sorted((r.query_id, r.doc_id, r.score, r["rank"]) for r in found.collect())
+    finally:
+        search._summed = usual
+    assert mine == brute_force({1: "hot"}, docs, top=4)
+    assert read[1] < 100  # of 400 documents, all of which hold the term
+
+
+HOSTS = ["a.example", "b.a.example", "ba.example", "example", "a.example.org", "c.b.a.example", "", "a-b.example", "a0.example"]
+
+
+def test_sites_are_intervals(spark):
+    docs = {d: (HOSTS[d % len(HOSTS)], f"word w{d}") for d in range(60)}
+    sites = ["a.example", "example", "b.a.example", "org", "nobody.example", "A.Example", "a-b.example"]
+    phrases = {q: f"word site:{s}" for q, s in enumerate(sites)}
+    asked = spark.createDataFrame(list(phrases.items()), "query_id bigint, phrase string")
+    settings = SearchSettings(top_k=60, block_postings=4)
+    index = _indexed(spark, docs, settings)
+    found = search.search(asked, index, settings)
+    mine = sorted((r.query_id, r.doc_id, r.score, r["rank"]) for r in found.collect())
+    assert mine == brute_force(phrases, docs, top=60)
+    bounds = search.site_intervals(spark.createDataFrame([("a.example",), ("zz",)], "site string"), index.documents).collect()
+    held = index.documents.collect()
+    by_site = {r.site: sorted(d.doc_id for d in held if r.low <= d.doc_no < r.high) for r in bounds}
+    assert by_site == {"a.example": sorted(d for d, (h, _) in docs.items() if h == "a.example" or h.endswith(".a.example")), "zz": []}
+
+
+def test_only_asked_postings_move(spark):
+    """Blocks are cut to the vocabulary before their exchange, hosts are not exploded, and no pair moves before the cut."""
+    docs = {d: ("a.example", f"word w{d}") for d in range(30)}
+    asked = spark.createDataFrame([(1, "word site:example")], "query_id bigint, phrase string")
+    plan = search.search(asked, _indexed(spark, docs))._jdf.queryExecution().executedPlan().toString()
+    moves = re.findall(r"Exchange hashpartitioning\((\w+)#", plan)
+    assert moves == ["query_id", "shard"]
+    below = plan[plan.index("hashpartitioning(shard") :]
+    assert "LeftSemi" in below and "Generate" not in below and "explode(host" not in plan
+    assert "WindowGroupLimit" in plan[: plan.index("hashpartitioning(query_id")]
+
+
 def test_index_counts_terms_in_the_row(spark):
     corpus = spark.createDataFrame([(1, "h", "b a B, c-b")], "doc_id bigint, host string, text string")
     row = search.build_index(corpus).first()
