@@ -233,7 +233,7 @@ def _weights(wanted: DataFrame, index: Postings) -> DataFrame:
 
 
 def _summed(blocks: DataFrame, weights: DataFrame, settings: SearchSettings) -> DataFrame:
-    """(shard, query_id, doc_id, score) over the blocks that meet a weighed term and may hold a part of a result.
+    """(query_id, doc_id, score) of at least the threshold, over the blocks that may hold a part of a result.
 
     Blocks of asked terms move once, packed, to their shard; sums are made there.
     """
@@ -242,13 +242,18 @@ def _summed(blocks: DataFrame, weights: DataFrame, settings: SearchSettings) ->
     met = broadcast_if_small(weights, settings.broadcast_bytes)
     reaches = F.col("idf") * F.col("block_top") + F.col("rest") >= F.col("threshold") - 2e-6  # scores are rounded
     within = (F.col("first_doc") < F.col("high")) & (F.col("last_doc") >= F.col("low"))
-    placed = asked.withColumnRenamed("top", "block_top").repartition("shard")
+    # ranges, as hashes would put several of as many shards as tasks into one task
+    n_tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = asked.withColumnRenamed("top", "block_top").repartitionByRange(n_tasks, "shard")
     pairs = placed.join(met, "term").where(reaches & within)
-    gains = pairs.select("shard", "query_id", "idf", "low", "high", F.explode("postings").alias("p")).where(
+    gains = pairs.select("shard", "query_id", "idf", "threshold", "low", "high", F.explode("postings").alias("p")).where(
         (F.col("p.doc_no") >= F.col("low")) & (F.col("p.doc_no") < F.col("high"))
     )
-    return gains.groupBy("shard", "query_id", F.col("p.doc_id").alias("doc_id")).agg(
-        F.round(F.sum(F.col("idf") * F.col("p.impact")), 6).alias("score")
+    summed = gains.groupBy("shard", "query_id", F.col("p.doc_id").alias("doc_id")).agg(
+        F.sum(F.col("idf") * F.col("p.impact")).alias("score"), F.first("threshold").alias("threshold")
+    )
+    return summed.where(F.col("score") >= F.col("threshold") - 2e-6).select(
+        "query_id", "doc_id", F.round("score", 6).alias("score")
     )
 
 
@@ -266,7 +271,7 @@ def search(
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
 
     def ranked(scored: DataFrame) -> DataFrame:
-        chosen = scored.drop("shard") if choose is None else choose(scored.drop("shard"))
+        chosen = scored if choose is None else choose(scored)
         return chosen.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= settings.top_k)
 
     weights = staged(_weights(phrase_terms(phrases), index), "weights")

@@ -103,7 +103,7 @@ class SearchSettings:
     top_k: int = 10
     # Postings of one block, and the weightiest terms of a phrase whose first blocks give its threshold.
     block_postings: int = 256
-    lead_terms: int = 8
+    lead_terms: int = 4
     # Largest table of terms or weights, in bytes, that is sent to every executor;
     # beyond it the posting blocks meet their terms by shuffle.
     broadcast_bytes: int = 64 << 20

@@ -250,9 +250,9 @@ def test_only_asked_postings_move(spark):
     docs = {d: ("a.example", f"word w{d}") for d in range(30)}
     asked = spark.createDataFrame([(1, "word site:example")], "query_id bigint, phrase string")
     plan = search.search(asked, _indexed(spark, docs))._jdf.queryExecution().executedPlan().toString()
-    moves = re.findall(r"Exchange hashpartitioning\((\w+)#", plan)
+    moves = re.findall(r"Exchange (?:hash|range)partitioning\((\w+)#", plan)
     assert moves == ["query_id", "shard"]
-    below = plan[plan.index("hashpartitioning(shard") :]
+    below = plan[plan.index("rangepartitioning(shard") :]
     assert "LeftSemi" in below and "Generate" not in below and "explode(host" not in plan
     assert "WindowGroupLimit" in plan[: plan.index("hashpartitioning(query_id")]
 
