@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pageflow.functions.bind import bind
+from pageflow.functions.running import running_max
 
 # Fixed pattern: one simple selector of the supported grammar.
 _SIMPLE = re.compile(
@@ -102,23 +103,36 @@ def matching(events: Column, selector: str) -> Column:
 
 # -- selectors that come as data ---------------------------------------------
 
-# Fixed patterns: what a selector in a column may consist of.  Combinators are
-# left to selectors known when the plan is made.
+# Fixed patterns: the parts of a selector in a column.
 _COMPOUND = r"^(?:[a-zA-Z][\w-]*|\*)?(?:\.[\w-]+|#[\w-]+|\[[^\]]*\])*$"
 _ATTRIBUTE = r"""^\s*([\w-]+)\s*(?:([\^*$~]?=)\s*["']?(.*?)["']?\s*(\s[iI])?\s*)?$"""
 
 
 def _alternatives(selector: Column) -> Column:
+    """Each alternative of a list as its tokens: compounds, and ``>`` before a child."""
     parts = F.split(selector, "," + _OUTSIDE_BRACKETS)
-    return F.transform(parts, lambda p: F.trim(p))
+    spaced = lambda p: F.trim(F.regexp_replace(p, r"\s*>\s*" + _OUTSIDE_BRACKETS, " > "))
+    return F.transform(parts, lambda p: F.split(spaced(p), r"\s+" + _OUTSIDE_BRACKETS))
 
 
 def is_supported(selector: Column) -> Column:
-    """Whether a selector in a column is a list of compounds."""
-    return F.forall(_alternatives(selector), lambda a: (a != "") & a.rlike(_COMPOUND))
+    """Whether a selector in a column is a list of compounds, descendants and children."""
+
+    def sound(tokens: Column) -> Column:
+        child = lambda i: F.get(tokens, i) == ">"
+        fits = F.transform(
+            tokens,
+            lambda t, i: F.when(t == ">", (i > 0) & (i < F.size(tokens) - 1) & ~F.coalesce(child(i - 1), F.lit(False)))
+            .otherwise((t != "") & t.rlike(_COMPOUND)),
+        )
+        return F.forall(fits, lambda f: f)
+
+    return F.forall(_alternatives(selector), sound)
 
 
 def _compiled(selector: Column) -> Column:
+    """Alternatives as arrays of steps (first, child, compound)."""
+
     def attribute(text: Column) -> Column:
         part = lambda i: F.regexp_extract(text, _ATTRIBUTE, i)
         flagged = part(4) != ""
@@ -138,11 +152,31 @@ def _compiled(selector: Column) -> Column:
             F.transform(F.regexp_extract_all(text, F.lit(r"\[([^\]]*)\]"), F.lit(1)), attribute).alias("attrs"),
         )
 
-    return F.transform(_alternatives(selector), compound)
+    def steps(tokens: Column) -> Column:
+        every = F.transform(
+            tokens,
+            lambda t, i: F.when(
+                t != ">",
+                F.struct(
+                    (i == 0).alias("first"),
+                    F.coalesce(F.get(tokens, i - 1) == ">", F.lit(False)).alias("child"),
+                    compound(t).alias("compound"),
+                ),
+            ),
+        )
+        return F.filter(every, lambda s: s.isNotNull())
+
+    return F.transform(_alternatives(selector), steps)
 
 
 def matching_column(events: Column, selector: Column) -> Column:
-    """``matching`` for a selector that differs from row to row."""
+    """``matching`` for a selector that differs from row to row.
+
+    An alternative is one fold over its steps.  Its state is, at the place of
+    each element that fits so far, where that element ends.  A child looks at
+    its parent's place.  A descendant looks at the running maximum before it:
+    elements nest, so it lies in one of them if any ends behind its beginning.
+    """
 
     def attribute_fits(event: Column, test: Column) -> Column:
         raw = event["attrs"][test["name"]]
@@ -168,12 +202,29 @@ def matching_column(events: Column, selector: Column) -> Column:
             & F.forall(c["attrs"], lambda a: attribute_fits(event, a))
         )
 
-    return bind(
-        _compiled(selector),
-        lambda cs: F.filter(
-            events, lambda e: e["kind"].isin("open", "void") & F.exists(cs, lambda c: fits(e, c))
-        ),
-    )
+    base = F.get(events, F.lit(0))["id"]
+    nowhere = F.lit(-1)
+
+    def advance(acc: Column, step: Column) -> Column:
+        def reached(ends: Column) -> Column:
+            def end(event: Column, i: Column) -> Column:
+                below = (
+                    F.when(step["first"], F.lit(True))
+                    .when(step["child"], F.get(acc, event["parent"] - base) >= 0)
+                    .otherwise(F.get(ends, i - 1) >= event["id"])
+                )
+                here = event["kind"].isin("open", "void") & F.coalesce(below, F.lit(False)) & fits(event, step["compound"])
+                return F.when(here, event["last"]).otherwise(nowhere)
+
+            return F.transform(events, end)
+
+        return bind(F.when(~step["first"] & ~step["child"], running_max(acc)), reached)
+
+    def found(alternatives: Column) -> Column:
+        ends = F.transform(alternatives, lambda steps: F.aggregate(steps, F.array().cast("array<int>"), advance))
+        return bind(ends, lambda every: F.filter(events, lambda e, i: F.exists(every, lambda a: F.get(a, i) >= 0)))
+
+    return bind(_compiled(selector), found)
 
 
 def covers(element: Column, event: Column) -> Column:
@@ -209,15 +260,27 @@ def _outside(events: Column, found: Column) -> Column:
     return bind(outer, stretches)
 
 
-def without(events: Column, selector: str) -> Column:
-    """Events outside the elements a selector matches."""
-    return _outside(events, matching(events, selector))
+def _among(events: Column, found: Column) -> Column:
+    """Of the elements found in a page those that lie in a stretch of it."""
+    base = F.get(events, F.lit(0))["id"]
+    return F.filter(found, lambda m: (m["id"] >= base) & (m["id"] < base + F.size(events)))
+
+
+def without(events: Column, selector: str, page: Column | None = None) -> Column:
+    """Events outside the elements a selector matches.
+
+    ``page``: all events of the page of which ``events`` are a stretch, so that
+    a combinator can name what lies around it.
+    """
+    if page is None or not re.search(r"[\s>]" + _OUTSIDE_BRACKETS, re.sub(r"\s*,\s*", ",", selector.strip())):
+        return _outside(events, matching(events, selector))
+    return _outside(events, _among(events, matching(page, selector)))
 
 
-def without_column(events: Column, selector: Column, usual: str) -> Column:
+def without_column(events: Column, selector: Column, usual: str, page: Column) -> Column:
     """``without`` by a selector column; ``usual`` is the one most rows have."""
-    return F.when(selector == usual, without(events, usual)).otherwise(
-        _outside(events, matching_column(events, selector))
+    return F.when(selector == usual, without(events, usual, page)).otherwise(
+        _outside(events, _among(events, matching_column(page, selector)))
     )
 
 

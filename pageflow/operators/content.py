@@ -13,6 +13,7 @@ from pageflow import settings as S
 from pageflow.functions import render, selectors as css, text as native
 from pageflow.functions.bind import bind
 from pageflow.functions.dom import html_events
+from pageflow.functions.running import running_sums
 
 
 def has_readable_type(content_type: Column) -> Column:
@@ -83,15 +84,6 @@ def block_score(block: Column) -> Column:
     return F.when(length >= 25, score).otherwise(F.lit(0.0))
 
 
-def _running(values: Column) -> Column:
-    """Running sums of an array, by adding what stands 1, 2, 4, ... places before; n log n steps."""
-    rounds = F.ceil(F.log2(F.greatest(F.size(values), F.lit(2)))).cast("int")
-    add = lambda acc, k: F.transform(
-        acc, lambda x, i: x + F.coalesce(F.get(acc, i - F.call_function("shiftleft", F.lit(1), k)), F.lit(0).cast("long"))
-    )
-    return F.aggregate(F.sequence(F.lit(0), rounds - 1), values, add)
-
-
 def _by_id(page_blocks: Column, value) -> Column:
     """Running sums of a block's value, at each id up to the last block's; ids of a page are places."""
 
@@ -99,7 +91,7 @@ def _by_id(page_blocks: Column, value) -> Column:
         before = F.coalesce(F.get(page_blocks, i - 1)["id"], F.lit(-1))
         return F.concat(F.array_repeat(F.lit(0).cast("long"), b["id"] - before - 1), F.array(value(b).cast("long")))
 
-    return _running(F.flatten(F.transform(page_blocks, gap)))
+    return running_sums(F.flatten(F.transform(page_blocks, gap)))
 
 
 def _votes(page_blocks: Column) -> Column:
@@ -222,7 +214,7 @@ def with_content(df: DataFrame, settings: S.ContentSettings = S.ContentSettings(
     One tree walk per page; formats nobody asked for are not computed.  An
     unsupported selector raises here, before the job starts.  Rows may bring
     settings of their own in the columns of ``ROW_SETTINGS``; a selector there
-    is a list of compounds, and rows whose selector is none come out NULL.
+    has the same grammar, and rows whose selector has not come out NULL.
     """
     events = F.col("_events")
     formats = settings.output_formats
@@ -257,9 +249,9 @@ def with_content(df: DataFrame, settings: S.ContentSettings = S.ContentSettings(
 
     def removed(body: Column) -> Column:
         if selector is None:
-            return css.without(body, settings.remove_selector)
+            return css.without(body, settings.remove_selector, events)
         known = (selector == settings.remove_selector) | css.is_supported(selector)
-        return F.when(known, css.without_column(body, selector, settings.remove_selector))
+        return F.when(known, css.without_column(body, selector, settings.remove_selector, events))
 
     kept = bind(render.body_events(events), removed)
     done = bind(
@@ -279,7 +271,7 @@ def with_content(df: DataFrame, settings: S.ContentSettings = S.ContentSettings(
 def blocks_table(df: DataFrame, key: str, settings: S.ContentSettings = S.ContentSettings()) -> DataFrame:
     """One row per block of each page, with its weight as prose."""
     events = F.col("_events")
-    kept = bind(render.body_events(events), lambda body: css.without(body, settings.remove_selector))
+    kept = bind(render.body_events(events), lambda body: css.without(body, settings.remove_selector, events))
     found = bind(kept, lambda k: render.blocks(k, events, F.lit(True)))
     return (
         _with_events(df)

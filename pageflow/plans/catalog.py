@@ -212,6 +212,15 @@ def remove_selector(spark: SparkSession, root: str) -> DataFrame:
     return done.select("page_id", F.md5("text").alias("text_md5"), _long(F.length("text")).alias("n_chars"))
 
 
+def remove_row_selector(spark: SparkSession, root: str) -> DataFrame:
+    """Removal by selectors that come with the rows, with descendants and children in every other one."""
+    nested = S.DEFAULT_REMOVE_SELECTOR.replace("nav,", "html > body nav,").replace("footer,", "body footer, body > html p,")
+    asked = F.when(F.col("page_id") % 2 == 0, nested).otherwise(S.DEFAULT_REMOVE_SELECTOR)
+    rows = T.pages(spark, root).withColumn("remove_elements_css_selector", asked)
+    done = content.with_content(rows, TEXT_ONLY)
+    return done.select("page_id", F.md5("text").alias("text_md5"), _long(F.length("text")).alias("n_chars"))
+
+
 def clean_html(spark: SparkSession, root: str) -> DataFrame:
     document = content.native_document(F.col("html"))
     return T.pages(spark, root).select("page_id", document.alias("document")).select(
@@ -587,7 +596,7 @@ QUERIES = {
         interpret_as_url, route_requests, parse_params, validate_params, typed_input, search_page_plan, page_by_url,
         serp_extract, valid_results, dedup_results, topk_rank, paginate_results, page_requests, empty_searches,
         posting_index, search_bm25, search_documents, search_site,
-        content_type_split, page_metadata, remove_elements, remove_selector, clean_html, page_text, oversize_text,
+        content_type_split, page_metadata, remove_elements, remove_selector, remove_row_selector, clean_html, page_text, oversize_text,
         page_markdown, readable_blocks, readable_main, result_records, failed_results, all_outcomes, output_formats,
         results_with_content, result_preview, response_merge, response_deadline, response_complete, response_status,
         cancel_expired, response_sorted, response_json, result_messages, run_stats,

@@ -569,3 +569,5 @@ ORACLES["retrieve_results"] = f"""WITH {PHRASES}, {COPIED}, {FETCHED}
       CASE WHEN error IS NOT NULL THEN '' WHEN readable THEN title END AS title,
       md5(CASE WHEN error IS NULL AND readable THEN {_layout("body")} ELSE '' END) AS text_md5
     FROM wanted_pages JOIN fetched f USING (page_id) JOIN clean c ON c.page_id = f.page_id"""
+# On these pages the nested selectors name what the usual one names.
+ORACLES["remove_row_selector"] = ORACLES["remove_selector"]

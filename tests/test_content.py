@@ -128,7 +128,8 @@ def test_selectors(spark):
 
 
 def test_selectors_in_a_column_agree_with_constant_ones(spark):
-    usable = [s for s, _ in SELECTED if " p" not in s and ">" not in s and "section" not in s] + [S.DEFAULT_REMOVE_SELECTOR]
+    more = ["div>p , section p", "body > div section > p.a", "[data-k='a > b'] p, p", "div div, body *", "#i p"]
+    usable = [s for s, _ in SELECTED] + [S.DEFAULT_REMOVE_SELECTOR, *more]
     table = spark.createDataFrame([(s, SAMPLE) for s in usable], "s string, h string")
     events = table.withColumn("e", html_events(F.col("h")))
     got = events.select("s", F.size(css.matching_column(F.col("e"), F.col("s"))).alias("n"), css.is_supported(F.col("s")).alias("ok"))
@@ -138,18 +139,58 @@ def test_selectors_in_a_column_agree_with_constant_ones(spark):
     assert {s: rows[s].n for s in usable} == dict(zip(usable, constant))
 
 
+UNSUPPORTED = ["p:first-child", "a + b", "a ~ b", "p::before", "", ">p", "[x", "a >", "a > > b", "a,,b", "a, > b"]
+
+
+def test_unsupported_selectors_in_a_column(spark):
+    table = spark.createDataFrame([(s,) for s in UNSUPPORTED], "s string")
+    assert [r[0] for r in table.select("s").where(css.is_supported(F.col("s"))).collect()] == []
+
+
+def test_combinators_in_a_column_on_random_trees(spark):
+    selectors = ["div section > p", "section > div p, article a", "div div div", "section *", "article > section > div", "p > a"]
+    table = spark.createDataFrame([(s, _random_page(k)) for k in range(25) for s in selectors], "s string, h string")
+    events = table.withColumn("e", html_events(F.col("h")))
+    ids = lambda found: F.transform(found, lambda m: m["id"])
+    constant = F.lit(None).cast("array<int>")
+    for s in selectors:
+        constant = F.when(F.col("s") == s, ids(css.matching(F.col("e"), s))).otherwise(constant)
+    got = events.select(ids(css.matching_column(F.col("e"), F.col("s"))).alias("a"), constant.alias("b")).collect()
+    assert all(r.a == r.b for r in got) and sum(len(r.a) for r in got) > 200
+
+
+def test_combinators_reach_around_the_body(spark):
+    page = "<html><body class=k><p>a</p><div><p>b</p></div></body></html>"
+    for selector, text in (("body > p", "b"), ("html .k div p", "a"), (".k > div", "a"), ("div > body p", "a\n\nb")):
+        constant = run(spark, [page], S.ContentSettings(remove_selector=selector, output_formats=("text",)))[0].text
+        rows = spark.createDataFrame([(page, selector)], "html string, remove_elements_css_selector string")
+        assert constant == content.with_content(rows, S.ContentSettings(output_formats=("text",))).first().text == text
+
+
+def test_row_selectors_keep_up_with_the_page(spark):
+    took = []
+    for n in (800, 800, 8000):
+        html = "<body>" + "".join(f"<div><section><p>text {i} <a>x</a></p></section></div>" for i in range(n)) + "</body>"
+        frame = spark.createDataFrame([(html, "div section a, body > p", 1)], "html string, remove_elements_css_selector string, n int")
+        start = time.perf_counter()
+        row = content.with_content(frame, S.ContentSettings(output_formats=("text",))).first()
+        took.append(time.perf_counter() - start)
+        assert " x" not in row.text and row.text.count("text") == n
+    assert took[2] <= 12 * took[1]
+
+
 def test_settings_per_row(spark):
     page = "<body><h1>T</h1><p class='x y'>a</p><p id=i>b</p><nav>n</nav></body>"
     columns = "n int, html string, remove_elements_css_selector string, html_transformer string, readable_char_threshold bigint"
     rows = [
         (0, page, S.DEFAULT_REMOVE_SELECTOR, "none", 100), (1, page, ".x, nav", "none", 100), (2, page, "[id='i'], p.x.y", None, None),
         (3, page, "p:hover", "none", 100), (4, ARTICLE, "ul", "readableText", 100), (5, ARTICLE, "ul", "readableText", 5000),
-        (6, page, None, "none", 100),
+        (6, page, None, "none", 100), (7, page, "body > p#i, body nav, h1 p", "none", 100),
     ]
     got = content.with_content(spark.createDataFrame(rows, columns), ALL).orderBy("n").collect()
     assert [r.text for r in got[:4]] == ["T\n\na\n\nb", "T\n\nb", "T\n\nn", None]
     assert got[4].text.startswith("The first") and "note" not in got[4].text and "note" in got[5].text
-    assert got[6].text == got[0].text
+    assert got[6].text == got[0].text and got[7].text == "T\n\na"
 
 
 TREES = [
