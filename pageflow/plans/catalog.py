@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from pageflow.functions import text as native, urls
 from pageflow.operators import content, context, hits, latency, requests, responses, search, serp
 from pageflow.plans import standins as T
 from pageflow.plans.retrieval import respond, retrieve
+from pageflow.sources.pagestore import write_page_store
 from pageflow.sources.shared import fresh_path, only_wanted, staged
 from pageflow.sources.tables import append_results, read_requests, read_results, read_stream, read_table
 from pageflow.streaming import jobs
@@ -102,6 +105,18 @@ def page_by_url(spark: SparkSession, root: str) -> DataFrame:
     return asked.join(pages, "target").select("request_id", "page_id", "target", "n_chars")
 
 
+def stored_pages(spark: SparkSession, root: str) -> DataFrame:
+    """Pages asked for by URL out of a page store that holds two copies of every third page."""
+    table = f"pages_{uuid.uuid4().hex}"
+    rows = T.fetched(spark, root).select("page_id", "url", "loaded_at", "html")
+    newer = F.col("loaded_at") + F.make_dt_interval(days=F.lit(1))
+    again = rows.where("page_id % 3 = 0").withColumns({"loaded_at": newer, "html": F.concat(F.lit("<!--2-->"), "html")})
+    store = write_page_store(rows.unionByName(again), table, 8)
+    asked = rows.where("page_id % 2 = 0").select((F.col("page_id") % 40).alias("asker"), "url")
+    got = store.fetch(asked.select("asker", urls.http_url(F.col("url")).alias("url")))
+    return got.select("asker", "page_id", F.unix_micros("loaded_at").alias("loaded_us"), F.md5("html").alias("html_md5"))
+
+
 # -- search results ---------------------------------------------------------
 
 
@@ -593,7 +608,7 @@ def stream_last_outcome(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        interpret_as_url, route_requests, parse_params, validate_params, typed_input, search_page_plan, page_by_url,
+        interpret_as_url, route_requests, parse_params, validate_params, typed_input, search_page_plan, page_by_url, stored_pages,
         serp_extract, valid_results, dedup_results, topk_rank, paginate_results, page_requests, empty_searches,
         posting_index, search_bm25, search_documents, search_site,
         content_type_split, page_metadata, remove_elements, remove_selector, remove_row_selector, clean_html, page_text, oversize_text,

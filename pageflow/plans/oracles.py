@@ -571,3 +571,8 @@ ORACLES["retrieve_results"] = f"""WITH {PHRASES}, {COPIED}, {FETCHED}
     FROM wanted_pages JOIN fetched f USING (page_id) JOIN clean c ON c.page_id = f.page_id"""
 # On these pages the nested selectors name what the usual one names.
 ORACLES["remove_row_selector"] = ORACLES["remove_selector"]
+ORACLES["stored_pages"] = f"""WITH {FETCHED}
+SELECT page_id % 40 AS asker, page_id,
+  loaded_us + CASE WHEN page_id % 3 = 0 THEN 86400000000 ELSE 0 END AS loaded_us,
+  md5(CASE WHEN page_id % 3 = 0 THEN '<!--2-->' ELSE '' END || html) AS html_md5
+FROM fetched WHERE page_id % 2 = 0"""

@@ -13,6 +13,7 @@ from pageflow.functions.selectors import is_supported
 from pageflow.operators import content, hits, responses
 from pageflow.operators.requests import route, stable_id
 from pageflow.operators.search import Postings, search
+from pageflow.sources.pagestore import PageStore
 from pageflow.sources.shared import broadcast_if_small, staged
 
 CARRIED = ("query", "output_formats", *content.ROW_SETTINGS)
@@ -89,7 +90,7 @@ def first_of_each_result(scored: DataFrame, described: DataFrame) -> DataFrame:
 
 def retrieve(
     requests: DataFrame,
-    fetched: DataFrame,
+    fetched: DataFrame | PageStore,
     index: Postings,
     content_settings: S.ContentSettings = S.ContentSettings(),
     search_settings: S.SearchSettings = S.SearchSettings(),
@@ -97,7 +98,8 @@ def retrieve(
     """One row per result of every request, with its place in the response.
 
     ``requests`` went through ``validate``; ``fetched`` holds one row per URL
-    (url, loaded_url, status, content_type, error, html, loaded_at); ``index``
+    (url, loaded_url, status, content_type, error, html, loaded_at), or is a
+    page store of them, from which pages never move; ``index``
     is a stored posting index of a corpus with url and title.  A page is processed
     once per selector and transformer, however many requests ask for it;
     ``content_settings`` names the formats made, of which each request gets its own.
@@ -113,8 +115,11 @@ def retrieve(
     planned = staged(planned, "page-requests")
     # one job per page and set of settings, however many requests share it
     jobs = staged(planned.select("job_key", "url", *content.ROW_SETTINGS).distinct(), "page-jobs")
-    pages = fetched.withColumn("url", urls.http_url(F.col("url")))
-    wanted = pages.join(broadcast_if_small(jobs), "url")
+    if isinstance(fetched, PageStore):
+        wanted = fetched.fetch(jobs)
+    else:
+        pages = fetched.withColumn("url", urls.http_url(F.col("url")))
+        wanted = pages.join(broadcast_if_small(jobs), "url")
     selector = F.col("remove_elements_css_selector")
     unusable = F.when(
         ~is_supported(selector) & (selector != content_settings.remove_selector),
