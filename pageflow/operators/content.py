@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageflow import settings as S
+from pageflow import schemas, settings as S
 from pageflow.functions import render, selectors as css, text as native
 from pageflow.functions.bind import bind
 from pageflow.functions.dom import html_events
 from pageflow.functions.running import running_sums
+from pageflow.operators import latency
 
 
 def has_readable_type(content_type: Column) -> Column:
@@ -304,7 +305,16 @@ def _formats(df: DataFrame, name: str) -> Column:
     return F.when(F.array_contains("output_formats", asked), F.col(name))
 
 
-def _crawl(status: Column, message: Column, outcome: str) -> Column:
+def _debug(df: DataFrame) -> Column:
+    """Stage times of a handled page, for requests in debug mode; ``sent_at`` or else ``loaded_at`` ends them."""
+    if "time_measures" not in df.columns or "debug_mode" not in df.columns:
+        return F.lit(None).cast(schemas.DEBUG)
+    tool = F.col("scraping_tool") if "scraping_tool" in df.columns else F.lit(S.DEFAULT_SCRAPING_TOOL)
+    end = F.unix_micros("sent_at" if "sent_at" in df.columns else "loaded_at")
+    return latency.debug_of(latency.sent(F.col("time_measures"), tool, end), F.col("debug_mode"))
+
+
+def _crawl(status: Column, message: Column, outcome: str, debug: Column | None = None) -> Column:
     return F.struct(
         F.col("created_at").alias("created_at"),
         status.cast("int").alias("http_status_code"),
@@ -312,6 +322,7 @@ def _crawl(status: Column, message: Column, outcome: str) -> Column:
         F.col("loaded_at").alias("loaded_at"),
         F.lit(outcome).alias("request_status"),
         F.col("unique_key").alias("unique_key"),
+        (F.lit(None).cast(schemas.DEBUG) if debug is None else debug).alias("debug"),
     )
 
 
@@ -330,7 +341,7 @@ def handled_records(df: DataFrame) -> DataFrame:
         _formats(df, "text").alias("text"),
         _formats(df, "html_out").alias("html"),
         _formats(df, "markdown").alias("markdown"),
-        _crawl(F.col("status"), F.lit("OK"), S.HANDLED).alias("crawl"),
+        _crawl(F.col("status"), F.lit("OK"), S.HANDLED, _debug(df)).alias("crawl"),
         "search_result",
         _metadata(
             title=F.col("title"),

@@ -470,6 +470,29 @@ def request_time_taken(spark: SparkSession, root: str) -> DataFrame:
     return latency.time_taken(latency.with_relative(T.measures(spark, root)), "purchase")
 
 
+def _stored_records(spark: SparkSession, root: str) -> DataFrame:
+    """Handled records with their stage times, appended to a result table and read back."""
+    timed = T.timed_pages(spark, root).filter("error IS NULL")
+    readable = timed.filter(content.has_readable_type(F.col("content_type")))
+    path = fresh_path(spark, "timed-results")
+    append_results(content.handled_records(_extract(TEXT_ONLY)(readable)), path)
+    return read_results(spark, path)
+
+
+def record_measures(spark: SparkSession, root: str) -> DataFrame:
+    """Stage times out of stored results: relative, in order of time."""
+    return latency.recorded(_stored_records(spark, root))
+
+
+def record_latency(spark: SparkSession, root: str) -> DataFrame:
+    return latency.mean_by_event(latency.recorded(_stored_records(spark, root)))
+
+
+def record_time_taken(spark: SparkSession, root: str) -> DataFrame:
+    stages = staged(latency.recorded(_stored_records(spark, root)), "recorded")
+    return latency.time_taken(stages, f"cheerio-{S.STAGE_SENT}")
+
+
 # -- contexts ---------------------------------------------------------------
 
 
@@ -616,6 +639,7 @@ QUERIES = {
         results_with_content, result_preview, response_merge, response_deadline, response_complete, response_status,
         cancel_expired, response_sorted, response_json, result_messages, run_stats,
         stage_deltas, stage_relative, stage_latency_avg, request_time_taken,
+        record_measures, record_latency, record_time_taken,
         context_pack, context_request, answer_phrases, retrieve_results, respond_requests,
         stream_extract, stream_response_deadline, stream_response_early, stream_last_outcome,
     )

@@ -576,3 +576,26 @@ SELECT page_id % 40 AS asker, page_id,
   loaded_us + CASE WHEN page_id % 3 = 0 THEN 86400000000 ELSE 0 END AS loaded_us,
   md5(CASE WHEN page_id % 3 = 0 THEN '<!--2-->' ELSE '' END || html) AS html_md5
 FROM fetched WHERE page_id % 2 = 0"""
+
+_RECORDED = f"""{FETCHED}, stages AS (
+  SELECT event_id // 4 AS page_id, event_id AS seq, event_type AS event, epoch_us(ts) AS time_us FROM events
+), taken AS (
+  SELECT f.response_id, f.unique_key, s.seq, s.event, s.time_us FROM fetched f JOIN stages s ON s.page_id = f.page_id
+  WHERE f.page_id % 3 <> 0 AND f.error IS NULL AND f.readable
+  UNION ALL
+  SELECT response_id, unique_key, 9000000000000, CASE WHEN page_id % 5 = 0 THEN 'playwright' ELSE 'cheerio' END
+    || '-before-response-send', loaded_us FROM fetched WHERE page_id % 3 <> 0 AND error IS NULL AND readable
+), recorded AS (
+  SELECT response_id, unique_key, event, time_us - first_value(time_us) OVER w AS relative_us,
+    coalesce(time_us - lag(time_us) OVER w, 0) AS delta_us,
+    row_number() OVER (PARTITION BY unique_key ORDER BY time_us, seq) - 1 AS seq
+  FROM taken WINDOW w AS (PARTITION BY unique_key ORDER BY seq)
+)"""
+ORACLES["record_measures"] = f"""WITH {_RECORDED}
+SELECT response_id, unique_key, seq, event, relative_us, delta_us FROM recorded"""
+ORACLES["record_latency"] = f"""WITH {_RECORDED}
+SELECT event, count(*) AS n, sum(delta_us)::BIGINT AS total_us, round(avg(delta_us) / 1000, 3) AS mean_ms FROM recorded GROUP BY event"""
+ORACLES["record_time_taken"] = f"""WITH {_RECORDED}
+SELECT response_id, unique_key, seq, round(relative_us / 1000, 3) AS time_ms,
+  (SELECT round(avg(relative_us) / 1000, 3) FROM recorded WHERE event = 'cheerio-before-response-send') AS mean_ms
+FROM recorded WHERE event = 'cheerio-before-response-send'"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pageflow import schemas, settings as S
 from pageflow.functions import urls
 from pageflow.functions.selectors import is_supported
-from pageflow.operators import content, hits, responses
+from pageflow.operators import content, hits, latency, responses
 from pageflow.operators.requests import route, stable_id
 from pageflow.operators.search import Postings, search
 from pageflow.sources.pagestore import PageStore
@@ -105,13 +105,16 @@ def retrieve(
     ``content_settings`` names the formats made, of which each request gets its own.
     A page nobody fetched leaves its request pending, which fails at the end;
     so does, where requests have ``created_at``, one fetched after its timeout.
+    Requests with ``time_measures``, too, get their stage times back as ``debug`` if in debug mode.
     Bad requests and phrases without a hit have no result; ``respond`` answers them.
     """
     job_key = stable_id(F.col("url"), *[F.col(c).cast("string") for c in content.ROW_SETTINGS])
     planned = responses.sort_by_rank(plan_pages(requests, index, search_settings)).withColumn("job_key", job_key)
     timed = "created_at" in requests.columns
+    measured = timed and "time_measures" in requests.columns
     if timed:
-        planned = planned.join(requests.select("request_id", "created_at", "request_timeout_secs"), "request_id")
+        own = ["created_at", "request_timeout_secs", *(["debug_mode", "scraping_tool", "time_measures"] if measured else [])]
+        planned = planned.join(requests.select("request_id", *own), "request_id")
     planned = staged(planned, "page-requests")
     # one job per page and set of settings, however many requests share it
     jobs = staged(planned.select("job_key", "url", *content.ROW_SETTINGS).distinct(), "page-jobs")
@@ -147,6 +150,10 @@ def retrieve(
     if timed:
         late = ~responses.in_time(F.col("created_at"), F.col("loaded_at"), F.col("request_timeout_secs"))
         merged = merged.withColumn("request_status", F.when(late, F.lit(None)).otherwise(F.col("request_status")))
+    if measured:
+        taken = latency.sent(F.col("time_measures"), F.col("scraping_tool"), F.unix_micros("loaded_at"))
+        debug = F.when(F.col("request_status") == S.HANDLED, latency.debug_of(taken, F.col("debug_mode")))
+        merged = merged.withColumn("debug", debug).drop("debug_mode", "scraping_tool", "time_measures")
     asked = lambda name: F.when(F.array_contains("output_formats", name), F.col(name))
     handled = F.col("request_status") == S.HANDLED
     closed = responses.close(
@@ -175,7 +182,8 @@ def respond(requests: DataFrame, results: DataFrame) -> DataFrame:
     500 and a message.
     """
     waiting = (F.col("request_status") == S.FAILED) & F.col("http_status_message").eqNullSafe(S.MSG_TIMED_OUT)
-    crawl = F.struct("http_status_code", "http_status_message", "loaded_at", "request_status", "unique_key")
+    carried = [c for c in ("created_at", "debug") if c in results.columns]
+    crawl = F.struct(*carried, "http_status_code", "http_status_message", "loaded_at", "request_status", "unique_key")
     rows = results.select(
         F.col("request_id").alias("response_id"),
         "unique_key",

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pageflow import settings as S
 from pageflow.functions import text as native, urls
 from pageflow.operators.content import with_content, with_metadata
+from pageflow.operators.latency import gathered
 from pageflow.operators.requests import parse_parameters, validate
 from pageflow.operators.search import Postings, build_index, read_postings, write_postings
 from pageflow.sources.shared import fresh_path, staged
@@ -285,6 +286,21 @@ def document_index(spark: SparkSession, root: str) -> Postings:
     return _stored_index(spark, root, "document-index", lambda: document_corpus(spark, root))
 
 
+def timed_pages(spark: SparkSession, root: str) -> DataFrame:
+    """Fetched pages with the stage times of their requests: four events in a row are one request's stages.
+
+    Two of three requests are in debug mode; every fifth is by browser.
+    """
+    stages = _events(spark, root).groupBy(response_of(F.col("event_id")).alias("page_id")).agg(
+        F.array_sort(F.collect_list(F.struct("event_id", F.col("event_type").alias("event"), F.unix_micros("ts").alias("time_us")))).alias("stages")
+    )
+    measured = stages.select("page_id", gathered(F.col("stages")).alias("time_measures"))
+    page = F.col("page_id")
+    return fetched(spark, root).join(measured, "page_id", "left").withColumns(
+        {"debug_mode": page % 3 != 0, "scraping_tool": F.when(page % 5 == 0, "browser-playwright").otherwise("raw-http")}
+    )
+
+
 # -- requests and outcomes out of the event log ------------------------------
 
 

@@ -12,10 +12,13 @@ EVENTS = (
     "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 )
 SEARCH_RESULT = "struct<title:string,description:string,url:string,rank:bigint,result_type:string>"
+#: Stage times of one request in the order they were taken: microseconds, and since the one before.
+MEASURES = "array<struct<event:string,time_us:bigint,delta_us:bigint>>"
+DEBUG = f"struct<time_measures:{MEASURES}>"
 RESULTS = (
     "response_id STRING, unique_key STRING, query STRING, text STRING, html STRING, markdown STRING, "
     "crawl STRUCT<created_at:TIMESTAMP,http_status_code:INT,http_status_message:STRING,"
-    "loaded_at:TIMESTAMP,request_status:STRING,unique_key:STRING>, "
+    f"loaded_at:TIMESTAMP,request_status:STRING,unique_key:STRING,debug:{DEBUG}>, "
     "search_result STRUCT<title:STRING,description:STRING,url:STRING,rank:BIGINT,result_type:STRING>, "
     "metadata STRUCT<title:STRING,url:STRING,redirected_url:STRING,description:STRING,"
     "author:STRING,language_code:STRING>"

@@ -40,6 +40,9 @@ DEFAULT_OUTPUT_FORMATS = ("markdown",)
 SERP_PROXY_GROUPS = ("GOOGLE_SERP", "SHADER")
 SCRAPING_TOOLS = ("browser-playwright", "raw-http")
 DEFAULT_SCRAPING_TOOL = "raw-http"
+# Scraping tool -> what its stage names begin with
+STAGE_PREFIXES = {"raw-http": "cheerio", "browser-playwright": "playwright"}
+STAGE_SENT = "before-response-send"
 
 DEFAULT_REMOVE_SELECTOR = (
     "nav, footer, script, style, noscript, svg, img[src^='data:'], "
