@@ -67,12 +67,15 @@ def time_taken(measures: DataFrame, last_event: str) -> DataFrame:
     return done.select(*keys, in_ms("relative_us").alias("time_ms"), mean.alias("mean_ms"))
 
 
+def counted() -> dict[str, Column]:
+    """Finished and failed requests of a run, for an aggregate or to observe on a write."""
+    status = F.col("request_status")
+    return {"requests_finished": F.count_if(status == S.HANDLED), "requests_failed": F.count_if(status == S.FAILED)}
+
+
 def run_stats(outcomes: DataFrame) -> DataFrame:
     """Finished and failed requests of a run."""
-    return outcomes.agg(
-        F.count_if(F.col("request_status") == "handled").alias("requests_finished"),
-        F.count_if(F.col("request_status") == "failed").alias("requests_failed"),
-    )
+    return outcomes.agg(*[value.alias(name) for name, value in counted().items()])
 
 
 # -- measures that travel with a request -------------------------------------

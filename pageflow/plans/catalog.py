@@ -14,7 +14,9 @@ from pageflow.plans import standins as T
 from pageflow.plans.retrieval import respond, retrieve
 from pageflow.sources.pagestore import write_page_store
 from pageflow.sources.shared import fresh_path, only_wanted, staged
-from pageflow.sources.tables import append_results, read_requests, read_results, read_stream, read_table
+from pageflow.sources.tables import (
+    append_results, append_stream, append_with_stats, read_appended, read_requests, read_results, read_stream, read_table,
+)
 from pageflow.streaming import jobs
 
 TEXT_ONLY = S.ContentSettings(output_formats=("text",))
@@ -447,7 +449,10 @@ def result_messages(spark: SparkSession, root: str) -> DataFrame:
 
 
 def run_stats(spark: SparkSession, root: str) -> DataFrame:
-    return latency.run_stats(responses.close(_by_deadline(spark, root)))
+    """Finished and failed requests, counted while the closed outcomes are written."""
+    closed = responses.close(_by_deadline(spark, root))
+    seen = append_with_stats(closed, fresh_path(spark, "closed"), **latency.counted())
+    return spark.createDataFrame([seen]).select("requests_finished", "requests_failed")
 
 
 # -- timings ----------------------------------------------------------------
@@ -579,6 +584,16 @@ def stream_extract(spark: SparkSession, root: str) -> DataFrame:
     return _flat_records(jobs.run_to_files(done, "stream-extract"))
 
 
+def stream_append(spark: SparkSession, root: str) -> DataFrame:
+    """Records of pages as they come, appended batch by batch by a stream that is started twice, and read back."""
+    path = fresh_path(spark, "stream-append")
+    for _ in range(2):
+        stream = T.as_fetched(read_stream(spark, root, "pages", schemas.PAGES))
+        done = jobs.extract(stream, lambda df: content.all_records(df, _extract(TEXT_ONLY)))
+        append_stream(done, path, "pages", f"{path}/state").awaitTermination()
+    return _flat_records(read_appended(spark, path, schemas.RESULTS))
+
+
 END_OF_TIME = 4_102_444_800  # seconds; later than any event
 
 
@@ -619,12 +634,11 @@ def stream_response_early(spark: SparkSession, root: str) -> DataFrame:
 
 
 def stream_last_outcome(spark: SparkSession, root: str) -> DataFrame:
+    """Every delivery comes twice, as from a queue that delivers at least once."""
     events = _event_stream(spark, root)
-    deliveries = T.as_outcomes(events, keep_created=True)
-    done = jobs.run_to_files(
-        jobs.last_outcome(deliveries.select("response_id", "unique_key", "request_status", "loaded_at", "created_at")),
-        "stream-last",
-    )
+    outcomes = T.as_outcomes(events, keep_created=True)
+    deliveries = outcomes.select("response_id", "unique_key", "request_status", "loaded_at", "created_at")
+    done = jobs.run_to_files(jobs.last_outcome(deliveries.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2)))).drop("n")), "stream-last")
     return done.filter("response_id >= 0").select("response_id", "unique_key", "request_status", "n_deliveries")
 
 
@@ -641,6 +655,6 @@ QUERIES = {
         stage_deltas, stage_relative, stage_latency_avg, request_time_taken,
         record_measures, record_latency, record_time_taken,
         context_pack, context_request, answer_phrases, retrieve_results, respond_requests,
-        stream_extract, stream_response_deadline, stream_response_early, stream_last_outcome,
+        stream_extract, stream_append, stream_response_deadline, stream_response_early, stream_last_outcome,
     )
 }

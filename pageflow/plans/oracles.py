@@ -599,3 +599,5 @@ ORACLES["record_time_taken"] = f"""WITH {_RECORDED}
 SELECT response_id, unique_key, seq, round(relative_us / 1000, 3) AS time_ms,
   (SELECT round(avg(relative_us) / 1000, 3) FROM recorded WHERE event = 'cheerio-before-response-send') AS mean_ms
 FROM recorded WHERE event = 'cheerio-before-response-send'"""
+# a stream that is started again appends nothing twice
+ORACLES["stream_append"] = ORACLES["all_outcomes"]

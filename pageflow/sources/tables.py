@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from pageflow import schemas
 
@@ -70,3 +71,47 @@ def append_results(df: DataFrame, path: str, partition_by: str | None = "request
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"{schemas.RESULTS}, request_status STRING").parquet(path)
+
+
+def append_with_stats(df: DataFrame, path: str, **stats: Column) -> dict:
+    """``append_results``, and aggregates of what was written, observed on the way: no second scan."""
+    seen = Observation()
+    append_results(df.observe(seen, *[value.alias(name) for name, value in stats.items()]), path, None)
+    return seen.get
+
+
+# -- a result table that a stream appends to -----------------------------------
+
+_LEDGER = "sink STRING, batch BIGINT"
+
+
+def append_stream(stream: DataFrame, path: str, sink: str, state: str, **trigger) -> StreamingQuery:
+    """Append a stream's rows to a result table, each once, whatever is retried.
+
+    A micro-batch goes to a folder of its own, named by ``sink`` and batch, and
+    is then entered in the ledger; ``read_appended`` reads what is entered.
+    A batch that is tried again after a failure replaces its own folder; one
+    that was entered before the failure is left as it is.  ``sink`` names the
+    stream's ``state`` folder: a stream that starts with a fresh one takes another name.
+    """
+    spark = stream.sparkSession
+    spark.createDataFrame([], _LEDGER).write.mode("append").parquet(f"{path}/ledger")
+
+    def write(batch: DataFrame, number: int) -> None:
+        own = batch.sparkSession
+        entered = own.read.schema(_LEDGER).parquet(f"{path}/ledger")
+        if not entered.where((F.col("sink") == sink) & (F.col("batch") == number)).isEmpty():
+            return
+        batch.write.mode("overwrite").parquet(f"{path}/data/sink={sink}/batch={number}")
+        own.createDataFrame([(sink, number)], _LEDGER).coalesce(1).write.mode("append").parquet(f"{path}/ledger")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_appended(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of all entered batches; a batch that is being written has no part in it."""
+    entered = spark.read.schema(_LEDGER).parquet(f"{path}/ledger").distinct()
+    if entered.isEmpty():
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(f"{schema}, {_LEDGER}").option("basePath", f"{path}/data").parquet(f"{path}/data")
+    return rows.join(entered, ["sink", "batch"], "left_semi").drop("sink", "batch")

@@ -132,10 +132,15 @@ def answered_responses(rows: DataFrame) -> DataFrame:
 
 
 def last_outcome(deliveries: DataFrame, delay: str = "10 minutes", width: str = "1 hour") -> DataFrame:
-    """The last delivery per request, once its window of request time is over."""
+    """The last delivery per request, once its window of request time is over.
+
+    A queue may deliver the same outcome again and again.  Such repeats are
+    known by all their columns and dropped before the aggregate, from a state
+    that lets go of a delivery once the watermark has passed it.
+    """
+    once = deliveries.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(deliveries.columns)
     return (
-        deliveries.withWatermark("created_at", delay)
-        .groupBy(F.window("created_at", width), "response_id", "unique_key")
+        once.groupBy(F.window("created_at", width), "response_id", "unique_key")
         .agg(
             F.max_by("request_status", F.struct("loaded_at", "request_status")).alias("request_status"),
             F.count("*").alias("n_deliveries"),

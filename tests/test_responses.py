@@ -185,7 +185,7 @@ def test_shared_folder_is_the_sessions(spark):
 def test_only_wanted_with_and_without_broadcast(spark):
     wide = spark.range(100).withColumnRenamed("id", "k").withColumn("wide", F.repeat(F.lit("x"), 100))
     wanted = spark.createDataFrame([(1,), (1,), (5,), (200,)], "k bigint")
-    for limit in (10, 0):
+    for limit in (1 << 20, 0):
         assert sorted(r.k for r in shared.only_wanted(wide, wanted, "k", limit).collect()) == [1, 5]
 
 
@@ -223,3 +223,75 @@ def test_empty_and_bad_requests_have_a_body(spark):
     none = merged(spark).filter("false")
     rows = {r.response_id: (r.http_status, r.body) for r in responses.response_json(none, F.struct("title"), others).collect()}
     assert rows == {"none": (200, "[]"), "bad": (400, '{"errorMessage":"no"}')}
+
+
+def test_measures_travel_with_a_request(spark):
+    first = latency.appended(F.lit(None).cast(schemas.MEASURES), "request-received", F.lit(5_000).cast("bigint"))
+    rows = spark.range(1).select(first.alias("m"))
+    rows = rows.withColumn("m", latency.appended(F.col("m"), "late", F.lit(9_000).cast("bigint")))
+    rows = rows.withColumn("m", latency.appended(F.col("m"), "early", F.lit(2_000).cast("bigint")))
+    rows = rows.withColumn("m", latency.appended(F.col("m"), "never", F.lit(None).cast("bigint")))
+    rows = rows.withColumn("m", latency.sent(F.col("m"), F.lit("browser-playwright"), F.lit(9_000).cast("bigint")))
+    row = rows.select("m", latency.relative(F.col("m")).alias("r")).first()
+    assert [tuple(m) for m in row.m] == [
+        ("request-received", 5000, 0), ("late", 9000, 4000), ("early", 2000, -7000), ("playwright-before-response-send", 9000, 7000)
+    ]
+    assert [(m.event, m.time_us) for m in row.r] == [
+        ("early", -3000), ("request-received", 0), ("late", 4000), ("playwright-before-response-send", 4000)
+    ]
+    shown = rows.select(latency.debug_of(F.col("m"), F.lit(False)).alias("off"), latency.debug_of(latency.no_measures(), F.lit(True)).alias("none"))
+    assert tuple(shown.first()) == (None, None)
+
+
+def test_a_batch_that_is_tried_again_is_appended_once(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(0, 10).write.parquet(source)
+
+    def run():
+        stream = spark.readStream.schema("id bigint").parquet(source)
+        tables.append_stream(stream, out, "s", str(tmp_path / "state")).awaitTermination()
+        return sorted(r.id for r in tables.read_appended(spark, out, "id bigint").collect())
+
+    assert run() == list(range(10)) and run() == list(range(10))
+    spark.range(10, 15).write.mode("append").parquet(source)
+    assert run() == list(range(15))
+    # a batch written but not entered in the ledger is not read, and is replaced when it is tried again
+    spark.range(100, 103).write.parquet(f"{out}/data/sink=s/batch=2")
+    assert sorted(r.id for r in tables.read_appended(spark, out, "id bigint").collect()) == list(range(15))
+    spark.range(15, 17).write.mode("append").parquet(source)
+    assert run() == list(range(17))
+    # the stream's own log of the last batch is lost: the batch runs again and finds itself entered
+    last = max((tmp_path / "state" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    assert run() == list(range(17))
+
+
+def test_nothing_appended_yet(spark, tmp_path):
+    spark.createDataFrame([], "sink string, batch bigint").write.parquet(str(tmp_path / "ledger"))
+    assert tables.read_appended(spark, str(tmp_path), "id bigint").collect() == []
+
+
+def test_stats_are_observed_on_the_write(spark, tmp_path):
+    closed = responses.close(merged(spark))
+    seen = tables.append_with_stats(closed, str(tmp_path / "out"), **latency.counted())
+    assert seen == latency.run_stats(closed).first().asDict()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == sum(seen.values())
+
+
+def test_repeated_deliveries_count_once_and_leave_the_state(spark, tmp_path):
+    rows = [(1, "a", "handled", at(5), at(0)), (1, "a", "failed", at(9), at(0)), (1, "b", "failed", at(4), at(1))]
+    names = "response_id bigint, unique_key string, request_status string, loaded_at timestamp, created_at timestamp"
+    late = [(2, "z", "handled", at(10**6), at(10**6))]
+    spark.createDataFrame(rows * 50, names).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame(late, names).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(names).parquet(str(tmp_path / "in"))
+    query = (
+        jobs.last_outcome(stream).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.response_id, r.unique_key, r.request_status, r.n_deliveries) for r in found) == [(1, "a", "failed", 2), (1, "b", "failed", 1)]
+    # of 151 deliveries only the last, which no later one has outdated, is still held, by either operator
+    assert [o["numRowsTotal"] for o in query.lastProgress["stateOperators"]] == [1, 1]
