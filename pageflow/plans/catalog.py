@@ -619,7 +619,9 @@ def _event_stream(spark: SparkSession, root: str) -> DataFrame:
 
 def _answered(spark: SparkSession, root: str, name: str) -> DataFrame:
     deadline = F.col("created_at") + F.make_dt_interval(secs=F.col("timeout_secs"))
-    asked = T.as_requests(_event_stream(spark, root)).withColumn("deadline", deadline)
+    # four events in a row are a response, the last event is one by itself
+    expected = F.when(F.col("response_id") >= 0, 4).otherwise(1)
+    asked = T.as_requests(_event_stream(spark, root)).withColumns({"deadline": deadline, "expected": expected})
     rows = jobs.run_to_files(jobs.answers(asked, T.as_outcomes(_event_stream(spark, root))), name)
     return rows.filter("response_id >= 0")
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pageflow.settings import FAILED, HANDLED, MSG_TIMED_OUT
 from pageflow.sources.shared import fresh_path
@@ -34,36 +32,45 @@ def extract(pages: DataFrame, content: Callable[[DataFrame], DataFrame]) -> Data
     return content(pages)
 
 
-_STATE = "requests STRING, answered BOOLEAN"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def answers(requests: DataFrame, deliveries: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """One row for each request, as soon as its response is complete or out of time.
 
-    ``requests``: response_id, unique_key, created_at, deadline; ``deliveries``:
-    response_id, unique_key, request_status, loaded_at.  Requests drive the state: a
-    response waits for its distinct keys and holds, per key, its times and its
+    ``requests``: response_id, unique_key, created_at, deadline, and if known
+    ``expected``, the number of the response's requests; ``deliveries``:
+    response_id, unique_key, request_status, loaded_at.  A response waits for
+    its distinct keys, at least ``expected`` of them, and holds, per key, its times and its
     last outcome.  Deliveries for unknown keys, outside a request's own time, or
     after the answer are ignored; a later delivery before the answer replaces an
     earlier one.  An answered response stays marked until the watermark has
-    passed its last deadline.  All requests of a response come before or with
-    its first outcome.
+    passed its last deadline.  Without ``expected`` all requests of a response
+    come before or with its first outcome.
+
+    A response is a map of its keys, of which a delivery touches one, and a
+    timer.  Such state needs the RocksDB store, which is set for the session.
     """
+    spark = requests.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    expected = F.col("expected") if "expected" in requests.columns else F.lit(0)
     asked = requests.select(
         "response_id",
         "unique_key",
         F.col("created_at").alias("at"),
-        F.col("created_at").cast("double").alias("since"),
-        F.col("deadline").cast("double").alias("until"),
+        F.unix_micros("created_at").alias("since"),
+        F.unix_micros("deadline").alias("until"),
         F.lit(None).cast("string").alias("request_status"),
+        expected.cast("bigint").alias("expected"),
     )
     sent = deliveries.select(
         "response_id",
         "unique_key",
         F.col("loaded_at").alias("at"),
-        F.col("loaded_at").cast("double").alias("since"),
-        F.lit(None).cast("double").alias("until"),
+        F.unix_micros("loaded_at").alias("since"),
+        F.lit(None).cast("bigint").alias("until"),
         "request_status",
+        F.lit(None).cast("bigint").alias("expected"),
     )
     kinds = dict(requests.dtypes)
     output = (
@@ -74,51 +81,79 @@ def answers(requests: DataFrame, deliveries: DataFrame, delay: str = "10 minutes
         asked.withWatermark("at", delay)
         .unionByName(sent.withWatermark("at", delay))
         .groupBy("response_id")
-        .applyInPandasWithState(_answer, output, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        .transformWithState(Answering(f"unique_key {kinds['unique_key']}"), output, "append", "EventTime")
     )
 
 
-def _answer(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    text, answered = state.get if state.exists else ("[]", False)
-    # unique_key -> [since, until, status]
-    waiting = {k: rest for k, *rest in json.loads(text)}
-
-    def rows(complete: bool) -> pd.DataFrame:
-        status = [s for *_, s in waiting.values()]
-        return pd.DataFrame(
-            {
-                "response_id": [key[0]] * len(waiting),
-                "unique_key": list(waiting),
-                "request_status": [s or FAILED for s in status],
-                "http_status_message": [None if s else MSG_TIMED_OUT for s in status],
-                "complete": [complete] * len(waiting),
-            }
-        )
-
-    if state.hasTimedOut:
-        state.remove()
-        if not answered and waiting:
-            yield rows(False)
-        return
-    arrived = pd.concat(list(batches), ignore_index=True)
-    asked = arrived["request_status"].isna()
-    for k, since, until in arrived.loc[asked, ["unique_key", "since", "until"]].itertuples(index=False):
-        waiting.setdefault(k, [since, until, None])
-    outcomes = arrived[~asked].sort_values(["since", "request_status"])
-    for at, group in outcomes.groupby("since", sort=True):
-        if answered:
-            break
-        for k, status in group[["unique_key", "request_status"]].itertuples(index=False):
-            request = waiting.get(k)
-            if request and request[0] <= at <= request[1]:
-                request[2] = status
-        if waiting and all(status is not None for *_, status in waiting.values()):
-            answered = True
-            yield rows(True)
-    last = max((until for _, until, _ in waiting.values()), default=0.0)
-    kept = [[k if isinstance(k, str) else int(k), *rest] for k, rest in waiting.items()]
-    state.update((json.dumps(kept), answered))
-    state.setTimeoutTimestamp(max(int(last * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+class Answering(StatefulProcessor):
+    """The state of one response: its requests by key, how many are open, and a timer at its last deadline."""
+
+    def __init__(self, key: str) -> None:
+        self.key = key
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.requests = handle.getMapState("requests", self.key, "since BIGINT, until BIGINT, status STRING")
+        self.response = handle.getValueState("response", "n BIGINT, n_open BIGINT, expected BIGINT, timer BIGINT, answered BOOLEAN")
+
+    def _rows(self, key, held: Iterator[tuple], complete: bool) -> Iterator[Row]:
+        for (unique_key,), (_, _, status) in held:
+            yield Row(
+                response_id=key[0], unique_key=unique_key, request_status=status or FAILED,
+                http_status_message=None if status else MSG_TIMED_OUT, complete=complete,
+            )
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        asked, outcomes = [], []
+        for row in rows:
+            (outcomes if row.request_status is not None else asked).append(row)
+        n, n_open, expected, timer, answered = self.response.get() if self.response.exists() else (0, 0, 0, 0, False)
+        touched: dict = {}
+
+        def held(unique_key):
+            """The request of a key as [since, until, status], read once."""
+            if unique_key not in touched:
+                known = self.requests.containsKey((unique_key,))
+                touched[unique_key] = list(self.requests.getValue((unique_key,))) if known else None
+            return touched[unique_key]
+
+        last = timer
+        for row in asked:
+            if not answered and held(row.unique_key) is None:
+                touched[row.unique_key] = [row.since, row.until, None]
+                n, n_open = n + 1, n_open + 1
+            expected = max(expected, row.expected or 0)
+            last = max(last, row.until // 1000 + 1)
+        outcomes.sort(key=lambda r: (r.since, r.request_status))
+        for i, row in enumerate(outcomes):
+            request = None if answered else held(row.unique_key)
+            if request and request[0] <= row.since <= request[1]:
+                n_open -= request[2] is None
+                request[2] = row.request_status
+            ends_instant = i + 1 == len(outcomes) or outcomes[i + 1].since != row.since
+            answered = answered or (ends_instant and n > 0 and n_open == 0 and n >= expected)
+        for unique_key, request in touched.items():
+            if request is not None:
+                self.requests.updateValue((unique_key,), tuple(request))
+        if answered and self.requests.exists():
+            yield from self._rows(key, self.requests.iterator(), True)
+            self.requests.clear()
+        if n or answered:
+            due = max(last, timerValues.getCurrentWatermarkInMs() + 1)
+            if due != timer:
+                if timer:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(due)
+            self.response.update((n, n_open, expected, due, answered))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.requests.exists():
+            yield from self._rows(key, self.requests.iterator(), False)
+        self.requests.clear()
+        self.response.clear()
+
+    def close(self) -> None:
+        pass
 
 
 def answered_responses(rows: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime
 import json
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -295,3 +296,46 @@ def test_repeated_deliveries_count_once_and_leave_the_state(spark, tmp_path):
     assert sorted((r.response_id, r.unique_key, r.request_status, r.n_deliveries) for r in found) == [(1, "a", "failed", 2), (1, "b", "failed", 1)]
     # of 151 deliveries only the last, which no later one has outdated, is still held, by either operator
     assert [o["numRowsTotal"] for o in query.lastProgress["stateOperators"]] == [1, 1]
+
+
+def test_parts_of_a_response_wait_for_each_other(spark, tmp_path):
+    """Requests that come in two micro-batches are one response where their number is known."""
+    asked = "response_id bigint, unique_key string, created_at timestamp, deadline timestamp, expected bigint"
+    done = "response_id bigint, unique_key string, request_status string, loaded_at timestamp"
+    in_one, in_two = tmp_path / "asked", tmp_path / "done"
+
+    def put(rows, outcomes):
+        spark.createDataFrame(rows, asked).coalesce(1).write.mode("append").parquet(str(in_one))
+        spark.createDataFrame(outcomes, done).coalesce(1).write.mode("append").parquet(str(in_two))
+
+    def run():
+        read = lambda p, s: spark.readStream.schema(s).parquet(str(p))
+        query = (
+            jobs.answers(read(in_one, asked), read(in_two, done)).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+            .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        return sorted((r.response_id, r.unique_key, r.request_status, r.complete) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    put([(1, "a", at(0), at(60), 2), (2, "x", at(0), at(60), 1)], [(1, "a", "handled", at(1)), (2, "x", "handled", at(2))])
+    assert run() == [(2, "x", "handled", True)]
+    put([(1, "b", at(3), at(60), 2)], [(1, "b", "failed", at(4)), (2, "x", "failed", at(5))])
+    assert run() == [(1, "a", "handled", True), (1, "b", "failed", True), (2, "x", "handled", True)]
+    put([(3, "c", at(6), at(66), 2)], [(3, "c", "handled", at(7))])
+    put([(9, "end", at(10**6), at(10**6), 1)], [(9, "no", "handled", at(10**6))])
+    assert run()[3:] == [(3, "c", "handled", False)]
+
+
+def test_a_large_response_takes_linear_time(spark, tmp_path):
+    took = []
+    for n in (500, 2_000, 20_000):
+        asked = spark.range(n).select(F.lit(1).alias("response_id"), F.col("id").alias("unique_key"), F.lit(at(0)).alias("created_at"), F.lit(at(60)).alias("deadline"))
+        done = asked.select("response_id", "unique_key", F.lit("handled").alias("request_status"), F.lit(at(1)).alias("loaded_at"))
+        asked.write.parquet(str(tmp_path / f"asked{n}"))
+        done.write.parquet(str(tmp_path / f"done{n}"))
+        read = lambda name: spark.readStream.schema(spark.read.parquet(str(tmp_path / name)).schema).parquet(str(tmp_path / name))
+        start = time.perf_counter()
+        rows = jobs.run_to_files(jobs.answers(read(f"asked{n}"), read(f"done{n}")), "large")
+        assert rows.where("complete AND request_status = 'handled'").count() == n
+        took.append(time.perf_counter() - start)
+    assert took[2] <= 15 * took[1]
