@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pageflow.functions.bind import bind
+from pageflow.functions.hosts import ascii_host
 
 # Characters a URI encoder leaves as they are, with the form
 # encoder's spelling.  ``&`` and ``#`` are missing on purpose: left bare they
@@ -37,7 +38,7 @@ _PARTS = (
     r"(\?[^#]*)?"  # 6 query
     r"(#.*)?$"  # 7 fragment
 )
-_BAD_HOST = r"""[\x00-\x20"<>^`{}|%\x7f]"""
+_BAD_HOST = r"""[\x00-\x20"#/:<>?@\[\\\]^`{}|%\x7f]"""
 
 
 def _restore(col: Column, kept: dict[str, str]) -> Column:
@@ -98,11 +99,17 @@ def _without_dot_segments(path: Column) -> Column:
 
 def _assembled(parts: Column) -> Column:
     """The URL from its seven parts, NULL if a part is not allowed."""
-    scheme, host = F.lower(parts[0]), F.lower(parts[2])
+    scheme, plain = F.lower(parts[0]), F.lower(parts[2])
+    # few hosts need more than lower case; a broken escape leaves none
+    odd = plain.rlike(r"[^\x00-\x7f%]|%|(^|\.)([0-9]+|0x[0-9a-f]*)\.?$")
+    return bind(F.when(odd, ascii_host(decode_component(plain))).otherwise(plain), lambda host: _joined(parts, scheme, host))
+
+
+def _joined(parts: Column, scheme: Column, host: Column) -> Column:
     port = F.when(parts[3] != "", F.coalesce(F.nullif(F.ltrim(parts[3], F.lit("0")), F.lit("")), F.lit("0")))
     shown_port = F.when(port == F.when(scheme == "http", "80").otherwise("443"), None).otherwise(port)
     path = F.replace(parts[4], F.lit("\\"), F.lit("/"))
-    valid = ~host.rlike(_BAD_HOST) & (
+    valid = (host != "") & (host.startswith("[") | ~host.rlike(_BAD_HOST)) & (
         port.isNull() | ((F.length(port) <= 5) & (port.try_cast("int") <= 65535))
     )
     return F.when(

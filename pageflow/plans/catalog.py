@@ -36,6 +36,27 @@ def interpret_as_url(spark: SparkSession, root: str) -> DataFrame:
     return T.request_strings(spark, root).select("request_id", urls.interpret_as_url(F.col("query")).alias("as_url"))
 
 
+#: Labels in other scripts, for addresses that the pages do not have.
+LABELS = ("bücher", "münchen-ost", "例え", "пример", "ñandú", "smørrebrød", "3年b組金八先生")
+
+
+def host_forms(spark: SparkSession, root: str) -> DataFrame:
+    """Requests for pages on international and numeric hosts, percent-encoded every other time."""
+    n = F.col("page_id")
+    label = F.get(F.array(*map(F.lit, LABELS)), (n % len(LABELS)).cast("int"))
+    number = n * 7919 + 16_909_060
+    forms = F.array(
+        F.concat(F.lit("http://"), F.upper(label), F.lit("."), urls.host_of(F.col("url")), F.lit("/"), n),
+        F.concat(F.lit("https://"), number, F.lit("/")),
+        F.concat(F.lit("http://0x"), F.hex(number), F.lit("/")),
+        F.concat(F.lit("http://0"), F.conv(n % 256, 10, 8), F.lit("."), n, F.lit("/")),
+        F.concat(F.lit("http://"), n, F.lit(".2.3.4/")),
+    )
+    asked = T.pages(spark, root).select("page_id", F.posexplode(forms).alias("form", "text"))
+    spelled = F.when(n % 2 == 0, F.col("text")).otherwise(F.url_encode("text"))
+    return asked.select("page_id", _long("form").alias("form"), urls.interpret_as_url(spelled).alias("as_url"))
+
+
 def route_requests(spark: SparkSession, root: str) -> DataFrame:
     return requests.route(T.request_strings(spark, root)).select("request_id", "route", "target")
 
@@ -647,7 +668,7 @@ def stream_last_outcome(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        interpret_as_url, route_requests, parse_params, validate_params, typed_input, search_page_plan, page_by_url, stored_pages,
+        interpret_as_url, host_forms, route_requests, parse_params, validate_params, typed_input, search_page_plan, page_by_url, stored_pages,
         serp_extract, valid_results, dedup_results, topk_rank, paginate_results, page_requests, empty_searches,
         posting_index, search_bm25, search_documents, search_site,
         content_type_split, page_metadata, remove_elements, remove_selector, remove_row_selector, clean_html, page_text, oversize_text,

@@ -601,3 +601,16 @@ SELECT response_id, unique_key, seq, round(relative_us / 1000, 3) AS time_ms,
 FROM recorded WHERE event = 'cheerio-before-response-send'"""
 # a stream that is started again appends nothing twice
 ORACLES["stream_append"] = ORACLES["all_outcomes"]
+
+_LABELS = "['xn--bcher-kva', 'xn--mnchen-ost-9db', 'xn--r8jz45g', 'xn--e1afmkfd', 'xn--and-6ma2c', 'xn--smrrebrd-64af', 'xn--3b-ww4c5e180e575a65lsy2b']"
+ORACLES["host_forms"] = f"""WITH numbers AS (
+  SELECT page_id, {HOST} AS host, page_id * 7919 + 16909060 AS ip FROM pages
+), dotted AS (
+  SELECT *, (ip >> 24) || '.' || ((ip >> 16) & 255) || '.' || ((ip >> 8) & 255) || '.' || (ip & 255) AS address FROM numbers
+)
+SELECT page_id, 0 AS form, 'http://' || {_LABELS}[1 + page_id % 7] || '.' || host || '/' || page_id AS as_url FROM dotted
+UNION ALL SELECT page_id, 1, 'https://' || address || '/' FROM dotted
+UNION ALL SELECT page_id, 2, 'http://' || address || '/' FROM dotted
+UNION ALL SELECT page_id, 3, 'http://' || page_id % 256 || '.' || (page_id >> 16) || '.' || ((page_id >> 8) & 255) || '.' || (page_id & 255) || '/'
+  FROM dotted
+UNION ALL SELECT page_id, 4, CASE WHEN page_id < 256 THEN 'http://' || page_id || '.2.3.4/' END FROM dotted"""
