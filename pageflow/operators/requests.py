@@ -30,6 +30,16 @@ TYPED = {
     "request_timeout_secs": "requestTimeoutSecs",
     "remove_elements_css_selector": "removeElementsCssSelector",
     "html_transformer": "htmlTransformer",
+    "serp_proxy_group": "serpProxyGroup",
+    "serp_max_retries": "serpMaxRetries",
+    "scraping_tool": "scrapingTool",
+    "max_request_retries": "maxRequestRetries",
+    "dynamic_content_wait_secs": "dynamicContentWaitSecs",
+    "desired_concurrency": "desiredConcurrency",
+    "proxy_configuration": "proxyConfiguration",
+    "readable_text_char_threshold": "readableTextCharThreshold",
+    "remove_cookie_warnings": "removeCookieWarnings",
+    "debug_mode": "debugMode",
 }
 
 

@@ -11,7 +11,7 @@ from pageflow import schemas, settings as S
 from pageflow.functions import text as native, urls
 from pageflow.operators import content, context, hits, latency, requests, responses, search, serp
 from pageflow.plans import standins as T
-from pageflow.plans.retrieval import respond, retrieve
+from pageflow.plans.retrieval import messages, respond, retrieve
 from pageflow.sources.pagestore import write_page_store
 from pageflow.sources.shared import fresh_path, only_wanted, staged
 from pageflow.sources.tables import (
@@ -104,12 +104,25 @@ def typed_input(spark: SparkSession, root: str) -> DataFrame:
         F.when(n % 3 != 0, n % 130 - 10).alias("max_results"),
         F.when(n % 4 == 1, F.array(F.lit("text"), F.lit("html"))).when(n % 4 == 2, F.array(F.lit("pdf"))).alias("output_formats"),
         (n % 900).alias("request_timeout_secs"),
+        F.when(n % 7 == 0, "PROXY").when(n % 7 < 4, "SHADER").alias("serp_proxy_group"),
+        (n % 6 - 1).alias("serp_max_retries"),
+        F.when(n % 13 == 0, "telnet").when(n % 13 < 6, "browser-playwright").alias("scraping_tool"),
+        F.when(n % 5 > 0, n % 5).alias("max_request_retries"),
+        (n % 50).alias("dynamic_content_wait_secs"),
+        (n % 9).alias("desired_concurrency"),
+        F.when(n % 2 == 0, n % 400).alias("readable_text_char_threshold"),
+        F.when(n % 3 > 0, n % 3 == 1).alias("remove_cookie_warnings"),
+        F.when(n % 5 < 3, n % 5 == 1).alias("debug_mode"),
+        F.when(n % 8 == 0, ".x > p").alias("remove_elements_css_selector"),
     )
     path = fresh_path(spark, "typed-requests")
     asked.write.json(path)
     checked = requests.validate(requests.from_typed(read_requests(spark, path)))
     return checked.select(
-        "request_id", "max_results", F.array_join("output_formats", "|").alias("output_formats"), "request_timeout_secs", "error"
+        "request_id", "max_results", F.array_join("output_formats", "|").alias("output_formats"), "request_timeout_secs",
+        "serp_proxy_group", "serp_max_retries", "scraping_tool", "max_request_retries", "dynamic_content_wait_secs",
+        "desired_concurrency", "readable_char_threshold", "remove_cookie_warnings", "debug_mode",
+        (F.col("remove_elements_css_selector") == ".x > p").alias("own_selector"), "error",
     )
 
 
@@ -582,6 +595,23 @@ def retrieve_results(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def record_messages(spark: SparkSession, root: str) -> DataFrame:
+    """Every result of every request as one text message that holds the whole record, read back from the message."""
+    found = retrieve(T.typed_requests(spark, root), T.fetched(spark, root), T.copied_index(spark, root), TEXT_ONLY)
+    sent = staged(found.select("request_id", "rank", "position", messages(found).alias("message")), "messages")
+    record = (
+        "text STRING, query STRING, metadata STRUCT<title:STRING,url:STRING>, search_result STRUCT<title:STRING,rank:BIGINT>,"
+        " crawl STRUCT<http_status_code:INT,http_status_message:STRING,request_status:STRING>"
+    )
+    parsed = sent.withColumn("r", F.from_json(F.get_json_object("message", "$.text"), record))
+    return parsed.select(
+        "request_id", "rank", _long("position").alias("position"), F.get_json_object("message", "$.type").alias("type"),
+        F.col("r.metadata.url").alias("url"), "r.crawl.request_status", _long("r.crawl.http_status_code").alias("http_status_code"),
+        "r.crawl.http_status_message", "r.metadata.title", F.md5("r.text").alias("text_md5"),
+        F.col("r.search_result.rank").alias("result_rank"),
+    )
+
+
 def respond_requests(spark: SparkSession, root: str) -> DataFrame:
     """One response for every request, bad ones and phrases without a hit included."""
     asked = T.typed_requests(spark, root)
@@ -677,7 +707,7 @@ QUERIES = {
         cancel_expired, response_sorted, response_json, result_messages, run_stats,
         stage_deltas, stage_relative, stage_latency_avg, request_time_taken,
         record_measures, record_latency, record_time_taken,
-        context_pack, context_request, answer_phrases, retrieve_results, respond_requests,
+        context_pack, context_request, answer_phrases, retrieve_results, record_messages, respond_requests,
         stream_extract, stream_append, stream_response_deadline, stream_response_early, stream_last_outcome,
     )
 }

@@ -380,15 +380,23 @@ ORACLES = {
         flag <> 'cookie=false' AS remove_cookie_warnings, flag = 'debug=true' AS debug_mode,
         CASE WHEN n_max IS NULL THEN 'maxResults' ELSE '' END AS replaced, error FROM checked""",
     "typed_input": f"""WITH {PHRASES}, records AS (
-        SELECT query_id AS request_id, CASE WHEN query_id % 11 <> 0 THEN phrase END AS query,
-          CASE WHEN query_id % 3 <> 0 THEN query_id % 130 - 10 END AS wanted, query_id % 4 AS kind,
-          query_id % 900 AS timeout FROM phrases)
-        SELECT request_id, greatest(1, least(100, coalesce(wanted, 3)))::BIGINT AS max_results,
+        SELECT query_id AS n, CASE WHEN query_id % 11 <> 0 THEN phrase END AS query, query_id % 4 AS kind FROM phrases
+        ), settled AS (
+        SELECT *, greatest(1, least(600, n % 900))::BIGINT AS timeout,
+          CASE WHEN n % 7 = 0 THEN 'PROXY' WHEN n % 7 < 4 THEN 'SHADER' ELSE 'GOOGLE_SERP' END AS proxies,
+          CASE WHEN n % 13 = 0 THEN 'telnet' WHEN n % 13 < 6 THEN 'browser-playwright' ELSE 'raw-http' END AS tool FROM records)
+        SELECT n AS request_id, CASE WHEN n % 3 = 0 THEN 3 ELSE greatest(1, least(100, n % 130 - 10)) END::BIGINT AS max_results,
           CASE kind WHEN 1 THEN 'text|html' WHEN 2 THEN 'pdf' ELSE 'markdown' END AS output_formats,
-          greatest(1, least(600, timeout))::BIGINT AS request_timeout_secs,
+          timeout AS request_timeout_secs, proxies AS serp_proxy_group, greatest(0, least(3, n % 6 - 1))::BIGINT AS serp_max_retries,
+          tool AS scraping_tool, CASE n % 5 WHEN 0 THEN 1 ELSE least(3, n % 5) END::BIGINT AS max_request_retries,
+          CASE WHEN n % 50 BETWEEN 1 AND timeout - 1 THEN n % 50 ELSE floor(timeout / 2 + 0.5) END::BIGINT AS dynamic_content_wait_secs,
+          n % 9 AS desired_concurrency, CASE WHEN n % 2 = 0 THEN n % 400 ELSE 100 END::BIGINT AS readable_char_threshold,
+          n % 3 < 2 AS remove_cookie_warnings, n % 5 = 1 AS debug_mode, n % 8 = 0 AS own_selector,
           CASE WHEN coalesce(query, '') = '' THEN 'The `query` parameter must be provided and non-empty.'
-            WHEN kind = 2 THEN 'The `outputFormats` array may only contain `text`, `markdown`, or `html`.' END AS error
-        FROM records""",
+            WHEN kind = 2 THEN 'The `outputFormats` array may only contain `text`, `markdown`, or `html`.'
+            WHEN proxies = 'PROXY' THEN 'The `serpProxyGroup` parameter must be either `GOOGLE_SERP` or `SHADER`.'
+            WHEN tool = 'telnet' THEN 'The `scrapingTool` parameter must be either `browser-playwright` or `raw-http`.' END AS error
+        FROM settled""",
     "search_page_plan": f"""WITH {QUERY_STRINGS}, plan AS (
         SELECT *, CAST(ceil(m / 10.0) AS BIGINT) + 1 AS total_pages FROM checked WHERE error IS NULL)
         SELECT request_id, page, total_pages,
@@ -569,6 +577,8 @@ ORACLES["retrieve_results"] = f"""WITH {PHRASES}, {COPIED}, {FETCHED}
       CASE WHEN error IS NOT NULL THEN '' WHEN readable THEN title END AS title,
       md5(CASE WHEN error IS NULL AND readable THEN {_layout("body")} ELSE '' END) AS text_md5
     FROM wanted_pages JOIN fetched f USING (page_id) JOIN clean c ON c.page_id = f.page_id"""
+ORACLES["record_messages"] = f"""SELECT request_id, rank, position, 'text' AS type, url, request_status, http_status_code,
+  http_status_message, title, text_md5, rank AS result_rank FROM ({ORACLES["retrieve_results"]})"""
 # On these pages the nested selectors name what the usual one names.
 ORACLES["remove_row_selector"] = ORACLES["remove_selector"]
 ORACLES["stored_pages"] = f"""WITH {FETCHED}

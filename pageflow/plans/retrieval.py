@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageflow import schemas, settings as S
@@ -173,6 +173,18 @@ def retrieve(
 RECORD = ("text", "html", "markdown", "query", "crawl", "search_result", "metadata")
 
 
+def _record(results: DataFrame) -> Column:
+    """The whole record of each result of ``retrieve``."""
+    carried = [c for c in ("created_at", "debug") if c in results.columns]
+    crawl = F.struct(*carried, "http_status_code", "http_status_message", "loaded_at", "request_status", "unique_key")
+    return F.struct(*[crawl.alias(c) if c == "crawl" else F.col(c) for c in RECORD])
+
+
+def messages(results: DataFrame) -> Column:
+    """Each result of ``retrieve`` as a JSON text message that holds its whole record."""
+    return responses.result_message(_record(results))
+
+
 def respond(requests: DataFrame, results: DataFrame) -> DataFrame:
     """(request_id, http_status, body) for every request, whatever became of it.
 
@@ -182,15 +194,17 @@ def respond(requests: DataFrame, results: DataFrame) -> DataFrame:
     500 and a message.
     """
     waiting = (F.col("request_status") == S.FAILED) & F.col("http_status_message").eqNullSafe(S.MSG_TIMED_OUT)
-    carried = [c for c in ("created_at", "debug") if c in results.columns]
-    crawl = F.struct(*carried, "http_status_code", "http_status_message", "loaded_at", "request_status", "unique_key")
-    rows = results.select(
-        F.col("request_id").alias("response_id"),
-        "unique_key",
-        F.col("position").alias("rank"),
-        *[crawl.alias(c) if c == "crawl" else F.col(c) for c in RECORD],
-        waiting.alias("waiting"),
-        (F.col("request_status") == S.HANDLED).alias("handled"),
+    # read for the state of each response and for its body; pages are worked on once
+    rows = staged(
+        results.select(
+            F.col("request_id").alias("response_id"),
+            "unique_key",
+            F.col("position").alias("rank"),
+            _record(results).alias("record"),
+            waiting.alias("waiting"),
+            (F.col("request_status") == S.HANDLED).alias("handled"),
+        ),
+        "response-rows",
     )
     state = rows.groupBy("response_id").agg((F.some("handled") | ~F.some("waiting")).alias("answered"))
     rows = rows.join(state, "response_id")
@@ -203,6 +217,6 @@ def respond(requests: DataFrame, results: DataFrame) -> DataFrame:
         "error",
     )
     answered = rows.filter("answered")
-    return responses.response_json(answered, F.struct(*RECORD), nothing.unionByName(without)).withColumnRenamed(
+    return responses.response_json(answered, F.col("record"), nothing.unionByName(without)).withColumnRenamed(
         "response_id", "request_id"
     )

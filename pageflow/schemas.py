@@ -2,7 +2,10 @@
 
 REQUESTS = (
     "request_id BIGINT, raw STRING, query STRING, max_results BIGINT, output_formats ARRAY<STRING>, "
-    "request_timeout_secs BIGINT, remove_elements_css_selector STRING, html_transformer STRING"
+    "request_timeout_secs BIGINT, remove_elements_css_selector STRING, html_transformer STRING, "
+    "serp_proxy_group STRING, serp_max_retries BIGINT, scraping_tool STRING, max_request_retries BIGINT, "
+    "dynamic_content_wait_secs BIGINT, desired_concurrency BIGINT, proxy_configuration STRING, "
+    "readable_text_char_threshold BIGINT, remove_cookie_warnings BOOLEAN, debug_mode BOOLEAN"
 )
 PAGES = "page_id BIGINT, url STRING, html STRING"
 FETCHED_PAGES = (

@@ -6,6 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from pageflow import schemas, settings as S
+from pageflow.operators import latency
 from pageflow.operators.requests import parse_parameters, validate
 from pageflow.operators.search import build_index, write_postings
 from pageflow.plans.retrieval import respond, retrieve
@@ -50,3 +51,24 @@ def test_every_request_is_answered_and_copies_count_once(spark):
     assert by_id[3] == (200, [])
     assert by_id[4][0] == 200 and by_id[4][1][0]["metadata"]["title"] == "page 0"
     assert by_id[5] == (500, {"errorMessage": S.MSG_TIMED_OUT}) and by_id[6] == by_id[5]
+
+
+def test_debug_mode_reports_stage_times(spark):
+    raw = [(k, f"?outputFormats=text&debugMode={debug}&query=http%3A%2F%2Fb.example%2F{k}") for k, debug in ((1, "true"), (2, "false"))]
+    asked = validate(parse_parameters(spark.createDataFrame(raw, "request_id bigint, raw string")))
+    start = 1_704_067_200_000_000
+    measures = latency.appended(latency.appended(latency.no_measures(), "request-received", F.lit(start)), "before-cheerio-run", F.lit(start + 250_000))
+    asked = asked.withColumns({"created_at": F.lit(T0), "time_measures": measures})
+    fetched = spark.createDataFrame(
+        [(f"http://b.example/{k}", f"http://b.example/{k}", 200, "text/html", None, PAGE.format(k, k), T0 + datetime.timedelta(seconds=2)) for k in (1, 2)],
+        schemas.FETCHED_PAGES,
+    )
+    corpus = spark.createDataFrame([(1, "x", "http://x.example/", "x", "x")], "doc_id bigint, host string, url string, title string, text string")
+    index = write_postings(build_index(corpus), fresh_path(spark, "index"))
+    found = retrieve(asked, fetched, index, S.ContentSettings(output_formats=("text",)))
+    bodies = {r.request_id: json.loads(r.body)[0] for r in respond(asked, found).collect()}
+    stages = bodies[1]["crawl"]["debug"]["time_measures"]
+    assert [(m["event"], m["time_us"], m["delta_us"]) for m in stages] == [
+        ("request-received", 0, 0), ("before-cheerio-run", 250_000, 250_000), ("cheerio-before-response-send", 2_000_000, 1_750_000)
+    ]
+    assert "debug" not in bodies[2]["crawl"] and bodies[2]["crawl"]["created_at"].startswith("2024-01-01")
