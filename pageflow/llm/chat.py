@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from pageflow.sources.shared import staged
 
 START, END = "<|im_start|>", "<|im_end|>"
-#: No path is longer than 2 to this power; only a cycle gets there.
-MAX_DOUBLINGS = 40
 
 
 def escape(text: Column) -> Column:
@@ -42,7 +40,8 @@ def reply_paths(messages: DataFrame) -> DataFrame:
     Node ids are unique and not null.  A message whose parent is null or
     unknown is a root.  The reach of the known ancestors doubles with each pair
     of joins, so a path of n messages takes about log2(n) of them.  Messages on
-    a cycle have no root and belong to no path.
+    a cycle, and replies below one, have no root and belong to no path; all
+    others keep theirs.
     """
     nodes = messages.select("node_id", "parent_id")
     known = nodes.select(F.col("node_id").alias("parent_id"))
@@ -52,17 +51,20 @@ def reply_paths(messages: DataFrame) -> DataFrame:
     )
     leaves = nodes.join(jump.select(F.col("up").alias("node_id")), "node_id", "left_anti")
     paths = leaves.select(F.col("node_id").alias("leaf"), "node_id", F.lit(0).cast("long").alias("height"))
-    for k in range(MAX_DOUBLINGS):
-        if jump.isEmpty():
+    reach, before = 1, None
+    while (n := jump.count()) > 0:
+        if n == before:
+            # a tree this deep has messages of every smaller depth, and those drop out in each round:
+            # where none did, all that are left climb a cycle
+            paths = paths.join(jump.select(F.col("at").alias("leaf")), "leaf", "left_anti")
             break
         higher = paths.join(jump, F.col("node_id") == F.col("at")).select(
-            "leaf", F.col("up").alias("node_id"), (F.col("height") + 2**k).alias("height")
+            "leaf", F.col("up").alias("node_id"), (F.col("height") + reach).alias("height")
         )
         paths = staged(paths.unionByName(higher), "paths")
         onward = jump.select(F.col("at").alias("up"), F.col("up").alias("top"))
         jump = staged(jump.join(onward, "up").select("at", F.col("top").alias("up")), "ancestors")
-    else:
-        raise ValueError("the replies hold a cycle")
+        reach, before = 2 * reach, n
     depth = F.max("height").over(Window.partitionBy("leaf")) - F.col("height")
     return paths.select("leaf", "node_id", depth.alias("depth"))
 

@@ -1,6 +1,5 @@
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from pageflow.llm import chat
@@ -48,14 +47,16 @@ def test_long_paths_take_few_rounds(spark):
     assert found.n_turns == 300 and found.root_id == "n0" and found.leaf_id == "n299"
 
 
-def test_a_cycle_has_no_path(spark):
-    rows = [("a", "b", "user", "x", 0.0), ("b", "a", "user", "y", 0.0), ("c", None, "user", "z", 0.0)]
-    chat_max, chat.MAX_DOUBLINGS = chat.MAX_DOUBLINGS, 4
-    try:
-        with pytest.raises(ValueError):
-            chat.format_paths(spark.createDataFrame(rows, SCHEMA))
-    finally:
-        chat.MAX_DOUBLINGS = chat_max
+def test_rows_on_a_cycle_go_nowhere_and_all_others_stay(spark):
+    rows = [("a", "b", "user", "x", 0.0), ("b", "a", "user", "y", 0.0), ("below", "a", "user", "w", 0.0), ("self", "self", "user", "v", 0.0)]
+    rows += [(f"r{k}", f"r{(k + 1) % 5}", "user", "ring", 0.0) for k in range(5)] + [("deep0", "r3", "user", "d", 0.0)]
+    rows += [(f"deep{k}", f"deep{k - 1}", "user", "d", 0.0) for k in range(1, 9)]
+    tree = [(f"n{k}", f"n{k - 1}" if k else None, "user", str(k), 0.0) for k in range(23)] + [("m", "n4", "user", "m", 0.0), ("c", None, "user", "z", 0.0)]
+    for size in (len(tree), 1, 3):
+        found = chat.format_paths(spark.createDataFrame(rows + tree[:size], SCHEMA)).collect()
+        alone = chat.format_paths(spark.createDataFrame(tree[:size], SCHEMA)).collect()
+        assert sorted(map(tuple, found)) == sorted(map(tuple, alone)) and found
+    assert chat.format_paths(spark.createDataFrame(rows, SCHEMA)).collect() == []
 
 
 def test_odd_conversations(spark):
