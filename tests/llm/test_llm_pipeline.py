@@ -1,7 +1,7 @@
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from llm_cases import documents, groups, shingles, words
+from llm_cases import documents, groups, plain, shingles, words
 
 from pageflow.llm import quality
 from pageflow.sources.shared import staged
@@ -21,7 +21,7 @@ def test_stages_equal_plain_python(spark, root):
     total, held = Counter(r.source for r in rows), Counter()
     for r in rows:
         held.update((r.source, x) for x in set(r.text.split("\n")) if words(x))
-    bad = {(s, x) for (s, x), n in held.items() if n >= 5 and n > total[s] * 0.1}
+    bad = {(s, x) for (s, x), n in held.items() if n >= 5 and n > total[s] * 0.01}
     expected = {r.doc_id: "\n".join(x for x in r.text.split("\n") if (r.source, x) not in bad) for r in rows}
     clean = staged(stages["line dedup"](spark, good, root), "test")
     assert {r.doc_id: r.text for r in clean.collect()} == expected and clean.columns == docs.columns
@@ -46,6 +46,15 @@ def test_stages_equal_plain_python(spark, root):
     assert whole == {i: n * next(p.doc_tokens for p in packed if p.doc_id == i) for i, n in Counter(r.doc_id for r in mixed.collect()).items()}
 
 
+def test_line_stage_drops_what_stands_on_more_than_one_percent_of_a_source(spark, root):
+    shared = {"on fifteen pages": 15, "on ten pages": 10, "on nine pages": 9, "on a third": 333}
+    texts = ["\n".join([f"own line {i}"] + [line for line, n in shared.items() if i < n] + [f"own end {i}"]) for i in range(1000)]
+    docs = plain(spark, texts)
+    out = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["line dedup"](spark, docs, root).collect()}
+    kept = {"on ten pages", "on nine pages"}
+    assert out == {i: "\n".join(x for x in t.split("\n") if x not in shared or x in kept) for i, t in enumerate(texts)}
+
+
 def test_every_stage_takes_odd_and_empty_documents(spark, root):
     for frame in (documents(spark), documents(spark).limit(0)):
         for name, stage in corpus_pipeline.STAGES:
