@@ -24,13 +24,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other run uses."""
+def fresh_path(spark: SparkSession, name: str, folder: str | None = None) -> str:
+    """A path below ``folder``, or else the shared folder, that no other run uses."""
     app = spark.sparkContext.applicationId
-    return f"{shared_dir(spark)}/pageflow/{app}/{name}-{uuid.uuid4().hex}"
+    return f"{folder or f'{shared_dir(spark)}/pageflow/{app}'}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of tables that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def staged(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     For results that several later steps read: the work behind them is done
@@ -38,7 +44,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     and a lost executor costs a re-read instead of a re-run.
     """
     spark = df.sparkSession
-    path = fresh_path(spark, name)
+    path = fresh_path(spark, name, folder)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
