@@ -37,7 +37,7 @@ def unpack(data: pa.Buffer, size: int) -> np.ndarray:
 BLOCK = "block long, n_bytes long, doc_ids array<long>, ends array<long>, data binary"
 
 
-def text_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def text_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
     """Store the texts as blocks of some megabytes; a null text is empty, a null key stays null."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,7 +51,7 @@ def text_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                 number += 1
 
     spark = docs.sparkSession
-    path = fresh_path(spark, "blocks")
+    path = fresh_path(spark, "blocks", folder)
     kind = "binary" if dict(docs.dtypes)[text] == "binary" else "string"
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast(kind).alias("text"))
     narrow.mapInArrow(blocks, BLOCK).write.parquet(path)

@@ -2,17 +2,19 @@
 
 Sets of one size band are cut into more tiles than two sets of the band can
 differ in elements if they are similar enough; so similar sets agree on whole
-tiles, and nothing is lost.  Sets that share a tile are compared with one leader
-first, the one that shares most.  Members of a tile that still are in different
-components are then compared part by part, so no pair within a component is
-looked at and no link is lost.  The number of bits in which two hashed bitmaps
-differ is a lower bound of the sets' difference, hence an upper bound of their
-overlap, and dismisses most pairs; intersecting the sorted hashes decides the rest.
+tiles, and nothing is lost.  Tiles with the same members are one list.  Members of
+a list are compared with one leader first, the one that shares most.  Those that
+still are in different components are then compared part by part, so no pair
+within a component is looked at and no link is lost.  The number of bits in which
+two hashed bitmaps differ is a lower bound of the sets' difference, hence an upper
+bound of their overlap, and dismisses most pairs; intersecting the sorted hashes
+decides the rest.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,9 +26,11 @@ from pyspark.sql import functions as F
 from pageflow.llm.blocks import mask_of, opened, shared_masks, text_blocks, with_masks
 from pageflow.llm.components import components
 from pageflow.llm.textbytes import Hashes, mixed
-from pageflow.sources.shared import staged
+from pageflow.sources.shared import fresh_path, remove, staged
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of marks compared at once.
+_COMPARE_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -37,8 +41,12 @@ class JaccardSettings:
     #: Largest size of a band over its smallest.
     band_ratio: float = 1.4
     bitmap_bits: int = 4096
-    #: Members of a tile compared at once.
-    tile_part: int = 512
+    #: Bits of the smallest and largest bitmap that goes along with a list's members.
+    mark_bits: tuple[int, int] = (256, 1 << 15)
+    #: Members of a list compared at once.
+    list_part: int = 512
+    #: Rows (tile, node) looked at together; a tile with more members keeps its own list.
+    list_rows: int = 1 << 20
     #: Lower-case A-Z before anything else.
     fold_ascii: bool = True
 
@@ -159,6 +167,31 @@ def bitmaps(hashes: np.ndarray, sizes: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(out, axis=1)
 
 
+def parity_marks(hashes: np.ndarray, sizes: np.ndarray, least: int, most: int) -> list[bytes]:
+    """For each set the parity of its members at each bit, with about a bit for each member.
+
+    Two sets differ in at least as many members as their marks in bits; marks of
+    twice the width become those of half the width by xor of the halves.
+    """
+    width = np.clip(1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64), least, most)
+    begin = np.cumsum(width) - width
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    at = begin[owner] + (mixed(hashes) & (width[owner] - 1).astype(np.uint64)).astype(np.int64)
+    bits = np.packbits((np.bincount(at, minlength=int(width.sum())) & 1).astype(bool))
+    return [bits[b // 8 : (b + w) // 8].tobytes() for b, w in zip(begin, width, strict=True)]
+
+
+def folded(marks: list[bytes], n_bytes: int) -> np.ndarray:
+    """Marks of this width or more as rows of this width."""
+    out = np.empty((len(marks), n_bytes), np.uint8)
+    lengths = np.array([len(m) for m in marks], np.int64)
+    for length in np.unique(lengths):
+        rows = np.flatnonzero(lengths == length)
+        wide = np.frombuffer(b"".join(marks[r] for r in rows), np.uint8).reshape(len(rows), length // n_bytes, n_bytes)
+        out[rows] = np.bitwise_xor.reduce(wide, axis=1)
+    return out
+
+
 def _distinct_sets(data: np.ndarray, offsets: np.ndarray, settings: JaccardSettings):
     """The block's sets, each kept once: hashes, sizes, nodes; and the node of each text."""
     hashes, sizes = shingle_sets(data, offsets, settings)
@@ -173,7 +206,65 @@ def _digests(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return [hashlib.md5(data[a:b]).digest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
-def _linked_pairs(pairs: DataFrame, sets: DataFrame, hashes: DataFrame, settings: JaccardSettings) -> DataFrame:
+def _listed(tile: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    """The distinct lists of whole tiles with two members or more; rows in order of tile and node."""
+    starts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]])) if len(tile) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(tile)))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(node.view(np.uint64)))])
+    names = mixed((sums[starts + sizes] - sums[starts]) ^ mixed(sizes.astype(np.uint64))).view(np.int64)
+    many = sizes > 1
+    starts, sizes, names = starts[many], sizes[many], names[many]
+    _, first, tiles = np.unique(np.stack([names, node[starts]]), axis=1, return_index=True, return_counts=True)
+    starts, sizes, names = starts[first], sizes[first], names[first]
+    rows = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    columns = [np.repeat(names, sizes), np.repeat(node[starts], sizes), node[rows], np.repeat(tiles, sizes)]
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["list", "low", "node", "tiles"])
+
+
+def member_lists(tiles: DataFrame, settings: JaccardSettings, folder: str) -> DataFrame:
+    """Rows (list, low, node, tiles, rows): the distinct lists of nodes that share a tile.
+
+    ``list`` and ``low`` (its smallest node) name a list, ``tiles`` counts the tiles with it,
+    ``rows`` its nodes.  Rows (tile, node) may repeat.  Tiles are read in order, so
+    nothing but a window of rows is held; a tile beyond the window is a list of its own.
+    """
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        own = None  # the tile that is beyond the window
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+                if sum(len(t) for t, _ in held) < settings.list_rows:
+                    continue
+            if not held:
+                continue
+            tile, node = (np.concatenate(c) for c in zip(*held, strict=True))
+            new = np.ones(len(tile), bool)
+            new[1:] = (tile[1:] != tile[:-1]) | (node[1:] != node[:-1])
+            tile, node = tile[new], node[new]
+            cut = len(tile) if batch is None else int(np.searchsorted(tile, tile[-1]))
+            if own is not None or cut == 0:
+                own = tile[0] if own is None else own
+                rest = int(np.searchsorted(tile, own, "right"))
+                columns = [tile[:rest], np.zeros(rest, np.int64), node[:rest], np.ones(rest, np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["list", "low", "node", "tiles"])
+                own = own if rest == len(tile) else None
+                tile, node, cut = tile[rest:], node[rest:], max(0, cut - rest)
+            yield _listed(tile[:cut], node[:cut])
+            held = [(tile[cut:], node[cut:])] if cut < len(tile) else []
+
+    # one exchange deals the tiles; what follows it is narrow and has each list once
+    dealt = tiles.repartition("tile").sortWithinPartitions("tile", "node")
+    found = dealt.mapInArrow(lists, "list long, low long, node long, tiles long")
+    found = staged(found.groupBy("list", "low", "node").agg(F.sum("tiles").alias("tiles")), "lists", folder)
+    sizes = found.groupBy("list", "low").agg(F.count(F.lit(1)).alias("rows"))
+    return staged(found.join(sizes, ["list", "low"]), "member-lists", folder)
+
+
+def _linked_pairs(
+    pairs: DataFrame, sets: DataFrame, hashes: DataFrame, settings: JaccardSettings, folder: str
+) -> DataFrame:
     """The pairs (a, b) of nodes that link: bitmaps first, then the sorted hashes.
 
     ``sets``: node, n, bits, a row for each node; ``hashes``: node, hashes, a row or more.
@@ -201,10 +292,10 @@ def _linked_pairs(pairs: DataFrame, sets: DataFrame, hashes: DataFrame, settings
 
     near = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
     near = near.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    near = staged(near.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(bounded, "a long, b long"), "near")
+    near = staged(near.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(bounded, "a long, b long"), "near", folder)
     # the hashes of a set may stand in several blocks; one copy of those that are asked for moves on
     asked = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    held = staged(hashes.join(asked, "node", "left_semi").dropDuplicates(["node"]), "hashes")
+    held = staged(hashes.join(asked, "node", "left_semi").dropDuplicates(["node"]), "hashes", folder)
     full = near.join(held.select(F.col("node").alias("a"), F.col("hashes").alias("hashes_a")), "a").join(
         held.select(F.col("node").alias("b"), F.col("hashes").alias("hashes_b")), "b"
     )
@@ -238,9 +329,9 @@ def jaccard_components(
                 keys, owner = keys[shared], owner[shared]
                 ends = np.cumsum(sizes)
                 wanted = np.unique(owner)
-                marks = bitmaps(
-                    hashes[np.repeat(np.isin(np.arange(len(sizes)), wanted), sizes)], sizes[wanted], settings.bitmap_bits
-                )
+                inside = np.repeat(np.isin(np.arange(len(sizes)), wanted), sizes)
+                marks = bitmaps(hashes[inside], sizes[wanted], settings.bitmap_bits)
+                parities = parity_marks(hashes[inside], sizes[wanted], *settings.mark_bits)
                 n, w, t = len(of_text), len(wanted), len(keys)
                 blobs = [hashes[ends[s] - sizes[s] : ends[s]].tobytes() for s in wanted]
                 yield pa.RecordBatch.from_arrays(
@@ -250,37 +341,42 @@ def jaccard_components(
                         pa.array(np.concatenate([of_text, nodes[wanted], nodes[owner]])),
                         pa.array(np.concatenate([text_sizes, sizes[wanted], np.zeros(t, np.int64)])),
                         pa.array([None] * n + [m.tobytes() for m in marks] + [None] * t, pa.binary()),
+                        pa.array([None] * n + parities + [None] * t, pa.binary()),
                         pa.array([None] * n + blobs + [None] * t, pa.binary()),
                         pa.array(_digests(data, offsets) + [None] * (w + t), pa.binary()),
                     ],
-                    names=["kind", "value", "node", "n", "bits", "hashes", "digest"],
+                    names=["kind", "value", "node", "n", "bits", "marks", "hashes", "digest"],
                 )
 
     # Tiles of a set of n: its allowed difference and more, in one band or two; words have about six bytes.
     keys_per_byte = 1.6 * allowed_difference(np.int64(2_000), settings.percent) / 1_000 / 6
-    blocks = text_blocks(docs, key, text)
+    spark = docs.sparkSession
+    folder, block_folder = fresh_path(spark, "jaccard"), fresh_path(spark, "jaccard")
+    blocks = text_blocks(docs, key, text, block_folder)
     masked = with_masks(blocks, shared_masks(blocks, tile_keys, keys_per_byte))
-    found = staged(
-        masked.mapInArrow(rows, "kind int, value long, node long, n long, bits binary, hashes binary, digest binary"), "sets"
-    )
+    layout = "kind int, value long, node long, n long, bits binary, marks binary, hashes binary, digest binary"
+    found = staged(masked.mapInArrow(rows, layout), "sets", folder)
+    remove(spark, block_folder)
     texts = found.where("kind = 0").select(F.col("value").alias("doc_id"), F.col("n").alias("n_shingles"), "node", "digest")
-    sets = staged(found.where("kind = 1").select("node", "n", "bits").dropDuplicates(["node"]), "node-sets")
+    texts = staged(texts, "texts")
+    sets = found.where("kind = 1").select("node", "n", "bits", "marks").dropDuplicates(["node"])
+    sets = staged(sets, "node-sets", folder)
     hashes = found.where("kind = 1").select("node", "hashes")
-    tiles = staged(found.where("kind = 2").select(F.col("value").alias("tile"), "node").distinct(), "tiles")
 
-    sizes = tiles.groupBy("tile").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    tiles = staged(tiles.join(sizes, "tile"), "shared-tiles")
-    weights = tiles.groupBy("node").agg(F.sum("rows").alias("weight"))
-    leaders = tiles.join(weights, "node").groupBy("tile").agg(F.max(F.struct("weight", "node"))["node"].alias("a"))
-    first = tiles.join(leaders, "tile").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    first = staged(first, "first-pairs")
-    links = staged(_linked_pairs(first, sets, hashes, settings), "links")
+    lists = member_lists(found.where("kind = 2").select(F.col("value").alias("tile"), "node"), settings, folder)
+    weights = lists.groupBy("node").agg(F.sum(F.col("rows") * F.col("tiles")).alias("weight"))
+    leaders = lists.join(weights, "node").groupBy("list", "low").agg(F.max(F.struct("weight", "node"))["node"].alias("a"))
+    first = lists.join(leaders, ["list", "low"]).where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    first = staged(first, "first-pairs", folder)
+    links = staged(_linked_pairs(first, sets, hashes, settings, folder), "links", folder)
 
-    more = _linked_pairs(_open_pairs(tiles, components(links), first, sets, settings), sets, hashes, settings)
-    roots = components(staged(links.unionByName(more), "links"))
+    open_ = _open_pairs(lists, components(links), first, sets, settings, folder)
+    more = _linked_pairs(open_, sets, hashes, settings, folder)
+    roots = components(staged(links.unionByName(more), "links", folder))
 
     nodes = texts.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     nodes = staged(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    remove(spark, folder)
     smallest = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
     named = nodes.join(smallest, "root").select("node", "component_id")
     return texts.join(named, "node", "left").select(
@@ -292,11 +388,14 @@ def jaccard_components(
     )
 
 
-def _open_pairs(tiles: DataFrame, roots: DataFrame, tested: DataFrame, sets: DataFrame, settings: JaccardSettings) -> DataFrame:
-    """Pairs (a, b) of one tile but different components that sizes and bitmaps do not rule out.
+def _open_pairs(
+    lists: DataFrame, roots: DataFrame, tested: DataFrame, sets: DataFrame, settings: JaccardSettings, folder: str
+) -> DataFrame:
+    """Pairs (a, b) of one list but different components that sizes and bitmaps do not rule out.
 
-    Members of a tile are compared in parts of bounded size, within the task;
-    pairs that were ruled out or tested before never leave it.
+    Members of a list are compared in parts of bounded size, within the task;
+    pairs that were ruled out or tested before never leave it.  In a list of two
+    the leader has met the other.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,44 +403,51 @@ def _open_pairs(tiles: DataFrame, roots: DataFrame, tested: DataFrame, sets: Dat
             out: list[np.ndarray] = []
             for i in range(len(batch)):
                 x, y = (_Members(batch.column(c)[i].values) for c in ("x", "y"))
-                total = x.n[:, None] + y.n[None]
                 low, high = np.minimum(x.n[:, None], y.n[None]), np.maximum(x.n[:, None], y.n[None])
                 open_ = (x.root[:, None] != y.root[None]) & (100 * low >= settings.percent * high)
+                if np.array_equal(x.node, y.node):
+                    open_ = np.triu(open_, 1)
                 p, q = np.nonzero(open_)
-                apart = np.bitwise_count(x.bits[p] ^ y.bits[q]).sum(axis=1, dtype=np.int64)
-                near = apart <= allowed_difference(total[p, q], settings.percent)
-                out.append(np.stack([x.node[p[near]], y.node[q[near]]]))
+                width = min(len(m) for m in x.marks + y.marks)
+                of_x, of_y = folded(x.marks, width), folded(y.marks, width)
+                step = max(1, _COMPARE_BYTES // width)
+                for k in range(0, len(p), step):
+                    a, b = p[k : k + step], q[k : k + step]
+                    apart = np.bitwise_count(of_x[a] ^ of_y[b]).sum(axis=1, dtype=np.int64)
+                    near = apart <= allowed_difference(x.n[a] + y.n[b], settings.percent)
+                    out.append(np.stack([x.node[a[near]], y.node[b[near]]]))
             a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
             a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    rooted = tiles.join(roots, "node", "left").select("tile", "rows", "node", F.coalesce("root", "node").alias("root"))
-    rooted = staged(rooted, "rooted-tiles")
-    ends = rooted.groupBy("tile").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("tile")
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / settings.tile_part))
-    member = F.struct("node", "root", "n", "bits")
+    name = ["list", "low"]
+    rooted = lists.where("rows > 2").join(roots, "node", "left")
+    rooted = staged(rooted.select(*name, "rows", "node", F.coalesce("root", "node").alias("root")), "rooted-lists", folder)
+    ends = rooted.groupBy(*name).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select(*name)
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / settings.list_part))
+    member = F.struct("node", "root", "n", "marks")
     parts = (
-        rooted.join(ends, "tile", "left_semi")
-        .join(sets.select("node", "n", "bits"), "node")
-        .groupBy("tile", "rows", part.alias("part"))
+        rooted.join(ends, name, "left_semi")
+        .join(sets.select("node", "n", "marks"), "node")
+        .groupBy(*name, "rows", part.alias("part"))
         .agg(F.collect_list(member).alias("x"))
     )
-    parts = staged(parts, "tile-parts")
-    small = parts.where(F.col("rows") <= settings.tile_part).select("x", F.col("x").alias("y"))
-    large = parts.where(F.col("rows") > settings.tile_part)
-    other = large.select("tile", F.col("part").alias("with"), F.col("x").alias("y"))
-    blocks = small.unionByName(large.join(other, "tile").where("part <= with").select("x", "y"))
+    parts = staged(parts, "list-parts", folder)
+    small = parts.where(F.col("rows") <= settings.list_part).select("x", F.col("x").alias("y"))
+    large = parts.where(F.col("rows") > settings.list_part)
+    other = large.select(*name, F.col("part").alias("with"), F.col("x").alias("y"))
+    blocks = small.unionByName(large.join(other, name).where("part <= with").select("x", "y"))
     pairs = blocks.mapInArrow(compare, "a long, b long").distinct()
     known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return staged(pairs.join(known, ["a", "b"], "left_anti"), "open-pairs")
+    return staged(pairs.join(known, ["a", "b"], "left_anti"), "open-pairs", folder)
 
 
 class _Members:
-    """Columns of a part of a tile."""
+    """Columns of a part of a list."""
 
     def __init__(self, rows: pa.StructArray) -> None:
         self.node, self.root, self.n = (rows.field(c).to_numpy() for c in ("node", "root", "n"))
-        self.bits = np.frombuffer(b"".join(rows.field("bits").to_pylist()), np.uint8).reshape(len(rows), -1)
+        self.marks = rows.field("marks").to_pylist()
 
 
 def one_of_each(
