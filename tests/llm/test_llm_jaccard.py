@@ -1,10 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 from llm_cases import documents, groups, plain, shingles
 
 from pageflow.llm.components import components
-from pageflow.llm.jaccard import JaccardSettings, jaccard_components, one_of_each
+from pageflow.llm.jaccard import JaccardSettings, folded, jaccard_components, member_lists, one_of_each, parity_marks
+from pageflow.sources.shared import fresh_path
 from pageflow.sources.tables import read_table
 
 
@@ -101,3 +103,33 @@ def test_rows_go_by_key_and_text(spark):
     kept = [(r.doc_id, r.text) for r in one_of_each(documents(spark, rows)).collect()]
     expected = [texts[k] for k in (0, 2, 3, 5, 6, 7, 8, 9)]
     assert sorted(kept, key=str) == sorted(expected, key=str)
+
+
+def test_marks_never_differ_in_more_bits_than_their_sets():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool, n, replace=False)) for n in (1, 3, 250, 300, 520, 800, 899)]
+    marks = parity_marks(np.concatenate(sets), np.array([len(x) for x in sets]), 256, 1 << 15)
+    assert [8 * len(m) for m in marks] == [256, 256, 256, 512, 1024, 1024, 1024]
+    rows = folded(marks, 32)
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            apart = int(np.bitwise_count(rows[i] ^ rows[j]).sum())
+            assert apart <= len(np.setxor1d(x, y)) and (i != j or apart == 0)
+
+
+@pytest.mark.parametrize("window", [1, 7, 1 << 20])
+def test_lists_hold_every_shared_tile_at_any_window(spark, window):
+    random.seed(6)
+    members = {t: {random.randrange(30) for _ in range(random.choice([1, 2, 2, 5, 40]))} for t in range(60)}
+    members |= {t: {100, 101, 102} for t in range(100, 140)}
+    rows = [(t, n) for t, nodes in members.items() for n in nodes for _ in range(random.choice([1, 3]))]
+    tiles = spark.createDataFrame(rows, "tile long, node long")
+    found = {}
+    for r in member_lists(tiles, JaccardSettings(list_rows=window), fresh_path(spark, "test")).collect():
+        found.setdefault((r.list, r.low), []).append(r)
+    lists = {frozenset(r.node for r in rows) for rows in found.values()}
+    assert {x for x in lists if len(x) > 1} == {frozenset(x) for x in members.values() if len(x) > 1}
+    assert all(r.rows == len(rows) == len({r.node for r in rows}) for rows in found.values() for r in rows)
+    if window > 1000:
+        assert len(found) == len(lists) and all(len(x) > 1 for x in lists)
