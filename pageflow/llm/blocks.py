@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from pageflow.llm.textbytes import slices
 from pageflow.sources.shared import fresh_path
 
-#: Hashes of one range, about; hashes are even, so no range is much larger.
-RANGE_KEYS = 1 << 18
+#: Hashes of one range, about, at least and at most; hashes are even, so no range is much larger.
+RANGE_KEYS = (1 << 18, 1 << 22)
+#: Within these bounds ranges grow with the number of blocks, so that a block sends about as many keys a row.
+ROW_KEYS = 64
 
 #: (bytes, offsets) of a block -> its ascending distinct hashes, and which of them two of its documents have.
 KeyFinder = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -67,14 +69,20 @@ def opened(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray,
         yield i, ids, data, np.concatenate([[0], ends])
 
 
+def n_ranges(n_bytes: int, n_blocks: int, keys_per_byte: float) -> int:
+    """Into how many ranges the hashes of the blocks are dealt."""
+    least, most = RANGE_KEYS
+    return max(1, int(n_bytes * keys_per_byte) // min(max(least, ROW_KEYS * n_blocks), most))
+
+
 def shared_masks(blocks: DataFrame, find: KeyFinder, keys_per_byte: float) -> DataFrame:
     """Rows (block, masks, shared): for each of the block's hashes, one bit if another document has it.
 
     ``masks`` is an array of (range, bits, n) in order of the hashes, ``shared``
     the number of bits set.
     """
-    n_bytes = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    ranges = max(1, int(n_bytes * keys_per_byte) // RANGE_KEYS)
+    n_bytes, n_blocks = blocks.agg(F.sum("n_bytes"), F.count(F.lit(1))).first()
+    ranges = n_ranges(n_bytes or 0, n_blocks, keys_per_byte)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
