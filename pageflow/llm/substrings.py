@@ -6,6 +6,10 @@ anchors at equal offsets.  Only anchors that another document has too
 are looked at: their left and right contexts are ordered by suffix arrays, and
 common prefixes of neighbours in that order say which windows are equal.  The smallest
 document of each set of equal windows keeps them.
+
+An anchor that very many documents have, with ever different neighbours, would be
+the work of one task.  Buckets beyond ``hot_rows`` are therefore parted by whole
+windows: only equal windows meet, and a task sends each window once.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +35,8 @@ GRAM = 24
 NO_ID = 2**63 - 1
 #: Fragments that one task compares at once, about.
 BUCKET_ROWS = 1 << 16
+#: Fragments of hot buckets that a task takes apart at once.
+_PARTED_ROWS = 1 << 15
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -37,6 +44,8 @@ _BASE = 0x9E3779B97F4A7C15
 class SubstringSettings:
     #: Bytes of a repeated string; at least the anchor's and at most 32 more.
     size: int = 50
+    #: Fragments beyond which a bucket is parted by windows.
+    hot_rows: int = 4 * BUCKET_ROWS
 
     @property
     def spread(self) -> int:
@@ -147,6 +156,14 @@ def _kinds(gram: np.ndarray, low: np.ndarray, high: np.ndarray, context: np.ndar
     return kind
 
 
+def _beaten(gram: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Which fragments have an equal one of a smaller document."""
+    _, of = np.unique(_kinds(gram, low, high, context), return_inverse=True)
+    least = np.full(of.max(initial=-1) + 1, NO_ID, np.int64)
+    np.minimum.at(least, of, doc)
+    return doc > least[of]
+
+
 def _all_windows(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return (np.int64(2) << high) - (np.int64(1) << low)
 
@@ -262,10 +279,7 @@ def _fragments(masked: DataFrame, buckets: int, settings: SubstringSettings) ->
                 for k in range(spread):
                     context[k >= high, k] = 0
                     context[k >= spread - low, spread + k] = 0
-                _, of = np.unique(_kinds(gram, low, high, context), return_inverse=True)
-                least = np.full(of.max() + 1, NO_ID, np.int64)
-                np.minimum.at(least, of, doc)
-                later = doc > least[of]
+                later = _beaten(gram, doc, low, high, context)
                 number = (batch.column("block")[i].as_py() << 22) + text
                 fields = {
                     "gram": gram, "text_no": number, "doc_id": doc, "position": position - offsets[text], "low": low, "high": high,
@@ -298,6 +312,75 @@ def _fragments(masked: DataFrame, buckets: int, settings: SubstringSettings) ->
     return masked.mapInArrow(rows, _ROWS)
 
 
+def single_windows(fields: dict[str, np.ndarray], context: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The fragments as one fragment a window, each with the bytes of its window alone."""
+    low, high = fields["low"].astype(np.int64), fields["high"].astype(np.int64)
+    each = high - low + 1
+    of = np.repeat(np.arange(len(low)), each)
+    k = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
+    spread = context.shape[1] // 2
+    byte = np.arange(spread)
+    inside = np.concatenate([byte < k[:, None], byte < spread - k[:, None]], axis=1)
+    single = {name: values[of] for name, values in fields.items()} | {"low": k, "high": k}
+    return single, np.where(inside, context[of], 0).astype(np.uint8)
+
+
+_PARTS = "bucket long, part long, known boolean, n long, data binary"
+
+
+def parted(fragments: DataFrame, hot: DataFrame, settings: SubstringSettings) -> DataFrame:
+    """Rows (bucket, part, known, n, data): the fragments in groups that a task can take.
+
+    Buckets not in ``hot`` stay whole.  Windows of the others go to a part by their
+    bytes.  Of equal windows that a task has at once those of the smallest
+    document are sent; the others are already decided, ``known``: pairs (text number,
+    window), in a group for each task.
+    """
+    width = 2 * settings.spread
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        held: dict[tuple[int, int], list] = {}
+        rows = 0
+        for batch in batches:
+            for bucket, total, n, data in zip(*(batch.column(c) for c in ("bucket", "total", "n", "data")), strict=True):
+                name = bucket.as_py(), total.as_py()
+                held.setdefault(name, []).append(_unpacked(data.as_buffer(), n.as_py(), width))
+                rows += n.as_py()
+                if rows >= _PARTED_ROWS:
+                    yield from (_parts(*name, pieces, task, settings) for name, pieces in held.items())
+                    held, rows = {}, 0
+        yield from (_parts(*name, pieces, task, settings) for name, pieces in held.items())
+
+    whole = fragments.join(hot, "bucket", "left_anti")
+    whole = whole.select("bucket", F.lit(0).cast("long").alias("part"), F.lit(False).alias("known"), "n", "data")
+    return whole.union(fragments.join(hot, "bucket").select("bucket", "total", "n", "data").mapInArrow(parts, _PARTS))
+
+
+def _parts(bucket: int, total: int, pieces: list, task: int, settings: SubstringSettings) -> pa.RecordBatch:
+    """The rows of ``parted`` for pieces of one hot bucket, which has ``total`` fragments."""
+    together = {name: np.concatenate([f[name] for f, _ in pieces]) for name, _ in _FIELDS}
+    fields, context = single_windows(together, np.concatenate([c for _, c in pieces]))
+    later = _beaten(fields["gram"], fields["doc_id"], fields["low"], fields["high"], context)
+    known = np.stack([fields["text_no"][later], _windows(fields["position"][later], np.int64(1) << fields["low"][later])])
+    n_parts = -(-total * max(1, settings.spread // 2) // BUCKET_ROWS)
+    kind = _kinds(fields["gram"], fields["low"], fields["high"], context)
+    part = ((kind >> np.uint64(8)) % np.uint64(n_parts)).astype(np.int64)
+    sent = np.flatnonzero(~later)
+    sent = sent[np.argsort(part[sent], kind="stable")]
+    names, begins = np.unique(part[sent], return_index=True)
+    groups = np.split(sent, begins[1:])
+    blobs = [_packed({k: v[x] for k, v in fields.items()}, context[x]) for x in groups]
+    sizes = [len(x) for x in groups]
+    flags = [False] * len(groups)
+    if later.any():
+        names, flags = np.append(names, task), [*flags, True]
+        sizes, blobs = [*sizes, known.shape[1]], [*blobs, known.astype(np.int64).tobytes()]
+    columns = [pa.array(np.full(len(names), bucket)), pa.array(names), pa.array(flags), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())]
+    pa.default_memory_pool().release_unused()
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "part", "known", "n", "data"])
+
+
 def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [pack(np.frombuffer(t.as_buffer(), np.uint8)) for t in batch.column("text")]
@@ -353,6 +436,9 @@ def repeated_substrings(
     found = staged(_fragments(with_masks(blocks, masks), buckets, settings), "fragments")
 
     def compare(table: pa.Table) -> pa.Table:
+        if table.column("known")[0].as_py():
+            pairs = np.concatenate([np.frombuffer(b.as_buffer(), np.int64).reshape(2, -1) for b in table.column("data")], axis=1)
+            return pa.table({"text_no": pa.array(pairs[0]), "window": pa.array(pairs[1])})
         parts = [
             _unpacked(data.as_buffer(), n.as_py(), 2 * settings.spread)
             for n, data in zip(table.column("n"), table.column("data"), strict=True)
@@ -366,7 +452,9 @@ def repeated_substrings(
         return pa.table({"text_no": pa.array(fields["text_no"][hit]), "window": pa.array(windows)})
 
     fragments = found.where("kind = 1").select(F.col("name").alias("bucket"), "n", "data")
-    judged = fragments.groupBy("bucket").applyInArrow(compare, "text_no long, window long")
+    hot = fragments.groupBy("bucket").agg(F.sum("n").alias("total")).where(F.col("total") > settings.hot_rows)
+    groups = parted(fragments, staged(hot, "hot-buckets"), settings).groupBy("bucket", "known", "part")
+    judged = groups.applyInArrow(compare, "text_no long, window long")
     judged = judged.groupBy("text_no").agg(F.collect_list("window").alias("windows"))
     known = found.where("kind = 2").select(F.col("name").alias("text_no"), F.col("data").alias("known"))
 
