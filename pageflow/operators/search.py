@@ -9,16 +9,16 @@ impact and its first and last document.
 
 A search weighs its terms, scores the first blocks of each phrase's weightiest
 terms, and takes the k-th best of these sums as a threshold: no result scores
-less.  A block whose best posting, with the best of all the phrase's other
-terms, stays below it cannot hold any part of a result and is not read.  The
-rest is summed where its shard lies, each task keeps ``top_k`` rows per phrase,
-and only these move.
+less.  Sums are made where a shard lies, short lists of postings first; where
+these, with the best that the long ones can give, stay below the threshold, the
+long ones are not read.  Each shard keeps ``top_k`` rows per phrase, and only
+these move.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -226,35 +226,167 @@ def _weights(wanted: DataFrame, index: Postings) -> DataFrame:
     )
     sites = staged(wanted.where("site <> ''").select("site").distinct(), "sites")
     if sites.isEmpty():
-        return found.withColumns({"low": F.lit(_ALL[0]), "high": F.lit(_ALL[1])}).drop("site")
+        return found.withColumns({"low": F.lit(_ALL[0]).cast("bigint"), "high": F.lit(_ALL[1])}).drop("site")
     bounded = found.join(site_intervals(sites, index.documents), "site", "left")
-    free = lambda name, value: F.when(F.col("site") == "", F.lit(value)).otherwise(F.col(name))
+    free = lambda name, value: F.when(F.col("site") == "", F.lit(value).cast("bigint")).otherwise(F.col(name))
     return bounded.withColumns({"low": free("low", _ALL[0]), "high": free("high", _ALL[1])}).drop("site")
 
 
+_SUMS = "query_id long, doc_id long, score double"
+_CLOSE = 2e-6  # scores are rounded
+
+
+class _Shard:
+    """The asked postings of one shard: long lists of a term as rows of a matrix, the others one after the other."""
+
+    def __init__(self, term: np.ndarray, weight: np.ndarray, sizes: np.ndarray, ids: np.ndarray, numbers: np.ndarray, impacts: np.ndarray) -> None:
+        self.base = int(numbers.min())
+        self.size = int(numbers.max()) - self.base + 1
+        place = (numbers - self.base).astype(np.int32)
+        self.ids = np.zeros(self.size, np.int64)
+        self.ids[place] = ids
+        self.terms, code = np.unique(term, return_inverse=True)
+        code = np.repeat(code.astype(np.int32), sizes)
+        gain = np.repeat(weight, sizes) * impacts
+        order = np.argsort(code, kind="stable")
+        code, self.place, self.gain = code[order], place[order], gain[order]
+        self.starts = np.searchsorted(code, np.arange(len(self.terms) + 1))
+        self.tops = np.maximum.reduceat(self.gain, self.starts[:-1])
+        long = np.flatnonzero(np.diff(self.starts) * 8 > self.size)
+        self.row = np.full(len(self.terms), -1)
+        self.row[long] = np.arange(len(long))
+        self.matrix = np.zeros((len(long), self.size))
+        for row, t in enumerate(long):
+            at = slice(self.starts[t], self.starts[t + 1])
+            self.matrix[row, self.place[at]] = self.gain[at]
+
+    def places(self, terms: np.ndarray) -> np.ndarray:
+        """The place of each term among the shard's terms, or -1."""
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        return np.where(self.terms[at] == terms, at, -1)
+
+    def best(self, known: np.ndarray, low: int, high: int, threshold: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Documents within [low, high) and their sums, of at least the threshold; the best ``most`` and what rounding may put among them."""
+        known = known[known >= 0]
+        if not len(known) or self.tops[known].sum() < threshold - _CLOSE:
+            return self.ids[:0], self.gain[:0]
+        rows = self.row[known]
+        held = known[rows >= 0]
+        short = known[rows < 0]
+        rows = rows[rows >= 0]
+        spans = [slice(a, b) for a, b in zip(self.starts[short].tolist(), self.starts[short + 1].tolist())]
+        first, last = max(low - self.base, 0), min(high - self.base, self.size)
+        if spans:
+            place = np.concatenate([self.place[at] for at in spans])
+            sums = np.bincount(place, np.concatenate([self.gain[at] for at in spans]), self.size)[first:last]
+        else:
+            sums = np.zeros(max(last - first, 0))
+        if len(rows):
+            # only where the long lists can lift a sum to the threshold
+            at = np.flatnonzero(sums >= threshold - _CLOSE - self.tops[held].sum())
+            if len(at) * 8 > len(sums):
+                sums = sums + self.matrix[rows, first:last].sum(axis=0)
+                at = np.flatnonzero((sums > 0) & (sums >= threshold - _CLOSE))
+                sums = sums[at]
+            else:
+                sums = sums[at] + self.matrix[np.ix_(rows, at + first)].sum(axis=0)
+                kept = (sums > 0) & (sums >= threshold - _CLOSE)
+                at, sums = at[kept], sums[kept]
+        else:
+            at = np.flatnonzero((sums > 0) & (sums >= threshold - _CLOSE))
+            sums = sums[at]
+        if len(at) > most:
+            kept = sums >= np.partition(sums, len(sums) - most)[len(sums) - most] - _CLOSE
+            at, sums = at[kept], sums[kept]
+        ids = self.ids[at + first]
+        if len(at) > most:
+            # equal sums are rounded alike: of each value the smallest ids
+            order = np.lexsort((ids, -sums))
+            ids, sums = ids[order], sums[order]
+            fresh = np.flatnonzero(np.concatenate([[True], sums[1:] != sums[:-1]]))
+            kept = np.arange(len(sums)) - np.repeat(fresh, np.diff(np.append(fresh, len(sums)))) < most
+            ids, sums = ids[kept], sums[kept]
+        return ids, sums
+
+
+def _shard_sums(most: int):
+    """Rows of a shard's blocks, then of its phrases, to the best sums of each phrase in it."""
+
+    def flat(batches: list[pa.RecordBatch], name: str) -> np.ndarray:
+        return np.concatenate([b.column(name).to_numpy(zero_copy_only=False) for b in batches])
+
+    def built(held: list[pa.RecordBatch]) -> _Shard:
+        lists = [b.column("postings") for b in held]
+        inner = [x.flatten() for x in lists]
+        field = lambda name: np.concatenate([x.field(name).to_numpy() for x in inner])
+        sizes = np.concatenate([np.diff(x.offsets.to_numpy()) for x in lists])
+        return _Shard(flat(held, "term_id"), flat(held, "idf"), sizes, field("doc_id"), field("doc_no"), field("impact"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, shard, ready = [], None, None
+        for batch in batches:
+            number = batch.column("shard").to_numpy()
+            phrase = batch.column("is_phrase").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((number[1:] != number[:-1]) | (phrase[1:] != phrase[:-1])) + 1
+            for start, end in zip([0, *cuts], [*cuts, len(batch)]):
+                if start == end:
+                    continue
+                part = batch.slice(start, end - start)
+                if number[start] != shard:
+                    held, shard, ready = [], number[start], None
+                if not phrase[start]:
+                    held.append(part)
+                    continue
+                if not held and ready is None:
+                    continue  # no block of an asked term
+                if ready is None:
+                    ready, held = built(held), []
+                asked = part.column("term_ids")
+                at, places = asked.offsets.to_numpy().tolist(), ready.places(asked.values.to_numpy())
+                columns = [part.column(c).to_pylist() for c in ("query_id", "low", "high", "threshold")]
+                queries, docs, sums = [], [], []
+                for i, (query, low, high, threshold) in enumerate(zip(*columns)):
+                    found, score = ready.best(places[at[i] : at[i + 1]], low, high, threshold, most)
+                    if len(found):
+                        queries.append(np.full(len(found), query))
+                        docs.append(found)
+                        sums.append(score)
+                if queries:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(x)) for x in (queries, docs, sums)], names=[f.split()[0] for f in _SUMS.split(", ")]
+                    )
+
+    return run
+
+
 def _summed(blocks: DataFrame, weights: DataFrame, settings: SearchSettings) -> DataFrame:
-    """(query_id, doc_id, score) of at least the threshold, over the blocks that may hold a part of a result.
+    """(query_id, doc_id, score) of at least the threshold, of each shard the best ``top_k`` and what rounding may put among them.
 
-    Blocks of asked terms move once, packed, to their shard; sums are made there.
+    Blocks of asked terms move once, packed, to their shard, and phrases, as the
+    numbers of their terms, to the shards of their interval; sums are made there.
     """
-    terms = broadcast_if_small(staged(weights.select("term").distinct(), "vocabulary"), settings.broadcast_bytes)
-    asked = blocks.join(terms, "term", "left_semi")
-    met = broadcast_if_small(weights, settings.broadcast_bytes)
-    reaches = F.col("idf") * F.col("block_top") + F.col("rest") >= F.col("threshold") - 2e-6  # scores are rounded
-    within = (F.col("first_doc") < F.col("high")) & (F.col("last_doc") >= F.col("low"))
-    # ranges, as hashes would put several of as many shards as tasks into one task
     n_tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = asked.withColumnRenamed("top", "block_top").repartitionByRange(n_tasks, "shard")
-    pairs = placed.join(met, "term").where(reaches & within)
-    gains = pairs.select("shard", "query_id", "idf", "threshold", "low", "high", F.explode("postings").alias("p")).where(
-        (F.col("p.doc_no") >= F.col("low")) & (F.col("p.doc_no") < F.col("high"))
-    )
-    summed = gains.groupBy("shard", "query_id", F.col("p.doc_id").alias("doc_id")).agg(
-        F.sum(F.col("idf") * F.col("p.impact")).alias("score"), F.first("threshold").alias("threshold")
+    numbered = weights.groupBy("term").agg(F.first("idf").alias("idf")).withColumn("term_id", F.monotonically_increasing_id())
+    numbers = broadcast_if_small(staged(numbered, "vocabulary"), settings.broadcast_bytes)
+    # sorted numbers, so that sums are made in the same order everywhere
+    phrases = staged(
+        weights.join(numbers.drop("idf"), "term").groupBy("query_id").agg(
+            F.sort_array(F.collect_list("term_id")).alias("term_ids"),
+            *[F.first(c).alias(c) for c in ("low", "high", "threshold")],
+        ),
+        "phrases",
     )
-    return summed.where(F.col("score") >= F.col("threshold") - 2e-6).select(
-        "query_id", "doc_id", F.round("score", 6).alias("score")
+    shards = staged(blocks.groupBy("shard").agg(F.min("first_doc").alias("first"), F.max("last_doc").alias("last")), "shards")
+    met = phrases.join(F.broadcast(shards), (F.col("first") < F.col("high")) & (F.col("last") >= F.col("low")))
+    asked = blocks.join(numbers, "term", "left_semi").join(numbers, "term")
+    rows = asked.select("shard", F.lit(False).alias("is_phrase"), "term_id", "idf", "postings").unionByName(
+        met.select("shard", F.lit(True).alias("is_phrase"), "query_id", "term_ids", "low", "high", "threshold"),
+        allowMissingColumns=True,
     )
+    # ranges, as hashes would put several of as many shards as tasks into one task
+    placed = rows.repartitionByRange(n_tasks, "shard").sortWithinPartitions("shard", "is_phrase", "term_id", "query_id")
+    summed = placed.mapInArrow(_shard_sums(settings.top_k), _SUMS)
+    return summed.withColumn("score", F.round("score", 6))
 
 
 def search(
@@ -276,8 +408,13 @@ def search(
 
     weights = staged(_weights(phrase_terms(phrases), index), "weights")
     first = weights.where(F.col("weight_rank") <= settings.lead_terms).withColumn("threshold", F.lit(0.0))
-    seen = ranked(_summed(index.blocks.where("leads"), staged(first, "lead-terms"), settings))
+    # the k-th best of a few from each shard is a threshold as well as that of all
+    n_shards = max(index.blocks.agg(F.count_distinct("shard")).first()[0], 1)
+    few = replace(settings, top_k=1 + -(-2 * settings.top_k // n_shards))
+    seen = ranked(_summed(index.blocks.where("leads"), staged(first, "lead-terms"), few))
     known = F.when(F.count(F.lit(1)) >= settings.top_k, F.min("score"))
     thresholds = staged(seen.groupBy("query_id").agg(known.alias("threshold")), "thresholds")
     bounded = weights.join(thresholds, "query_id", "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.0)))
-    return ranked(_summed(index.blocks, staged(bounded, "bounded-weights"), settings))
+    # what is dropped by choice must not take the place of others
+    whole = settings if choose is None else replace(settings, top_k=_ALL[1])
+    return ranked(_summed(index.blocks, staged(bounded, "bounded-weights"), whole))

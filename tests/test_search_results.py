@@ -257,6 +257,19 @@ def test_only_asked_postings_move(spark):
     assert "WindowGroupLimit" in plan[: plan.index("hashpartitioning(query_id")]
 
 
+def test_a_shard_hands_on_no_more_than_a_phrase_keeps(spark):
+    """Sums are made where the shard lies: of 300 copies and 60 others no more than the best of each shard leave it."""
+    docs = {d: ("a.example", "hot sea " + "fill " * (7 if d < 300 else d % 50)) for d in range(360)}
+    settings = SearchSettings(top_k=5)
+    index = _indexed(spark, docs, settings)
+    weights = spark.createDataFrame([(1, "hot", 2.0, 0, 1 << 62, 0.0), (1, "sea", 1.0, 0, 1 << 62, 0.0)], "query_id bigint, term string, idf double, low bigint, high bigint, threshold double")
+    summed = search._summed(index.blocks, weights, settings)
+    plan = summed._jdf.queryExecution().executedPlan().toString()
+    assert "explode" not in plan and summed.count() <= 5 * index.blocks.select("shard").distinct().count()
+    found = search.search(spark.createDataFrame([(1, "hot sea")], "query_id bigint, phrase string"), index, settings)
+    assert sorted((r.query_id, r.doc_id, r.score, r["rank"]) for r in found.collect()) == brute_force({1: "hot sea"}, docs, top=5)
+
+
 def test_index_counts_terms_in_the_row(spark):
     corpus = spark.createDataFrame([(1, "h", "b a B, c-b")], "doc_id bigint, host string, text string")
     row = search.build_index(corpus).first()
