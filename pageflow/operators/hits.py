@@ -83,14 +83,17 @@ def paginate(hits: DataFrame, searches: DataFrame, most: int | None = None) -> t
     return final.drop("total_pages", "first_empty", "max_results"), pages_read
 
 
-def page_requests(final: DataFrame, *carried: str) -> DataFrame:
-    """One page request per ranked hit; keeps the hit only if it is complete."""
+def page_requests(final: DataFrame, *carried: str, keys: list[str] = []) -> DataFrame:
+    """One page request per ranked hit; keeps the hit only if it is complete.
+
+    ``keys``: columns that tell hits of one title and URL apart.
+    """
     hit = F.struct("title", "description", "url", F.col("rank").cast("bigint").alias("rank"), "result_type")
     response_id = stable_id(F.lit("response"), F.col("query_id"))
     return final.select(
         "query_id",
         response_id.alias("response_id"),
-        stable_id(F.lit("page"), F.col("query_id"), F.col("title"), F.col("url")).alias("unique_key"),
+        stable_id(F.lit("page"), F.col("query_id"), F.col("title"), F.col("url"), *[F.col(c) for c in keys]).alias("unique_key"),
         "url",
         F.when(F.col("url").isNotNull() & F.col("title").isNotNull(), hit).alias("search_result"),
         *carried,

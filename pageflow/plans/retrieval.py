@@ -19,14 +19,17 @@ from pageflow.sources.shared import broadcast_if_small, staged
 CARRIED = ("query", "output_formats", *content.ROW_SETTINGS)
 
 
-def plan_pages(requests: DataFrame, index: Postings, search_settings: S.SearchSettings) -> DataFrame:
+def plan_pages(requests: DataFrame, index: Postings, search_settings: S.SearchSettings, version: str | None = None) -> DataFrame:
     """The page requests of each request: its URL, or its best search results.
 
+    ``version`` names a column of requests and index that tells pages of one URL apart.
+
     Works on narrow columns only; no page is read here.
     """
     # read by both branches and joined again below
+    own = [version] if version else []
     routed = staged(
-        route(requests.filter("error IS NULL")).select("request_id", "route", "target", "max_results", *CARRIED[1:]),
+        route(requests.filter("error IS NULL")).select("request_id", "route", "target", "max_results", *own, *CARRIED[1:]),
         "routed",
     )
     response_id = stable_id(F.lit("response"), F.col("request_id"))
@@ -36,6 +39,7 @@ def plan_pages(requests: DataFrame, index: Postings, search_settings: S.SearchSe
         response_id.alias("response_id"),
         stable_id(F.lit("page"), F.col("request_id"), F.col("target")).alias("unique_key"),
         F.col("target").alias("query"),
+        *own,
         *CARRIED[1:],
         F.col("target").alias("url"),
         F.lit(None).cast("bigint").alias("rank"),
@@ -45,12 +49,12 @@ def plan_pages(requests: DataFrame, index: Postings, search_settings: S.SearchSe
     asked = routed.filter("route = 'search'")
     phrases = asked.select(F.col("request_id").alias("query_id"), F.col("target").alias("phrase"))
     most = S.NUMBER_BOUNDS["maxResults"][1]
-    described = index.documents.select("doc_id", "url", "title")
+    described = index.documents.select("doc_id", "url", "title", *own)
     found = search(
         phrases,
         index,
         replace(search_settings, top_k=most),
-        lambda scored: first_of_each_result(scored, described),
+        lambda scored: first_of_each_result(scored, described, *own),
     )
     unique = found.join(described, "doc_id").select(
         "query_id",
@@ -60,16 +64,19 @@ def plan_pages(requests: DataFrame, index: Postings, search_settings: S.SearchSe
         F.lit(None).cast("string").alias("description"),
         "url",
         F.lit("ORGANIC").alias("result_type"),
+        *own,
     )
     limits = asked.select(
         F.col("request_id").alias("query_id"), "max_results", F.col("target").alias("query"), *CARRIED[1:]
     )
     best = hits.ranked(unique.join(limits, "query_id"), F.col("max_results"), most)
-    by_search = hits.page_requests(best, *CARRIED).select(
+    by_search = hits.page_requests(best, *own, *CARRIED, keys=own).select(
         F.col("query_id").alias("request_id"),
         "response_id",
         "unique_key",
-        *CARRIED,
+        "query",
+        *own,
+        *CARRIED[1:],
         "url",
         F.col("search_result.rank").alias("rank"),
         "search_result",
@@ -77,15 +84,15 @@ def plan_pages(requests: DataFrame, index: Postings, search_settings: S.SearchSe
     return direct.unionByName(by_search)
 
 
-def first_of_each_result(scored: DataFrame, described: DataFrame) -> DataFrame:
-    """Of the documents (query_id, doc_id, score) the best for each valid title and URL.
+def first_of_each_result(scored: DataFrame, described: DataFrame, *within: str) -> DataFrame:
+    """Of the documents (query_id, doc_id, score) the best for each valid title and URL (and ``within`` columns).
 
-    ``described`` is (doc_id, url, title).  Copies of a page count once, before
+    ``described`` is (doc_id, url, title, *within).  Copies of a page count once, before
     any cut, so that they cannot crowd out other results.
     """
     listed = hits.valid_results(scored.join(described, "doc_id"))
     best = F.min_by(F.struct("doc_id", "score"), F.struct(-F.col("score"), "doc_id"))
-    return listed.groupBy("query_id", "title", "url").agg(best.alias("b")).select("query_id", "b.doc_id", "b.score")
+    return listed.groupBy("query_id", "title", "url", *within).agg(best.alias("b")).select("query_id", "b.doc_id", "b.score")
 
 
 def retrieve(
@@ -94,13 +101,15 @@ def retrieve(
     index: Postings,
     content_settings: S.ContentSettings = S.ContentSettings(),
     search_settings: S.SearchSettings = S.SearchSettings(),
+    version: str | None = None,
 ) -> DataFrame:
     """One row per result of every request, with its place in the response.
 
     ``requests`` went through ``validate``; ``fetched`` holds one row per URL
     (url, loaded_url, status, content_type, error, html, loaded_at), or is a
     page store of them, from which pages never move; ``index``
-    is a stored posting index of a corpus with url and title.  A page is processed
+    is a stored posting index of a corpus with url and title.  Where several pages have one URL, ``version``
+    names a column of requests (null in searches), fetched and index that tells them apart.  A page is processed
     once per selector and transformer, however many requests ask for it;
     ``content_settings`` names the formats made, of which each request gets its own.
     A page nobody fetched leaves its request pending, which fails at the end;
@@ -108,21 +117,22 @@ def retrieve(
     Requests with ``time_measures``, too, get their stage times back as ``debug`` if in debug mode.
     Bad requests and phrases without a hit have no result; ``respond`` answers them.
     """
-    job_key = stable_id(F.col("url"), *[F.col(c).cast("string") for c in content.ROW_SETTINGS])
-    planned = responses.sort_by_rank(plan_pages(requests, index, search_settings)).withColumn("job_key", job_key)
+    own = [version] if version else []
+    job_key = stable_id(F.col("url"), *[F.col(c).cast("string") for c in own], *[F.col(c).cast("string") for c in content.ROW_SETTINGS])
+    planned = responses.sort_by_rank(plan_pages(requests, index, search_settings, version)).withColumn("job_key", job_key)
     timed = "created_at" in requests.columns
     measured = timed and "time_measures" in requests.columns
     if timed:
-        own = ["created_at", "request_timeout_secs", *(["debug_mode", "scraping_tool", "time_measures"] if measured else [])]
-        planned = planned.join(requests.select("request_id", *own), "request_id")
+        times = ["created_at", "request_timeout_secs", *(["debug_mode", "scraping_tool", "time_measures"] if measured else [])]
+        planned = planned.join(requests.select("request_id", *times), "request_id")
     planned = staged(planned, "page-requests")
     # one job per page and set of settings, however many requests share it
-    jobs = staged(planned.select("job_key", "url", *content.ROW_SETTINGS).distinct(), "page-jobs")
+    jobs = staged(planned.select("job_key", "url", *own, *content.ROW_SETTINGS).distinct(), "page-jobs")
     if isinstance(fetched, PageStore):
         wanted = fetched.fetch(jobs)
     else:
         pages = fetched.withColumn("url", urls.http_url(F.col("url")))
-        wanted = pages.join(broadcast_if_small(jobs), "url")
+        wanted = pages.join(broadcast_if_small(jobs), ["url", *own])
     selector = F.col("remove_elements_css_selector")
     unusable = F.when(
         ~is_supported(selector) & (selector != content_settings.remove_selector),
@@ -167,7 +177,7 @@ def retrieve(
             }
         )
     )
-    return closed.drop("job_key", *CARRIED[1:])
+    return closed.drop("job_key", *own, *CARRIED[1:])
 
 
 RECORD = ("text", "html", "markdown", "query", "crawl", "search_result", "metadata")
