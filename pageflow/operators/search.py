@@ -377,7 +377,10 @@ def _summed(blocks: DataFrame, weights: DataFrame, settings: SearchSettings) ->
         "phrases",
     )
     shards = staged(blocks.groupBy("shard").agg(F.min("first_doc").alias("first"), F.max("last_doc").alias("last")), "shards")
-    met = phrases.join(F.broadcast(shards), (F.col("first") < F.col("high")) & (F.col("last") >= F.col("low")))
+    # the intervals, one for all phrases without a site, with the shards they meet
+    reached = phrases.select("low", "high").distinct().join(F.broadcast(shards), (F.col("first") < F.col("high")) & (F.col("last") >= F.col("low")))
+    reached = broadcast_if_small(staged(reached.select("low", "high", "shard"), "reached"), settings.broadcast_bytes)
+    met = phrases.join(reached, ["low", "high"])
     asked = blocks.join(numbers, "term", "left_semi").join(numbers, "term")
     rows = asked.select("shard", F.lit(False).alias("is_phrase"), "term_id", "idf", "postings").unionByName(
         met.select("shard", F.lit(True).alias("is_phrase"), "query_id", "term_ids", "low", "high", "threshold"),
