@@ -66,3 +66,13 @@ def test_hot_requests_spread_over_runs(spark):
     plan = plan_of(latency.with_deltas(measures, 100))
     assert re.search(r"hashpartitioning\(request_id#\d+L?, _run#\d+L", plan)
     assert latency.with_deltas(measures, 100).filter("seq > 0 AND delta_us <> 5").count() == 0
+
+
+def test_tasks_grow_with_the_table(spark, tmp_path):
+    """However few files a table has, no task takes more than its share of rows; small splits stay where they are."""
+    rows = 12 * tables.TASK_ROWS
+    spark.range(rows).coalesce(1).write.parquet(str(tmp_path / "one.parquet"))
+    spark.range(rows).repartition(16).write.parquet(str(tmp_path / "many.parquet"))
+    one = tables.spread(tables.read_table(spark, str(tmp_path), "one"))
+    sizes = [len(part) for part in one.rdd.glom().collect()]
+    assert sum(sizes) == rows and len(sizes) == 12 and max(sizes) <= 1.1 * tables.TASK_ROWS
