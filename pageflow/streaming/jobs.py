@@ -48,8 +48,9 @@ def answers(requests: DataFrame, deliveries: DataFrame, delay: str = "10 minutes
     passed its last deadline.  Without ``expected`` all requests of a response
     come before or with its first outcome.
 
-    A response is a map of its keys, of which a delivery touches one, and a
-    timer.  Such state needs the RocksDB store, which is set for the session.
+    A response is one value with a timer while it has few keys, read and written
+    once a batch, and beyond that a map of its keys, of which a delivery touches
+    one.  Such state needs the RocksDB store, which is set for the session.
     """
     spark = requests.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -85,8 +86,15 @@ def answers(requests: DataFrame, deliveries: DataFrame, delay: str = "10 minutes
     )
 
 
+#: A response holds so many requests in its value; with more they move to a map.
+VALUE_REQUESTS = 16
+
+
 class Answering(StatefulProcessor):
-    """The state of one response: its requests by key, how many are open, and a timer at its last deadline."""
+    """The state of one response: its requests by key, how many are open, and a timer at its last deadline.
+
+    Each access of the state is a call out of Python, so few requests are held in the response's value.
+    """
 
     def __init__(self, key: str) -> None:
         self.key = key
@@ -94,7 +102,7 @@ class Answering(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.requests = handle.getMapState("requests", self.key, "since BIGINT, until BIGINT, status STRING")
-        self.response = handle.getValueState("response", "n BIGINT, n_open BIGINT, expected BIGINT, timer BIGINT, answered BOOLEAN")
+        self.response = handle.getValueState("response", f"n BIGINT, n_open BIGINT, expected BIGINT, timer BIGINT, answered BOOLEAN, few ARRAY<STRUCT<{self.key}, since BIGINT, until BIGINT, status STRING>>")
 
     def _rows(self, key, held: Iterator[tuple], complete: bool) -> Iterator[Row]:
         for (unique_key,), (_, _, status) in held:
@@ -107,11 +115,14 @@ class Answering(StatefulProcessor):
         asked, outcomes = [], []
         for row in rows:
             (outcomes if row.request_status is not None else asked).append(row)
-        n, n_open, expected, timer, answered = self.response.get() if self.response.exists() else (0, 0, 0, 0, False)
-        touched: dict = {}
+        n, n_open, expected, timer, answered, few = self.response.get() or (0, 0, 0, 0, False, [])
+        in_value = few is not None
+        touched: dict = {key: [*request] for key, *request in few or ()}
 
         def held(unique_key):
             """The request of a key as [since, until, status], read once."""
+            if in_value:
+                return touched.get(unique_key)
             if unique_key not in touched:
                 known = self.requests.containsKey((unique_key,))
                 touched[unique_key] = list(self.requests.getValue((unique_key,))) if known else None
@@ -132,24 +143,34 @@ class Answering(StatefulProcessor):
                 request[2] = row.request_status
             ends_instant = i + 1 == len(outcomes) or outcomes[i + 1].since != row.since
             answered = answered or (ends_instant and n > 0 and n_open == 0 and n >= expected)
-        for unique_key, request in touched.items():
-            if request is not None:
-                self.requests.updateValue((unique_key,), tuple(request))
-        if answered and self.requests.exists():
-            yield from self._rows(key, self.requests.iterator(), True)
-            self.requests.clear()
+        if in_value and answered:
+            yield from self._rows(key, (((k,), request) for k, request in touched.items()), True)
+            few = []
+        elif in_value and len(touched) <= VALUE_REQUESTS:
+            few = [(k, *request) for k, request in touched.items()]
+        else:
+            few = None
+            for unique_key, request in touched.items():
+                if request is not None:
+                    self.requests.updateValue((unique_key,), tuple(request))
+            if answered and self.requests.exists():
+                yield from self._rows(key, self.requests.iterator(), True)
+                self.requests.clear()
         if n or answered:
             due = max(last, timerValues.getCurrentWatermarkInMs() + 1)
             if due != timer:
                 if timer:
                     self.handle.deleteTimer(timer)
                 self.handle.registerTimer(due)
-            self.response.update((n, n_open, expected, due, answered))
+            self.response.update((n, n_open, expected, due, answered, few))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.requests.exists():
+        *_, few = self.response.get()
+        if few is not None:
+            yield from self._rows(key, (((k,), request) for k, *request in few), False)
+        elif self.requests.exists():
             yield from self._rows(key, self.requests.iterator(), False)
-        self.requests.clear()
+            self.requests.clear()
         self.response.clear()
 
     def close(self) -> None:

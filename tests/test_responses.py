@@ -5,6 +5,8 @@ import json
 import random
 import time
 
+import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from pageflow import schemas, settings as S
@@ -339,3 +341,38 @@ def test_a_large_response_takes_linear_time(spark, tmp_path):
         assert rows.where("complete AND request_status = 'handled'").count() == n
         took.append(time.perf_counter() - start)
     assert took[2] <= 15 * took[1]
+
+
+class CountedState:
+    """Stands for the value, the map and the timers of one response, and counts the calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.held = 0, None, {}
+
+    def __getattr__(self, name):
+        known = {
+            "exists": lambda: self.value is not None or bool(self.held), "get": lambda: self.value, "update": lambda v: setattr(self, "value", v),
+            "containsKey": lambda k: k in self.held, "getValue": self.held.get, "updateValue": self.held.__setitem__,
+            "iterator": lambda: iter(self.held.items()), "clear": lambda: (setattr(self, "value", None), self.held.clear()),
+            "registerTimer": lambda at: None, "deleteTimer": lambda at: None, "getCurrentWatermarkInMs": lambda: 0,
+        }
+
+        def call(*given):
+            self.calls += 1
+            return known[name](*given)
+
+        return call
+
+
+@pytest.mark.parametrize("n", [4, 40])
+def test_few_requests_cost_few_calls_of_the_state(n):
+    value, held, timers = CountedState(), CountedState(), CountedState()
+    job = jobs.Answering("unique_key BIGINT")
+    job.response, job.requests, job.handle = value, held, timers
+    asked = [Row(unique_key=k, since=0, until=9_000_000, request_status=None, expected=n) for k in range(n)]
+    sent = [Row(unique_key=k, since=5, until=None, request_status="handled", expected=None) for k in range(n - 1)]
+    assert list(job.handleInputRows((1,), iter(asked + sent), timers)) == []
+    assert value.calls + held.calls <= 2 or n > jobs.VALUE_REQUESTS
+    rows = list(job.handleExpiredTimer((1,), timers, None))
+    assert sorted((r.unique_key, r.request_status, r.complete) for r in rows) == [(k, "handled" if k < n - 1 else "failed", False) for k in range(n)]
+    assert value.value is None and not held.held
