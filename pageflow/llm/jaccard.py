@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pageflow.llm.blocks import mask_of, opened, shared_masks, text_blocks, with_masks
 from pageflow.llm.components import components
 from pageflow.llm.textbytes import Hashes, mixed
-from pageflow.sources.shared import fresh_path, remove, staged
+from pageflow.sources.shared import broadcast_if_small, fresh_path, remove, staged
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of marks compared at once.
@@ -112,19 +112,22 @@ def set_nodes(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.where(sizes > 0, names, -1)
 
 
-def set_tiles(hashes: np.ndarray, sizes: np.ndarray, settings: JaccardSettings) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tiles of all sets, and the set each belongs to.
+def set_tiles(
+    hashes: np.ndarray, sizes: np.ndarray, settings: JaccardSettings
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the tiles of all sets, the set and the cut each belongs to, and how many tiles each cut must share.
 
     A set is cut for its own band, and for the next if a set there can link
     with it.  Tiles are ranges of the hash values, so they are contiguous in the
     sorted hashes and a running sum gives their content.  Bands in which linked
-    sets are equal need no tiles.
+    sets are equal need no tiles.  A cut that agrees with other sets on fewer
+    tiles than it must has no link in its band.
     """
     starts = bands(int(sizes.max(initial=1)), settings)
     own = np.searchsorted(starts, sizes, "right") - 1
     begin = np.cumsum(sizes) - sizes
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(hashes))])
-    keys, sets = [], []
+    keys, sets, cuts, needs = [], [], [], []
     for step in (0, 1):
         band = own + step
         inside = (sizes > 0) & (band + 1 <= len(starts))
@@ -152,12 +155,15 @@ def set_tiles(hashes: np.ndarray, sizes: np.ndarray, settings: JaccardSettings)
         # sets agree on more tiles than ``slack``, so empty ones matter only to sets with more of them
         empty = np.bincount(owner[filled == 0], minlength=len(chosen))
         sent = (filled > 0) | (empty > slack[chosen])[owner]
+        # linked sets agree on more tiles than ``slack``, of which the other may leave out the empty ones
+        needs.append(np.where(empty > slack[chosen], 1, slack[chosen] + 1 - empty))
+        cuts.append(owner[sent] + sum(map(len, needs[:-1])))
         place = (band[chosen][owner] << 32) + np.arange(len(owner)) - cell_begin[owner]
         keys.append(mixed(content ^ mixed(place.astype(np.uint64) + np.uint64(1)))[sent])
         sets.append(chosen[owner][sent])
     if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(sets)
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
+    return tuple(np.concatenate(x) for x in (keys, sets, cuts, needs))
 
 
 def bitmaps(hashes: np.ndarray, sizes: np.ndarray, bits: int) -> np.ndarray:
@@ -262,6 +268,15 @@ def member_lists(tiles: DataFrame, settings: JaccardSettings, folder: str) -> Da
     return staged(found.join(sizes, ["list", "low"]), "member-lists", folder)
 
 
+def _able_to_link(lists: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
+    """The lists without members that share too few tiles with others to link with any; ``need`` of ``sets`` is the least."""
+    shared = lists.where("rows > 1").groupBy("node").agg(F.sum("tiles").alias("shared"))
+    able = shared.join(sets.select("node", "need"), "node").where("shared >= need").select("node")
+    left = staged(lists.drop("rows").join(able, "node", "left_semi"), "able-lists", folder)
+    sizes = left.groupBy("list", "low").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    return staged(left.join(sizes, ["list", "low"]), "able-member-lists", folder)
+
+
 def _linked_pairs(
     pairs: DataFrame, sets: DataFrame, hashes: DataFrame, settings: JaccardSettings, folder: str
 ) -> DataFrame:
@@ -295,6 +310,7 @@ def _linked_pairs(
     near = staged(near.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(bounded, "a long, b long"), "near", folder)
     # the hashes of a set may stand in several blocks; one copy of those that are asked for moves on
     asked = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    asked = broadcast_if_small(staged(asked, "asked", folder))
     held = staged(hashes.join(asked, "node", "left_semi").dropDuplicates(["node"]), "hashes", folder)
     full = near.join(held.select(F.col("node").alias("a"), F.col("hashes").alias("hashes_a")), "a").join(
         held.select(F.col("node").alias("b"), F.col("hashes").alias("hashes_b")), "b"
@@ -324,9 +340,14 @@ def jaccard_components(
         for batch in batches:
             for i, ids, data, offsets in opened(batch):
                 hashes, sizes, nodes, of_text, text_sizes = _distinct_sets(data, offsets, settings)
-                keys, owner = set_tiles(hashes, sizes, settings)
-                shared = mask_of(batch.column("masks")[i])[np.searchsorted(np.unique(keys), keys)] if len(keys) else []
-                keys, owner = keys[shared], owner[shared]
+                keys, owner, cut, need = set_tiles(hashes, sizes, settings)
+                shared = np.zeros(0, bool)
+                if len(keys):
+                    shared = mask_of(batch.column("masks")[i])[np.searchsorted(np.unique(keys), keys)]
+                    shared &= (np.bincount(cut[shared], minlength=len(need)) >= need)[cut]
+                keys, owner, cut = keys[shared], owner[shared], cut[shared]
+                least = np.full(len(sizes), len(hashes))
+                np.minimum.at(least, owner, need[cut])
                 ends = np.cumsum(sizes)
                 wanted = np.unique(owner)
                 inside = np.repeat(np.isin(np.arange(len(sizes)), wanted), sizes)
@@ -337,7 +358,7 @@ def jaccard_components(
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.repeat([0, 1, 2], [n, w, t]).astype(np.int32)),
-                        pa.concat_arrays([ids.cast(pa.int64()), pa.nulls(w, pa.int64()), pa.array(keys.view(np.int64))]),
+                        pa.concat_arrays([ids.cast(pa.int64()), pa.array(least[wanted]), pa.array(keys.view(np.int64))]),
                         pa.array(np.concatenate([of_text, nodes[wanted], nodes[owner]])),
                         pa.array(np.concatenate([text_sizes, sizes[wanted], np.zeros(t, np.int64)])),
                         pa.array([None] * n + [m.tobytes() for m in marks] + [None] * t, pa.binary()),
@@ -359,11 +380,12 @@ def jaccard_components(
     remove(spark, block_folder)
     texts = found.where("kind = 0").select(F.col("value").alias("doc_id"), F.col("n").alias("n_shingles"), "node", "digest")
     texts = staged(texts, "texts")
-    sets = found.where("kind = 1").select("node", "n", "bits", "marks").dropDuplicates(["node"])
+    sets = found.where("kind = 1").select("node", "n", F.col("value").alias("need"), "bits", "marks").dropDuplicates(["node"])
     sets = staged(sets, "node-sets", folder)
     hashes = found.where("kind = 1").select("node", "hashes")
 
     lists = member_lists(found.where("kind = 2").select(F.col("value").alias("tile"), "node"), settings, folder)
+    lists = _able_to_link(lists, sets, folder)
     weights = lists.groupBy("node").agg(F.sum(F.col("rows") * F.col("tiles")).alias("weight"))
     leaders = lists.join(weights, "node").groupBy("list", "low").agg(F.max(F.struct("weight", "node"))["node"].alias("a"))
     first = lists.join(leaders, ["list", "low"]).where("node <> a").select("a", F.col("node").alias("b")).distinct()
@@ -393,61 +415,88 @@ def _open_pairs(
 ) -> DataFrame:
     """Pairs (a, b) of one list but different components that sizes and bitmaps do not rule out.
 
-    Members of a list are compared in parts of bounded size, within the task;
-    pairs that were ruled out or tested before never leave it.  In a list of two
-    the leader has met the other.
+    Members of a list are compared within a task, those of a large one in parts
+    of bounded size; pairs that were ruled out or tested before never leave it.
+    Lists stream through their task row by row, as lists with marks in one cell
+    would fill Arrow batches of tens of megabytes.  In a list of two the leader
+    has met the other.
     """
 
+    def near_pairs(x: _Members, y: _Members) -> np.ndarray:
+        low, high = np.minimum(x.n[:, None], y.n[None]), np.maximum(x.n[:, None], y.n[None])
+        open_ = (x.root[:, None] != y.root[None]) & (100 * low >= settings.percent * high)
+        if y is x:
+            open_ = np.triu(open_, 1)
+        p, q = np.nonzero(open_)
+        width = min(len(m) for m in x.marks + y.marks)
+        of_x, of_y = folded(x.marks, width), folded(y.marks, width)
+        step = max(1, _COMPARE_BYTES // width)
+        out = [np.zeros((2, 0), np.int64)]
+        for k in range(0, len(p), step):
+            a, b = p[k : k + step], q[k : k + step]
+            apart = np.bitwise_count(of_x[a] ^ of_y[b]).sum(axis=1, dtype=np.int64)
+            near = apart <= allowed_difference(x.n[a] + y.n[b], settings.percent)
+            out.append(np.stack([x.node[a[near]], y.node[b[near]]]))
+        return np.concatenate(out, axis=1)
+
+    def paired(found: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
+        a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (list, low, node, root, n, marks) in order of lists: a list is held, and no more."""
+        held: list[pa.RecordBatch] = []
+        of = None
+        for batch in batches:
+            found: list[np.ndarray] = []
+            names = np.stack([batch.column(c).to_numpy() for c in (0, 1)])
+            cuts = np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1
+            for start, end in itertools.pairwise([0, *cuts.tolist(), len(batch)] if len(batch) else []):
+                if held and of != tuple(names[:, start].tolist()):
+                    own = _Members(held)
+                    found.append(near_pairs(own, own))
+                    held = []
+                of = tuple(names[:, start].tolist())
+                held.append(batch.slice(start, end - start))
+            yield paired(found)
+        if held:
+            own = _Members(held)
+            yield paired([near_pairs(own, own)])
+
+    def compare_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[np.ndarray] = []
             for i in range(len(batch)):
-                x, y = (_Members(batch.column(c)[i].values) for c in ("x", "y"))
-                low, high = np.minimum(x.n[:, None], y.n[None]), np.maximum(x.n[:, None], y.n[None])
-                open_ = (x.root[:, None] != y.root[None]) & (100 * low >= settings.percent * high)
-                if np.array_equal(x.node, y.node):
-                    open_ = np.triu(open_, 1)
-                p, q = np.nonzero(open_)
-                width = min(len(m) for m in x.marks + y.marks)
-                of_x, of_y = folded(x.marks, width), folded(y.marks, width)
-                step = max(1, _COMPARE_BYTES // width)
-                for k in range(0, len(p), step):
-                    a, b = p[k : k + step], q[k : k + step]
-                    apart = np.bitwise_count(of_x[a] ^ of_y[b]).sum(axis=1, dtype=np.int64)
-                    near = apart <= allowed_difference(x.n[a] + y.n[b], settings.percent)
-                    out.append(np.stack([x.node[a[near]], y.node[b[near]]]))
-            a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-            a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                x, y = ([pa.RecordBatch.from_struct_array(batch.column(c)[i].values)] if batch.column(c)[i].is_valid else [] for c in (0, 1))
+                x = _Members(x)
+                yield paired([near_pairs(x, _Members(y) if y else x)])
 
     name = ["list", "low"]
     rooted = lists.where("rows > 2").join(roots, "node", "left")
     rooted = staged(rooted.select(*name, "rows", "node", F.coalesce("root", "node").alias("root")), "rooted-lists", folder)
     ends = rooted.groupBy(*name).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select(*name)
+    members = rooted.join(ends, name, "left_semi").join(sets.select("node", "n", "marks"), "node")
+    columns = ["node", "root", "n", "marks"]
+    small = members.where(F.col("rows") <= settings.list_part).select(*name, *columns)
+    small = small.repartition(*name).sortWithinPartitions(*name).mapInArrow(compare, "a long, b long")
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / settings.list_part))
-    member = F.struct("node", "root", "n", "marks")
-    parts = (
-        rooted.join(ends, name, "left_semi")
-        .join(sets.select("node", "n", "marks"), "node")
-        .groupBy(*name, "rows", part.alias("part"))
-        .agg(F.collect_list(member).alias("x"))
-    )
-    parts = staged(parts, "list-parts", folder)
-    small = parts.where(F.col("rows") <= settings.list_part).select("x", F.col("x").alias("y"))
-    large = parts.where(F.col("rows") > settings.list_part)
+    large = members.where(F.col("rows") > settings.list_part).groupBy(*name, part.alias("part"))
+    large = staged(large.agg(F.collect_list(F.struct(*columns)).alias("x")), "list-parts", folder)
     other = large.select(*name, F.col("part").alias("with"), F.col("x").alias("y"))
-    blocks = small.unionByName(large.join(other, name).where("part <= with").select("x", "y"))
-    pairs = blocks.mapInArrow(compare, "a long, b long").distinct()
+    # a part that meets itself goes to its task once
+    met = large.join(other, name).where("part <= with").select("x", F.when(F.col("part") < F.col("with"), F.col("y")).alias("y"))
+    pairs = small.unionByName(met.mapInArrow(compare_parts, "a long, b long")).distinct()
     known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return staged(pairs.join(known, ["a", "b"], "left_anti"), "open-pairs", folder)
 
 
 class _Members:
-    """Columns of a part of a list."""
+    """Columns of a list or of a part of one."""
 
-    def __init__(self, rows: pa.StructArray) -> None:
-        self.node, self.root, self.n = (rows.field(c).to_numpy() for c in ("node", "root", "n"))
-        self.marks = rows.field("marks").to_pylist()
+    def __init__(self, rows: list[pa.RecordBatch]) -> None:
+        table = pa.Table.from_batches(rows)
+        self.node, self.root, self.n = (table.column(c).to_numpy() for c in ("node", "root", "n"))
+        self.marks = table.column("marks").to_pylist()
 
 
 def one_of_each(
@@ -466,10 +515,11 @@ def one_of_each(
     content = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     left = docs.withColumn("__digest", F.unhex(F.md5(content)))
     same = F.col(key).cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__md5"))
-    left = left.join(gone, same, "left_anti")
+    left = left.join(broadcast_if_small(gone), same, "left_anti")
     twice = found.where("n_shingles > 0").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     twice = staged(twice.select(*row), "twice")
     if twice.isEmpty():
         return left.drop("__digest")
+    twice = broadcast_if_small(twice)
     once = left.join(twice, same, "left_semi").dropDuplicates([key, "__digest"])
     return left.join(twice, same, "left_anti").unionByName(once).drop("__digest")

@@ -5,7 +5,17 @@ import pytest
 from llm_cases import documents, groups, plain, shingles
 
 from pageflow.llm.components import components
-from pageflow.llm.jaccard import JaccardSettings, folded, jaccard_components, member_lists, one_of_each, parity_marks
+from pageflow.llm.jaccard import (
+    JaccardSettings,
+    _able_to_link,
+    folded,
+    jaccard_components,
+    member_lists,
+    one_of_each,
+    parity_marks,
+    set_tiles,
+    shingle_sets,
+)
 from pageflow.sources.shared import fresh_path
 from pageflow.sources.tables import read_table
 
@@ -133,3 +143,49 @@ def test_lists_hold_every_shared_tile_at_any_window(spark, window):
     assert all(r.rows == len(rows) == len({r.node for r in rows}) for rows in found.values() for r in rows)
     if window > 1000:
         assert len(found) == len(lists) and all(len(x) > 1 for x in lists)
+
+
+@pytest.mark.parametrize("words, percent", [(3, 90), (5, 80)])
+def test_linked_sets_share_the_tiles_that_their_cuts_need(words, percent):
+    settings = JaccardSettings(words=words, percent=percent)
+    texts = [t.encode() for t in _near_copies()]
+    hashes, sizes = shingle_sets(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), settings)
+    keys, sets, cuts, needs = set_tiles(hashes, sizes, settings)
+    tiles = {}
+    for k, s, c in zip(keys.tolist(), sets.tolist(), cuts.tolist(), strict=True):
+        tiles.setdefault(s, {}).setdefault(c, set()).add(k)
+    members = [set(x.tolist()) for x in np.split(hashes, np.cumsum(sizes)[:-1])]
+    linked = 0
+    for x in range(len(members)):
+        for y in range(len(members)):
+            common = len(members[x] & members[y])
+            if members[x] != members[y] and 100 * common >= percent * (len(members[x]) + len(members[y]) - common):
+                other = set().union(*tiles[y].values())
+                assert any(len(own & other) >= needs[c] for c, own in tiles[x].items())
+                linked += 1
+    assert linked > 10 and needs.min() >= 1 and needs.max() > 5
+
+
+def test_members_that_share_too_few_tiles_leave_their_lists(spark):
+    rows = [(1, 0, n, 2, 3) for n in (1, 2, 3)] + [(2, 0, n, 3, 2) for n in (1, 2)] + [(3, 0, n, 9, 2) for n in (3, 4)]
+    lists = spark.createDataFrame(rows, "list long, low long, node long, tiles long, rows long")
+    sets = spark.createDataFrame([(1, 5), (2, 5), (3, 11), (4, 10)], "node long, need long")
+    left = _able_to_link(lists, sets, fresh_path(spark, "test"))
+    assert {(r.list, r.node, r.rows) for r in left.collect()} == {(1, 1, 3), (1, 2, 3), (1, 3, 3), (2, 1, 2), (2, 2, 2)}
+
+
+@pytest.mark.parametrize("part", [2, 5])
+def test_lists_in_parts_equal_whole_lists(spark, part):
+    texts = _near_copies()
+    settings = JaccardSettings(words=5, percent=80, list_part=part)
+    assert _found(plain(spark, texts), settings) == _expected(enumerate(texts), 5, 80)
+
+
+def test_texts_stay_where_they_are(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = one_of_each(documents(spark))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "LeftAnti" in plan and "SortMergeJoin" not in plan
