@@ -18,9 +18,21 @@ from pageflow.sources.tables import read_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Documents that go to Python at once.  Spark's 10,000 are tens of megabytes of text, several times over in both processes.
+ARROW_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """The session hands out at most ``ARROW_ROWS`` rows at a time, or fewer if it is set so."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(name))
+    if not 0 < rows <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail a base rule or leave their language's perplexity band go."""
+    small_batches(spark)
     return quality.passed(docs)
 
 
@@ -35,6 +47,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Near duplicates take shingles of five words and a similarity of 0.8.
     """
+    small_batches(spark)
     return jaccard.one_of_each(docs, jaccard.JaccardSettings(words=5, percent=80))
 
 
@@ -45,6 +58,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def window_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as pieces in windows of 4096 tokens."""
+    small_batches(spark)
     return packing.pack(docs, packing.PackSettings(public_tokenizers.path("word_bpe_49k.json")))
 
 

@@ -62,3 +62,18 @@ def test_every_stage_takes_odd_and_empty_documents(spark, root):
             out.collect()
             if name != "packing":
                 assert out.columns == frame.columns
+
+
+def test_texts_go_to_python_in_small_batches(spark, root):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for stage in ("quality rules", "n-gram Jaccard join", "packing"):
+            spark.conf.set(name, "10000")
+            dict(corpus_pipeline.STAGES)[stage](spark, plain(spark, ["a few words"]), root)
+            assert spark.conf.get(name) == "2000"
+        spark.conf.set(name, "500")
+        corpus_pipeline.small_batches(spark)
+        assert spark.conf.get(name) == "500"
+    finally:
+        spark.conf.set(name, before)
