@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from pageflow.functions.bind import bind
 from pageflow.settings import SearchSettings
-from pageflow.sources.shared import broadcast_if_small, staged
+from pageflow.sources.shared import broadcast_if_small, remove, staged
 
 TOKEN_GAP = r"[^a-z0-9\x{c0}-\x{ff}]+"
 SITE = r"(?i)(?:^|\s)site:(\S+)"
@@ -137,18 +137,22 @@ def _blocks(postings: DataFrame, rows: int) -> DataFrame:
 def write_postings(index: DataFrame, path: str, settings: SearchSettings = SearchSettings()) -> Postings:
     """Store the posting blocks of a ``build_index`` table below ``path``.
 
-    The index moves twice: by host key for its numbers, and posting by posting,
-    without texts, into the order of blocks.  Both orders are ranges, so that a
-    host or a term with a third of all rows spreads over tasks.
+    The index is made once and written down, as ranges are found by a first pass over their
+    input.  It moves twice: by host key for its numbers, and posting by posting,
+    without texts, into blocks.  The first order is ranges, so that a host with a
+    third of all rows spreads over tasks; of a term no more than a shard's part goes to one.
     """
     spark = index.sparkSession
     n_shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["host_key", "doc_id"]
-    ordered = index.withColumn("host_key", host_key(F.col("host"))).repartitionByRange(n_shards, *order)
+    index.write.parquet(f"{path}/rows")
+    rows = spark.read.schema(index.schema).parquet(f"{path}/rows")
+    ordered = rows.withColumn("host_key", host_key(F.col("host"))).repartitionByRange(n_shards, *order)
     numbered = ordered.sortWithinPartitions(*order).withColumns(
         {"doc_no": F.monotonically_increasing_id(), "shard": F.spark_partition_id()}
     )
     numbered.write.parquet(f"{path}/numbered")
+    remove(spark, f"{path}/rows")
     numbered = spark.read.parquet(f"{path}/numbered")
     numbered.drop("postings", "host").write.parquet(f"{path}/documents")
     mean_length = numbered.agg(F.avg("doc_length")).scalar()
@@ -158,7 +162,8 @@ def write_postings(index: DataFrame, path: str, settings: SearchSettings = Searc
         "shard", "posting.term", "doc_id", "doc_no", (tf * (settings.k1 + 1) / (tf + F.col("norm"))).alias("impact")
     )
     falling = ["shard", "term", F.desc("impact"), "doc_id"]
-    blocks = _blocks(postings.repartitionByRange(*falling).sortWithinPartitions(*falling), settings.block_postings)
+    dealt = postings.repartition("shard", "term").sortWithinPartitions(*falling)
+    blocks = _blocks(dealt, settings.block_postings)
     blocks.write.parquet(f"{path}/blocks")
     stored = spark.read.parquet(f"{path}/blocks")
     stored.groupBy("term").agg(F.sum(F.size("postings")).alias("df"), F.max("top").alias("top")).write.parquet(f"{path}/terms")

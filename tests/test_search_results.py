@@ -275,3 +275,22 @@ def test_index_counts_terms_in_the_row(spark):
     row = search.build_index(corpus).first()
     assert row.doc_length == 5 and [(p.term, p.tf) for p in row.postings] == [("a", 1), ("b", 3), ("c", 1)]
     assert "Exchange" not in search.build_index(corpus)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_index_is_made_once(spark):
+    """Ranges are found by a pass over their input, which must not be the walk of every page."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        seen.add(1)
+        return text
+
+    rows = [(i, f"h{i % 7}.example", f"word{i % 5} common text {i}") for i in range(60)]
+    corpus = spark.createDataFrame(rows, "doc_id long, host string, text string")
+    corpus = corpus.withColumn("text", F.udf(counted, "string")("text"))
+    stored = search.write_postings(search.build_index(corpus), fresh_path(spark, "once"), SearchSettings(block_postings=4))
+    assert seen.value == len(rows)
+    blocks = stored.blocks.collect()
+    assert sum(b.leads for b in blocks) == len({(b.shard, b.term) for b in blocks})
+    assert all([-p.impact for p in b.postings] == sorted(-p.impact for p in b.postings) for b in blocks)
+    assert {r.term: r.df for r in stored.terms.collect()}["common"] == 60
