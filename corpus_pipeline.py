@@ -20,14 +20,18 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Documents that go to Python at once.  Spark's 10,000 are tens of megabytes of text, several times over in both processes.
 ARROW_ROWS = 2_000
+#: Documents that a reader of Parquet holds at once; its arrays double in size until a batch of texts fits.
+READER_ROWS = 512
 
 
 def small_batches(spark: SparkSession) -> None:
-    """The session hands out at most ``ARROW_ROWS`` rows at a time, or fewer if it is set so."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    rows = int(spark.conf.get(name))
-    if not 0 < rows <= ARROW_ROWS:
-        spark.conf.set(name, str(ARROW_ROWS))
+    """The session hands out at most ``ARROW_ROWS`` rows and reads ``READER_ROWS`` at a time, or fewer if it is set so."""
+    for name, most in (
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS),
+        ("spark.sql.parquet.columnarReaderBatchSize", READER_ROWS),
+    ):
+        if not 0 < int(spark.conf.get(name)) <= most:
+            spark.conf.set(name, str(most))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,6 +42,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that more than 1 % and at least five of a source's documents share go; every document stays."""
+    small_batches(spark)
     cleaned = lines.drop_boilerplate(docs, lines.LineSettings(max_ratio=0.01), host="source")
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
@@ -53,6 +58,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources come near their target words; a document may be left out or stand twice."""
+    small_batches(spark)
     return mixing.mix(docs)
 
 

@@ -21,8 +21,10 @@ import pyarrow.compute as pc
 
 from pageflow.llm.textbytes import slices
 
-#: Parts a worker remembers; beyond that it starts afresh, which only costs time.
-MEMO_PARTS = 1_250_000
+#: Parts a worker remembers, in some 250 bytes each; beyond that the less asked for half goes, which only costs time.
+MEMO_PARTS = 600_000
+#: Bytes of text encoded at once.
+ENCODED_BYTES = 512 << 10
 
 _MEMOS: dict[str, _Memo] = {}
 
@@ -37,13 +39,24 @@ class _Memo(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
         self.new: list[str] = []
         self.ids = np.empty(1 << 16, np.int32)
         self.ends = np.zeros(1 << 16, np.int64)
+        #: Slices that asked for a part.
+        self.asked = np.zeros(1 << 16, np.int32)
+
+    def shrink(self, parts: int) -> None:
+        """Keep the ``parts`` most asked for, in their order; what they were asked for before counts half."""
+        n = len(self)
+        kept = np.sort(np.argpartition(-self.asked[:n], parts)[:parts])
+        names = list(self)
+        self.clear()
+        self.update((names[k], number) for number, k in enumerate(kept.tolist()))
+        starts = self.ends[kept]
+        lengths = self.ends[kept + 1] - starts
+        self.ends = np.concatenate([[0], np.cumsum(lengths)])
+        self.ids = self.ids[np.arange(int(self.ends[-1])) - np.repeat(self.ends[:-1] - starts, lengths)]
+        self.asked = self.asked[kept] // 2
 
     def __missing__(self, part: str) -> int:
         number = self[part] = len(self)
@@ -73,6 +86,7 @@ class _Memo(dict):
         ends = start + np.cumsum(lengths)
         self.ids = _room(self.ids, int(ends[-1]))
         self.ends = _room(self.ends, len(self) + 1)
+        self.asked = _room(self.asked, len(self))
         self.ids[start : ends[-1]] = np.fromiter(chain.from_iterable(encoded), np.int32, int(ends[-1] - start))
         self.ends[first + 1 : len(self) + 1] = ends
         self.new = []
@@ -121,7 +135,7 @@ def encode_bytes(data: np.ndarray, offsets: np.ndarray, path: str, end_id: int)
     if memo is None:
         memo = _MEMOS[path] = _Memo(path)
     if len(memo) > MEMO_PARTS:
-        memo.reset()
+        memo.shrink(MEMO_PARTS // 2)
     n = len(offsets) - 1
     if len(data):
         data, offsets = _separated(data, offsets)
@@ -131,8 +145,10 @@ def encode_bytes(data: np.ndarray, offsets: np.ndarray, path: str, end_id: int)
     counts = pc.list_value_length(split).to_numpy()
     parts = split.flatten().dictionary_encode()
     known = parts.dictionary.to_pylist()
-    numbers = np.fromiter(map(memo.__getitem__, known), np.int64, len(known))[parts.indices.to_numpy()]
+    asked = np.fromiter(map(memo.__getitem__, known), np.int64, len(known))
     memo.learn()
+    memo.asked[asked] += 1
+    numbers = asked[parts.indices.to_numpy()]
     starts = memo.ends[numbers]
     lengths = memo.ends[numbers + 1] - starts
     part_ends = np.concatenate([[0], np.cumsum(lengths)])
@@ -146,5 +162,5 @@ def encoded_slices(
 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with ids and ends as ``encode_bytes`` gives them; null texts are empty."""
     for batch in batches:
-        for first, last, data, offsets in slices(batch, text):
+        for first, last, data, offsets in slices(batch, text, ENCODED_BYTES):
             yield batch.slice(first, last - first), *encode_bytes(data, offsets, path, end_id)
