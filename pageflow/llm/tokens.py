@@ -3,9 +3,10 @@
 The tokenizer splits at blanks and drops them before it merges anything, so the
 ids of a text are the ids of its blank-separated parts in order.  Parts repeat
 a lot: each worker encodes a part once and looks it up from then on.  Two
-changes make more parts equal and no id different: ASCII capitals become small
-unless a non-ASCII byte follows, which might combine with them, and a full stop or
-comma between an ASCII letter and a blank becomes a part of its own.
+changes make more parts equal and no id different: capitals become small unless
+a character follows that might combine with them, and the ASCII marks between a
+letter and a blank become a part of their own.  Both go for the letters of ASCII
+and Latin-1.
 """
 
 from __future__ import annotations
@@ -110,19 +111,35 @@ def _byte_symbols(word: str) -> str:
     return word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
 
 
+#: First byte of the characters from U+00C0 to U+00FF: letters, but for two signs, that combine with nothing before them.
+_LATIN_1 = 0xC3
+#: By byte: ASCII capitals, small letters and marks, and the second bytes of Latin-1 capitals and letters.
+_CAPITALS, _LETTERS, _MARKS, _LATIN_1_CAPITALS, _LATIN_1_LETTERS = np.zeros((5, 256), bool)
+_CAPITALS[65:91] = _LETTERS[97:123] = _LATIN_1_CAPITALS[0x80:0x9F] = _LATIN_1_LETTERS[0x80:0xC0] = True
+_LATIN_1_CAPITALS[0x97] = _LATIN_1_LETTERS[[0x97, 0xB7]] = False
+_MARKS[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
+
+
 def _separated(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of the texts with more parts alike; a text that may hold a special token stays as it is."""
+    begins, ends = offsets[:-1][offsets[:-1] < len(data)], offsets[1:][offsets[1:] > 0] - 1
     following = np.append(data[1:], 32)
-    following[offsets[1:][offsets[1:] > 0] - 1] = 32
+    following[ends] = 32
     plain = np.ones(len(data), bool)
-    marks = np.flatnonzero((data == 60) & (following == 124))
-    for text in np.unique(np.searchsorted(offsets, marks, "right") - 1):
+    specials = np.flatnonzero((data == 60) & (following == 124))
+    for text in np.unique(np.searchsorted(offsets, specials, "right") - 1):
         plain[offsets[text] : offsets[text + 1]] = False
-    data = data + 32 * ((data >= 65) & (data <= 90) & (following < 128) & plain).astype(np.uint8)
-    letter = (data >= 97) & (data <= 122)
-    before = np.append(False, letter[:-1])
-    before[offsets[:-1][offsets[:-1] < len(data)]] = False
-    at = np.flatnonzero(((data == 46) | (data == 44)) & before & ((following == 32) | (following == 10)) & plain)
+    latin = np.append(False, data[:-1] == _LATIN_1)
+    small = (_CAPITALS[data] | (latin & _LATIN_1_CAPITALS[data])) & ((following < 128) | (following == _LATIN_1)) & plain
+    data = data + 32 * small.astype(np.uint8)
+    before = np.append(False, (_LETTERS[data] | (latin & _LATIN_1_LETTERS[data]))[:-1])
+    before[begins] = False
+    marks = _MARKS[data]
+    starts = np.append(True, ~marks[:-1])
+    starts[begins] = True
+    stops = ~_MARKS[following]
+    starts, stops = np.flatnonzero(marks & starts), np.flatnonzero(marks & stops)
+    at = starts[before[starts] & plain[starts] & np.isin(following[stops], (10, 32))]
     return np.insert(data, at, 32), offsets + np.searchsorted(at, offsets)
 
 
@@ -144,7 +161,7 @@ def encode_bytes(data: np.ndarray, offsets: np.ndarray, path: str, end_id: int)
     split = pc.split_pattern(texts, " ")
     counts = pc.list_value_length(split).to_numpy()
     parts = split.flatten().dictionary_encode()
-    known = parts.dictionary.to_pylist()
+    known = parts.dictionary.to_numpy(zero_copy_only=False)
     asked = np.fromiter(map(memo.__getitem__, known), np.int64, len(known))
     memo.learn()
     memo.asked[asked] += 1

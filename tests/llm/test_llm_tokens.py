@@ -10,7 +10,7 @@ from llm_cases import documents
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pageflow.llm import packing, token_files
+from pageflow.llm import packing, token_files, tokens
 from pageflow.llm.tokens import encoded_slices
 from pageflow.sources.shared import fresh_path
 from pageflow.sources.tables import read_table
@@ -43,6 +43,26 @@ def test_parts_give_the_ids_of_the_whole_text(spark, root, whole):
     assert found == [whole(t) for t in texts + texts[3:43]]
 
 
+def test_closing_marks_and_latin_capitals_make_no_parts_of_their_own(whole, monkeypatch):
+    monkeypatch.setattr(tokens, "_MEMOS", {})
+    random.seed(9)
+    words = ["".join(random.choices("abcdéüñß", k=12)) for _ in range(300)]
+    ends = ["", ".", "###", "***", "!!", ".###", "?)", "'", "''", "~"]
+    texts = [" ".join([w + e, w.capitalize() + e, w.replace("ß", "s").upper() + e + "\n" + w + e]) for w in words for e in ends]
+    small = [" ".join(words), " ".join(w.replace("ß", "s") for w in words)]
+    pieces = ["a", "Z", "é", "É", "Ê", "ß", "Þ", "×", "÷", "À", "ÿ", "e", "\u0301", "\u0338", "<", "=", "'", "'s", "...", "#", "&", "|", "…", "“", "_", "7", "ª", "Σ", " ", "\n", "\t", "\xa0"]
+    odd = ["".join(random.choices(pieces, k=random.randint(0, 12))) for _ in range(20000)]
+    odd += ["", "!!", "!!", "a!!", "!! a", "a", "É", "\u0301a", "a.", "\u0301", "x<|ENDOFTEXT|>É.## y"]
+    found = []
+    for part in (small + texts, odd):
+        batch = pa.RecordBatch.from_arrays([pa.array(part, pa.string())], names=["text"])
+        for _, ids, stops in encoded_slices(iter([batch]), "text", PATH, 2):
+            found += [x.tolist() for x in np.split(ids, stops[:-1])]
+        if part is not odd:
+            assert len(tokens._MEMOS[PATH]) <= 2 * len(words) + len(ends) + 1
+    assert found == [whole(t) for t in small + texts + odd]
+
+
 @pytest.mark.parametrize("odd", [False, True])
 def test_files_hold_all_ids_in_order(spark, root, whole, odd):
     docs = documents(spark) if odd else read_table(spark, root, "documents")
