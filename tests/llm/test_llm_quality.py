@@ -132,3 +132,29 @@ def test_copies_of_a_document_leave_the_verdict_of_others(spark, root):
     copies = one.withColumn("doc_id", F.explode(F.sequence(F.lit(10**6), F.lit(10**6 + 19)).cast("array<bigint>")))
     after = {r.doc_id: r.kept for r in quality.quality(table.unionByName(copies)).collect()}
     assert sum(before[i] != after[i] for i in before) <= 0.05 * len(before)
+
+
+def test_every_byte_counts_by_itself(spark):
+    """Texts that differ in digits, capitals or bytes beyond ASCII only have other grams and other scores."""
+    prose = ["the year 1111 of AAAA, ÄÄÄÄ and 東東東東"] * 40
+    odd = ["the year 7305 of QXZK, ÿĀŷ¤ and 京橋品川"]
+    docs = plain(spark, prose + odd)
+    model = spark.sparkContext.broadcast(quality.trained_model(docs))
+    rows = quality.measured(docs, model).collect()
+    scores = {r.doc_id: r.log_perplexity for r in rows}
+    assert len({scores[k] for k in range(40)}) == 1 and scores[40] > 2 * scores[0]
+    counted = {r.gram: r.n for r in quality.gram_counts(docs, alphabet=quality.BYTES).collect()}
+    expected = Counter()
+    for text in prose + odd:
+        data = b"   " + text.encode()
+        expected.update(int.from_bytes(data[k : k + 4], "big") for k in range(len(data) - 3))
+    assert counted == expected
+
+
+def test_counts_handed_on_in_parts_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SCORED_BYTES", 300)
+    docs = plain(spark, [f"text {k} " + "Ünd so weiter %d " % (k * 7919) * 5 for k in range(120)])
+    whole = {r.gram: r.n for r in quality.gram_counts(docs, alphabet=quality.BYTES).collect()}
+    monkeypatch.setattr(quality, "HELD_GRAMS", 50)
+    parts = {r.gram: r.n for r in quality.gram_counts(docs, alphabet=quality.BYTES).collect()}
+    assert parts == whole and sum(whole.values()) == sum(len(r.text.encode()) for r in docs.collect())
