@@ -47,15 +47,11 @@ def plan_pages(requests: DataFrame, index: Postings, search_settings: S.SearchSe
     )
 
     asked = routed.filter("route = 'search'")
-    phrases = asked.select(F.col("request_id").alias("query_id"), F.col("target").alias("phrase"))
     most = S.NUMBER_BOUNDS["maxResults"][1]
+    phrases = asked.select(F.col("request_id").alias("query_id"), F.col("target").alias("phrase"), F.col("max_results").alias("wanted"))
     described = index.documents.select("doc_id", "url", "title", *own)
-    found = search(
-        phrases,
-        index,
-        replace(search_settings, top_k=most),
-        lambda scored: first_of_each_result(scored, described, *own),
-    )
+    # a response takes no more than it has asked for, so no more is searched
+    found = search(phrases, index, replace(search_settings, top_k=most), kinds_of_result(index.documents, *own))
     unique = found.join(described, "doc_id").select(
         "query_id",
         F.floor((F.col("rank") - 1) / S.RESULTS_PER_PAGE).alias("page"),
@@ -84,15 +80,16 @@ def plan_pages(requests: DataFrame, index: Postings, search_settings: S.SearchSe
     return direct.unionByName(by_search)
 
 
-def first_of_each_result(scored: DataFrame, described: DataFrame, *within: str) -> DataFrame:
-    """Of the documents (query_id, doc_id, score) the best for each valid title and URL (and ``within`` columns).
+def kinds_of_result(documents: DataFrame, *within: str) -> DataFrame:
+    """(shard, doc_no, kind) of the documents with a valid title and URL; those with the same (and the same ``within`` columns) are of one kind.
 
-    ``described`` is (doc_id, url, title, *within).  Copies of a page count once, before
-    any cut, so that they cannot crowd out other results.
+    Copies of a page count once, before any cut, so that they cannot crowd out other results.
     """
-    listed = hits.valid_results(scored.join(described, "doc_id"))
-    best = F.min_by(F.struct("doc_id", "score"), F.struct(-F.col("score"), "doc_id"))
-    return listed.groupBy("query_id", "title", "url", *within).agg(best.alias("b")).select("query_id", "b.doc_id", "b.score")
+    same = ["title", "url", *within]
+    listed = hits.valid_results(documents).select("shard", "doc_no", *same)
+    first = listed.groupBy(*same).agg(F.min("doc_no").alias("kind")).select("kind", *[F.col(c).alias(f"_{c}") for c in same])
+    alike = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same]
+    return staged(listed.join(first, alike).select("shard", "doc_no", "kind"), "kinds")
 
 
 def retrieve(

@@ -104,9 +104,14 @@ class SearchSettings:
     k1: float = 1.2
     b: float = 0.75
     top_k: int = 10
-    # Postings of one block, and the weightiest terms of a phrase whose first blocks give its threshold.
+    # Postings of one block, and the weightiest terms of a phrase with a site whose first blocks give its threshold.
     block_postings: int = 256
     lead_terms: int = 4
+    # Documents of one shard, where there are more shards than cores, and shards of which one gives the thresholds of the others.
+    shard_documents: int = 16_384
+    shards_a_lead: int = 8
+    # Copies of a shard that share its phrases.
+    shard_copies: int = 1
     # Largest table of terms or weights, in bytes, that is sent to every executor;
     # beyond it the posting blocks meet their terms by shuffle.
     broadcast_bytes: int = 64 << 20

@@ -6,7 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from pageflow import schemas, settings as S
-from pageflow.operators import latency
+from pageflow.operators import latency, search
 from pageflow.operators.requests import parse_parameters, validate
 from pageflow.operators.search import build_index, write_postings
 from pageflow.plans.retrieval import respond, retrieve
@@ -72,3 +72,18 @@ def test_debug_mode_reports_stage_times(spark):
         ("request-received", 0, 0), ("before-cheerio-run", 250_000, 250_000), ("cheerio-before-response-send", 2_000_000, 1_750_000)
     ]
     assert "debug" not in bodies[2]["crawl"] and bodies[2]["crawl"]["created_at"].startswith("2024-01-01")
+
+
+def test_a_response_moves_no_more_results_than_it_asked_for(spark, monkeypatch):
+    """400 pages score alike; a request for two of them takes two from each shard, not every page."""
+    corpus = [(k, f"h{k % 9}.example", f"http://h{k % 9}.example/{k}", f"zebra {k}", "zebra zebra") for k in range(400)]
+    index = write_postings(
+        build_index(spark.createDataFrame(corpus, "doc_id bigint, host string, url string, title string, text string")), fresh_path(spark, "alike")
+    )
+    asked = validate(parse_parameters(spark.createDataFrame([(1, "?outputFormats=text&maxResults=2&query=zebra")], "request_id bigint, raw string")))
+    summed, usual = [], search._summed
+    monkeypatch.setattr(search, "_summed", lambda *a: summed.append(usual(*a)) or summed[-1])
+    fetched = spark.createDataFrame([], schemas.FETCHED_PAGES)
+    found = retrieve(asked, fetched, index, S.ContentSettings(output_formats=("text",))).collect()
+    assert sorted(r.url for r in found) == ["http://h0.example/0", "http://h1.example/1"]
+    assert summed[-1].count() <= 2 * index.blocks.select("shard").distinct().count()

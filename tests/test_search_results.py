@@ -3,8 +3,10 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -294,3 +296,44 @@ def test_an_index_is_made_once(spark):
     assert sum(b.leads for b in blocks) == len({(b.shard, b.term) for b in blocks})
     assert all([-p.impact for p in b.postings] == sorted(-p.impact for p in b.postings) for b in blocks)
     assert {r.term: r.df for r in stored.terms.collect()}["common"] == 60
+
+
+def test_terms_are_counted_as_plain_python_counts_them():
+    texts = ["b a b\u00fcb a", None, "", " ,. \u00d7", "\u00e0\u00e9 \u6771abc\u4eac9 \u0101x", "a" * 70 + " zz", "a"]
+    lower = pa.array(texts).slice(1)
+    found = search._term_counts(lower).to_pylist()
+    for text, row in zip(texts[1:], found, strict=True):
+        words = [w for w in re.split(r"[^a-z0-9\u00c0-\u00ff]+", text or "") if w]
+        counts = sorted(Counter(words).items(), key=lambda x: x[0].encode())
+        assert row["doc_length"] == (None if text is None else len(words))
+        assert row["postings"] == (None if text is None else [{"term": t, "tf": n} for t, n in counts])
+
+
+@pytest.mark.parametrize("options", [{"shards_a_lead": 1}, {"shards_a_lead": 3, "block_postings": 2}])
+def test_best_of_each_kind_equals_brute_force(spark, options, monkeypatch):
+    """Copies count once and what has no kind not at all, within the shards and across; few rows leave a shard."""
+    draw = random.Random(5)
+    text = lambda n: " ".join(draw.choices([f"w{i}" for i in range(30)], [1 / (i + 1) for i in range(30)], k=n))
+    bodies = [text(draw.randrange(3, 30)) for _ in range(40)]
+    docs = {d: (draw.choice(["a.example", "b.example"]), bodies[d % 40] if d % 3 else "w0 w1 w2 w3") for d in range(300)}
+    kind = {d: zlib.crc32(repr(docs[d]).encode()) if d % 7 else None for d in docs}
+    phrases = {q: text(draw.randrange(1, 9)) + (" site:a.example" if q % 4 == 0 else "") for q in range(40)}
+    settings = SearchSettings(top_k=6, shard_documents=40, **options)
+    index = _indexed(spark, docs, settings)
+    named = spark.createDataFrame([(d, k) for d, k in kind.items() if k is not None], "doc_id bigint, kind bigint")
+    kinds = index.documents.join(named, "doc_id").select("shard", "doc_no", "kind")
+    asked = spark.createDataFrame([(q, p, q % 8 + 1) for q, p in phrases.items()], "query_id bigint, phrase string, wanted bigint")
+    read = []
+    usual = search._summed
+    monkeypatch.setattr(search, "_summed", lambda *a: read.append(usual(*a)) or read[-1])
+    rows = search.search(asked, index, settings, kinds).collect()
+    found = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in rows}
+    expected = {}
+    for q, d, score, _ in sorted(brute_force(phrases, docs, top=1000), key=lambda x: (x[0], -x[2], x[1])):
+        if kind[d] is not None and kind[d] not in (seen := expected.setdefault(q, {})):
+            seen[kind[d]] = (d, score)
+    for q in phrases:
+        best = list(expected.get(q, {}).values())[: min(q % 8 + 1, 6)]
+        assert [found.get((q, k + 1)) for k in range(len(best))] == best
+    shards = index.documents.select("shard").distinct().count()
+    assert read[-1].count() <= sum(min(q % 8 + 1, 6) for q in phrases) * shards
