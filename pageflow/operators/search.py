@@ -505,8 +505,9 @@ def _shard_sums():
         phrase = np.repeat(np.arange(len(part)), sizes)[places >= 0]
         values = [part.column(c).to_numpy() for c in ("low", "high", "threshold", "wanted")]
         whose, at, sums = ready.best(phrase, places[places >= 0], *values)
-        columns = [part.column("query_id").to_numpy()[whose], ready.ids[at], sums, ready.kind[at]]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[f.split()[0] for f in _SUMS.split(", ")])
+        queries = part.column("query_id").take(pa.array(whose))  # may be null
+        columns = [queries, *map(pa.array, (ready.ids[at], sums, ready.kind[at]))]
+        return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _SUMS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, shard, ready = [], None, None

@@ -337,3 +337,11 @@ def test_best_of_each_kind_equals_brute_force(spark, options, monkeypatch):
         assert [found.get((q, k + 1)) for k in range(len(best))] == best
     shards = index.documents.select("shard").distinct().count()
     assert read[-1].count() <= sum(min(q % 8 + 1, 6) for q in phrases) * shards
+
+
+def test_a_phrase_without_a_number_has_results(spark):
+    docs = {d: ("a.example", f"word w{d % 5} " * (d % 3 + 1)) for d in range(30)}
+    asked = spark.createDataFrame([(None, "word w1"), (1, "w1")], "query_id bigint, phrase string")
+    rows = search.search(asked, _indexed(spark, docs, SearchSettings(top_k=4)), SearchSettings(top_k=4)).collect()
+    found = sorted((r.doc_id, r.score, r["rank"]) for r in rows if r.query_id is None)
+    assert found == sorted(x[1:] for x in brute_force({0: "word w1"}, docs, top=4))
