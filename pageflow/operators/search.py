@@ -28,7 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from pageflow.settings import SearchSettings
-from pageflow.sources.shared import broadcast_if_small, remove, staged
+from pageflow.sources.shared import broadcast_if_small, fresh_path, remove, small_batches, staged
 
 TOKEN_GAP = r"[^a-z0-9\x{c0}-\x{ff}]+"
 SITE = r"(?i)(?:^|\s)site:(\S+)"
@@ -207,6 +207,7 @@ def write_postings(index: DataFrame, path: str, settings: SearchSettings = Searc
     whose blocks are made where it lies.  Ranges spread a host with a third of all rows over tasks.
     """
     spark = index.sparkSession
+    small_batches(spark)
     order = ["host_key", "doc_id"]
     index.write.parquet(f"{path}/rows")
     rows = spark.read.schema(index.schema).parquet(f"{path}/rows")
@@ -532,6 +533,9 @@ def _shard_sums():
                 for at in range(0, len(part), step):
                     if len(out := summed(ready, part.slice(at, step))):
                         yield out
+        # the worker lives on
+        del held, ready
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -607,8 +611,11 @@ def search(
             scored = scored.repartition("query_id").withColumn("place", F.row_number().over(of_kind)).where("place = 1").drop("place")
         return scored.drop("kind").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= settings.top_k)
 
+    small_batches(phrases.sparkSession)
+    # what is read only until the sums are planned
+    scratch = fresh_path(phrases.sparkSession, "search")
     wanted = F.least(F.col("wanted"), F.lit(settings.top_k)) if "wanted" in phrases.columns else F.lit(settings.top_k)
-    weights = staged(_weights(phrase_terms(phrases.withColumn("wanted", wanted.cast("bigint"))), index), "weights")
+    weights = staged(_weights(phrase_terms(phrases.withColumn("wanted", wanted.cast("bigint"))), index), "weights", scratch)
     # the k-th best of a few from each of some shards is a threshold as well as that of all
     shards = sorted(r.shard for r in index.blocks.select("shard").distinct().collect())
     leading = shards[:: settings.shards_a_lead]
@@ -616,18 +623,20 @@ def search(
     everywhere = (F.col("low") == _ALL[0]) & (F.col("high") == _ALL[1])
     some = weights.where(everywhere).withColumns({"threshold": F.lit(0.0), "wanted": few(len(leading))})
     tasks = index.blocks.sparkSession.sparkContext.defaultParallelism
-    parts = max(-(-2 * tasks // max(len(leading), 1)), 1)
+    parts = max(-(-tasks // max(len(leading), 1)), 1)
     at = F.col("shard").isin(leading)
-    led = staged(some, "lead-weights")
+    led = staged(some, "lead-weights", scratch)
     own = [] if kinds is None else [kinds.where(at)]
     seen = _summed(index.blocks.where(at), led, replace(settings, shard_copies=parts), *own)
     own = [] if kinds is None else [kinds]
     within = weights.where(~everywhere & (F.col("weight_rank") <= settings.lead_terms))
-    within = staged(within.withColumns({"threshold": F.lit(0.0), "wanted": few(len(shards))}), "lead-terms")
+    within = staged(within.withColumns({"threshold": F.lit(0.0), "wanted": few(len(shards))}), "lead-terms", scratch)
     if not within.isEmpty():
         seen = seen.unionByName(_summed(index.blocks.where("leads"), within, settings, *own))
     asked = weights.groupBy("query_id").agg(F.max("wanted").alias("wanted"))
     known = ranked(seen).join(asked, "query_id").where(F.col("rank") == F.col("wanted"))
     thresholds = staged(known.select("query_id", F.col("score").alias("threshold")), "thresholds")
     bounded = weights.join(thresholds, "query_id", "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.0)))
-    return ranked(_summed(index.blocks, staged(bounded, "bounded-weights"), settings, *own))
+    found = ranked(_summed(index.blocks, staged(bounded, "bounded-weights", scratch), settings, *own))
+    remove(phrases.sparkSession, scratch)
+    return found

@@ -14,7 +14,7 @@ from pageflow.operators import content, hits, latency, responses
 from pageflow.operators.requests import route, stable_id
 from pageflow.operators.search import Postings, search
 from pageflow.sources.pagestore import PageStore
-from pageflow.sources.shared import broadcast_if_small, staged
+from pageflow.sources.shared import broadcast_if_small, small_batches, staged
 
 CARRIED = ("query", "output_formats", *content.ROW_SETTINGS)
 
@@ -114,6 +114,7 @@ def retrieve(
     Requests with ``time_measures``, too, get their stage times back as ``debug`` if in debug mode.
     Bad requests and phrases without a hit have no result; ``respond`` answers them.
     """
+    small_batches(requests.sparkSession)
     own = [version] if version else []
     job_key = stable_id(F.col("url"), *[F.col(c).cast("string") for c in own], *[F.col(c).cast("string") for c in content.ROW_SETTINGS])
     planned = responses.sort_by_rank(plan_pages(requests, index, search_settings, version)).withColumn("job_key", job_key)

@@ -345,3 +345,16 @@ def test_a_phrase_without_a_number_has_results(spark):
     rows = search.search(asked, _indexed(spark, docs, SearchSettings(top_k=4)), SearchSettings(top_k=4)).collect()
     found = sorted((r.doc_id, r.score, r["rank"]) for r in rows if r.query_id is None)
     assert found == sorted(x[1:] for x in brute_force({0: "word w1"}, docs, top=4))
+
+
+def test_searches_hand_out_few_rows_at_a_time(spark):
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, value in zip(names, ("10000", "300"), strict=True):
+            spark.conf.set(n, value)
+        _indexed(spark, {d: ("a.example", f"word w{d}") for d in range(9)})
+        assert [spark.conf.get(n) for n in names] == ["500", "300"]
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
